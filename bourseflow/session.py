@@ -35,7 +35,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 def local(cpus: int | str = "*", app: str = "bourseflow") -> SparkSession:
     builder = SparkSession.builder.master(f"local[{cpus}]").appName(app)
-    for key, value in {**DEFAULTS, "spark.ui.enabled": "false", "spark.driver.memory": "12g",
+    for key, value in {**DEFAULTS, "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "12g",
                        "spark.sql.shuffle.partitions": "8", "spark.driver.bindAddress": "127.0.0.1",
                        "spark.driver.host": "127.0.0.1"}.items():
         builder = builder.config(key, value)
