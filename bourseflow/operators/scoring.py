@@ -65,14 +65,13 @@ def score_inputs(price: DataFrame, valuation: DataFrame, chain: DataFrame, membe
     def flag(cond: Column) -> Column:
         return F.coalesce(cond.cast("int"), F.lit(0))
 
-    j = (j.withColumn("close", dbl("close")).withColumn("shares", dbl("shares_outstanding"))
-         .withColumn("mcap", F.coalesce(dbl("market_cap"), c("shares") * c("close")))
-         .withColumn("fin", fin)
-         .withColumn("halted", F.coalesce(c("as_of") < c("cut_date"), F.lit(False)))
-         .withColumn("fy_count", F.when(c("end0").isNull(), 0).when(c("end1").isNull(), 1).when(c("end2").isNull(), 2).otherwise(3))
-         .withColumn("e0", earn(0)).withColumn("e1", earn(1)).withColumn("e2", earn(2))
-         .withColumn("p0", F.when(fin, c("ni0")).otherwise(c("oi0"))).withColumn("p2", F.when(fin, c("ni2")).otherwise(c("oi2")))
-         .withColumn("la0", ratio("debt0", "ta0")).withColumn("la2", ratio("debt2", "ta2")))
+    j = j.withColumns({"close": dbl("close"), "shares": dbl("shares_outstanding")}).withColumns({
+        "mcap": F.coalesce(dbl("market_cap"), c("shares") * c("close")), "fin": fin,
+        "halted": F.coalesce(c("as_of") < c("cut_date"), F.lit(False)),
+        "fy_count": F.when(c("end0").isNull(), 0).when(c("end1").isNull(), 1).when(c("end2").isNull(), 2).otherwise(3),
+        "e0": earn(0), "e1": earn(1), "e2": earn(2),
+        "p0": F.when(fin, c("ni0")).otherwise(c("oi0")), "p2": F.when(fin, c("ni2")).otherwise(c("oi2")),
+        "la0": ratio("debt0", "ta0"), "la2": ratio("debt2", "ta2")})
     three = (c("fy_count") == 3) & c("e1").isNotNull() & c("e2").isNotNull()
     was_profit = c("oi2") > 0
     margins = was_profit & (c("rev0") > 0) & (c("rev2") > 0)
@@ -82,13 +81,14 @@ def score_inputs(price: DataFrame, valuation: DataFrame, chain: DataFrame, membe
     good = (flag(c("oi0") > 0) + flag(was_profit & (c("oi0") > c("oi2"))) + flag(c("rev0") > c("rev2"))
             + flag(margins & (ratio("oi0", "rev0") > ratio("oi2", "rev2"))) + flag(c("la0") < c("la2")))
     implied = ratio("eq0", "bps")
-    j = (j.withColumn("e_cons", F.when(three, F.least(c("e0"), (c("e0") + c("e1") + c("e2")) / F.lit(3.0))).otherwise(c("e0")))
-         .withColumn("sig_n", counted).withColumn("sig_yes", good)
-         .withColumn("neg_book", F.coalesce(c("eq0") <= 0, F.lit(False)) | F.coalesce(c("bps") <= 0, F.lit(False)))
-         .withColumn("common_share", F.when((c("country") == "KR") & (c("shares") > 0) & (c("eq0") > 0) & (c("bps") > 0)
-                                            & (implied > F.lit(1.03) * c("shares")), ratio(c("shares"), implied)))
-         .withColumn("value_rules", flag(three) + flag(c("end2").isNotNull() & (fin | (c("sig_n") >= 3))))
-         .withColumn("split_after", F.coalesce(c("done") > c("end0"), F.lit(False))))
+    j = j.withColumns({
+        "e_cons": F.when(three, F.least(c("e0"), (c("e0") + c("e1") + c("e2")) / F.lit(3.0))).otherwise(c("e0")),
+        "sig_n": counted, "sig_yes": good,
+        "neg_book": F.coalesce(c("eq0") <= 0, F.lit(False)) | F.coalesce(c("bps") <= 0, F.lit(False)),
+        "common_share": F.when((c("country") == "KR") & (c("shares") > 0) & (c("eq0") > 0) & (c("bps") > 0)
+                               & (implied > F.lit(1.03) * c("shares")), ratio(c("shares"), implied)),
+        "split_after": F.coalesce(c("done") > c("end0"), F.lit(False))})
+    j = j.withColumn("value_rules", flag(three) + flag(c("end2").isNotNull() & (fin | (c("sig_n") >= 3))))
     has2 = c("end2").isNotNull()
     raw = {
         "conservative_yield": F.when(c("mcap") > 0, c("e_cons") * F.coalesce(c("common_share"), F.lit(1.0)) / c("mcap")),
@@ -199,10 +199,12 @@ def standardize(factors: DataFrame, distribution: DataFrame | None = None) -> Da
     dist = factors if distribution is None else distribution
     stats = dist.groupBy(*keys).agg(*[a for f in K.FACTORS for a in (
         F.avg(f"{f}_f").alias(f"{f}_m"), F.stddev_samp(f"{f}_f").alias(f"{f}_s"))])
-    j = factors.join(F.broadcast(stats), keys, "left")
-    for f in K.FACTORS:
+
+    def scaled(f: str) -> Column:
         x, m, s = F.col(f"{f}_f"), F.col(f"{f}_m"), F.col(f"{f}_s")
-        j = j.withColumn(f"{f}_z", F.when(x.isNotNull(), F.when(s > 0, (x - m) / s).otherwise(F.lit(0.0))))
+        return F.when(x.isNotNull(), F.when(s > 0, (x - m) / s).otherwise(F.lit(0.0)))
+
+    j = factors.join(F.broadcast(stats), keys, "left").withColumns({f"{f}_z": scaled(f) for f in K.FACTORS})
     return j.drop(*[f"{f}_{x}" for f in K.FACTORS for x in "ms"])
 
 
@@ -301,10 +303,10 @@ def preset_problems(presets: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ stocks outside the sample
 def reference_scores(listed: DataFrame, values: DataFrame, inputs: DataFrame, scores: DataFrame, preset: str,
-                     k: int = K.SHRINKAGE_K) -> DataFrame:
+                     k: int = K.SHRINKAGE_K, keep=lambda name, df: df) -> DataFrame:
     """Place stocks outside the sample in the stored distribution without changing it.
 
-    `listed` holds their inputs. Every position is found by a sorted union of both sides in value buckets, never by
+    `listed` holds their inputs; `keep` may store an intermediate table to cut the lineage. Every position is found by a sorted union of both sides in value buckets, never by
     comparing each outside stock with each member."""
     part = ["snapshot", "country", "family"]
     mine = metrics_long(listed).where(F.col("raw_value").isNotNull() & (F.col("family") != "financial"))
@@ -328,11 +330,12 @@ def reference_scores(listed: DataFrame, values: DataFrame, inputs: DataFrame, sc
         m = F.col("factor") == f
         return ratio(F.sum(F.when(m, F.col("z_adj") * w)), F.sum(F.when(m, w)))
 
+    placed = keep("placed", placed.select(*KEY, "metric", "factor", "z_adj"))
     mine_f = listed.where("family <> 'financial'").select(*KEY, "country", "family", "group_id", "value_rules").join(
         placed.groupBy(*KEY).agg(*[mean(f).alias(f"{f}_f") for f in K.FACTORS]), list(KEY))
     mine_f = mine_f.withColumn("value_f", F.col("value_f") * value_shrink(F.col("value_rules")))
     comp = composites(standardize(mine_f, factor_table(values, inputs)), {preset: K.PRESETS[preset]})
-    comp = comp.withColumn("composite", half_up("composite_full", 4)).drop("composite_full")
+    comp = keep("comp", comp.withColumn("composite", half_up("composite_full", 4)).drop("composite_full"))
     stored = scores.where((F.col("preset") == preset) & F.col("composite").isNotNull())
     rank = insert_positions(comp.where(F.col("composite").isNotNull()).select(*KEY, *part[1:], "composite"), stored, part, "composite")
     total = F.col("n") + 1

@@ -12,6 +12,7 @@ from bourseflow.plans.catalog import query
 from bourseflow.plans.price_queries import top_ranked
 from bourseflow.plans.score_run import SNAPSHOTS, build_inputs, score_run
 from bourseflow.sources.market_tables import Tables, literal_rows
+from bourseflow.sources.stored import stored
 
 
 @query("sc_fy_chain")
@@ -116,7 +117,10 @@ def sc_presets_validate(t: Tables) -> DataFrame:
 @query("sc_reference_score")
 def sc_reference_score(t: Tables) -> DataFrame:
     run = score_run(t)
-    return scoring.reference_scores(build_inputs(t, True), run.values, run.inputs, run.scores, K.DEFAULT_PRESET)
+    tag = f"{t.folder}|{','.join(SNAPSHOTS)}"
+    listed = stored(t.spark, f"listed inputs|{tag}", lambda: build_inputs(t, True))
+    return scoring.reference_scores(listed, run.values, run.inputs, run.scores, K.DEFAULT_PRESET,
+                                    keep=lambda name, df: stored(t.spark, f"listed {name}|{tag}", lambda: df))
 
 
 def factor_long(scores: DataFrame, suffix: str = "_score") -> DataFrame:

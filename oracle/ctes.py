@@ -94,9 +94,8 @@ SELECT lpad(CAST(o_orderkey AS VARCHAR),14,'0') rcept_no, o_custkey % ((SELECT m
  CASE left(o_orderpriority,1) WHEN '1' THEN '10-K' WHEN '2' THEN '정기공시' WHEN '3' THEN '10-Q' ELSE '8-K' END report_type,
  o_orderdate filed_at, CASE o_orderstatus WHEN 'O' THEN 'DART' WHEN 'F' THEN 'SEC' ELSE 'KIND' END data_source FROM orders"""
 CTES["items"] = """
-SELECT *, CAST(round(CAST(quantity AS DECIMAL(14,0))*CAST(CAST(ref_price4*fx0 AS BIGINT) AS DECIMAL(20,0))/10000 , 2) AS DOUBLE) cost_krw,
- ref_price4/10000.0 ref_price, CAST(fx0 AS DOUBLE) ref_fx_rate,
- CAST(quantity AS HUGEINT)*ref_price4*fx0 cost4
+SELECT *, CAST((CAST(quantity AS HUGEINT)*ref_price4*fx0 + 50)//100 AS DOUBLE)/100.0 cost_krw,
+ ref_price4/10000.0 ref_price, CAST(fx0 AS DOUBLE) ref_fx_rate
 FROM (SELECT a.portfolio_id, a.stock_id, a.quantity, a.ref_date, (a.cents*200+a.quantity)//(2*a.quantity) ref_price4,
   CASE WHEN s.currency='USD' THEN 1200+a.portfolio_id%200 ELSE 1 END fx0
  FROM (SELECT o_custkey portfolio_id, t.stock_id, CAST(sum(t.qty) AS BIGINT) quantity, CAST(sum(t.cents) AS BIGINT) cents,
