@@ -27,6 +27,10 @@ def from4(c: Column) -> Column:
     return (c.cast("decimal(14,0)") * F.lit("0.0001").cast("decimal(4,4)")).cast(PRICE)
 
 
+def krw(hundredths: Column) -> Column:
+    return ((F.lit(125000) + hundredths).cast("decimal(10,0)") * F.lit("0.01").cast("decimal(2,2)")).cast("decimal(12,4)")
+
+
 def literal_rows(spark: SparkSession, names: tuple[str, ...], rows: list[tuple]) -> DataFrame:
     """A short parameter list as a table (an in-memory relation, no job)."""
     items = [F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row)]) for row in rows]
@@ -180,19 +184,22 @@ class Tables:
             F.lit("DERIVED").alias("source"))
 
     @cached_property
-    def fx(self) -> DataFrame:
-        """USD/KRW: one DAILY point per order date, one SNAPSHOT per purchase event."""
+    def fx_daily(self) -> DataFrame:
+        """USD/KRW: one DAILY point per order date."""
         cents = F.round(F.col("o_totalprice") * 100).cast("long")
-        daily = (self.raw("orders").groupBy(F.to_date("o_orderdate").alias("d")).agg(F.sum(cents).alias("c"))
-                 .select(F.col("d").cast("timestamp").alias("rate_at"),
-                         ((F.lit(125000) + F.col("c") % 10000).cast("decimal(10,0)") * F.lit("0.01").cast("decimal(2,2)"))
-                         .cast("decimal(12,4)").alias("usd_krw"), F.lit("DAILY").alias("granularity")))
-        snap = (self.raw("events").where(F.col("event_type") == "purchase")
-                .select(F.col("ts").cast("timestamp").alias("rate_at"),
-                        ((F.lit(125000) + F.col("event_id") * 37 % 10000).cast("decimal(10,0)")
-                         * F.lit("0.01").cast("decimal(2,2)")).cast("decimal(12,4)").alias("usd_krw"),
-                        F.lit("SNAPSHOT").alias("granularity")))
-        return daily.unionByName(snap)
+        per_day = self.raw("orders").groupBy(F.to_date("o_orderdate").alias("d")).agg(F.sum(cents).alias("c"))
+        return per_day.select(F.col("d").cast("timestamp").alias("rate_at"), krw(F.col("c") % 10000).alias("usd_krw"), F.lit("DAILY").alias("granularity"))
+
+    @cached_property
+    def fx_snapshots(self) -> DataFrame:
+        """One SNAPSHOT quote per purchase event."""
+        e = self.raw("events").where(F.col("event_type") == "purchase")
+        return e.select(F.col("ts").cast("timestamp").alias("rate_at"), krw(F.col("event_id") * 37 % 10000).alias("usd_krw"),
+                        F.lit("SNAPSHOT").alias("granularity"))
+
+    @cached_property
+    def fx(self) -> DataFrame:
+        return self.fx_daily.unionByName(self.fx_snapshots)
 
     @cached_property
     def disclosures(self) -> DataFrame:
