@@ -48,7 +48,8 @@ def expectations(facts_df: DataFrame, cases: DataFrame, predicates: dict[str, st
     `cases`: case_id, stock_id, status, decision. Predicates are Spark expressions, evaluated by the engine."""
     checks = F.array(*[F.struct(F.lit(k).alias("case_id"), F.coalesce(F.expr(p), F.lit(False)).alias("ok")) for k, p in predicates.items()])
     evaluated = facts_df.select("stock_id", F.inline(checks))
-    j = F.broadcast(cases).join(evaluated, ["case_id", "stock_id"], "left")
+    found = evaluated.join(F.broadcast(cases.select("case_id", "stock_id")), ["case_id", "stock_id"])
+    j = cases.join(found, ["case_id", "stock_id"], "left")
     return j.select("case_id", "stock_id", classify(F.col("ok"), F.col("status"), F.col("decision")).alias("outcome"))
 
 

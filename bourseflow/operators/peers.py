@@ -13,15 +13,19 @@ PEER_METRICS = {"return_1m": (True, 6), "return_3m": (True, 6), "return_1y": (Tr
                 "score": (True, 2)}
 
 
-def peers(members: DataFrame, metrics: DataFrame) -> DataFrame:
+def peer_values(members: DataFrame, metrics: DataFrame) -> DataFrame:
+    """One row per theme, member and metric that has a value (PER and PBR only when positive)."""
+    wide = members.join(metrics, "stock_id").withColumn("per", positive("per")).withColumn("pbr", positive("pbr"))
+    cells = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in PEER_METRICS])
+    return (wide.select("group_id", "stock_id", "featured", F.explode(cells).alias("c"))
+            .select("group_id", "stock_id", "featured", "c.metric", "c.value").where("value IS NOT NULL"))
+
+
+def peers(rows: DataFrame) -> DataFrame:
     """(theme, stock, metric) rows with value, rank and theme average.
 
     The comparison set of a theme is its featured members plus the stock that is looked at, so a stock outside the featured
     set is placed among the featured values and joins the average. Each row is handled once; no member pairs are built."""
-    wide = members.join(metrics, "stock_id").withColumn("per", positive("per")).withColumn("pbr", positive("pbr"))
-    cells = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in PEER_METRICS])
-    rows = (wide.select("group_id", "stock_id", "featured", F.explode(cells).alias("c"))
-            .select("group_id", "stock_id", "featured", "c.metric", "c.value").where("value IS NOT NULL"))
     pool = rows.where("featured")
     exact = F.sum(F.col("value").cast("decimal(28,6)")).cast("double")
     sums = pool.groupBy("group_id", "metric").agg(exact.alias("total"))

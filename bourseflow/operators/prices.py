@@ -17,7 +17,16 @@ def at_snapshots(df: DataFrame, date_col: str, snapshots: Sequence[date | str],
         seen = d >= F.col(date_col)
         return seen if max_age_days is None else seen & (F.datediff(d, F.col(date_col)) <= max_age_days)
 
-    return df.withColumn("snapshot", F.explode(F.filter(dates, visible)))
+    span = F.col(date_col) <= F.array_max(dates)
+    if max_age_days is not None:
+        span = span & (F.col(date_col) >= F.date_sub(F.array_min(dates), max_age_days))
+    return df.where(span).withColumn("snapshot", F.explode(F.filter(dates, visible)))
+
+
+def newest_bars(bars: DataFrame, count: int) -> DataFrame:
+    """The newest `count` bars per stock, numbered; each task keeps its own newest ones before the shuffle."""
+    w = Window.partitionBy("stock_id").orderBy(F.desc("trade_date"))
+    return bars.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= count)
 
 
 def number_bars(bars: DataFrame, keys: Sequence[str] = ("stock_id",)) -> DataFrame:
@@ -30,8 +39,7 @@ def number_bars(bars: DataFrame, keys: Sequence[str] = ("stock_id",)) -> DataFra
 
 def latest_price(bars: DataFrame, stocks: DataFrame) -> DataFrame:
     """The two newest bars of each stock: close, change and change rate."""
-    top2 = number_bars(bars).where("rn <= 2")
-    one = top2.groupBy("stock_id").agg(
+    one = newest_bars(bars, 2).groupBy("stock_id").agg(
         F.max("trade_date").alias("trade_date"), F.max(F.when(F.col("rn") == 1, F.col("close"))).alias("close"),
         F.max(F.when(F.col("rn") == 2, F.col("close"))).alias("prev_close"),
         F.max(F.when(F.col("rn") == 1, F.col("volume"))).alias("volume"))
@@ -117,7 +125,7 @@ def stats_monthly(bars: DataFrame, today: date | str, months: int) -> DataFrame:
 
 def volume_surge(bars: DataFrame, targets: DataFrame) -> DataFrame:
     """Newest volume over the mean of the 20 sessions before; all 20 must exist."""
-    last21 = number_bars(bars.join(targets.select("stock_id"), "stock_id", "left_semi")).where("rn <= 21")
+    last21 = newest_bars(bars.join(targets.select("stock_id"), "stock_id", "left_semi"), 21)
     base = F.when(F.col("rn").between(2, 21), F.col("volume"))
     agg = last21.groupBy("stock_id").agg(
         F.max("trade_date").alias("as_of"), F.max(F.when(F.col("rn") == 1, F.col("volume"))).alias("volume"),

@@ -7,7 +7,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from bourseflow import constants as K
 from bourseflow.functions.exprs import dbl, half_up, like_escape, positive, ratio
-from bourseflow.functions.ranking import with_rank
 
 RANKABLE = ("return_1m", "return_3m", "return_1y", "volume", "market_cap_krw")
 
@@ -102,15 +101,19 @@ def metric_ranking(metrics: DataFrame, stocks: DataFrame, chosen: Sequence[str],
     bad = set(chosen) - set(RANKABLE)
     if bad:
         raise ValueError(f"not rankable: {sorted(bad)}")
-    s = stocks.where("is_active AND coverage = 'featured'").select("stock_id", "ticker", "name")
+    s = stocks.where("is_active AND coverage = 'featured'").select("stock_id", "ticker")
     if country is not None:
         metrics = metrics.where(F.col("country") == country)
     cells = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in chosen])
     rows = metrics.join(s, "stock_id").select("stock_id", "ticker", "market", F.explode(cells).alias("c")).select(
-        "stock_id", "ticker", "market", "c.metric", "c.value")
-    ranked = with_rank(rows, ["metric"], "value", descending=descending, rank="rank", total="total")
-    w = Window.partitionBy("metric").orderBy("rank", "ticker")
-    return ranked.withColumn("o", F.row_number().over(w)).where(F.col("o") <= limit).drop("o")
+        "stock_id", "ticker", "market", "c.metric", "c.value").where("value IS NOT NULL")
+    totals = rows.groupBy("metric").agg(F.count(F.lit(1)).alias("total"))
+    # only the head of the list is needed, so every task keeps its own head before the shuffle; all rows above a kept row are kept
+    by = F.desc("value") if descending else F.asc("value")
+    w = Window.partitionBy("metric").orderBy(by, "ticker")
+    head = rows.withColumn("o", F.row_number().over(w)).where(F.col("o") <= limit).drop("o")
+    ranked = head.withColumn("rank", F.rank().over(Window.partitionBy("metric").orderBy(by)).cast("long"))
+    return ranked.join(F.broadcast(totals), "metric")
 
 
 def search(stocks: DataFrame, queries: Sequence[str], limit: int) -> DataFrame:
@@ -129,12 +132,15 @@ def search(stocks: DataFrame, queries: Sequence[str], limit: int) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= limit)
 
 
-def stock_list(rows: DataFrame, *, order: str = "market_cap_krw", descending: bool = True, limit: int = 20, offset: int = 0,
+def stock_list(stocks: DataFrame, details: DataFrame, *, order: str = "market_cap_krw", descending: bool = True, limit: int = 20, offset: int = 0,
                country: str | None = None, sector: str | None = None, group: DataFrame | None = None, q: str | None = None) -> DataFrame:
-    """Filtered, ranked page of stocks. Only the filters that are set become predicates."""
+    """Filtered, ranked page of stocks. Only the filters that are set become predicates.
+
+    The total is counted on the filtered stocks alone; the rank of a page needs only the rows down to its end, which a
+    distributed top-k delivers."""
     if order not in ("volume", "market_cap_krw"):
         raise ValueError(f"cannot order by {order}")
-    rows = rows.where("is_active")
+    rows = stocks.where("is_active")
     rows = rows.where(F.col("coverage").isin("featured", "benchmark")) if q is None else rows.where(
         F.col("name").ilike(f"%{q}%") | F.col("ticker").ilike(f"%{q}%") | F.coalesce(F.col("name_en").ilike(f"%{q}%"), F.lit(False)))
     for c, v in (("country", country), ("sector", sector)):
@@ -142,13 +148,11 @@ def stock_list(rows: DataFrame, *, order: str = "market_cap_krw", descending: bo
             rows = rows.where(F.col(c) == v)
     if group is not None:
         rows = rows.join(group.select("stock_id"), "stock_id", "left_semi")
-    ranked = with_rank(rows.select("stock_id", order), [], order, descending=descending, rank="r")
-    have = rows.agg(F.count(F.lit(1)).alias("total"), F.count(order).alias("valued"))
-    total, valued = have.select("total").scalar(), have.select("valued").scalar()
-    out = rows.join(ranked.select("stock_id", "r"), "stock_id", "left")
-    out = out.withColumn("rank", F.coalesce("r", valued + 1)).withColumn("total", total).drop("r")
     by = F.desc_nulls_last(order) if descending else F.asc_nulls_last(order)
-    return out.orderBy(by, "stock_id").offset(offset).limit(limit)
+    head = rows.join(details, "stock_id", "left").orderBy(by, "stock_id").limit(offset + limit)
+    ranked = head.withColumn("rank", F.rank().over(Window.partitionBy(F.lit(0)).orderBy(by)).cast("long"))
+    total = rows.agg(F.count(F.lit(1))).scalar()
+    return ranked.withColumn("total", total).orderBy(by, "stock_id").offset(offset).limit(limit)
 
 
 def range_report(tables: dict[str, tuple[DataFrame, str | None]]) -> DataFrame:

@@ -11,6 +11,7 @@ from bourseflow.plans.catalog import query
 from bourseflow.plans.score_queries import score_ranks
 from bourseflow.plans.score_run import score_run
 from bourseflow.sources.market_tables import Tables
+from bourseflow.sources.stored import stored
 
 FLOW_DATES = ("2001-03-30", "2001-06-29", "2001-10-31")
 FAST_JOBS = ("CLICK", "VIEW")
@@ -126,7 +127,7 @@ def market_brief(t: Tables) -> DataFrame:
 # ------------------------------------------------------------------ statistics
 @query("stats_market_valuation")
 def stats_market_valuation(t: Tables) -> DataFrame:
-    return stats.market_valuation(marts.stock_metrics(t), t.stocks, 3)
+    return stats.market_valuation(marts.metrics_table(t), t.stocks, 3)
 
 
 @query("stats_market_excluded")
@@ -136,7 +137,7 @@ def stats_market_excluded(t: Tables) -> DataFrame:
 
 @query("stats_peer_group_valuation")
 def stats_peer_group_valuation(t: Tables) -> DataFrame:
-    return stats.group_valuation(marts.stock_metrics(t), t.members, t.stocks)
+    return stats.group_valuation(marts.metrics_table(t), t.members, t.stocks)
 
 
 @query("stats_disclosure_frequency")
@@ -176,30 +177,29 @@ def status_report(t: Tables) -> DataFrame:
 
 @query("stats_ranking")
 def stats_ranking(t: Tables) -> DataFrame:
-    return stats.metric_ranking(marts.stock_metrics(t), t.stocks, ("return_1m", "return_1y", "volume", "market_cap_krw"), "US", 10)
+    return stats.metric_ranking(marts.metrics_table(t), t.stocks, ("return_1m", "return_1y", "volume", "market_cap_krw"), "US", 10)
 
 
 @query("w_rank_dynamic_dir")
 def ranking_ascending(t: Tables) -> DataFrame:
-    return stats.metric_ranking(marts.stock_metrics(t), t.stocks, ("return_3m",), None, 10, descending=False)
+    return stats.metric_ranking(marts.metrics_table(t), t.stocks, ("return_3m",), None, 10, descending=False)
 
 
 # ------------------------------------------------------------------ lists
-def list_rows(t: Tables) -> DataFrame:
-    m = prices.latest_price(t.prices, t.stocks).select("stock_id", F.col("trade_date").alias("as_of"), "close", "change_rate", "volume")
+def list_details(t: Tables) -> DataFrame:
+    """Price, valuation and score columns per stock."""
+    m = prices.latest_price(t.prices, t.stocks).select("stock_id", "currency", F.col("trade_date").alias("as_of"), "close", "change_rate", "volume")
     from bourseflow.operators.fundamentals import latest_valuation
     v = latest_valuation(t.valuations).select("stock_id", "market_cap", "per", "pbr", "shares_outstanding")
-    j = t.stocks.join(m, "stock_id", "left").join(v, "stock_id", "left").join(default_scores(t), "stock_id", "left")
-    rate = dbl(usd_krw(t))
+    j = m.join(v, "stock_id", "left").join(default_scores(t), "stock_id", "left").withColumn("fx", dbl(usd_krw(t)))
     usd = F.col("currency") == "USD"
-    return (j.withColumn("fx", rate)
-            .withColumn("market_cap_krw", half_up(F.col("market_cap") * F.when(usd, F.col("fx")).otherwise(F.lit(1.0)), 0))
-            .withColumn("close_krw", F.when(usd, half_up(dbl("close") * F.col("fx"), 0)).otherwise(dbl("close"))))
+    return (j.withColumn("market_cap_krw", half_up(F.col("market_cap") * F.when(usd, F.col("fx")).otherwise(F.lit(1.0)), 0))
+            .withColumn("close_krw", F.when(usd, half_up(dbl("close") * F.col("fx"), 0)).otherwise(dbl("close"))).drop("fx", "currency"))
 
 
 @query("stock_list")
 def stock_list(t: Tables) -> DataFrame:
-    page = stats.stock_list(list_rows(t), limit=20, offset=10)
+    page = stats.stock_list(t.stocks, list_details(t), limit=20, offset=10)
     return page.select("rank", "total", "stock_id", "ticker", "name", "market", "sector", "as_of", "close", "change_rate", "volume", "market_cap_krw", "score")
 
 
@@ -207,7 +207,7 @@ def stock_list(t: Tables) -> DataFrame:
 def stock_list_filtered(t: Tables) -> DataFrame:
     """Country, theme and text filters together, ordered by volume."""
     theme = t.members.where("group_id < 12")
-    page = stats.stock_list(list_rows(t), order="volume", descending=False, limit=50, country="US", group=theme, q="00")
+    page = stats.stock_list(t.stocks, list_details(t), order="volume", descending=False, limit=50, country="US", group=theme, q="00")
     return page.select("rank", "total", "stock_id", "ticker", "coverage", "volume")
 
 
@@ -222,7 +222,7 @@ def stock_detail(t: Tables) -> DataFrame:
     g = t.members.join(F.broadcast(t.groups.select("group_id", "theme")), "group_id")
     themes = g.groupBy("stock_id").agg(F.array_sort(F.collect_list(F.struct((~F.col("is_primary")).alias("o"), "theme", "group_id"))).alias("g"))
     watched = t.watchlist.select("stock_id").distinct().withColumn("is_watched", F.lit(True))
-    j = list_rows(t).join(themes, "stock_id", "left").join(watched, "stock_id", "left")
+    j = t.stocks.join(list_details(t), "stock_id", "left").join(themes, "stock_id", "left").join(watched, "stock_id", "left")
     return j.select("stock_id", "ticker", "name", "market", "currency", "as_of", "close", "close_krw", "per", "pbr", "market_cap_krw", "shares_outstanding", "score",
                     F.array_join(F.transform("g", lambda x: x["theme"]), ",").alias("groups"), F.coalesce("is_watched", F.lit(False)).alias("is_watched"))
 
@@ -266,8 +266,9 @@ def peer_members(t: Tables) -> DataFrame:
 
 @query("peers")
 def peers_query(t: Tables) -> DataFrame:
-    m = marts.stock_metrics(t).join(default_scores(t), "stock_id", "left")
-    return peers.peers(peer_members(t), m)
+    m = marts.metrics_table(t).join(default_scores(t), "stock_id", "left")
+    rows = stored(t.spark, f"peer values|{t.folder}", lambda: peers.peer_values(peer_members(t), m))
+    return peers.peers(rows)
 
 
 @query("peers_chart")
@@ -282,12 +283,12 @@ def peers_chart_grid(t: Tables) -> DataFrame:
 
 @query("peer_premium")
 def peer_premium(t: Tables) -> DataFrame:
-    return peers.premium(peer_members(t).where("featured"), marts.stock_metrics(t))
+    return peers.premium(peer_members(t).where("featured"), marts.metrics_table(t))
 
 
 def _profile(t: Tables) -> DataFrame:
     themed = marts.with_family(t, t.stocks.where("is_active AND coverage <> 'listed'").select("stock_id", "country"))
-    return peers.financial_profile(marts.stock_metrics(t), t.statements, themed)
+    return stored(t.spark, f"financial profile|{t.folder}", lambda: peers.financial_profile(marts.metrics_table(t), t.statements, themed))
 
 
 @query("financial_profile")

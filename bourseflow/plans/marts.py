@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 from bourseflow.functions.exprs import half_up, ratio
 from bourseflow.operators import fundamentals, prices
 from bourseflow.sources.market_tables import Tables
+from bourseflow.sources.stored import stored
 
 
 def themes(t: Tables) -> DataFrame:
@@ -33,3 +34,8 @@ def stock_metrics(t: Tables, price_rows: DataFrame | None = None) -> DataFrame:
             .withColumn("market_cap_krw", half_up(F.col("market_cap") * F.when(F.col("currency") == "USD", F.col("fx_usd_krw"))
                                                   .otherwise(F.lit(1.0)), 0))
             .withColumn("dividend_yield", half_up(ratio("dps", "close"), 6)))
+
+
+def metrics_table(t: Tables) -> DataFrame:
+    """The wide metric rows as a stored table (one row per stock), for the reports that read them several times."""
+    return stored(t.spark, f"stock metrics|{t.folder}", lambda: stock_metrics(t))

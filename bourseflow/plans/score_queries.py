@@ -182,7 +182,7 @@ def analysis_row(t: Tables) -> DataFrame:
     latest = score_run(t).latest.where(F.col("preset") == K.DEFAULT_PRESET)
     cols = latest.select("stock_id", "preset", "score", "composite", "factor_coverage")
     ranks = score_ranks(latest).drop("preset")
-    return (marts.stock_metrics(t).select("stock_id", "market", "as_of", "close", "return_1y", "volatility_1y", "per", "roe", "market_cap_krw")
+    return (marts.metrics_table(t).select("stock_id", "market", "as_of", "close", "return_1y", "volatility_1y", "per", "roe", "market_cap_krw")
             .join(cols, "stock_id", "left").join(ranks, "stock_id", "left"))
 
 

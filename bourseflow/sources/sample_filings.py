@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from bourseflow.sources.market_tables import Tables
+from bourseflow.sources.stored import stored
 
 S = "CAST(s.stock_id AS BIGINT)"
 V = lambda c: f"CAST(s.{c} AS DECIMAL(24,2))"
@@ -73,13 +74,18 @@ def lines_sql(fy: str) -> str:
     ])
 
 
+def annual(t: Tables) -> DataFrame:
+    return stored(t.spark, f"statements|{t.folder}", lambda: t.statements)
+
+
 def facts(t: Tables) -> DataFrame:
-    return t.spark.sql(facts_sql("{fy}", "{q}"), fy=t.statements, q=t.quarters)
+    quarters = stored(t.spark, f"quarters|{t.folder}", lambda: t.quarters)
+    return t.spark.sql(facts_sql("{fy}", "{q}"), fy=annual(t), q=quarters)
 
 
 def shares(t: Tables) -> DataFrame:
-    return t.spark.sql(shares_sql("{fy}"), fy=t.statements)
+    return t.spark.sql(shares_sql("{fy}"), fy=annual(t))
 
 
 def lines(t: Tables) -> DataFrame:
-    return t.spark.sql(lines_sql("{fy}"), fy=t.statements)
+    return t.spark.sql(lines_sql("{fy}"), fy=annual(t))
