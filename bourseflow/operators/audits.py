@@ -188,11 +188,12 @@ def penalty_only(values: DataFrame) -> DataFrame:
     return result(values.where("metric = 'trap_signal'"), "a_trap", "country", F.col("z_adj") > 0)
 
 
-def clip_order(values: DataFrame, share: float = 0.07) -> DataFrame:
+def clip_order(values: DataFrame, share: float = 0.07, keep=lambda name, df: df) -> DataFrame:
     """Spearman correlation of raw value and final z inside the top 7% of each metric; below 0.5 is a violation."""
     keys = ["country", "metric"]
     v = values.where("family = 'general' AND z_adj IS NOT NULL").withColumn("good", F.col("raw_value") * metric_flag(1)).select("stock_id", *keys, "good", "z_adj")
     r = with_rank(v, keys, "good", rank="pos", total="n").where(F.col("pos") <= F.ceil(F.col("n") * F.lit(share)))
+    r = keep("clip leaders", r)
     a = with_average_rank(r.select("stock_id", *keys, "good", "z_adj"), keys, "good", rank="ra", total="m")
     b = with_average_rank(a.select("stock_id", *keys, "z_adj", "ra"), keys, "z_adj", rank="rb", total="m")
     rho = b.groupBy(*keys).agg(F.corr("ra", "rb").alias("rho"), F.count(F.lit(1)).alias("m"), F.var_pop("ra").alias("va"), F.var_pop("rb").alias("vb"))

@@ -47,7 +47,7 @@ def fx_card(fx: DataFrame) -> DataFrame:
     h = hist.agg(F.max_by("usd_krw", F.when(F.col("date") < day, F.col("date"))).cast("double").alias("prev_close"),
                  F.max("usd_krw").cast("double").alias("hi"), F.min("usd_krw").cast("double").alias("lo"),
                  F.coalesce(F.bool_and("full_year"), F.lit(False)).alias("full_year"))
-    j = q.join(h)                                                      # one row each
+    j = q.withColumns({c: h.select(c).scalar() for c in h.columns})
     full = F.col("full_year")
     high, low = F.greatest("hi", "rate"), F.least("lo", "rate")
     return j.select("rate_at", "rate", "granularity", "prev_close", half_up(F.col("rate") - F.col("prev_close"), 4).alias("change"),

@@ -96,7 +96,7 @@ def a_trap(t: Tables) -> DataFrame:
 
 @query("a_clip_order")
 def a_clip_order(t: Tables) -> DataFrame:
-    return audits.clip_order(newest(score_run(t).values))
+    return audits.clip_order(newest(score_run(t).values), keep=lambda name, df: stored(t.spark, f"{name}|{t.folder}", lambda: df))
 
 
 @query("a_price_same_date")
@@ -183,8 +183,9 @@ def a_sample(t: Tables) -> DataFrame:
     run = score_run(t)
     assets = t.statements.groupBy("stock_id").agg(F.max_by("total_assets", "period_end").alias("assets"))
     classes = t.stocks.groupBy("country", "company").agg(F.count(F.lit(1)).alias("classes"))
-    ranked = (t.stocks.where("is_active AND country = 'US'").join(classes, ["country", "company"]).join(cap_ranking(t), "stock_id", "left").join(assets, "stock_id", "left")
+    ranked_rows = (t.stocks.where("is_active AND country = 'US'").join(classes, ["country", "company"]).join(cap_ranking(t), "stock_id", "left").join(assets, "stock_id", "left")
               .select("stock_id", "cap_rank", "cap_usd", "assets", "classes"))
+    ranked = stored(t.spark, f"ranked sizes|{t.folder}", lambda: ranked_rows)
     return audits.sample_rules(run.inputs, run.scores, ranked)
 
 

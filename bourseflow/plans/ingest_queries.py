@@ -8,6 +8,7 @@ from bourseflow.operators import cleaning, incremental, upkeep
 from bourseflow.plans import marts
 from bourseflow.plans.catalog import query
 from bourseflow.sources.market_tables import Tables, literal_rows
+from bourseflow.sources.stored import stored
 
 NOW = "2001-10-31 05:00:00"
 TODAY = "2001-10-31"
@@ -125,7 +126,7 @@ def prune_set(t: Tables) -> DataFrame:
 @query("prune_retention")
 def prune_retention(t: Tables) -> DataFrame:
     """Rows kept per table and stock."""
-    targets = prune_set(t)
+    targets = stored(t.spark, f"prune targets|{t.folder}", lambda: prune_set(t))
     count = lambda name, df: df.groupBy("stock_id").agg(F.count(F.lit(1)).alias("kept")).select(F.lit(name).alias("name"), "stock_id", "kept")
     s = t.statements.unionByName(t.quarters)
     kept_filings = t.disclosures.join(targets, "stock_id", "left_anti")
@@ -273,7 +274,7 @@ def pool(t: Tables) -> DataFrame:
 
 @query("benchmark_select")
 def benchmark_select(t: Tables) -> DataFrame:
-    return upkeep.benchmark_select(pool(t), 2)
+    return upkeep.benchmark_select(stored(t.spark, f"selection pool|{t.folder}", lambda: pool(t)), 2)
 
 
 @query("cap_ranking")
@@ -288,7 +289,7 @@ def cap_ranking(t: Tables) -> DataFrame:
     rows = j.select("stock_id", "close", F.when(s % 6 != 2, F.when(s % 8 == 4, F.col("shares") * 1000).otherwise(F.col("shares"))).alias("shares"),
                     F.when(s % 4 != 0, F.col("market_cap")).alias("quoted"), "assets",
                     F.when(s % 12 == 2, F.col("close").cast("double") * F.col("volume")).alias("value_traded"), (s % 5 != 3).alias("files_reports"))
-    return upkeep.cap_ranking(rows, 30)
+    return upkeep.cap_ranking(stored(t.spark, f"ranking input|{t.folder}", lambda: rows), 30)
 
 
 @query("trading_value_rank")

@@ -339,7 +339,8 @@ def portfolio_weights(t: Tables) -> DataFrame:
 
 @query("portfolio_slices")
 def portfolio_slices(t: Tables) -> DataFrame:
-    return portfolio.slices(valued(t), t.portfolios, 5)
+    positions = stored(t.spark, f"valued positions|{t.folder}", lambda: valued(t))
+    return portfolio.slices(positions, t.portfolios, 5)
 
 
 def unit_costs(t: Tables) -> DataFrame:

@@ -57,11 +57,13 @@ def shares_sql(fy: str) -> str:
 def lines_sql(fy: str) -> str:
     """Statement lines by id or by a numbered, spaced name; some reports or cells are absent; a separate statement beside some."""
     last = "s.stock_id % 11 = 5 AND year(s.period_end) = 1998"
-    line = lambda no, st, idc, nm, col, where: (
-        f"SELECT {S} AS company, s.period_end AS period_end, g.consolidated AS consolidated, '{st}' AS statement, {no} AS line_no, {idc} AS account_id, {nm} AS account_nm, "
-        f"CAST(CASE WHEN g.consolidated THEN {V(col)} ELSE {V(col)} * 0.5 END AS DECIMAL(26,3)) AS amount, {V(col)} - 1000 AS prior_amount "
-        f"FROM {fy} s CROSS JOIN (SELECT true AS consolidated UNION ALL SELECT false) g "
-        f"WHERE NOT ({last}) AND (s.stock_id % 4 <> 3 OR NOT g.consolidated) AND ({where})")
+
+    def line(no: int, st: str, account: str, name: str, col: str, where: str) -> str:
+        def one(cons: str, amount: str, has: str) -> str:
+            return (f"SELECT {S} AS company, s.period_end AS period_end, {cons} AS consolidated, '{st}' AS statement, {no} AS line_no, {account} AS account_id, "
+                    f"{name} AS account_nm, CAST({amount} AS DECIMAL(26,3)) AS amount, {V(col)} - 1000 AS prior_amount FROM {fy} s WHERE NOT ({last}) AND {has} AND ({where})")
+        return one("true", V(col), "s.stock_id % 4 <> 3") + "\nUNION ALL " + one("false", V(col) + " * 0.5", "true")
+
     return "\nUNION ALL ".join([
         line(1, "BS", "'ifrs-full_Assets'", "'자산 총계'", "total_assets", "true"),
         line(2, "BS", "'-'", "'Ⅱ. 부채 총계'", "total_debt", "true"),
