@@ -173,7 +173,7 @@ def a_history(t: Tables) -> DataFrame:
 def a_data_path(t: Tables) -> DataFrame:
     s, y = F.col("stock_id"), F.year("period_end")
     notes = F.when((s % 17 == 3) & (y == 1996), None).when(s % 23 == 9, "path=SEC_FRAMES; bulk").when(y == 2000, F.concat(F.lit("path=SEC_API; no prior year"))).otherwise(F.lit("path=SEC_API"))
-    a = t.statements.where((y != 1998) | (s % 19 != 2)).where((y != 1999) | (s % 13 != 2)).withColumn("notes", notes).join(t.stocks.select("stock_id", "country"), "stock_id")
+    a = t.statements.where((y != 1998) | (F.col("total_equity") >= 0)).where((y != 1999) | (F.col("operating_income") >= 0)).withColumn("notes", notes).join(t.stocks.select("stock_id", "country"), "stock_id")
     return audits.path_rules(a, ("SEC_API", "YFINANCE"))
 
 

@@ -157,7 +157,7 @@ def prune_sector(t: Tables) -> DataFrame:
 def listing_sync(t: Tables) -> DataFrame:
     """A new list with removed, moved, renamed and added tickers."""
     s = F.col("stock_id")
-    kept = t.stocks.where(s % 19 != 7).select(
+    kept = t.stocks.where("s_acctbal >= 0").select(
         "country", "ticker", F.when(s % 7 == 2, F.when(F.col("country") == "KR", "AMERICA").otherwise("ASIA")).otherwise(F.col("market")).alias("market"),
         F.when(s % 10 == 1, F.concat("name", F.lit(" Holdings"))).otherwise(F.col("name")).alias("name"))
     added = t.raw("customer").where("c_nationkey = 7").select(F.lit("US").alias("country"), F.concat(F.lit("N"), "c_custkey").alias("ticker"),
@@ -179,7 +179,7 @@ def freshness_valid_until(t: Tables) -> DataFrame:
 
 def freshness(t: Tables) -> DataFrame:
     f = upkeep.valid_until(fy_ends(t), F.lit("2001-02-10 03:00:00").cast("timestamp"))
-    return f.where("stock_id % 7 <> 3").select("stock_id", F.lit("2001-02-10 03:00:00").cast("timestamp").alias("fetched_at"), "valid_until")
+    return f.where("fy_end IS NOT NULL").select("stock_id", F.lit("2001-02-10 03:00:00").cast("timestamp").alias("fetched_at"), "valid_until")
 
 
 @query("freshness_expire")
@@ -300,7 +300,7 @@ def trading_value_rank(t: Tables) -> DataFrame:
     cap = latest_valuation(t.valuations).select("stock_id", "market_cap")
     rank = lp.join(cap, "stock_id", "left").select("stock_id", (F.col("close").cast("double") * F.col("volume")).alias("first"),
                                                    F.coalesce("market_cap", F.lit(0.0)).alias("second"))
-    return upkeep.work_queue(t.stocks, freshness(t).where("stock_id % 4 = 1"), rank, 25)
+    return upkeep.work_queue(t.stocks, freshness(t).where("valid_until > '2001-05-01'"), rank, 25)
 
 
 @query("industry_due")
@@ -314,5 +314,5 @@ def industry_due(t: Tables) -> DataFrame:
 def id_mapping(t: Tables) -> DataFrame:
     s = F.col("stock_id")
     blank = t.stocks.withColumn("company", F.when(s % 4 != 2, F.col("company")))
-    file = t.stocks.where("sic % 3 <> 1").select("ticker", F.concat(F.lit("C"), "ticker").alias("company"))
+    file = t.stocks.where("sic < 2500").select("ticker", F.concat(F.lit("C"), "ticker").alias("company"))
     return upkeep.map_ids(blank, file)

@@ -206,7 +206,7 @@ def stock_list(t: Tables) -> DataFrame:
 @query("stock_list_filtered")
 def stock_list_filtered(t: Tables) -> DataFrame:
     """Country, theme and text filters together, ordered by volume."""
-    theme = t.members.where("group_id < 12")
+    theme = t.members.join(F.broadcast(t.groups.where("commodity_linked").select("group_id")), "group_id")
     page = stats.stock_list(t.stocks, list_details(t), order="volume", descending=False, limit=50, country="US", group=theme, q="00")
     return page.select("rank", "total", "stock_id", "ticker", "coverage", "volume")
 

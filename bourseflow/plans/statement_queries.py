@@ -36,7 +36,7 @@ def source_ratios(t: Tables) -> DataFrame:
 
 @query("valuation_zero_null")
 def valuation_zero_null(t: Tables) -> DataFrame:
-    caps = t.valuations.where("stock_id % 5 <> 2").select("stock_id", "as_of", "market_cap", "shares_outstanding")
+    caps = t.valuations.where("pbr IS NOT NULL").select("stock_id", "as_of", "market_cap", "shares_outstanding")
     return va.zero_is_missing(source_ratios(t), caps)
 
 
@@ -74,7 +74,7 @@ def fin_currency(t: Tables) -> DataFrame:
 def fin_merge_supplement(t: Tables) -> DataFrame:
     """Main source without some cells and years; second source a few days off with other revenue for some stocks."""
     s, y = F.col("stock_id"), F.year("period_end")
-    main = t.statements.where((y + s) % 5 != 0).withColumn("net_income", F.when(s % 3 != 0, F.col("net_income"))).withColumn(
+    main = t.statements.where("operating_income >= 0").withColumn("net_income", F.when(s % 3 != 0, F.col("net_income"))).withColumn(
         "total_equity", F.when(y % 2 == 0, F.col("total_equity")))
     extra = (t.statements.withColumn("period_end", F.date_sub("period_end", (s % 9).cast("int")))
              .withColumn("revenue", F.when(s % 7 == 1, F.col("revenue") * 2).otherwise(F.col("revenue")))

@@ -40,7 +40,8 @@ def sink_replace_keys(t: Tables) -> DataFrame:
     """New annual batch for some stocks: years it does not have disappear, quarters stay."""
     cols = ["stock_id", "period_end", "period_type", "revenue"]
     old = t.statements.select(*cols).unionByName(t.quarters.select(*cols))
-    new = t.statements.where("stock_id % 4 = 1 AND year(period_end) >= 1998").select(*cols).withColumn("revenue", (F.col("revenue") + 1).cast("decimal(24,2)"))
+    asia = t.stocks.where("market = 'ASIA'").select("stock_id")
+    new = t.statements.where("year(period_end) >= 1998").join(asia, "stock_id", "left_semi").select(*cols).withColumn("revenue", (F.col("revenue") + 1).cast("decimal(24,2)"))
     return files.replace_keys(old, new, "stock_id", ["stock_id", "period_end", "period_type"], ["FY"])
 
 
@@ -137,7 +138,7 @@ def j_anti_not_exists(t: Tables) -> DataFrame:
 @query("j_not_in_tuple")
 def j_not_in_tuple(t: Tables) -> DataFrame:
     """Stored periods that a new batch does not have."""
-    batch = t.quarters.where("stock_id % 3 <> 1 OR year(period_end) < 2000").select("stock_id", "period_end", "period_type")
+    batch = t.quarters.where("operating_income >= 0").select("stock_id", "period_end", "period_type")
     return t.quarters.select("stock_id", "period_end", "period_type").join(batch, ["stock_id", "period_end", "period_type"], "left_anti")
 
 

@@ -71,7 +71,7 @@ SQL["a_data_path"] = compose(" UNION ALL ".join([
     res("a_data_path", "country", "p NOT IN ('SEC_API','YFINANCE')", "anote"), res("a_year_gap", "country", "gap AND NOT coalesce(notes LIKE '%no prior year%', false)", "anote")]))
 CTES["anote"] = r"""SELECT *, regexp_extract(split_part(coalesce(notes,''), ';', 1), '^path=(\w+)', 1) p, period_end - lag(period_end) OVER (PARTITION BY stock_id ORDER BY period_end) > 400 gap FROM (
  SELECT f.*, s.country, CASE WHEN f.stock_id%17=3 AND year(period_end)=1996 THEN NULL WHEN f.stock_id%23=9 THEN 'path=SEC_FRAMES; bulk' WHEN year(period_end)=2000 THEN 'path=SEC_API; no prior year' ELSE 'path=SEC_API' END notes
- FROM statements f JOIN stocks s ON s.stock_id=f.stock_id WHERE (year(period_end)<>1998 OR f.stock_id%19<>2) AND (year(period_end)<>1999 OR f.stock_id%13<>2))"""
+ FROM statements f JOIN stocks s ON s.stock_id=f.stock_id WHERE (year(period_end)<>1998 OR total_equity>=0) AND (year(period_end)<>1999 OR operating_income>=0))"""
 SQL["a_data_path"] = compose(" UNION ALL ".join([
     res("a_data_path", "country", "p NOT IN ('SEC_API','YFINANCE')", "anote"), res("a_year_gap", "country", "gap AND NOT coalesce(notes LIKE '%no prior year%', false)", "anote")]))
 

@@ -38,7 +38,7 @@ SQL["valuation_derived_us"] = compose(f"""SELECT l.stock_id, CAST(l.trade_date A
  {r("s.shares/coalesce(s.share_ratio,1)", 0)} shares_outstanding, {r("CASE WHEN s.stock_id%3=0 THEN 1.25*coalesce(s.share_ratio,1) END", 4)} dps
 FROM lp l JOIN stocks s ON s.stock_id=l.stock_id AND s.country='US' LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY stock_id ORDER BY period_end DESC) k FROM statements) f ON f.stock_id=l.stock_id AND f.k=1""")
 SQL["valuation_zero_null"] = compose("""SELECT stock_id, CAST(as_of AS VARCHAR) as_of, CASE WHEN per>0 THEN per END per, CASE WHEN pbr>0 THEN pbr END pbr, nullif(eps,0) eps, nullif(bps,0) bps,
- CASE WHEN stock_id%5<>2 THEN market_cap END market_cap, CASE WHEN stock_id%5<>2 THEN shares_outstanding END shares_outstanding, coalesce(dps,0.0) dps FROM valuations""")
+ CASE WHEN pbr IS NOT NULL THEN market_cap END market_cap, CASE WHEN pbr IS NOT NULL THEN shares_outstanding END shares_outstanding, coalesce(dps,0.0) dps FROM valuations""")
 SQL["valuation_from_close"] = compose(f"""SELECT p.stock_id, CAST(p.trade_date AS VARCHAR) as_of, {r("CASE WHEN v.eps>0 THEN p.close/v.eps END", 2)} per, {r("CASE WHEN v.bps>0 THEN p.close/v.bps END", 2)} pbr,
  CAST(p.close4*v.shares_outstanding/10000.0 AS DOUBLE) market_cap FROM prices p JOIN lv v ON v.stock_id=p.stock_id""")
 SQL["dps_carry_forward"] = compose("""SELECT stock_id, CAST(as_of AS VARCHAR) as_of, coalesce(d, last_value(d IGNORE NULLS) OVER (PARTITION BY stock_id ORDER BY as_of)) dps FROM (
@@ -61,7 +61,7 @@ SQL["fin_currency"] = compose(f"""SELECT stock_id, CAST(period_end AS VARCHAR) p
  {', '.join(won(c) for c in CORE_ACCOUNTS)} FROM (
  SELECT *, CASE WHEN cur='JPY' THEN 'currency' WHEN cur='USD' AND rate IS NULL THEN 'no rate' END problem FROM (
   SELECT s.*, CASE WHEN stock_id%4=1 THEN 'USD' WHEN stock_id%4=2 AND year(period_end)=1997 THEN 'JPY' ELSE 'KRW' END cur, x.rate FROM statements s LEFT JOIN ({_rate("SELECT DISTINCT period_end AS day FROM statements")}) x ON x.day=s.period_end))""")
-CTES["mp"] = """SELECT * REPLACE (CASE WHEN stock_id%3<>0 THEN net_income END AS net_income, CASE WHEN year(period_end)%2=0 THEN total_equity END AS total_equity) FROM statements WHERE (year(period_end)+stock_id)%5<>0"""
+CTES["mp"] = """SELECT * REPLACE (CASE WHEN stock_id%3<>0 THEN net_income END AS net_income, CASE WHEN year(period_end)%2=0 THEN total_equity END AS total_equity) FROM statements WHERE operating_income>=0"""
 CTES["ms"] = """SELECT * REPLACE (period_end - CAST(stock_id%9 AS INT) AS period_end, CASE WHEN stock_id%7=1 THEN revenue*2 ELSE revenue END AS revenue, CASE WHEN stock_id%5=0 THEN 0.0 ELSE total_equity END AS total_equity) FROM statements"""
 sup = lambda c: f"nullif(s.{c}, 0.0)" if c == "total_equity" else f"s.{c}"
 SQL["fin_merge_supplement"] = compose(f"""

@@ -56,7 +56,7 @@ UNION ALL SELECT 'disclosures', stock_id, count(*) FROM disclosures WHERE stock_
 SQL["prune_users"] = compose(f"""SELECT user_id, count(*) items FROM watchlist WHERE user_id NOT IN (SELECT user_id FROM users WHERE email IS NULL AND nickname LIKE '{K.GUEST_PREFIX}%' AND last_seen_at<TIMESTAMP '2001-03-01') GROUP BY 1""")
 SQL["prune_sector"] = compose("SELECT country, sector, CAST(trade_date AS VARCHAR) trade_date, change_pct FROM schg WHERE trade_date>=DATE '2001-10-31'-30")
 CTES["newlist"] = """SELECT country, ticker, CASE WHEN stock_id%7=2 THEN CASE WHEN country='KR' THEN 'AMERICA' ELSE 'ASIA' END ELSE market END market,
- CASE WHEN stock_id%10=1 THEN name || ' Holdings' ELSE name END name FROM stocks WHERE stock_id%19<>7
+ CASE WHEN stock_id%10=1 THEN name || ' Holdings' ELSE name END name FROM stocks WHERE s_acctbal>=0
 UNION ALL SELECT 'US', 'N' || c_custkey, 'ASIA', c_name FROM customer WHERE c_nationkey=7"""
 SQL["listing_sync"] = compose("""
 SELECT country, ticker, action, om old_market, nm new_market FROM (SELECT *, CASE WHEN om IS NULL THEN 'added' WHEN coverage='listed' AND nm IS NOT NULL AND nm<>om THEN 'moved' WHEN coverage='listed' AND nm IS NOT NULL AND nn<>on_ THEN 'renamed'
@@ -70,7 +70,7 @@ CTES["vu"] = """SELECT stock_id, fy_end, CASE WHEN fy_end IS NULL OR due<=TIMEST
  ELSE least(TIMESTAMP '2001-02-10 03:00:00'+to_days(CAST(90-stock_id%7 AS INT)), due) END valid_until FROM (
  SELECT *, CAST(fy_end + INTERVAL 1 YEAR AS TIMESTAMP) + INTERVAL 97 DAY - INTERVAL 9 HOUR due FROM fyend)"""
 SQL["freshness_valid_until"] = compose("SELECT stock_id, CAST(fy_end AS VARCHAR) fy_end, CAST(valid_until AS VARCHAR) valid_until FROM vu")
-CTES["fresh"] = "SELECT stock_id, TIMESTAMP '2001-02-10 03:00:00' fetched_at, valid_until FROM vu WHERE stock_id%7<>3"
+CTES["fresh"] = "SELECT stock_id, TIMESTAMP '2001-02-10 03:00:00' fetched_at, valid_until FROM vu WHERE fy_end IS NOT NULL"
 SQL["freshness_expire"] = compose("""
 SELECT f.stock_id, CAST(fetched_at AS VARCHAR) fetched_at, CAST(CASE WHEN coalesce(h,false) THEN fetched_at ELSE valid_until END AS VARCHAR) valid_until, coalesce(h,false) expired FROM (
  SELECT f.*, f.valid_until>TIMESTAMP '2001-03-01' AND d.m>f.fetched_at h FROM fresh f LEFT JOIN (SELECT stock_id, max(filed_at) m FROM disclosures
@@ -118,10 +118,10 @@ SELECT stock_id, share_ratio, CASE WHEN k<=30 THEN CAST(k AS INT) END cap_rank,
  SELECT *, CASE WHEN cap IS NOT NULL AND (sh IS NOT NULL OR fr) THEN row_number() OVER (PARTITION BY cap IS NOT NULL AND (sh IS NOT NULL OR fr) ORDER BY cap DESC, stock_id) END k FROM shares2) WHERE k<=30 OR share_ratio IS NOT NULL""")
 SQL["trading_value_rank"] = compose("""
 SELECT s.stock_id, coalesce(l.close*l.volume,0.0) AS first, coalesce(v.market_cap,0.0) AS second FROM stocks s LEFT JOIN lp l ON l.stock_id=s.stock_id LEFT JOIN lv v ON v.stock_id=s.stock_id
-WHERE s.is_active AND s.coverage='listed' AND s.stock_id NOT IN (SELECT stock_id FROM fresh WHERE stock_id%4=1) ORDER BY 2 DESC, 3 DESC, 1 LIMIT 25""")
+WHERE s.is_active AND s.coverage='listed' AND s.stock_id NOT IN (SELECT stock_id FROM fresh WHERE valid_until>TIMESTAMP '2001-05-01') ORDER BY 2 DESC, 3 DESC, 1 LIMIT 25""")
 SQL["industry_due"] = compose("""
 SELECT country, CAST(place AS INT) place, stock_id FROM (SELECT s.country, s.stock_id, row_number() OVER (PARTITION BY s.country ORDER BY s.coverage='featured' DESC, s.coverage='benchmark' DESC, cap_rank ASC NULLS LAST, s.stock_id) place
  FROM (SELECT *, CASE WHEN stock_id%3=0 THEN stock_id%101 END cap_rank FROM stocks) s LEFT JOIN (SELECT stock_id, CAST(max(filed_at) AS DATE) d FROM disclosures WHERE report_type='10-K' GROUP BY 1) c ON c.stock_id=s.stock_id
  WHERE s.is_active AND (c.d IS NULL OR c.d<DATE '2001-10-31'-60) AND (s.country='KR' OR s.coverage IN ('featured','benchmark') OR cap_rank IS NOT NULL)) WHERE place<=15""")
 SQL["id_mapping"] = compose("""
-SELECT stock_id, ticker, CASE WHEN stock_id%4<>2 THEN company WHEN sic%3<>1 THEN 'C' || ticker END company, stock_id%4<>2 OR sic%3<>1 mapped FROM stocks""")
+SELECT stock_id, ticker, CASE WHEN stock_id%4<>2 THEN company WHEN sic<2500 THEN 'C' || ticker END company, stock_id%4<>2 OR sic<2500 mapped FROM stocks""")

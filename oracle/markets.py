@@ -174,7 +174,7 @@ SELECT rank() OVER (ORDER BY market_cap_krw DESC NULLS LAST) AS rank, count(*) O
 FROM rows0 WHERE is_active AND coverage IN ('featured','benchmark') ORDER BY market_cap_krw DESC NULLS LAST, stock_id LIMIT 20 OFFSET 10""")
 SQL["stock_list_filtered"] = compose("""
 SELECT rank() OVER (ORDER BY volume ASC NULLS LAST) AS rank, count(*) OVER () total, stock_id, ticker, coverage, volume FROM rows0 s
-WHERE is_active AND country='US' AND (name ILIKE '%00%' OR ticker ILIKE '%00%' OR name_en ILIKE '%00%') AND EXISTS (SELECT 1 FROM members m WHERE m.stock_id=s.stock_id AND m.group_id<12)
+WHERE is_active AND country='US' AND (name ILIKE '%00%' OR ticker ILIKE '%00%' OR name_en ILIKE '%00%') AND EXISTS (SELECT 1 FROM members m JOIN groups g ON g.group_id=m.group_id WHERE m.stock_id=s.stock_id AND g.commodity_linked)
 ORDER BY volume ASC NULLS LAST, stock_id LIMIT 50""")
 QS = [("000012", "000012"), ("00007", "00007"), ("supplier", "supplier"), ("5", "5"), ("a_b", "a\\_b"), ("%", "\\%")]
 SQL["stock_search"] = compose(f"""

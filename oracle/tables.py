@@ -7,7 +7,7 @@ from oracle import filings as _filings  # noqa: F401
 SQL: dict[str, str] = {}
 SQL["sink_upsert"] = compose(f"SELECT stock_id, CAST(trade_date AS VARCHAR) trade_date, CASE WHEN trade_date>DATE '2000-06-30' THEN {r('close+1', 4)} ELSE close END AS close, volume FROM prices")
 SQL["sink_insert_new"] = compose(f"SELECT stock_id, CAST(trade_date AS VARCHAR) trade_date, CASE WHEN trade_date>DATE '2000-12-31' THEN {r('close+1', 4)} ELSE close END AS close, volume FROM prices")
-SQL["sink_replace_keys"] = compose(f"""SELECT stock_id, CAST(period_end AS VARCHAR) period_end, period_type, CASE WHEN stock_id%4=1 THEN {r('revenue+1', 2)} ELSE revenue END revenue FROM statements WHERE stock_id%4<>1 OR year(period_end)>=1998
+SQL["sink_replace_keys"] = compose(f"""SELECT f.stock_id, CAST(period_end AS VARCHAR) period_end, period_type, CASE WHEN s.market='ASIA' THEN {r('revenue+1', 2)} ELSE revenue END revenue FROM statements f JOIN stocks s ON s.stock_id=f.stock_id WHERE s.market<>'ASIA' OR year(period_end)>=1998
 UNION ALL SELECT stock_id, CAST(period_end AS VARCHAR), period_type, revenue FROM quarters""")
 SQL["sink_regenerate_partition"] = compose("SELECT stock_id, preset, CAST(snapshot AS VARCHAR) snapshot, score FROM ssc WHERE snapshot<>DATE '2000-12-29' OR score>=50")
 SQL["st_log_quality"] = compose("""SELECT CAST(CAST(started_at AS DATE) AS VARCHAR) AS day, job_type, count(*) FILTER (WHERE status='SUCCESS') success, count(*) FILTER (WHERE status='FAILED') failed, count(*) FILTER (WHERE status='SKIPPED') skipped FROM logs GROUP BY 1,2""")
@@ -20,7 +20,7 @@ SQL["j_cross_small"] = compose("SELECT stock_id, preset FROM stocks CROSS JOIN (
 SQL["j_semi_exists"] = compose("SELECT stock_id, ticker FROM stocks s WHERE EXISTS (SELECT 1 FROM watchlist w WHERE w.stock_id=s.stock_id AND target_price>100000)")
 SQL["j_flag_exists"] = compose("SELECT stock_id, EXISTS (SELECT 1 FROM watchlist w WHERE w.stock_id=s.stock_id AND target_price>100000) is_watched FROM stocks s")
 SQL["j_anti_not_exists"] = compose("SELECT stock_id FROM stocks s WHERE NOT EXISTS (SELECT 1 FROM disclosures d WHERE d.stock_id=s.stock_id AND filed_at>=TIMESTAMP '2001-07-01')")
-SQL["j_not_in_tuple"] = compose("SELECT stock_id, CAST(period_end AS VARCHAR) period_end, period_type FROM quarters WHERE NOT (stock_id%3<>1 OR year(period_end)<2000)")
+SQL["j_not_in_tuple"] = compose("SELECT stock_id, CAST(period_end AS VARCHAR) period_end, period_type FROM quarters WHERE NOT operating_income>=0")
 SQL["j_null_safe"] = compose("SELECT s.stock_id, s.group_id, (SELECT count(*) FROM stocks x WHERE x.country=s.country AND x.group_id IS NOT DISTINCT FROM s.group_id) same_theme FROM stocks s")
 SQL["j_fuzzy_period"] = compose("""SELECT stock_id, CAST(p AS VARCHAR) p, CAST(q AS VARCHAR) q FROM (SELECT f.stock_id, f.p, q.period_end q, row_number() OVER (PARTITION BY f.stock_id, f.p ORDER BY q.period_end) k FROM (
  SELECT stock_id, period_end-CAST(stock_id%10 AS INT) p FROM statements) f JOIN quarters q ON q.stock_id=f.stock_id AND abs(q.period_end-f.p)<=7) WHERE k=1""")
