@@ -67,6 +67,12 @@ def feed_filings(filings: DataFrame, cursor: str) -> DataFrame:
             .dropDuplicates(["rcept_no"]))
 
 
+def next_cursor(filings: DataFrame, cursor: str) -> DataFrame:
+    """Where the next run starts: the greatest receipt number seen, attachment filings included (the old one when nothing came)."""
+    top = filings.where(F.col("rcept_no") > cursor).agg(F.max(F.struct("rcept_no", "filed_at")).alias("t"))
+    return top.select(F.coalesce("t.rcept_no", F.lit(cursor)).alias("last_rcept_no"), F.col("t.filed_at").cast("date").alias("last_rcept_dt"))
+
+
 def prune_targets(stocks: DataFrame, synced: DataFrame, watched: DataFrame, held: DataFrame, today: str, grace: int = 30) -> DataFrame:
     """Benchmark stocks nobody watches or holds whose detail was not opened within the grace period."""
     old = F.col("synced_at").isNull() | (F.col("synced_at") < F.date_sub(F.lit(today).cast("date"), grace))

@@ -116,13 +116,12 @@ def dividends(facts: DataFrame, today: str) -> DataFrame:
             .groupBy("company", "pr").agg(F.max_by(F.struct("value", "end"), F.struct("end", "filed")).alias("x")))
     year = year.groupBy("company").agg(F.min_by("x", "pr").alias("x")).select("company", F.col("x.value").alias("y_dps"), F.col("x.end").alias("y_end"))
     qs = (d.where(days().between(85, 100)).groupBy("company", "pr", "start", "end").agg(F.max_by("value", "filed").alias("value")))
-    w = Window.partitionBy("company", "pr").orderBy(F.desc("end"))
-    # newest quarters first; a quarter that overlaps the one picked before it is skipped by the fold over at most eight rows
-    eight = qs.withColumn("rn", F.row_number().over(w)).where("rn <= 8").groupBy("company", "pr").agg(
-        F.sort_array(F.collect_list(F.struct("end", "start", "value")), asc=False).alias("qs"))
+    # newest quarters first; a quarter that overlaps the one picked before it is skipped. The quarter-long periods of one
+    # company are bounded by the calendar, so the fold runs over a short array
+    every = qs.groupBy("company", "pr").agg(F.sort_array(F.collect_list(F.struct("end", "start", "value")), asc=False).alias("qs"))
     pick = F.aggregate("qs", F.slice("qs", 1, 1), lambda acc, x: F.when(
         (F.size(acc) < 4) & (x["end"] < F.element_at(acc, -1)["start"]), F.concat(acc, F.array(x))).otherwise(acc))
-    four = eight.withColumn("p", pick).where(F.size("p") == 4)
+    four = every.withColumn("p", pick).where(F.size("p") == 4)
     cover = F.datediff(F.col("p")[0]["end"], F.col("p")[3]["start"])
     fresh = F.datediff(F.lit(today).cast("date"), F.col("p")[0]["end"]) <= 400
     total = F.aggregate("p", F.lit(0.0), lambda a, x: a + x["value"].cast("double"))

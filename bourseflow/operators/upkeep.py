@@ -52,6 +52,19 @@ def refresh_due(logs: DataFrame, now: str, ttl_hours: float, retry_hours: float)
     return r.withColumn("due_at", due)
 
 
+def retry_targets(logs: DataFrame, keys: Sequence[str], now: str, ttl_hours: float) -> DataFrame:
+    """Targets that failed inside the last failed refresh run of a job, while that run is within the time to live."""
+    n = F.lit(now).cast("timestamp")
+    run = logs.where("source = 'REFRESH' AND status = 'FAILED'").groupBy("job_type").agg(
+        F.max(F.struct("finished_at", "started_at")).alias("r"))
+    run = run.select("job_type", F.col("r.started_at").alias("run_start"), F.col("r.finished_at").alias("run_end"))
+    run = run.where(F.col("run_end") > n - F.expr(f"make_dt_interval(0, 0, 0, {ttl_hours * 3600})"))
+    bad = logs.where("source <> 'REFRESH' AND status = 'FAILED'")
+    # one row per job type
+    j = bad.join(F.broadcast(run), "job_type").where("started_at >= run_start AND finished_at <= run_end")
+    return j.select(*keys).distinct()
+
+
 def run_status(logs: DataFrame, keys: Sequence[str]) -> DataFrame:
     """SUCCESS, PARTIAL or FAILED per run from the outcome of its targets."""
     g = logs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") == "SUCCESS").alias("ok"),
@@ -143,7 +156,7 @@ def benchmark_select(pool: DataFrame, per_sector: int) -> DataFrame:
         c = cand if banned is None else cand.join(F.broadcast(banned), ["country", "theme", "company"], "left_anti")
         return c.withColumn("place", F.row_number().over(place)).where(F.col("place") <= F.col("quota")).where(F.col("place") <= per_sector)
 
-    for _ in range(100):
+    while True:                                   # every round bans at least one more (theme, company), so it ends
         clash = pick().join(split, ["country", "company"], "left_semi")
         first = Window.partitionBy("country", "company").orderBy("theme")
         # at most per_sector rows per theme and country reach the driver

@@ -118,6 +118,11 @@ def incr_feed(t: Tables) -> DataFrame:
     return new.join(active, "stock_id").select("rcept_no", "stock_id", "company", "title", "filed_at")
 
 
+@query("incr_feed_cursor")
+def incr_feed_cursor(t: Tables) -> DataFrame:
+    return incremental.next_cursor(t.disclosures, "00000000000007")
+
+
 def prune_set(t: Tables) -> DataFrame:
     synced = t.disclosures.where("report_type = '10-Q'").groupBy("stock_id").agg(F.max("filed_at").cast("date").alias("synced_at"))
     return incremental.prune_targets(t.stocks, synced, t.watchlist.where("target_price > 104000"), t.items.where("quantity > 170"), TODAY)
@@ -197,6 +202,13 @@ def refresh_due(t: Tables) -> DataFrame:
     return upkeep.refresh_due(t.logs, "2024-01-30 12:00:00", 4, 0.5)
 
 
+@query("refresh_retry")
+def refresh_retry(t: Tables) -> DataFrame:
+    """A refresh run lasts a day here, so that targets fall into it."""
+    day = t.logs.withColumn("finished_at", F.when(F.col("source") == "REFRESH", F.col("started_at") + F.expr("make_dt_interval(1)")).otherwise(F.col("finished_at")))
+    return upkeep.retry_targets(day, ["job_type", "stock_id"], "2024-01-31 00:00:00", 48)
+
+
 @query("refresh_status")
 def refresh_status(t: Tables) -> DataFrame:
     """Outcome of every daily run of a job and source."""

@@ -109,7 +109,7 @@ class Tables:
         return self.raw("lineitem").select(
             F.col("l_suppkey").alias("stock_id"), F.col("l_orderkey").alias("order_id"),
             F.col("l_linenumber").alias("line"), F.to_date("l_shipdate").alias("trade_date"),
-            F.round(F.col("l_extendedprice") * 100).cast("long").alias("cents"),
+            F.floor(F.col("l_extendedprice") * 100 + F.lit(0.5)).alias("cents"),
             F.col("l_quantity").cast("long").alias("qty"),
             F.col("l_extendedprice").cast("decimal(12,2)").alias("ext"),
             F.col("l_discount").cast("decimal(3,2)").alias("disc"), F.col("l_tax").cast("decimal(3,2)").alias("tax"),
@@ -186,7 +186,7 @@ class Tables:
     @cached_property
     def fx_daily(self) -> DataFrame:
         """USD/KRW: one DAILY point per order date."""
-        cents = F.round(F.col("o_totalprice") * 100).cast("long")
+        cents = F.floor(F.col("o_totalprice") * 100 + F.lit(0.5))
         per_day = self.raw("orders").groupBy(F.to_date("o_orderdate").alias("d")).agg(F.sum(cents).alias("c"))
         return per_day.select(F.col("d").cast("timestamp").alias("rate_at"), krw(F.col("c") % 10000).alias("usd_krw"), F.lit("DAILY").alias("granularity"))
 

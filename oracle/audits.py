@@ -4,9 +4,11 @@ from __future__ import annotations
 from bourseflow import constants as K
 from bourseflow.plans.audit_queries import PREDICATES
 from oracle.ctes import CTES, compose, r
+from oracle import ingest as _ingest_sql
 from oracle import tables as _tables  # noqa: F401
 
 SQL: dict[str, str] = {}
+THEME = _ingest_sql.THEME_ASSIGN
 
 
 def res(rule: str, part: str, bad: str, src: str, detail: str = "CAST(count(*) AS DOUBLE)") -> str:
@@ -91,3 +93,28 @@ SQL["a_constraints"] = compose(" UNION ALL ".join([
     check("weights", "(SELECT preset, sum(CAST(weight AS DECIMAL(6,3))) w FROM presets GROUP BY 1)", "w<>1"),
     check("seed", "(SELECT u.used, p.seed_krw FROM usedk u JOIN portfolios p ON p.portfolio_id=u.portfolio_id)", "used>seed_krw"),
     check("position", "items", "quantity<=0 OR ref_price<=0 OR ref_fx_rate<=0")]))
+
+
+def scenarios() -> str:
+    rows = []
+    for p, ws in K.PRESETS.items():
+        w = dict(zip(K.FACTORS, ws))
+        for f in K.FACTORS:
+            for step in (0.1, -0.1):
+                if 0 <= w[f] + step <= 1:
+                    m = {k: (w[f] + step if k == f else w[k] * (1 - w[f] - step) / (1 - w[f])) for k in K.FACTORS}
+                    rows.append((p, f"{f}{step:+.1f}", m))
+        rows.append((p, "base", w))
+    return ", ".join(f"('{p}', '{s}', " + ", ".join(f"{float(m[f])!r}::DOUBLE" for f in K.FACTORS) + ")" for p, s, m in rows)
+
+
+CTES["abest"] = f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY country, preset, s ORDER BY c DESC, stock_id) k FROM (
+ SELECT l.country, l.preset, l.stock_id, x.s, {r(" + ".join(f"x.{f}*coalesce(l.{f}_score,0.0)" for f in K.FACTORS), 8)} c FROM slast l
+ JOIN (VALUES {scenarios()}) x(p, s, {', '.join(K.FACTORS)}) ON x.p=l.preset WHERE l.family='general' AND l.composite IS NOT NULL)) WHERE k<=10"""
+SQL["a_r8"] = compose(res("a_r8", P, "common<7", "(SELECT b.country, b.preset, b.s, count(o.stock_id) common FROM abest b LEFT JOIN (SELECT * FROM abest WHERE s='base') o ON o.country=b.country AND o.preset=b.preset AND o.stock_id=b.stock_id WHERE b.s<>'base' GROUP BY 1,2,3)", "CAST(min(common) AS DOUBLE)"))
+CTES["awk"] = f"""SELECT l.country, l.preset, l.group_id, {r("avg(w.composite_full)", 8)} m, arg_max(l.stock_id, l.score*1000000 - l.stock_id) stock_id FROM slast l JOIN rawcmp w ON w.stock_id=l.stock_id AND w.preset=l.preset AND w.composite_full IS NOT NULL
+ WHERE l.family='general' AND l.score IS NOT NULL AND l.group_id IS NOT NULL GROUP BY 1,2,3 HAVING count(*)>=2"""
+CTES["awk2"] = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY country, preset ORDER BY m, group_id) o, count(*) OVER (PARTITION BY country, preset) t FROM awk) WHERE o<=ceil(t*0.3)"
+SQL["a_weak_theme"] = compose(res("a_weak_theme", P, "w IS NOT NULL", "(SELECT t.country, t.preset, k.stock_id w FROM atop t LEFT JOIN awk2 k ON k.country=t.country AND k.preset=t.preset AND k.stock_id=t.stock_id WHERE t.place<=20)"))
+SQL["a_themes"] = compose(res("a_theme_expected", "'all'", "theme IS DISTINCT FROM e", f"(SELECT v.e, a.theme FROM (VALUES (4,'NATION_9'),(11,'NATION_2'),(3,'NATION_0')) v(s, e) LEFT JOIN ({THEME}) a ON a.stock_id=v.s)") + " UNION ALL "
+                         + res("a_top20_unreviewed", P, "NOT seen", "(SELECT t.country, t.preset, EXISTS (SELECT 1 FROM watchlist w WHERE w.stock_id=t.stock_id AND w.target_price>100000) seen FROM atop t WHERE t.place<=20)"))

@@ -100,12 +100,13 @@ LEFT JOIN cal c ON c.country=x.country AND c.session_date>x.st AND c.session_dat
 SQL["budget_used"] = compose("""SELECT l.source, count(*) FILTER (WHERE h) used, greatest(0, 500-count(*) FILTER (WHERE h)) remaining FROM (
  SELECT *, job_type IN ('PURCHASE','VIEW') AND started_at>=TIMESTAMP '2024-01-19 15:00:00' AND started_at<TIMESTAMP '2024-01-20 12:00:00' h FROM logs) l GROUP BY 1""")
 CTES["rules"] = """SELECT g.group_id k, g.theme, o.theme other FROM groups g JOIN groups o ON o.group_id=(g.group_id+7)%25"""
-SQL["theme_assign"] = compose("""
+THEME_ASSIGN = """
 SELECT stock_id, theme FROM (SELECT s.stock_id, CASE s.ticker WHEN '000004' THEN 'NATION_9' WHEN '000011' THEN 'NATION_2' ELSE CASE WHEN s.country='KR' THEN k.theme ELSE c.theme END END theme FROM stocks s
 LEFT JOIN (SELECT stock_id, arg_max(theme, w || theme) theme FROM (SELECT s.stock_id, length(r.prefix) w, r.theme FROM stocks s JOIN (
   SELECT lpad(CAST(k*4+i AS VARCHAR),3,'0') prefix, theme FROM rules CROSS JOIN (SELECT unnest(range(4)) i) UNION ALL SELECT lpad(CAST(k*40+5 AS VARCHAR),4,'0'), other FROM rules) r ON starts_with(s.ksic, r.prefix)) GROUP BY 1) k ON k.stock_id=s.stock_id
 LEFT JOIN (SELECT stock_id, arg_max(theme, lpad(CAST(1000-w AS VARCHAR),4,'0') || theme) theme FROM (SELECT s.stock_id, r.hi-r.lo w, r.theme FROM stocks s JOIN (
-  SELECT k*100+1000 lo, k*100+1099 hi, theme FROM rules UNION ALL SELECT k*100+1040, k*100+1059, other FROM rules) r ON s.sic BETWEEN r.lo AND r.hi) GROUP BY 1) c ON c.stock_id=s.stock_id) WHERE theme IS NOT NULL""")
+  SELECT k*100+1000 lo, k*100+1099 hi, theme FROM rules UNION ALL SELECT k*100+1040, k*100+1059, other FROM rules) r ON s.sic BETWEEN r.lo AND r.hi) GROUP BY 1) c ON c.stock_id=s.stock_id) WHERE theme IS NOT NULL"""
+SQL["theme_assign"] = compose(THEME_ASSIGN)
 CTES["shares0"] = """SELECT s.stock_id, l.close, l.volume, CASE WHEN s.stock_id%6<>2 THEN CASE WHEN s.stock_id%8=4 THEN s.shares*1000 ELSE s.shares END END sh,
  CASE WHEN s.stock_id%4<>0 THEN v.market_cap END quoted, a.assets, CASE WHEN s.stock_id%12=2 THEN l.close*l.volume END vt, s.stock_id%5<>3 fr
 FROM stocks s JOIN lp l ON l.stock_id=s.stock_id LEFT JOIN lv v ON v.stock_id=s.stock_id LEFT JOIN (SELECT stock_id, arg_max(total_assets, period_end) assets FROM statements GROUP BY 1) a ON a.stock_id=s.stock_id
@@ -125,3 +126,6 @@ SELECT country, CAST(place AS INT) place, stock_id FROM (SELECT s.country, s.sto
  WHERE s.is_active AND (c.d IS NULL OR c.d<DATE '2001-10-31'-60) AND (s.country='KR' OR s.coverage IN ('featured','benchmark') OR cap_rank IS NOT NULL)) WHERE place<=15""")
 SQL["id_mapping"] = compose("""
 SELECT stock_id, ticker, CASE WHEN stock_id%4<>2 THEN company WHEN sic<2500 THEN 'C' || ticker END company, stock_id%4<>2 OR sic<2500 mapped FROM stocks""")
+SQL["incr_feed_cursor"] = compose("SELECT max(rcept_no) last_rcept_no, CAST(CAST(arg_max(filed_at, rcept_no) AS DATE) AS VARCHAR) last_rcept_dt FROM disclosures WHERE rcept_no>'00000000000007'")
+SQL["refresh_retry"] = compose("""SELECT DISTINCT l.job_type, l.stock_id FROM logs l JOIN (SELECT job_type, max(started_at) s FROM logs WHERE logs.source='REFRESH' AND status='FAILED' GROUP BY 1) x ON x.job_type=l.job_type
+WHERE l.source<>'REFRESH' AND l.status='FAILED' AND l.started_at>=x.s AND l.finished_at<=x.s+INTERVAL 1 DAY AND x.s+INTERVAL 1 DAY>TIMESTAMP '2024-01-29 00:00:00'""")

@@ -132,3 +132,22 @@ def test_queries_against_sql_on_the_smallest_sample(spark, name):
         pytest.skip("sample folder missing")
     ok, note = compare(name, e.queries()[name](spark, folder), e.oracle_sql()[name], connection(folder))
     assert ok, note
+
+
+def test_mood_merge_recomputes_other_versions(spark):
+    from bourseflow.operators.market_state import mood_merge
+    old = spark.createDataFrame([(0, date(2024, 1, 1), 10.0, "a", 1), (0, date(2024, 1, 2), 20.0, "a", 0)],
+                                "index_id int, trade_date date, score double, label string, formula_version int")
+    new = spark.createDataFrame([(0, date(2024, 1, 1), 99.0, "b"), (0, date(2024, 1, 2), 21.0, "b"), (0, date(2024, 1, 3), None, "c")],
+                                "index_id int, trade_date date, score double, label string")
+    got = sorted((r.trade_date.day, r.score, r.formula_version) for r in mood_merge(old, new).collect())
+    assert got == [(1, 10.0, 1), (2, 21.0, 1)]
+
+
+def test_clip_order_and_independent_rules_by_hand(spark):
+    from bourseflow.operators.audits import clip_order
+    rows = [(i, "KR", "general", "momentum", float(i), float(-i if i > 93 else i)) for i in range(100)]
+    v = spark.createDataFrame(rows, "stock_id long, country string, family string, metric string, raw_value double, z_adj double")
+    r = clip_order(v).first()
+    # the top seven values 93..99 have z of 93, -94 .. -99: all but one are in reversed order
+    assert r.violations == 1 and r.detail < 0
