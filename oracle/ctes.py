@@ -13,6 +13,11 @@ def r(expr: str, places: int) -> str:
     return f"CAST(ROUND(CAST(({expr}) AS DECIMAL(38,10)), {places}) AS DOUBLE)"
 
 
+def rd(expr: str, places: int) -> str:
+    """The same for large amounts that have at most four digits after the point."""
+    return f"CAST(ROUND(CAST(({expr}) AS DECIMAL(38,4)), {places}) AS DOUBLE)"
+
+
 CTES["markets"] = """
 SELECT CAST(r_regionkey AS INT) market_id, r_name market, CASE WHEN r_regionkey<2 THEN 'KR' ELSE 'US' END country,
  CASE WHEN r_regionkey<2 THEN 'KRW' ELSE 'USD' END currency,

@@ -2,17 +2,13 @@
 from __future__ import annotations
 
 from bourseflow import constants as K
-from oracle.ctes import CTES, compose, r
+from oracle.ctes import CTES, compose, r, rd
 from oracle import scoring as _scoring  # noqa: F401 - registers score tables
 
 FLOW = ("2001-03-30", "2001-06-29", "2001-10-31")
 SQL: dict[str, str] = {}
 
 
-def rd(expr: str, places: int) -> str:
-    return f"CAST(ROUND(CAST(({expr}) AS DECIMAL(38,4)), {places}) AS DOUBLE)"
-
-
 # ------------------------------------------------------------------ market state
 CTES["ib"] = """SELECT *, row_number() OVER (PARTITION BY index_id ORDER BY trade_date DESC) rn, max(trade_date) OVER (PARTITION BY index_id) last_day FROM index_prices"""
 CTES["mi"] = f"""
@@ -167,7 +163,7 @@ SQL["w_rank_dynamic_dir"] = compose(_ranking(("return_3m",), "", "ASC"))
 CTES["bal"] = "SELECT stock_id, score FROM slast WHERE preset='balanced'"
 CTES["rows0"] = f"""
 SELECT s.*, l.trade_date as_of, l.close, l.change_rate, l.volume, v.market_cap, v.per, v.pbr, v.shares_outstanding, b.score,
- {r("v.market_cap*CASE WHEN s.currency='USD' THEN x.usd_krw ELSE 1.0 END", 0)} market_cap_krw, CASE WHEN s.currency='USD' THEN {r("l.close*x.usd_krw", 0)} ELSE l.close END close_krw
+ {rd("v.market_cap*CASE WHEN s.currency='USD' THEN x.usd_krw ELSE 1.0 END", 0)} market_cap_krw, CASE WHEN s.currency='USD' THEN {r("l.close*x.usd_krw", 0)} ELSE l.close END close_krw
 FROM stocks s LEFT JOIN lp l ON l.stock_id=s.stock_id LEFT JOIN lv v ON v.stock_id=s.stock_id LEFT JOIN bal b ON b.stock_id=s.stock_id CROSS JOIN fx_latest x"""
 SQL["stock_list"] = compose("""
 SELECT rank() OVER (ORDER BY market_cap_krw DESC NULLS LAST) AS rank, count(*) OVER () total, stock_id, ticker, name, market, sector, CAST(as_of AS VARCHAR) as_of, close, change_rate, volume, market_cap_krw, score

@@ -1,7 +1,7 @@
 """SQL for price marts, fundamentals and statistics."""
 from __future__ import annotations
 
-from oracle.ctes import CTES, compose, r
+from oracle.ctes import CTES, compose, r, rd
 
 CTES["nb"] = """
 SELECT *, row_number() OVER (PARTITION BY stock_id ORDER BY trade_date DESC) rn,
@@ -58,7 +58,7 @@ SELECT stock_id, as_of valuation_as_of, per, pbr, eps, bps, market_cap, dps, sha
 CTES["vm"] = f"""
 SELECT p.*, s.market, s.country, s.currency, v.valuation_as_of, v.per, v.pbr, v.eps, v.bps, v.market_cap, v.dps, v.shares_outstanding,
  f.fin_period_end, f.operating_margin, f.roe, f.debt_ratio, f.revenue_yoy, f.operating_income_yoy, x.usd_krw fx_usd_krw,
- {r("v.market_cap*CASE WHEN s.currency='USD' THEN x.usd_krw ELSE 1.0 END", 0)} market_cap_krw,
+ {rd("v.market_cap*CASE WHEN s.currency='USD' THEN x.usd_krw ELSE 1.0 END", 0)} market_cap_krw,
  {r("v.dps/p.close", 6)} dividend_yield
 FROM pm p JOIN stocks s ON s.stock_id=p.stock_id LEFT JOIN lv v ON v.stock_id=p.stock_id LEFT JOIN fr f ON f.stock_id=p.stock_id CROSS JOIN fx_latest x"""
 
