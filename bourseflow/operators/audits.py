@@ -196,7 +196,7 @@ def clip_order(values: DataFrame, share: float = 0.07, keep=lambda name, df: df)
     r = keep("clip leaders", r)
     a = with_average_rank(r.select("stock_id", *keys, "good", "z_adj"), keys, "good", rank="ra", total="m")
     b = with_average_rank(a.select("stock_id", *keys, "z_adj", "ra"), keys, "z_adj", rank="rb", total="m")
-    rho = b.groupBy(*keys).agg(F.corr("ra", "rb").alias("rho"), F.count(F.lit(1)).alias("m"), F.var_pop("ra").alias("va"), F.var_pop("rb").alias("vb"))
+    rho = b.groupBy(*keys).agg(ratio(F.covar_pop("ra", "rb"), F.stddev_pop("ra") * F.stddev_pop("rb")).alias("rho"), F.count(F.lit(1)).alias("m"), F.var_pop("ra").alias("va"), F.var_pop("rb").alias("vb"))
     rho = rho.where("m >= 3 AND va > 0 AND vb > 0")
     return result(rho, "a_clip_order", "country", F.col("rho") < 0.5, half_up(F.min("rho"), 4))
 

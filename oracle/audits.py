@@ -5,6 +5,7 @@ from bourseflow import constants as K
 from bourseflow.plans.audit_queries import PREDICATES
 from oracle.ctes import CTES, compose, r
 from oracle import ingest as _ingest_sql
+from oracle import scoring as _scoring
 from oracle import tables as _tables  # noqa: F401
 
 SQL: dict[str, str] = {}
@@ -118,3 +119,37 @@ CTES["awk2"] = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY country
 SQL["a_weak_theme"] = compose(res("a_weak_theme", P, "w IS NOT NULL", "(SELECT t.country, t.preset, k.stock_id w FROM atop t LEFT JOIN awk2 k ON k.country=t.country AND k.preset=t.preset AND k.stock_id=t.stock_id WHERE t.place<=20)"))
 SQL["a_themes"] = compose(res("a_theme_expected", "'all'", "theme IS DISTINCT FROM e", f"(SELECT v.e, a.theme FROM (VALUES (4,'NATION_9'),(11,'NATION_2'),(3,'NATION_0')) v(s, e) LEFT JOIN ({THEME}) a ON a.stock_id=v.s)") + " UNION ALL "
                          + res("a_top20_unreviewed", P, "NOT seen", "(SELECT t.country, t.preset, EXISTS (SELECT 1 FROM watchlist w WHERE w.stock_id=t.stock_id AND w.target_price>100000) seen FROM atop t WHERE t.place<=20)"))
+
+CTES["asafe"] = """SELECT i.country, c.oi0, s.safety_score sf FROM ain i JOIN ach c ON c.stock_id=i.stock_id JOIN slast s ON s.stock_id=i.stock_id AND s.preset='balanced'
+ WHERE i.family='general' AND c.debt0>=c.ta0 AND s.safety_score IS NOT NULL"""
+SQL["a_history"] = compose(" UNION ALL ".join([
+    res("a_history", "country", "fy_count<3", "ain"),
+    res("a_buyback", "country", "sf<=med", "(SELECT a.*, m.med FROM asafe a JOIN (SELECT country, median(sf) med FROM asafe WHERE oi0<0 GROUP BY 1) m ON m.country=a.country WHERE a.oi0>0)"),
+    res("a_fin_view", "country", "line<>(n>=3)", "(SELECT country, group_id, count(*) n, count(*)>=3 AND regr_sxx(pb,roe3)>0 line FROM prof WHERE roe3 IS NOT NULL AND pb IS NOT NULL GROUP BY 1,2)")]))
+CTES["capr"] = _ingest_sql.CAP_RANKING
+CTES["asz"] = """SELECT s.stock_id, r.cap_rank, r.cap_usd, a.assets, (SELECT count(*) FROM stocks x WHERE x.country=s.country AND x.company=s.company) classes FROM stocks s LEFT JOIN capr r ON r.stock_id=s.stock_id
+ LEFT JOIN (SELECT stock_id, arg_max(total_assets, period_end) assets FROM statements GROUP BY 1) a ON a.stock_id=s.stock_id WHERE s.is_active AND s.country='US'"""
+CTES["asmp"] = "SELECT i.*, x.score FROM sinp i LEFT JOIN (SELECT stock_id, snapshot, max(score) score FROM ssc GROUP BY 1,2) x ON x.stock_id=i.stock_id AND x.snapshot=i.snapshot"
+VAL = "EXISTS (SELECT 1 FROM sml m WHERE m.stock_id=x.stock_id AND m.snapshot=x.snapshot AND m.factor='value' AND m.raw_value IS NOT NULL)"
+SQL["a_sample"] = compose(" UNION ALL ".join([
+    res("a_halted", "country", "score IS NOT NULL", "(SELECT * FROM asmp WHERE halted)"),
+    res("a_spinoff", "country", "v OR score IS NOT NULL", f"(SELECT x.*, {VAL} v FROM asmp x WHERE split_after)"),
+    res("a_tags", "country", "score IS NULL AND ni0 IS NULL AND oi0 IS NULL", "(SELECT * FROM asmp WHERE family='general' AND end0 IS NOT NULL)"),
+    res("a_adr", "'US'", "cap_usd>200*assets", "(SELECT * FROM asz WHERE assets>0 AND cap_usd IS NOT NULL)"),
+    res("a_multiclass", "'US'", "cap_rank IS NULL", "(SELECT * FROM asz WHERE classes>1)")]))
+
+CTES["avol"] = """SELECT i.stock_id, i.country, i.family, m.raw_value vol, c.end0, c.end2, c.rev0, c.rev1, c.rev2, c.oi0, c.oi1, c.oi2 FROM ain i JOIN sml m ON m.stock_id=i.stock_id AND m.snapshot=i.snapshot AND m.metric='volatility'
+ LEFT JOIN ach c ON c.stock_id=i.stock_id"""
+CTES["av90"] = """SELECT country, max(CASE WHEN k=floor(n*0.9) THEN vol END) v90, median(vol) vmed FROM (SELECT country, vol, row_number() OVER (PARTITION BY country ORDER BY vol)-1 k, count(*) OVER (PARTITION BY country) n
+ FROM avol WHERE family='general' AND vol IS NOT NULL) GROUP BY 1"""
+CTES["aodd"] = """SELECT t.country, t.preset, coalesce(rev2>rev1 AND rev1>rev0, false) OR coalesce((oi0 IS NOT NULL)::INT+(oi1 IS NOT NULL)::INT+(oi2 IS NOT NULL)::INT>=2 AND least(oi0,oi1,oi2)<=0, false)
+ OR coalesce(t.preset='value' AND vol>=v90, false) odd FROM atop t JOIN avol v ON v.stock_id=t.stock_id LEFT JOIN av90 q ON q.country=t.country WHERE t.place<=10"""
+CTES["agood"] = """SELECT v.country, s.score FROM avol v LEFT JOIN av90 q ON q.country=v.country LEFT JOIN slast s ON s.stock_id=v.stock_id AND s.preset='balanced'
+ WHERE v.family='general' AND coalesce(least(oi0,oi1,oi2)>0 AND least(rev0,rev1,rev2)>0 AND oi1 IS NOT NULL AND oi2 IS NOT NULL AND pow(rev0/rev2, 1.0/((end0-end2)/365.25))-1>=0.03
+ AND list_sort([oi0/rev0, oi1/rev1, oi2/rev2])[2]>=0.10 AND NOT (oi0>oi1+oi2) AND vol<=vmed*1.2, false)"""
+SQL["a_r10"] = compose(res("a_r10_odd", P, "odd", "aodd") + " UNION ALL " + res("a_r10_good", "country", "score IS NULL OR score<50", "agood"))
+CTES["aclip"] = f"""SELECT country, metric, g, z_adj FROM (SELECT country, metric, z_adj, raw_value*{_scoring.case_metric(1)} g, rank() OVER (PARTITION BY country, metric ORDER BY raw_value*{_scoring.case_metric(1)} DESC) pos,
+ count(*) OVER (PARTITION BY country, metric) n FROM sneu WHERE family='general' AND snapshot=(SELECT max(snapshot) FROM snaps)) WHERE pos<=ceil(n*0.07)"""
+CTES["aclip2"] = """SELECT country, metric, corr(ra, rb) rho, count(*) m, var_pop(ra) va, var_pop(rb) vb FROM (SELECT country, metric, rank() OVER (PARTITION BY country, metric ORDER BY g)+(count(*) OVER (PARTITION BY country, metric, g)-1)/2.0 ra,
+ rank() OVER (PARTITION BY country, metric ORDER BY z_adj)+(count(*) OVER (PARTITION BY country, metric, z_adj)-1)/2.0 rb FROM aclip) GROUP BY 1,2"""
+SQL["a_clip_order"] = compose(res("a_clip_order", "country", "rho<0.5", "(SELECT * FROM aclip2 WHERE m>=3 AND va>0 AND vb>0)", r("min(rho)", 4)))

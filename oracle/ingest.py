@@ -114,9 +114,10 @@ WHERE s.is_active AND s.country='US'"""
 CTES["shares1"] = """SELECT *, sh*close filed, row_number() OVER (ORDER BY sh*close DESC NULLS LAST, stock_id) rf, row_number() OVER (PARTITION BY sh IS NULL AND vt IS NOT NULL ORDER BY vt DESC, stock_id) rv FROM shares0"""
 CTES["shares2"] = f"""SELECT *, CASE WHEN q IS NOT NULL THEN q WHEN cand AND filed>200.0*assets THEN NULL ELSE filed END cap, CASE WHEN filed/q<1/1.2::DOUBLE OR filed/q>1.2::DOUBLE THEN {r("filed/q", 6)} END share_ratio FROM (
  SELECT *, CASE WHEN cand THEN quoted END q FROM (SELECT *, (sh IS NOT NULL AND rf<=40) OR (sh IS NULL AND vt IS NULL) OR (sh IS NULL AND vt IS NOT NULL AND rv<=10) cand FROM shares1))"""
-SQL["cap_ranking"] = compose(f"""
+CAP_RANKING = f"""
 SELECT stock_id, share_ratio, CASE WHEN k<=30 THEN CAST(k AS INT) END cap_rank, CASE WHEN k<=30 THEN {r("cap", 0)} END cap_usd FROM (
- SELECT *, CASE WHEN cap IS NOT NULL AND (sh IS NOT NULL OR fr) THEN row_number() OVER (PARTITION BY cap IS NOT NULL AND (sh IS NOT NULL OR fr) ORDER BY cap DESC, stock_id) END k FROM shares2) WHERE k<=30 OR share_ratio IS NOT NULL""")
+ SELECT *, CASE WHEN cap IS NOT NULL AND (sh IS NOT NULL OR fr) THEN row_number() OVER (PARTITION BY cap IS NOT NULL AND (sh IS NOT NULL OR fr) ORDER BY cap DESC, stock_id) END k FROM shares2) WHERE k<=30 OR share_ratio IS NOT NULL"""
+SQL["cap_ranking"] = compose(CAP_RANKING)
 SQL["trading_value_rank"] = compose("""
 SELECT s.stock_id, coalesce(l.close*l.volume,0.0) AS first, coalesce(v.market_cap,0.0) AS second FROM stocks s LEFT JOIN lp l ON l.stock_id=s.stock_id LEFT JOIN lv v ON v.stock_id=s.stock_id
 WHERE s.is_active AND s.coverage='listed' AND s.stock_id NOT IN (SELECT stock_id FROM fresh WHERE valid_until>TIMESTAMP '2001-05-01') ORDER BY 2 DESC, 3 DESC, 1 LIMIT 25""")
