@@ -128,7 +128,7 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
                      "classes")
     posted = stored(postings(classes, s), "postings")
     tried = F.array(F.min("id"), F.max("id"), F.min_by("id", F.xxhash64("id")), F.max_by("id", F.xxhash64("id")))
-    pivots = stored(posted.groupBy("key").agg(F.arraynp.unique(tried).alias("p")), "pivots")
+    pivots = stored(posted.groupBy("key").agg(F.array_distinct(tried).alias("p")), "pivots")
     first = stored(posted.join(pivots, "key").select("id", F.explode("p").alias("p")).where("id <> p")
                    .select(F.greatest("id", "p").alias("a"), F.least("id", "p").alias("b")).distinct(), "first-pairs")
     links = stored(verified(first, classes, docs, s), "first-links")
