@@ -6,8 +6,9 @@ that prefix is posted, and a pair held by one document takes a place of the pref
 documents that meet have their agreeing coordinates counted; those above the match threshold are confirmed on the full sets.
 
 Documents with equal sets are one class throughout. Inside a posting list documents are first tried against four fixed members
-(linear in the list); only documents of lists that still hold more than one component are then paired across components, so a
-large group of near copies is never expanded into all its pairs.
+(linear in the list). Lists that still hold more than one component are cut into blocks, and tasks compare two blocks at a time by a
+longer signature, across components only; they hand on just the pairs that may be similar enough, to be confirmed on the full sets.
+So a large group of near copies is never expanded into all its pairs.
 
 Defined results: null text, empty text or no word: empty set, linked with nothing, component is the own doc_id. Null doc_id:
 linked with nothing, null component, kept. Rows that repeat a doc_id are judged by their own text, and texts under one doc_id count
@@ -34,6 +35,8 @@ class Settings:
     coordinates: int = 48
     slack: float = 4.0               # standard deviations that agreeing coordinates may fall below their mean
     seed: int = 7
+    long: int = 512                  # coordinates, of one byte, of the longer signature
+    block: int = 1024                # documents compared with as many others at once
 
     @property
     def least_matches(self) -> int:
@@ -44,6 +47,12 @@ class Settings:
     def prefix(self) -> int:
         return self.coordinates - self.least_matches + 1
 
+    @property
+    def least_long(self) -> int:
+        p, m = self.percent / 100, self.long
+        p += (1 - p) / 256                            # bytes also agree by chance
+        return max(1, int(m * p - self.slack * (m * p * (1 - p)) ** 0.5))
+
 
 def signatures(docs: DataFrame, s: Settings) -> DataFrame:
     """Per row: doc_id, set size, 128-bit hash of the set, and the signature (null for an empty set)."""
@@ -119,6 +128,58 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, s: Settings)
     return both.select("a", "b").distinct()
 
 
+def long_signatures(docs: DataFrame, s: Settings) -> DataFrame:
+    """Per document: id, set size, and a signature of `long` bytes."""
+    rng = np.random.default_rng(s.seed + 1)
+    a = rng.integers(1, 2**63, s.long, dtype=np.uint64) * U(2) + U(1)
+    b = rng.integers(0, 2**63, s.long, dtype=np.uint64)
+    size = s.shingle
+
+    def run(batches):
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                word_at, words = ascii_words(batch.column("text"))
+                at, h = shingle_hashes(word_at, word_hashes(words), size)
+                full = np.flatnonzero(np.diff(at))
+                sig = np.empty((len(full), len(a)), np.uint8)
+                if len(full):
+                    for k in range(len(a)):
+                        sig[:, k] = mix(np.minimum.reduceat(h * a[k] + b[k], at[:-1][full])) & U(255)
+                n = [len(np.unique(h[at[d]:at[d + 1]])) for d in full]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(full)), pa.array(n, pa.int64()),
+                                                  pa.array([x.tobytes() for x in sig], pa.binary())], ["id", "n", "sketch"])
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "id long, n long, sketch binary")
+
+
+def across(left: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
+    """left: (key, id, c), posting lists with more than one component c. Pairs (a, b) across components that may be similar enough."""
+    ids = stored(left.select(F.col("id").alias("doc_id")).distinct(), "unsettled-ids")
+    sketched = stored(long_signatures(docs.join(small_side(ids, BROADCAST_ROWS), "doc_id", "left_semi"), s), "long-signatures")
+    sizes = stored(left.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / s.block).cast("int").alias("blocks")), "list-blocks")
+    held = left.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    # a document goes to all pairs of blocks that hold its own
+    spread = held.select("key", "id", "c", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o")).select(
+        "key", "id", "c", F.least("own", "o").alias("x"), F.greatest("own", "o").alias("y"), (F.col("own") > F.col("o")).cast("int").alias("side"))
+    least, percent = s.least_long, s.percent
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        ids, c, side, n = (group[k].to_numpy() for k in ("id", "c", "side", "n"))
+        sig = np.frombuffer(b"".join(group["sketch"].to_pylist()), np.uint8).reshape(len(ids), -1)
+        alone = group["x"][0].as_py() == group["y"][0].as_py()
+        left, right = (np.arange(len(ids)),) * 2 if alone else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+        out_a, out_b = [], []
+        for i in left:
+            to = right[right > i] if alone else right
+            to = to[(c[to] != c[i]) & (np.minimum(n[to], n[i]) * 100 >= np.maximum(n[to], n[i]) * percent)]
+            to = to[(sig[to] == sig[i]).sum(axis=1) >= least]
+            out_a.append(np.maximum(ids[to], ids[i]))
+            out_b.append(np.minimum(ids[to], ids[i]))
+        none = [np.empty(0, np.int64)]
+        return pa.table({"a": pa.array(np.concatenate(out_a or none), pa.int64()), "b": pa.array(np.concatenate(out_b or none), pa.int64())})
+    return spread.join(sketched, "id").groupBy("key", "x", "y").applyInArrow(run, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """One row per document row: doc_id, n_shingles, component_id (smallest doc_id reachable by links), kept."""
     signed = stored(signatures(docs, s), "signatures")
@@ -137,8 +198,7 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
                 .select("key", "id", F.coalesce("component", "id").alias("c")), "placed")
     mixed = stored(at.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key"), "mixed")
     left = stored(at.join(mixed, "key", "left_semi"), "unsettled")
-    cross = (left.toDF("key", "a", "ca").join(left.toDF("key", "b", "cb"), "key").where("ca < cb")
-             .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(first, ["a", "b"], "left_anti"))
+    cross = across(left, docs, s).join(first, ["a", "b"], "left_anti")
     more = stored(verified(cross, classes, docs, s), "cross-links")
     # classes whose smallest doc_id is shared (rows that repeat a doc_id) meet in that id
     linked = components(links.union(more))
