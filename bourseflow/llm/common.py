@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from bourseflow.session import checkpoint_dir
 
 #: Texts handled at once inside a task, in characters (a single longer text is handled alone).
-SLICE_CHARS = 6_000_000
+SLICE_CHARS = 2_000_000
 
 U = np.uint64
 MIX_1, MIX_2 = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)
@@ -53,6 +53,7 @@ def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
     for i, k in enumerate(n):
         if total and total + k > SLICE_CHARS:
             yield batch.slice(start, i - start)
+            pa.default_memory_pool().release_unused()         # what the last part needed goes back to the machine
             start, total = i, 0
         total += int(k)
     if start < batch.num_rows:

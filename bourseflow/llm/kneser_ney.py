@@ -46,7 +46,7 @@ class Settings:
     added: float = 0.1               # of the base score
     shard_rows: int = 2_000_000      # keys that a shard is meant to hold
     least_shards: int = 128
-    flush: int = 3_000_000           # keys that a counting task holds
+    flush: int = 1_500_000           # keys that a counting task holds
 
 
 # --- files -----------------------------------------------------------------------------------------------------------------
