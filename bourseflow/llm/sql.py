@@ -2,3 +2,66 @@
 from __future__ import annotations
 
 SQL: dict[str, str] = {}
+
+SQL["op1_warc_revisits"] = """
+WITH fetched AS (
+    SELECT page_id, url, coalesce(html, '') AS html, n, concat_ws('-', coalesce(page_id::VARCHAR, 'null'), n::VARCHAR) AS record_id,
+           (1700000000 + coalesce(page_id, 0) % 86400 + n * 5400)::BIGINT AS time
+    FROM pages, (VALUES (0), (1), (2)) AS t(n)),
+split AS (
+    SELECT *, ('0x' || substr(md5(record_id), 1, 1))::INT AS digit, md5(html) AS digest, 'day ' || (coalesce(page_id, 0) % 97) AS day,
+           regexp_replace(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://|#.*$', '', 'g') AS bare
+    FROM fetched),
+parts AS (
+    SELECT *, '"' || substr(digest, 1, 16) || '"' AS tag, CASE WHEN n = 0 THEN digit > 0 ELSE digit = 15 END AS whole,
+           regexp_replace(regexp_replace(lower(regexp_extract(bare, '^([^/?]*)', 1)), ':(80|443)$', ''), '^www\\.', '') AS host,
+           regexp_replace(regexp_extract(bare, '^[^/?]*([^?]*)', 1), '/$', '') AS path,
+           list_sort(list_filter(string_split(regexp_extract(bare, '\\?(.*)$', 1), '&'),
+                                 lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|ref|fbclid|gclid)='))) AS query
+    FROM split),
+captures AS (
+    SELECT *, host || path || CASE WHEN len(query) > 0 THEN '?' || array_to_string(query, '&') ELSE '' END AS canonical FROM parts),
+responses AS (
+    SELECT canonical, time, max(record_id) AS record_id, max_by(digest, record_id) AS digest, max_by(tag, record_id) AS tag,
+           max_by(day, record_id) AS day, max_by(octet_length(encode(html)), record_id) AS bytes
+    FROM captures WHERE whole GROUP BY canonical, time),
+revisits AS (
+    SELECT record_id, canonical, time, digit, day, CASE WHEN digit < 9 THEN tag WHEN digit < 11 THEN 'W/' || tag WHEN digit < 12 THEN '"other"' END AS sent,
+           CASE WHEN digit < 11 THEN tag WHEN digit < 12 THEN '"other"' END AS plain
+    FROM captures WHERE NOT whole),
+joined AS (
+    SELECT v.*, r.record_id AS response_id, r.time AS response_time, r.digest AS kept, r.tag AS old_tag, r.day AS old_day, r.bytes,
+           CASE WHEN r.record_id IS NULL THEN 'orphan' WHEN v.plain IS NOT NULL THEN if(v.plain = r.tag, 'resolved', 'mismatch')
+                WHEN v.digit < 14 THEN if(v.day = r.day, 'resolved', 'mismatch') ELSE 'unverified' END AS status
+    FROM revisits v ASOF LEFT JOIN responses r ON v.canonical = r.canonical AND v.time > r.time)
+SELECT record_id, canonical, time, status, response_id, response_time,
+       CASE WHEN status IN ('resolved', 'unverified') THEN kept END AS digest,
+       CASE WHEN status IN ('resolved', 'unverified') THEN
+            'cache-control: max-age=60' || chr(10) || 'content-length: ' || bytes || chr(10) || 'content-type: text/html' || chr(10) || 'date: ' || time
+            || chr(10) || 'etag: ' || coalesce(sent, old_tag) || chr(10) || 'last-modified: ' || CASE WHEN digit IN (12, 13) THEN day ELSE old_day END
+       END AS headers
+FROM joined
+"""
+
+SQL["op2_poisson_mixing"] = """
+WITH RECURSIVE counts AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+rates AS (
+    SELECT source, 1.0::DOUBLE / (SELECT count(*) FROM counts) * (SELECT sum(n) FROM counts)::DOUBLE / n AS rate FROM counts),
+parts AS (SELECT source, greatest(1, ceil(rate / 64))::INT AS parts, rate / greatest(1, ceil(rate / 64)) AS part_rate FROM rates),
+steps AS (
+    SELECT source, part_rate, 0 AS k, exp(-part_rate) AS p, exp(-part_rate) AS cdf FROM parts
+    UNION ALL
+    SELECT source, part_rate, k + 1, p * part_rate / (k + 1), cdf + p * part_rate / (k + 1) FROM steps
+    WHERE k < ceil(part_rate + 12 * sqrt(part_rate) + 24)),
+drawn AS (
+    SELECT d.rowid AS row, p.source, part.j,
+           ('0x' || substr(md5('42|' || coalesce(d.doc_id::VARCHAR, 'null') || '|' || part.j), 1, 13))::BIGINT / 4503599627370496::DOUBLE AS u
+    FROM (SELECT row_number() OVER () AS rowid, * FROM documents) d JOIN parts p ON d.source IS NOT DISTINCT FROM p.source,
+         LATERAL (SELECT unnest(range(1, p.parts + 1)) AS j) part),
+copies AS (
+    SELECT row, count(*) AS copies FROM drawn JOIN steps ON drawn.source IS NOT DISTINCT FROM steps.source AND steps.cdf <= drawn.u GROUP BY row),
+numbered AS (SELECT row_number() OVER () AS rowid, * FROM documents)
+SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, c.copy::INT AS copy,
+       md5('42-order|' || coalesce(d.doc_id::VARCHAR, 'null') || '|' || c.copy) AS order_key
+FROM numbered d JOIN (SELECT row, unnest(range(1, copies + 1)) AS copy FROM copies) c ON d.rowid = c.row
+"""
