@@ -64,6 +64,8 @@ BAD_NO_OHLCV = "OHLCV 결측"
 BAD_PRICE = "가격 0 이하(거래정지 등)"
 BAD_HIGH_LOW = "고가 < 저가"
 BAD_VOLUME = "음수 거래량"
+BAD_UNKNOWN = "unknown natural key"
+BAD_NUMBER = "number beyond the column"
 BAD_FX = "환율 결측/0 이하"
 
 # --- fixed values: ingestion rules ----------------------------------------------------------------------

@@ -259,7 +259,7 @@ def family_rules(scores: DataFrame, board: DataFrame) -> DataFrame:
 def theme_rules(assigned: DataFrame, expected: DataFrame, leaders: DataFrame, reviewed: DataFrame) -> DataFrame:
     """Expected primary themes; leaders whose theme nobody reviewed (recorded only)."""
     e = F.broadcast(expected).join(assigned.select("stock_id", "theme"), "stock_id", "left")
-    u = leaders.join(F.broadcast(reviewed.select("stock_id").withColumn("seen", F.lit(True))), "stock_id", "left")
+    u = leaders.join(reviewed.select("stock_id").withColumn("seen", F.lit(True)), "stock_id", "left")
     return union([result(e, "a_theme_expected", F.lit("all"), ~F.col("theme").eqNullSafe(F.col("expected"))),
                   result(u, "a_top20_unreviewed", F.concat_ws("/", "country", "preset"), F.col("seen").isNull())])
 

@@ -24,22 +24,25 @@ def unfinished_date(zone: Column, now: str) -> Column:
 
 
 def judge_bars(raw: DataFrame, stocks: DataFrame, now: str, require_volume: bool = True) -> DataFrame:
-    """Deduplicated bars with a reason column (NULL = good)."""
-    bars = keep_last(raw, ["stock_id", "trade_date"], "arrival").join(stocks.select("stock_id", "timezone"), "stock_id")
+    """Deduplicated bars with a reason column (NULL = good); bars of stocks that are not in the list are rejected too."""
+    listed = stocks.select("stock_id", "timezone", F.lit(True).alias("_listed"))
+    bars = keep_last(raw, ["stock_id", "trade_date"], "arrival").join(listed, "stock_id", "left")
     c = F.col
     gap = c("open").isNull() | c("high").isNull() | c("low").isNull() | c("volume").isNull()
-    reason = (F.when(c("trade_date") == unfinished_date(c("timezone"), now), K.BAD_UNFINISHED)
+    reason = (F.when(c("_listed").isNull(), K.BAD_UNKNOWN)
+              .when(c("trade_date") == unfinished_date(c("timezone"), now), K.BAD_UNFINISHED)
               .when(c("close").isNull(), K.BAD_NO_CLOSE)
               .when(F.lit(require_volume) & gap, K.BAD_NO_OHLCV)
               .when((c("close") <= 0) | (c("low") <= 0), K.BAD_PRICE)
               .when(c("high") < c("low"), K.BAD_HIGH_LOW)
               .when(c("volume") < 0, K.BAD_VOLUME))
-    return bars.withColumn("reason", reason)
+    return bars.withColumn("reason", reason).drop("_listed")
 
 
 def clean_bars(raw: DataFrame, stocks: DataFrame, now: str, require_volume: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Good bars, with their arrival, and rejected ones with reason and JSON row."""
     judged = judge_bars(raw, stocks, now, require_volume)
-    good = judged.where("reason IS NULL").drop("reason", "arrival", "timezone")
+    good = judged.where("reason IS NULL").drop("reason", "timezone")
     bad = judged.where("reason IS NOT NULL")
     return good, bad.select("reason", F.to_json(F.struct("stock_id", "trade_date", "open", "high", "low", "close", "volume")).alias("row"),
                             "stock_id", "trade_date")

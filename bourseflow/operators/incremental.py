@@ -58,13 +58,17 @@ def adjusted_by_overlap(stored: DataFrame, fresh: DataFrame, tol: float = K.ADJU
     return j.where(F.abs(ratio("close", "stored_close") - 1) > tol).select("stock_id", "trade_date", "stored_close", "close")
 
 
-def feed_filings(filings: DataFrame, cursor: str) -> DataFrame:
-    """New annual reports after the cursor, without attachment-only ones; one row per receipt number."""
+def annual_reports(filings: DataFrame, cursor: str) -> DataFrame:
+    """New annual reports after the cursor, without attachment-only ones (no state, so streams use it too)."""
     skip = F.lit(False)
     for p in K.FEED_SKIP_PREFIXES:
         skip = skip | F.col("title").startswith(p)
-    return (filings.where((F.col("rcept_no") > cursor) & F.col("title").contains(K.ANNUAL_REPORT_WORD) & ~skip)
-            .dropDuplicates(["rcept_no"]))
+    return filings.where((F.col("rcept_no") > cursor) & F.col("title").contains(K.ANNUAL_REPORT_WORD) & ~skip)
+
+
+def feed_filings(filings: DataFrame, cursor: str) -> DataFrame:
+    """The same, one row per receipt number."""
+    return annual_reports(filings, cursor).dropDuplicates(["rcept_no"])
 
 
 def next_cursor(filings: DataFrame, cursor: str) -> DataFrame:

@@ -15,10 +15,10 @@ def money(c: Column | str) -> Column:
 def value_items(items: DataFrame, price: DataFrame, usd_krw: Column) -> DataFrame:
     """KRW value and profit of each position, split into price and currency effects."""
     j = items.join(price.select("stock_id", "currency", "close", "trade_date"), "stock_id", "left")
-    q = F.col("quantity").cast("decimal(10,0)")
+    q = F.col("quantity").try_cast("decimal(14,0)")
     close, ref = F.col("close").cast("decimal(14,4)"), F.col("ref_price").cast("decimal(14,4)")
-    ref_fx = F.col("ref_fx_rate").cast("decimal(8,4)")
-    j = j.withColumn("fx_now", F.when(F.col("currency") == "USD", usd_krw).otherwise(F.lit(1)).cast("decimal(8,4)"))
+    ref_fx = F.col("ref_fx_rate").try_cast("decimal(12,4)")
+    j = j.withColumn("fx_now", F.when(F.col("currency") == "USD", usd_krw).otherwise(F.lit(1)).try_cast("decimal(12,4)"))
     fx = F.col("fx_now")
     won = lambda c: F.round(c, 0).cast(WON)
     value = won(q * close * fx)
@@ -84,9 +84,17 @@ def slices(valued: DataFrame, portfolios: DataFrame, top: int) -> DataFrame:
     return out.join(total, "portfolio_id").select("portfolio_id", "slice", "amount", half_up(ratio("amount", "t"), 6).alias("share"))
 
 
+def whole_shares(amount: Column, unit: Column) -> Column:
+    """How often `unit` fits into `amount`, by whole-number division of exact millionths; NULL for a unit of zero.
+
+    A number too large for its decimal becomes NULL for its row and does not end the job."""
+    scaled = lambda c: (c.try_cast("decimal(26,6)") * F.lit(1_000_000)).try_cast("decimal(32,0)")
+    return F.try_divide(scaled(amount) - F.try_mod(scaled(amount), scaled(unit)), scaled(unit)).try_cast("decimal(24,0)").try_cast("long")
+
+
 def quantity_for(mode: Column, value: Column, seed: Column, unit: Column) -> Column:
     amount = F.when(mode == "weight", seed * value / F.lit(100)).otherwise(value)
-    return F.when(mode == "quantity", value.cast("long")).otherwise(F.floor(ratio(amount.cast("decimal(24,4)"), unit) + F.lit(1e-12)).cast("long"))
+    return F.when(mode == "quantity", value.try_cast("long")).otherwise(whole_shares(amount, unit))
 
 
 def position_size(orders: DataFrame, portfolios: DataFrame, used: DataFrame) -> DataFrame:
@@ -98,9 +106,9 @@ def position_size(orders: DataFrame, portfolios: DataFrame, used: DataFrame) ->
     remaining = F.col("seed_krw") - F.coalesce("used_krw", F.lit(0))
     j = (j.withColumn("remaining_krw", money(remaining))
          .withColumn("quantity", quantity_for(F.col("mode"), F.col("value"), F.col("seed_krw"), F.col("unit_cost"))))
-    cost = money(F.round(F.col("quantity").cast("decimal(12,0)") * F.col("unit_cost").cast("decimal(20,6)"), 2))
+    cost = money(F.round(F.col("quantity").try_cast("decimal(14,0)") * F.col("unit_cost").cast("decimal(20,6)"), 2))
     j = j.withColumn("cost_krw", cost)
-    max_q = F.when(F.col("remaining_krw") > 0, F.floor(ratio("remaining_krw", "unit_cost") + F.lit(1e-12)).cast("long")).otherwise(F.lit(0).cast("long"))
+    max_q = F.when(F.col("remaining_krw") > 0, whole_shares(F.col("remaining_krw"), F.col("unit_cost"))).otherwise(F.lit(0).cast("long"))
     code = (F.when((F.col("mode") == "quantity") & (F.col("value") != F.floor("value")), "INVALID_QUANTITY")
             .when(F.col("quantity") <= 0, "QUANTITY_ZERO").when(F.col("cost_krw") > F.col("remaining_krw"), "SEED_EXCEEDED").otherwise("OK"))
     return j.select("portfolio_id", "stock_id", "mode", "quantity", "cost_krw", "remaining_krw", max_q.alias("max_quantity"), code.alias("outcome"))
@@ -112,16 +120,16 @@ def equal_weight(targets: DataFrame, held: DataFrame, price: DataFrame, usd_krw:
     `targets`: portfolio_id, stock_id; `budgets`: portfolio_id, budget_krw."""
     j = (targets.join(held.select("portfolio_id", "stock_id").withColumn("held", F.lit(True)), ["portfolio_id", "stock_id"], "left")
          .join(price.select("stock_id", "currency", "close"), "stock_id", "left").join(budgets, "portfolio_id"))
-    fx = F.when(F.col("currency") == "USD", usd_krw).otherwise(F.lit(1)).cast("decimal(8,4)")
+    fx = F.when(F.col("currency") == "USD", usd_krw).otherwise(F.lit(1)).try_cast("decimal(12,4)")
     quoted = F.col("held").isNull() & F.col("close").isNotNull()
     j = j.withColumn("unit", F.col("close").cast("decimal(14,4)") * fx).withColumn("quoted", quoted)
     counts = j.where("quoted").groupBy("portfolio_id").agg(F.count(F.lit(1)).alias("k"))
-    j = j.join(counts, "portfolio_id", "left").withColumn("share", ratio("budget_krw", "k"))
-    qty = F.when(F.col("quoted"), F.floor(ratio("share", "unit") + F.lit(1e-12)).cast("long"))
+    j = j.join(counts, "portfolio_id", "left").withColumn("share", F.col("budget_krw").cast("decimal(24,6)") / F.col("k").cast("decimal(10,0)"))
+    qty = F.when(F.col("quoted"), whole_shares(F.col("share"), F.col("unit")))
     j = j.withColumn("quantity", qty)
     reason = (F.when(F.col("held").isNotNull(), "ALREADY_IN_PORTFOLIO").when(F.col("close").isNull(), "NO_PRICE")
               .when(F.col("quantity") <= 0, "PRICE_ABOVE_SHARE"))
-    cost = F.when(F.col("quantity") > 0, F.round(F.col("quantity").cast("decimal(12,0)") * F.col("unit").cast("decimal(20,6)"), 2).cast("decimal(24,2)"))
+    cost = F.when(F.col("quantity") > 0, F.round(F.col("quantity").try_cast("decimal(14,0)") * F.col("unit").cast("decimal(20,6)"), 2).cast("decimal(24,2)"))
     return j.select("portfolio_id", "stock_id", F.when(F.col("quantity") > 0, F.col("quantity")).alias("quantity"), cost.alias("cost_krw"), reason.alias("reason"))
 
 

@@ -23,9 +23,13 @@ def at_snapshots(df: DataFrame, date_col: str, snapshots: Sequence[date | str],
     return df.where(span).withColumn("snapshot", F.explode(F.filter(dates, visible)))
 
 
-def newest_bars(bars: DataFrame, count: int) -> DataFrame:
-    """The newest `count` bars per stock, numbered; each task keeps its own newest ones before the shuffle."""
-    w = Window.partitionBy("stock_id").orderBy(F.desc("trade_date"))
+#: No 12 months hold more bars of a key than days, so the newest 367 hold all of a year and the newest bar before it.
+YEAR_OF_BARS = 367
+
+
+def newest_bars(bars: DataFrame, count: int, keys: Sequence[str] = ("stock_id",)) -> DataFrame:
+    """The newest `count` bars per key, numbered; each task keeps its own newest ones before the shuffle."""
+    w = Window.partitionBy(*keys).orderBy(F.desc("trade_date"))
     return bars.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= count)
 
 
@@ -55,8 +59,10 @@ def fx_latest(fx: DataFrame) -> DataFrame:
 
 
 def price_metrics(bars: DataFrame, keys: Sequence[str] = ("stock_id",)) -> DataFrame:
-    """Every price-based metric from one numbered scan and one wide aggregation (same partitioning, no extra shuffle)."""
-    numbered = number_bars(bars, keys)
+    """Every price-based metric from one numbered scan and one wide aggregation (same partitioning, no extra shuffle).
+
+    Only the newest year of bars of each key is shuffled, however long its history."""
+    numbered = number_bars(newest_bars(bars, YEAR_OF_BARS, keys), keys)
     oldest_first = Window.partitionBy(*keys).orderBy("trade_date").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rn, close, as_of, day = F.col("rn"), F.col("close"), F.col("as_of"), F.col("trade_date")
     numbered = (numbered

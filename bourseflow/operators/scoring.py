@@ -165,7 +165,7 @@ def neutralize(ranked: DataFrame, k: int = K.SHRINKAGE_K) -> DataFrame:
     stats = (ranked.where(F.col("group_id").isNotNull()).groupBy(*keys)
              .agg(F.count(F.lit(1)).alias("gn"), F.sum(F.col("z_raw").cast("decimal(10,4)")).cast("double").alias("gs")))
     # themes x countries x metrics x dates: a few thousand rows whatever the number of stocks
-    j = ranked.join(F.broadcast(stats), keys, "left")
+    j = ranked.join(stats, keys, "left")
     shifted = F.col("z_raw") - F.col("gn") / (F.col("gn") + F.lit(k)) * (F.col("gs") / F.col("gn"))
     plain = ~metric_flag(4) | F.col("group_id").isNull() | (F.col("gn") == 1)
     return j.withColumn("z_adj", F.when(plain, F.col("z_raw")).otherwise(half_up(clamp(shifted, -3.0, 3.0), 4))).drop("gn", "gs")
@@ -319,7 +319,7 @@ def reference_scores(listed: DataFrame, values: DataFrame, inputs: DataFrame, sc
     gkeys = ["snapshot", "country", "group_id", "metric"]
     stats = (values.where("group_id IS NOT NULL AND z_raw IS NOT NULL").groupBy(*gkeys)
              .agg(F.count(F.lit(1)).alias("gn"), F.sum(F.col("z_raw").cast("decimal(10,4)")).cast("double").alias("gs")))
-    placed = placed.join(F.broadcast(stats), gkeys, "left")
+    placed = placed.join(stats, gkeys, "left")
     n = F.coalesce("gn", F.lit(0)) + 1
     shifted = F.col("z_raw") - n / (n + F.lit(k)) * ((F.coalesce("gs", F.lit(0.0)) + F.col("z_raw")) / n)
     placed = placed.withColumn("z_adj", F.when(~metric_flag(4) | F.col("group_id").isNull() | (n == 1), F.col("z_raw"))

@@ -1,12 +1,14 @@
 """Due dates, refresh state, budgets, calendars, selection of the comparison sample and rankings by size."""
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from bourseflow import constants as K
 from bourseflow.functions.exprs import half_up, ratio
+from bourseflow.sources.stored import stored
 
 
 # ------------------------------------------------------------------ freshness
@@ -93,15 +95,18 @@ def session_status(as_of: DataFrame, calendar: DataFrame, zones: DataFrame, now:
 
 
 def sessions_between(pairs: DataFrame, calendar: DataFrame) -> DataFrame:
-    """Sessions after `start` up to and including `end`, by position in the calendar (two equi-joins, no range join)."""
+    """Sessions after `start` up to and including `end`, by position in the calendar (two equi-joins, no range join).
+
+    NULL where either day lies outside the country's calendar, which says nothing about sessions there."""
     span = calendar.groupBy("country").agg(F.min("session_date").alias("a"), F.max("session_date").alias("b"))
-    days = span.select("country", F.explode(F.sequence(F.date_sub("a", 400), F.date_add("b", 400))).alias("day"))
+    days = span.select("country", F.explode(F.sequence("a", "b")).alias("day"))
     w = Window.partitionBy("country").orderBy("day").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     pos = (days.join(calendar.select("country", F.col("session_date").alias("day"), F.lit(1).alias("s")), ["country", "day"], "left")
            .select("country", "day", F.sum(F.coalesce("s", F.lit(0))).over(w).alias("pos")))
     at = lambda c: F.broadcast(pos.select("country", F.col("day").alias(c), F.col("pos").alias(f"{c}_pos")))
     j = pairs.join(at("start"), ["country", "start"], "left").join(at("end"), ["country", "end"], "left")
-    n = F.when(F.col("start") >= F.col("end"), F.lit(0).cast("long")).otherwise(F.col("end_pos") - F.col("start_pos"))
+    inside = F.col("start_pos").isNotNull() & F.col("end_pos").isNotNull()
+    n = F.when(inside & (F.col("start") >= F.col("end")), F.lit(0).cast("long")).when(inside, F.col("end_pos") - F.col("start_pos"))
     return j.select(*pairs.columns, n.alias("sessions"))
 
 
@@ -137,7 +142,8 @@ def benchmark_select(pool: DataFrame, per_sector: int) -> DataFrame:
 
     `pool`: stock_id, country, theme, company, coverage, size (order key, larger first; NULL = not eligible).
     Share classes normally share a theme, where a window settles the company. A company met in two themes is banned in the
-    later one and the pick repeated; a ban only moves others up, so earlier themes stay final and a few rounds are enough."""
+    later one and the pick repeated; a ban only moves others up, so earlier themes stay final. Bans are a stored table, and the number
+    of rounds is at most that of the themes."""
     featured = pool.where("coverage = 'featured'")
     taken = featured.where("company IS NOT NULL").select("country", "company").distinct()
     quota = featured.groupBy("country", "theme").agg(F.count(F.lit(1)).alias("have"))
@@ -150,22 +156,24 @@ def benchmark_select(pool: DataFrame, per_sector: int) -> DataFrame:
     # only companies present in more than one theme can clash
     split = cand.groupBy("country", "company").agg(F.countDistinct("theme").alias("k")).where("k > 1").drop("k")
     place = Window.partitionBy("country", "theme").orderBy(*order)
-    banned: DataFrame | None = None
+    spark, key = pool.sparkSession, uuid.uuid4().hex
+    banned = stored(spark, f"bans {key} 0", lambda: cand.limit(0).select("country", "theme", "company"))
 
     def pick() -> DataFrame:
-        c = cand if banned is None else cand.join(F.broadcast(banned), ["country", "theme", "company"], "left_anti")
-        return c.withColumn("place", F.row_number().over(place)).where(F.col("place") <= F.col("quota")).where(F.col("place") <= per_sector)
+        c = cand.join(banned, ["country", "theme", "company"], "left_anti")
+        return c.withColumn("place", F.row_number().over(place)).where(F.col("place") <= F.col("quota"))
 
-    while True:                                   # every round bans at least one more (theme, company), so it ends
+    first = Window.partitionBy("country", "company").orderBy("theme")
+    # a round settles at least one more theme of each country, in theme order
+    for k in range(1, cand.select("theme").distinct().count() + 2):
         clash = pick().join(split, ["country", "company"], "left_semi")
-        first = Window.partitionBy("country", "company").orderBy("theme")
-        # at most per_sector rows per theme and country reach the driver
-        later = [tuple(r) for r in clash.withColumn("f", F.row_number().over(first)).where("f > 1").select("country", "theme", "company").collect()]
-        if not later:
+        later = clash.withColumn("f", F.row_number().over(first)).where("f > 1").select("country", "theme", "company")
+        more = stored(spark, f"bans {key} {k}", lambda: banned.unionByName(later))
+        if more.count() == banned.count():
             break
-        from bourseflow.sources.market_tables import literal_rows
-        more = literal_rows(pool.sparkSession, ("country", "theme", "company"), later)
-        banned = more if banned is None else banned.unionByName(more)
+        banned = more
+    else:
+        raise RuntimeError("the selection did not settle")
     return pick().select("stock_id", "country", "theme", "company", "place")
 
 

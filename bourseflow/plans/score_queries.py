@@ -108,10 +108,14 @@ def sc_quality_struct(t: Tables) -> DataFrame:
 
 @query("sc_presets_validate")
 def sc_presets_validate(t: Tables) -> DataFrame:
-    """The configured presets plus two broken ones."""
+    """The configured presets plus two broken ones: what is wrong with each, and how many scores of the newest date use it."""
     broken = literal_rows(t.spark, ("preset", "sort_order", "is_default", "factor", "weight"),
                           [("growth_old", 7, False, f, 0.3) for f in K.FACTORS] + [("half", 8, False, "value", 1.0)])
-    return scoring.preset_problems(t.presets.unionByName(broken))
+    return scoring.preset_problems(t.presets.unionByName(broken)).join(scored_by_preset(t), "preset", "left").na.fill(0, ["scored"])
+
+
+def scored_by_preset(t: Tables) -> DataFrame:
+    return score_run(t).latest.groupBy("preset").agg(F.count("score").alias("scored"))
 
 
 @query("sc_reference_score")
@@ -209,7 +213,9 @@ def score_contribution(t: Tables) -> DataFrame:
 
 @query("presets_table")
 def presets_table(t: Tables) -> DataFrame:
-    return t.presets.groupBy("preset", "sort_order", "is_default").pivot("factor", list(K.FACTORS)).agg(F.max("weight"))
+    """Weights of each preset, and how many stocks it scores on the newest date."""
+    wide = t.presets.groupBy("preset", "sort_order", "is_default").pivot("factor", list(K.FACTORS)).agg(F.max("weight"))
+    return wide.join(scored_by_preset(t), "preset", "left").na.fill(0, ["scored"])
 
 
 @query("home_attractiveness")

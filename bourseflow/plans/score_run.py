@@ -62,4 +62,4 @@ def score_run(t: Tables, snapshots: tuple[str, ...] = SNAPSHOTS) -> ScoreRun:
         comp = stored(t.spark, f"comp|{tag}", lambda: scoring.composites(factors))
         return scoring.percentile_scores(comp)
 
-    return ScoreRun(inputs, values, stored(t.spark, f"scores|{tag}", build_scores))
+    return ScoreRun(inputs, values, stored(t.spark, f"scores|{tag}", build_scores, partition_by="snapshot"))

@@ -1,7 +1,7 @@
 """Table merging, streaming jobs run to their end, and joins and aggregates not shown by another query."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from bourseflow.functions.exprs import half_up, ratio
 from bourseflow.functions.ranking import medians
@@ -56,52 +56,74 @@ def sink_regenerate_partition(t: Tables) -> DataFrame:
 
 
 # ------------------------------------------------------------------ streams
+LANDINGS = 4
+
+
+def landing(df: DataFrame, at: str) -> Column:
+    """Which of the landings brings a row: by time, in equal spans."""
+    lo, hi = df.agg(F.min(at).cast("timestamp").cast("double"), F.max(at).cast("timestamp").cast("double")).first()
+    span = ((hi or 0.0) - (lo or 0.0)) / LANDINGS + 1
+    return F.least(F.lit(LANDINGS - 1), F.greatest(F.lit(0), F.floor((F.col(at).cast("timestamp").cast("double") - F.lit(lo or 0.0)) / span))).cast("int")
+
+
 @query("st_log_quality")
 def st_log_quality(t: Tables) -> DataFrame:
+    """Log rows land in four spans of time; every seventh lands up to six hours later than its span."""
     w = jobs.workspace(t.spark)
-    jobs.finish(jobs.log_quality(jobs.StreamTables(t.spark, t.folder, "events").logs, f"{w}/out", f"{w}/ckpt"))
+    logs = t.logs.withColumn("lands_at", F.when(F.col("log_id") % 7 == 0, F.col("started_at") + F.expr("INTERVAL 6 HOURS")).otherwise(F.col("started_at")))
+    jobs.finish(jobs.log_quality(jobs.land(logs, f"{w}/in", landing(logs, "lands_at"), LANDINGS), f"{w}/out", f"{w}/ckpt"))
     return t.spark.read.parquet(f"{w}/out").select("day", "job_type", "success", "failed", "skipped")
 
 
 @query("st_feed_dedupe")
 def st_feed_dedupe(t: Tables) -> DataFrame:
-    """Every filing arrives twice; each is kept once."""
+    """Every filing arrives twice, the copy a day later (so also in a later landing); each is kept once."""
     w = jobs.workspace(t.spark)
-    feed = jobs.StreamTables(t.spark, t.folder, "orders").disclosures
-    jobs.finish(jobs.feed_dedupe(feed.union(feed), f"{w}/out", f"{w}/ckpt", cursor="00000000000005"))
+    feed = t.disclosures.withColumn("lands_at", F.col("filed_at"))
+    feed = feed.unionByName(feed.withColumn("lands_at", F.col("filed_at") + F.expr("INTERVAL 1 DAY")))
+    jobs.finish(jobs.feed_dedupe(jobs.land(feed, f"{w}/in", landing(feed, "lands_at"), LANDINGS), f"{w}/out", f"{w}/ckpt", cursor="00000000000005"))
     return t.spark.read.parquet(f"{w}/out").select("rcept_no", "stock_id", "title", "filed_at")
 
 
 @query("st_fx_latest")
 def st_fx_latest(t: Tables) -> DataFrame:
+    """Quotes land in an order that has nothing to do with their time."""
     w = jobs.workspace(t.spark)
-    fx = jobs.StreamTables(t.spark, t.folder, "events").fx_snapshots
-    jobs.finish(jobs.fx_latest(fx, f"{w}/out", f"{w}/ckpt", "2024-01-31 00:00:00", 4))
+    fx = t.fx_snapshots
+    jobs.finish(jobs.fx_latest(jobs.land(fx, f"{w}/in", F.pmod(F.xxhash64("rate_at"), F.lit(LANDINGS)).cast("int"), LANDINGS),
+                               f"{w}/out", f"{w}/ckpt", "2024-01-31 00:00:00", 4))
     return t.spark.read.parquet(f"{w}/out").select("granularity", "rate_at", "usd_krw", "stale")
 
 
-def landed_bars(t: Tables, df: DataFrame) -> tuple[str, DataFrame]:
-    """Bars as landed files (a few files, so a run has several batches) and a stream over them."""
-    path = f"{jobs.workspace(t.spark)}/landed"
-    df.repartition(4, "stock_id").write.parquet(path)
-    stream = t.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 2).parquet(path)
-    return path, stream
+def landed_bars(df: DataFrame, path: str) -> DataFrame:
+    """Bars in four spans of dates. Late ones: a twentieth of the days lands one span later, and half of the stocks' corrected rows
+    (arrival 2) land before the row they correct."""
+    at = landing(df, "trade_date")
+    late = F.least(F.lit(LANDINGS - 1), at + 1)
+    early = (F.col("arrival") == 2) & (F.col("stock_id") % 2 == 0)
+    part = F.when(early, F.greatest(F.lit(0), at - 1)).when((F.col("arrival") == 2) | (F.dayofmonth("trade_date") == 6), late).otherwise(at)
+    return jobs.land(df, path, part, LANDINGS)
 
 
 @query("st_bars_upsert")
 def st_bars_upsert(t: Tables) -> DataFrame:
     w = jobs.workspace(t.spark)
-    _, stream = landed_bars(t, raw_bars(t))
-    jobs.finish(jobs.bars_upsert(stream, t.stocks, f"{w}/bars", f"{w}/bad", f"{w}/ckpt", NOW))
-    return t.spark.read.parquet(f"{w}/bars").drop("year")
+    jobs.finish(jobs.bars_upsert(landed_bars(raw_bars(t), f"{w}/in"), t.stocks, f"{w}/bars", f"{w}/bad", f"{w}/ckpt", NOW))
+    return t.spark.read.parquet(f"{w}/bars").drop("month", "arrival")
 
 
 @query("st_volume_surge")
 def st_volume_surge(t: Tables) -> DataFrame:
+    """Stored sessions up to a day, then new ones in several landings; the newest session of each stock."""
     w = jobs.workspace(t.spark)
-    _, stream = landed_bars(t, t.prices.where("trade_date > '2001-09-30'").select("stock_id", "trade_date", "volume"))
-    jobs.finish(jobs.volume_surge(stream, t.prices.where("trade_date <= '2001-09-30'"), f"{w}/out", f"{w}/ckpt"))
-    return t.spark.read.parquet(f"{w}/out").select("stock_id", "as_of", "volume", "value", "avg_volume_20d")
+    old = t.prices.where("trade_date <= '2001-09-30'").select("stock_id", "trade_date", "volume", F.lit(1).alias("arrival"),
+                                                              jobs.month("trade_date").alias("month"))
+    files.write_partitions(old, f"{w}/bars", "month")
+    new = t.prices.where("trade_date > '2001-09-30'").select("stock_id", "trade_date", "volume", F.lit(1).alias("arrival"))
+    jobs.finish(jobs.volume_surge(landed_bars(new, f"{w}/in"), f"{w}/bars", f"{w}/out", f"{w}/ckpt"))
+    found = t.spark.read.parquet(f"{w}/out")
+    newest = found.groupBy("stock_id").agg(F.max("as_of").alias("as_of"))
+    return found.join(newest, ["stock_id", "as_of"]).select("stock_id", "as_of", "volume", "value", "avg_volume_20d")
 
 
 # ------------------------------------------------------------------ joins and aggregates

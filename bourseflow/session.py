@@ -21,14 +21,20 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_OWN: dict[str, str] = {}
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a temporary one only where the setting is missing (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The shared folder that the cluster names in spark.checkpoint.dir. Where it is unset, a session whose tasks all run on this
+    machine (tests) gets a temporary one; on a cluster that is an error."""
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or _OWN.get(sc.applicationId)
     if folder is None:
-        folder = tempfile.mkdtemp(prefix="bourseflow-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = _OWN[sc.applicationId] = tempfile.mkdtemp(prefix="bourseflow-")
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(folder)
     return folder
 
 

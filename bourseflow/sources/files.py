@@ -6,16 +6,21 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from bourseflow import constants as K
 from bourseflow.accounts import BULK_COLUMNS, BULK_CURRENCY, BULK_REPORT, BULK_STATEMENTS
 from bourseflow.functions.exprs import clean_number
 from bourseflow.session import checkpoint_dir
 
 
 # ------------------------------------------------------------------ sources
-def read_csv(spark: SparkSession, path: str, schema: str, dims: DataFrame, natural_key: Sequence[str], surrogate: str) -> DataFrame:
-    """CSV with a header; blanks are NULL; the natural key is replaced by the id of the dimension table."""
+def read_csv(spark: SparkSession, path: str, schema: str, dims: DataFrame, natural_key: Sequence[str], surrogate: str) -> tuple[DataFrame, DataFrame]:
+    """CSV with a header; blanks are NULL; the natural key is replaced by the id of the dimension table.
+
+    Returns the rows, and the rejected ones (reason, row as JSON) whose natural key the dimension does not have."""
     rows = spark.read.option("header", True).option("nullValue", "").option("enforceSchema", False).schema(schema).csv(path)
-    return rows.join(dims.select(*natural_key, surrogate), list(natural_key)).drop(*natural_key)
+    known = rows.join(dims.select(*natural_key, F.col(surrogate)), list(natural_key), "left")
+    bad = known.where(F.col(surrogate).isNull()).select(F.lit(K.BAD_UNKNOWN).alias("reason"), F.to_json(F.struct(*rows.columns)).alias("row"))
+    return known.where(F.col(surrogate).isNotNull()).drop(*natural_key), bad
 
 
 def read_statement_files(spark: SparkSession, folder: str, encoding: str = "cp949") -> DataFrame:
@@ -41,14 +46,15 @@ def read_statement_files(spark: SparkSession, folder: str, encoding: str = "cp94
 
 # ------------------------------------------------------------------ merging
 def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], *, update: bool = True, arrival: str | None = None) -> DataFrame:
-    """Rows of both sides, one per key; the new row wins (or the old one when `update` is off). Running it twice changes nothing."""
+    """Rows of both sides, one per key; the new row wins (or the old one when `update` is off). Running it twice changes nothing.
+
+    With an `arrival` column, kept by the table, the greatest arrival wins whichever batch brings it, and the new row of equal ones."""
     cols = old.columns
-    side = 1 if update else -1
-    order = F.col(arrival) if arrival else F.lit(0)
-    fresh = new.select(*cols, F.lit(side).alias("_side"), order.cast("string" if arrival is None else new.schema[arrival].dataType).alias("_order"))
-    stored = old.select(*cols, F.lit(0).alias("_side"), F.lit(None).cast(fresh.schema["_order"].dataType).alias("_order"))
-    w = Window.partitionBy(*keys).orderBy(F.desc("_side"), F.desc("_order"))
-    return stored.unionByName(fresh).withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", "_side", "_order")
+    fresh = new.select(*cols, F.lit(1 if update else -1).alias("_side"))
+    stored = old.select(*cols, F.lit(0).alias("_side"))
+    order = ([F.desc(arrival)] if arrival else []) + [F.desc("_side")]
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return stored.unionByName(fresh).withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", "_side")
 
 
 def replace_keys(old: DataFrame, new: DataFrame, entity: str, keys: Sequence[str], types: Sequence[str], type_col: str = "period_type") -> DataFrame:
@@ -66,23 +72,28 @@ def write_partitions(df: DataFrame, path: str, partition_by: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition_by).parquet(path)
 
 
-def table_exists(spark: SparkSession, path: str) -> bool:
+def _hadoop(spark: SparkSession, path: str):
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def table_exists(spark: SparkSession, path: str) -> bool:
+    system, p = _hadoop(spark, path)
+    return system.exists(p)
 
 
 def upsert_table(batch: DataFrame, path: str, keys: Sequence[str], partition_by: str, arrival: str | None = None) -> None:
     """Merge a batch into a partitioned table. Only the touched partitions are read and rewritten; the merged rows go to a
-    staging table first, so the table is never read while it is replaced."""
+    staging table first, so the table is never read while it is replaced, and the staging table goes when they are in place."""
     spark = batch.sparkSession
-    cols = [c for c in batch.columns if c != arrival]
     if table_exists(spark, path):
         touched = batch.select(partition_by).distinct()
-        old = spark.read.parquet(path).join(F.broadcast(touched), partition_by, "left_semi")
-        merged = upsert(old.select(*cols), batch, keys, arrival=arrival)
+        old = spark.read.parquet(path).join(F.broadcast(touched), partition_by, "left_semi").select(*batch.columns)
+        merged = upsert(old, batch, keys, arrival=arrival)
     else:
-        w = Window.partitionBy(*keys).orderBy(F.desc(arrival) if arrival else F.lit(1))
-        merged = batch.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").select(*cols)
+        merged = upsert(batch.limit(0), batch, keys, arrival=arrival)
     staging = f"{checkpoint_dir(spark)}/bourseflow/staging/{uuid.uuid4().hex}"
     merged.write.parquet(staging)
-    write_partitions(spark.read.parquet(staging), path, partition_by)
+    write_partitions(spark.read.schema(merged.schema).parquet(staging), path, partition_by)
+    system, p = _hadoop(spark, staging)
+    system.delete(p, True)

@@ -3,45 +3,43 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from bourseflow.operators import cleaning, prices
-from bourseflow.operators.incremental import feed_filings
+from bourseflow.operators.incremental import annual_reports
 from bourseflow.session import checkpoint_dir
 from bourseflow.sources.files import table_exists, upsert_table, write_partitions
-from bourseflow.sources.market_tables import Tables
 
 
-class StreamTables(Tables):
-    """The same tables, with one raw table read as a stream of files."""
+def land(df: DataFrame, path: str, part: Column, parts: int) -> DataFrame:
+    """Write a table as files that landed one after another, and read them as a stream of at least `parts` batches.
 
-    def __init__(self, spark: SparkSession, folder: str, streamed: str, files_per_trigger: int = 1):
-        super().__init__(spark, folder)
-        self.streamed, self.files = streamed, files_per_trigger
-
-    def raw(self, name: str) -> DataFrame:
-        if name != self.streamed:
-            return super().raw(name)
-        schema = super().raw(name).schema
-        return (self.spark.readStream.schema(schema).option("maxFilesPerTrigger", self.files)
-                .option("pathGlobFilter", f"{name}.parquet").parquet(self.folder))
+    `part` (0 to parts - 1) says when a row lands; each landing is a folder of its own, written after the one before."""
+    for k in range(parts):
+        df.where(part == k).write.parquet(f"{path}/landed-{k}")
+    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/landed-*")
 
 
 def workspace(spark: SparkSession) -> str:
     return f"{checkpoint_dir(spark)}/bourseflow/streams/{uuid.uuid4().hex}"
 
 
+def month(day: str) -> Column:
+    return F.date_format(day, "yyyy-MM")
+
+
 def finish(query: StreamingQuery) -> None:
     """Wait for a bounded run; a failed query raises here."""
     query.awaitTermination()
 
 
 def bars_upsert(bars: DataFrame, stocks: DataFrame, target: str, quarantine: str, checkpoint: str, now: str) -> StreamingQuery:
-    """Landed bars -> cleaning -> merge into the yearly partitions. A replayed batch leaves the table as it was."""
+    """Landed bars -> cleaning -> merge into the monthly partitions. The greatest arrival of a key wins, whichever batch brings it;
+    the table keeps it. A replayed batch leaves the table as it was."""
     def load(batch: DataFrame, batch_id: int) -> None:
         good, bad = cleaning.clean_bars(batch, stocks, now)
-        upsert_table(good.withColumn("year", F.year("trade_date")), target, ["stock_id", "trade_date"], "year")
+        upsert_table(good.withColumn("month", month("trade_date")), target, ["stock_id", "trade_date"], "month", arrival="arrival")
         write_partitions(bad.withColumn("batch", F.lit(batch_id)), quarantine, "batch")
     return bars.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -50,7 +48,7 @@ def feed_dedupe(filings: DataFrame, target: str, checkpoint: str, cursor: str =
     """New annual reports, each receipt number once, late repeats within two days included."""
     new = filings.withWatermark("filed_at", "2 days")
     if cursor:
-        new = feed_filings(new, cursor)
+        new = annual_reports(new, cursor)
     new = new.dropDuplicatesWithinWatermark(["rcept_no"])
     return (new.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint)
             .outputMode("append").trigger(availableNow=True).start())
@@ -63,20 +61,21 @@ def log_quality(logs: DataFrame, target: str, checkpoint: str) -> StreamingQuery
               .select(F.col("window.start").cast("date").alias("day"), "job_type", "success", "failed", "skipped"))
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        upsert_table(batch, target, ["day", "job_type"], "job_type")
+        upsert_table(batch, target, ["day", "job_type"], "day")
     return (counts.writeStream.foreachBatch(save).outputMode("update").option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
-def volume_surge(bars: DataFrame, history: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """New bars of each batch against the stored sessions before them."""
+def volume_surge(bars: DataFrame, store: str, target: str, checkpoint: str) -> StreamingQuery:
+    """Each batch of bars goes into the stored bars first (monthly partitions, greatest arrival wins); the stocks it touched are then
+    scored from the stored bars, so bars of earlier batches and late ones count. One row per stock and newest session."""
     def score(batch: DataFrame, batch_id: int) -> None:
-        fresh = batch.select("stock_id", "trade_date", "volume")
-        days = fresh.groupBy("stock_id").agg(F.min("trade_date").alias("from_day"))
-        old = history.join(days, "stock_id").where("trade_date < from_day").select("stock_id", "trade_date", "volume")
-        both = old.unionByName(fresh).withColumn("close", F.lit(None).cast("decimal(18,4)"))
-        out = prices.volume_surge(both, days).withColumn("batch", F.lit(batch_id))
-        write_partitions(out, target, "batch")
+        spark = batch.sparkSession
+        fresh = batch.select("stock_id", "trade_date", "volume", "arrival", month("trade_date").alias("month"))
+        upsert_table(fresh, store, ["stock_id", "trade_date"], "month", arrival="arrival")
+        bars_now = spark.read.parquet(store).select("stock_id", "trade_date", "volume", F.lit(None).cast("decimal(18,4)").alias("close"))
+        out = prices.volume_surge(bars_now, fresh.select("stock_id").distinct())
+        upsert_table(out.withColumn("month", month("as_of")), target, ["stock_id", "as_of"], "month")
     return bars.writeStream.foreachBatch(score).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
@@ -86,9 +85,9 @@ def fx_latest(fx: DataFrame, target: str, checkpoint: str, now: str, ttl_hours:
     limit = F.lit(now).cast("timestamp") - F.expr(f"make_dt_interval(0, 0, 0, {ttl_hours * 3600})")
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        upsert_table(batch.withColumn("stale", F.col("rate_at") <= limit), target, ["granularity"], "granularity")
+        upsert_table(batch.withColumn("stale", F.col("rate_at") <= limit), target, ["granularity"], "granularity", arrival="rate_at")
     return (newest.writeStream.foreachBatch(save).outputMode("update").option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
-__all__ = ["StreamTables", "bars_upsert", "feed_dedupe", "finish", "fx_latest", "log_quality", "table_exists", "volume_surge", "workspace"]
+__all__ = ["bars_upsert", "feed_dedupe", "finish", "fx_latest", "land", "log_quality", "table_exists", "volume_surge", "workspace"]

@@ -15,7 +15,12 @@ SELECT b.*, CASE WHEN trade_date=DATE '2001-10-31' THEN '{K.BAD_UNFINISHED}' WHE
  WHEN b.open IS NULL OR high IS NULL OR low IS NULL OR volume IS NULL THEN '{K.BAD_NO_OHLCV}' WHEN b.close<=0 OR low<=0 THEN '{K.BAD_PRICE}'
  WHEN high<low THEN '{K.BAD_HIGH_LOW}' WHEN volume<0 THEN '{K.BAD_VOLUME}' END reason FROM rawb b"""
 SQL["clean_bars"] = compose(f"SELECT stock_id, CAST(trade_date AS VARCHAR) trade_date, j.open, {r('high', 4)} high, {r('low', 4)} low, {r('j.close', 4)} AS close, volume FROM judged j WHERE reason IS NULL")
-SQL["quarantine_sink"] = compose("SELECT reason, count(*) rows FROM judged WHERE reason IS NOT NULL GROUP BY 1")
+SQL["quarantine_sink"] = compose(f"""
+SELECT reason, stock_id, CAST(trade_date AS VARCHAR) trade_date, '{{' || array_to_string(list_filter([
+  '"stock_id":' || stock_id, '"trade_date":"' || trade_date || '"', '"open":' || printf('%.4f', x.open), '"high":' || printf('%.4f', high),
+  '"low":' || printf('%.4f', low), '"close":' || printf('%.4f', x.close), '"volume":' || volume], lambda y: y IS NOT NULL), ',') || '}}' AS row
+FROM (SELECT stock_id, trade_date, j.open, high, low, j.close, volume, reason FROM judged j WHERE reason IS NOT NULL
+ UNION ALL SELECT stock_id + 1000000, trade_date, b.open, high, low, b.close, volume, '{K.BAD_UNKNOWN}' FROM rawb b WHERE day(trade_date)=12 AND stock_id%5=2) x""")
 SQL["clean_unfinished_session"] = compose("SELECT p.stock_id, CAST(trade_date AS VARCHAR) trade_date, s.timezone FROM prices p JOIN stocks s ON s.stock_id=p.stock_id WHERE trade_date=DATE '2001-10-31'")
 SQL["clean_dedupe"] = "SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) rn FROM events) WHERE rn=1"
 SQL["clean_fx_spike"] = compose(f"""
@@ -130,3 +135,25 @@ SELECT stock_id, ticker, CASE WHEN stock_id%4<>2 THEN company WHEN sic<2500 THEN
 SQL["incr_feed_cursor"] = compose("SELECT max(rcept_no) last_rcept_no, CAST(CAST(arg_max(filed_at, rcept_no) AS DATE) AS VARCHAR) last_rcept_dt FROM disclosures WHERE rcept_no>'00000000000007'")
 SQL["refresh_retry"] = compose("""SELECT DISTINCT l.job_type, l.stock_id FROM logs l JOIN (SELECT job_type, max(started_at) s FROM logs WHERE logs.source='REFRESH' AND status='FAILED' GROUP BY 1) x ON x.job_type=l.job_type
 WHERE l.source<>'REFRESH' AND l.status='FAILED' AND l.started_at>=x.s AND l.finished_at<=x.s+INTERVAL 1 DAY AND x.s+INTERVAL 1 DAY>TIMESTAMP '2024-01-29 00:00:00'""")
+
+CTES["stopped"] = """
+SELECT p.stock_id FROM (SELECT s.stock_id, s.country, max(p.trade_date) last FROM prices p JOIN stocks s ON s.stock_id=p.stock_id GROUP BY 1, 2) p
+JOIN (SELECT country, trade_date cut FROM (SELECT *, row_number() OVER (PARTITION BY country ORDER BY trade_date DESC) rk FROM (
+  SELECT DISTINCT s.country, p.trade_date FROM prices p JOIN stocks s ON s.stock_id=p.stock_id WHERE s.is_active AND s.coverage<>'listed' AND p.trade_date>=DATE '2001-11-04'-120)) WHERE rk=21) c
+ ON c.country=p.country WHERE p.last<c.cut"""
+CTES["choice"] = """
+SELECT s.stock_id, s.country, s.company, s.coverage, t.theme, v.market_cap size FROM stocks s JOIN theme t ON t.stock_id=s.stock_id AND t.family<>'none'
+LEFT JOIN lv v ON v.stock_id=s.stock_id WHERE s.is_active AND s.stock_id NOT IN (SELECT stock_id FROM stopped)"""
+CTES["choice_steps"] = """
+SELECT theme, country, greatest(0, 2-count(*) FILTER (WHERE coverage='featured')) quota, row_number() OVER (ORDER BY theme, country) k FROM choice GROUP BY 1, 2"""
+CTES["choice_lists"] = """
+SELECT s.k, s.theme, s.country, s.quota, list({'id': c.stock_id, 'company': c.company, 'key': c.country || c.company} ORDER BY c.size DESC, c.stock_id) FILTER (WHERE c.stock_id IS NOT NULL) c
+FROM choice_steps s LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY country, theme, company ORDER BY size DESC, stock_id) n FROM choice
+ WHERE coverage<>'featured' AND size IS NOT NULL AND company IS NOT NULL) WHERE n=1) c ON c.theme=s.theme AND c.country=s.country GROUP BY 1, 2, 3, 4"""
+CTES["choice_run"] = """
+SELECT CAST(0 AS BIGINT) k, (SELECT coalesce(list(country || company), []) FROM choice WHERE coverage='featured' AND company IS NOT NULL) taken, CAST([] AS STRUCT(id BIGINT, company VARCHAR, key VARCHAR)[]) fresh
+UNION ALL SELECT k, list_concat(taken, list_transform(fresh, lambda y: y.key)), fresh FROM (
+ SELECT a.k, x.taken, list_slice(list_filter(coalesce(a.c, []), lambda y: NOT list_contains(x.taken, y.key)), 1, a.quota) fresh FROM "choice_run" x JOIN choice_lists a ON a.k=x.k+1)"""
+SQL["benchmark_select"] = compose("""
+SELECT y.id stock_id, l.country, l.theme, y.company, CAST(n AS INT) place FROM choice_run r JOIN choice_lists l ON l.k=r.k,
+ LATERAL (SELECT unnest(r.fresh) y, unnest(range(1, len(r.fresh)+1)) n) u""").replace("WITH ", "WITH RECURSIVE ", 1)

@@ -194,9 +194,10 @@ FROM ssc s JOIN sinp i ON i.stock_id=s.stock_id AND i.snapshot=s.snapshot LEFT J
  SELECT stock_id, snapshot, string_agg(metric || '=' || coalesce(null_note,'no data'), '; ' ORDER BY metric || '=' || coalesce(null_note,'no data')) missing
  FROM sml WHERE raw_value IS NULL GROUP BY 1,2) m ON m.stock_id=s.stock_id AND m.snapshot=s.snapshot"""
 SQL["sc_quality_struct"] = compose(f"SELECT * REPLACE (CAST(snapshot AS VARCHAR) AS snapshot) FROM squal")
-SQL["sc_presets_validate"] = compose("""SELECT 'growth_old' preset, 'sum' problem UNION ALL SELECT 'half', 'factors'""")
 # ------------------------------------------------------------------ positions
 CTES["slast"] = "SELECT * FROM ssc WHERE snapshot=(SELECT max(snapshot) FROM snaps)"
+SQL["sc_presets_validate"] = compose("""SELECT x.preset, problem, coalesce(n.scored, 0) scored FROM (SELECT 'growth_old' preset, 'sum' problem UNION ALL SELECT 'half', 'factors') x
+LEFT JOIN (SELECT preset, count(score) scored FROM slast GROUP BY 1) n ON n.preset=x.preset""")
 CTES["fpos"] = " UNION ALL ".join(
     f"SELECT stock_id, preset, country, family, group_id, '{f}' factor, {f}_score score FROM slast WHERE composite IS NOT NULL AND {f}_score IS NOT NULL"
     for f in K.FACTORS)
@@ -228,8 +229,9 @@ SELECT a.country, a.family, a.preset, count(*) members, count(a.score) scored FR
 SQL["score_contribution"] = compose(f"""
 SELECT s.stock_id, s.preset, p.factor, p.weight, CASE WHEN s.composite IS NOT NULL THEN {r("p.weight*x.v", 4)} END contribution
 FROM slast s JOIN presets p ON p.preset=s.preset JOIN LATERAL (SELECT CASE p.factor {' '.join(f"WHEN '{f}' THEN s.{f}_score" for f in K.FACTORS)} END v) x ON true WHERE x.v IS NOT NULL""")
-SQL["presets_table"] = compose("SELECT preset, sort_order, is_default, " + ", ".join(
-    f"max(weight) FILTER (WHERE factor='{f}') {f}" for f in K.FACTORS) + " FROM presets GROUP BY 1,2,3")
+SQL["presets_table"] = compose("SELECT p.*, coalesce(n.scored, 0) scored FROM (SELECT preset, sort_order, is_default, " + ", ".join(
+    f"max(weight) FILTER (WHERE factor='{f}') {f}" for f in K.FACTORS) + """ FROM presets GROUP BY 1,2,3) p
+LEFT JOIN (SELECT preset, count(score) scored FROM slast GROUP BY 1) n ON n.preset=p.preset""")
 SQL["home_attractiveness"] = compose("""
 SELECT country, family, rank, stock_id, ticker, name, market, value FROM (
  SELECT l.country, l.family, rank() OVER w AS rank, row_number() OVER (PARTITION BY l.country, l.family ORDER BY l.score DESC, l.stock_id) o, s.stock_id, s.ticker, s.name, s.market, l.score AS value

@@ -88,12 +88,15 @@ def test_zero_equity(spark):
 
 def test_upsert_is_idempotent(spark, tmp_path):
     path = str(tmp_path / "t")
-    a = spark.createDataFrame([(1, 2020, 1.0), (2, 2021, 2.0)], "k int, year int, v double")
-    b = spark.createDataFrame([(2, 2021, 5.0), (3, 2021, 7.0), (3, 2021, 8.0)], "k int, year int, v double").withColumn("seq", F.col("v"))
-    files.upsert_table(a, path, ["k"], "year")
+    a = spark.createDataFrame([(1, 2020, 1.0, 1), (2, 2021, 2.0, 1)], "k int, year int, v double, seq int")
+    b = spark.createDataFrame([(2, 2021, 5.0, 2), (3, 2021, 7.0, 1), (3, 2021, 8.0, 3)], a.schema)
+    late = spark.createDataFrame([(3, 2021, 9.0, 2), (1, 2020, 4.0, 1)], a.schema)
+    files.upsert_table(a, path, ["k"], "year", arrival="seq")
     for _ in range(2):
         files.upsert_table(b, path, ["k"], "year", arrival="seq")
         assert sorted((r.k, r.v) for r in spark.read.parquet(path).collect()) == [(1, 1.0), (2, 5.0), (3, 8.0)]
+    files.upsert_table(late, path, ["k"], "year", arrival="seq")      # an older row does not win, an equally old one of a newer batch does
+    assert sorted((r.k, r.v) for r in spark.read.parquet(path).collect()) == [(1, 4.0), (2, 5.0), (3, 8.0)]
 
 
 def test_statement_files(spark, tmp_path):
@@ -111,10 +114,18 @@ def test_statement_files(spark, tmp_path):
 
 
 def test_csv_import(spark, tmp_path):
-    (tmp_path / "v.csv").write_text("market,ticker,as_of,per\nKOSPI,005930,2024-01-02,\nKOSPI,000660,2024-01-02,8.5\n", encoding="utf-8")
+    (tmp_path / "v.csv").write_text("market,ticker,as_of,per\nKOSPI,005930,2024-01-02,\nKOSPI,000660,2024-01-02,8.5\nKOSPI,9,2024-01-02,1\n", encoding="utf-8")
     dims = spark.createDataFrame([("KOSPI", "005930", 1), ("KOSPI", "000660", 2)], "market string, ticker string, stock_id int")
-    got = files.read_csv(spark, str(tmp_path / "v.csv"), "market string, ticker string, as_of date, per double", dims, ["market", "ticker"], "stock_id")
+    got, bad = files.read_csv(spark, str(tmp_path / "v.csv"), "market string, ticker string, as_of date, per double", dims, ["market", "ticker"], "stock_id")
     assert sorted((r.stock_id, r.per) for r in got.collect()) == [(1, None), (2, 8.5)]
+    assert [tuple(r) for r in bad.collect()] == [("unknown natural key", '{"market":"KOSPI","ticker":"9","as_of":"2024-01-02","per":1.0}')]
+
+
+def test_bars_of_unknown_stocks_are_rejected_not_dropped(spark):
+    raw = spark.createDataFrame([(1, date(2024, 1, 2), 1.0, 2.0, 1.0, 1.5, 5, 1), (2, date(2024, 1, 2), 1.0, 2.0, 1.0, 1.5, 5, 1)],
+                                "stock_id long, trade_date date, open double, high double, low double, close double, volume long, arrival int")
+    good, bad = cleaning.clean_bars(raw, spark.createDataFrame([(1, "Asia/Seoul")], "stock_id long, timezone string"), "2024-01-05 05:00:00")
+    assert [r.stock_id for r in good.collect()] == [1] and [(r.stock_id, r.reason) for r in bad.collect()] == [(2, "unknown natural key")]
 
 
 def test_registered_names_and_sql_agree():
