@@ -14,17 +14,19 @@ letters tell nothing: the most frequent language with its share as score; ties g
 ignored by `predict`; `accepted` keeps them. Empty tables give no rows."""
 from __future__ import annotations
 
-import re
-from collections import Counter
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from bourseflow.llm.common import stored
+from bourseflow.llm.common import MIX_1, U, mix, slices, stored
 
-WORD = re.compile(r"[^\W\d_]+")
+#: What stands between words: anything but letters.
+GAP = r"[^\pL]+"
 
 
 @dataclass(frozen=True)
@@ -39,44 +41,86 @@ class Settings:
     least_score: float = 0.5         # a document below is rejected
 
 
+@dataclass
+class Table:
+    """Scores by key: sorted hashes of the keys and a row of log frequencies (relative to the languages' mean) for each."""
+    keys: np.ndarray
+    scores: np.ndarray
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Row of each hash, -1 where it is not known."""
+        if not len(self.keys):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+        return np.where(self.keys[at] == hashes, at, -1)
+
+
+def word_keys(words: list[str]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
+
+
+def gram_keys(codes: np.ndarray, length: int) -> np.ndarray:
+    """Hash of the `length` letters from each place on."""
+    h = np.zeros(max(0, len(codes) - length + 1), np.uint64)
+    for k in range(length):
+        h = (h + codes[k:k + len(h)] + U(k + 1)) * MIX_1
+        h ^= h >> U(29)
+    return mix(h)
+
+
+def letters(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """All words with a blank at both ends as one array of code points, and where each begins (and the last ends)."""
+    codes = np.frombuffer("".join(f" {w} " for w in words).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    return codes, np.concatenate([[0], np.cumsum(np.fromiter((len(w) + 2 for w in words), np.int64, len(words)))])
+
+
 @dataclass
 class Model:
     names: list[str]
     prior: np.ndarray
-    words: dict[str, np.ndarray]
-    grams: list[dict[str, np.ndarray]]           # by length, from the longest
-    cache: dict[str, np.ndarray] = field(default_factory=dict)
-
-    def __getstate__(self):
-        return {**self.__dict__, "cache": {}}
-
-    def of_word(self, word: str) -> np.ndarray:
-        found = self.words.get(word)
-        if found is not None:
-            return found
-        padded = f" {word} "
-        for table in self.grams:
-            if table:
-                n = len(next(iter(table)))
-                known = [v for k in range(len(padded) - n + 1) if (v := table.get(padded[k:k + n])) is not None]
-                if known:
-                    return np.mean(known, axis=0)
-        return np.zeros(len(self.names))
-
-    def scores(self, text: str | None) -> tuple[str, float]:
-        counts = Counter(WORD.findall((text or "").lower()))
-        if not self.names or not any(c.isalpha() for w in counts for c in w):
-            return "und", 0.0
-        total = np.log(self.prior)
-        for word, n in counts.items():
-            v = self.cache.get(word)
-            if v is None:
-                if len(self.cache) > 300_000:
-                    self.cache.clear()
-                v = self.cache[word] = self.of_word(word)
-            total = total + n * v
-        best = int(np.argmax(total))
-        return self.names[best], float(1 / np.exp(total - total[best]).sum())
+    words: Table
+    grams: dict[int, Table]          # by length
+
+    def of_words(self, words: list[str]) -> np.ndarray:
+        """Scores of different words, one row each: of the word itself, else of the longest length of which an n-gram is known."""
+        row = self.words.find(word_keys(words))
+        out = np.zeros((len(words), len(self.names)))
+        out[row >= 0] = self.words.scores[row[row >= 0]]
+        todo = np.flatnonzero(row < 0)
+        if len(todo):
+            codes, at = letters([words[k] for k in todo])
+            size, left = np.diff(at), np.arange(len(todo))
+            for length in sorted(self.grams, reverse=True):
+                n = np.maximum(size[left] - length + 1, 0)
+                of = np.repeat(np.arange(len(left)), n)
+                place = np.repeat(at[left] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                row = self.grams[length].find(gram_keys(codes, length)[place])
+                of, row = of[row >= 0], row[row >= 0]
+                known = np.bincount(of, minlength=len(left))
+                done = known > 0
+                for k in range(len(self.names)):
+                    total = np.bincount(of, self.grams[length].scores[row, k], minlength=len(left))
+                    out[todo[left[done]], k] = total[done] / known[done]
+                left = left[~done]
+                if not len(left):
+                    break
+        return out
+
+    def scores(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
+        """Language and score of each text."""
+        parts = pc.split_pattern_regex(pc.utf8_lower(pc.fill_null(texts, "")), GAP)
+        parent, words = pc.list_parent_indices(parts).to_numpy(zero_copy_only=False), pc.list_flatten(parts)
+        full = pc.greater(pc.binary_length(words), 0)
+        parent, coded = parent[full.to_numpy(zero_copy_only=False)], words.filter(full).dictionary_encode()
+        pred, score = np.full(len(texts), -1), np.zeros(len(texts))
+        if self.names and len(parent):
+            each = self.of_words(coded.dictionary.to_pylist())
+            first = np.flatnonzero(np.concatenate([[True], parent[1:] != parent[:-1]]))
+            total = np.add.reduceat(each[coded.indices.to_numpy(zero_copy_only=False)], first, axis=0) + np.log(self.prior)
+            best = total.argmax(axis=1)
+            pred[parent[first]] = best
+            score[parent[first]] = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
+        return [self.names[k] if k >= 0 else "und" for k in pred], score
 
 
 def _table(counts: DataFrame, key: str, most: int, s: Settings) -> DataFrame:
@@ -92,42 +136,45 @@ def learn(labelled: DataFrame, s: Settings = Settings()) -> Model:
               .limit(s.languages).collect()}
     names = sorted(counts)
     if not names:
-        return Model([], np.empty(0), {}, [])
+        return Model([], np.empty(0), Table(np.empty(0, np.uint64), np.empty((0, 0))), {})
     share = min(1.0, s.sample_rows / sum(counts.values()))
     chosen = rows.where(F.pmod(F.xxhash64(F.lit("sample"), "text"), F.lit(1_000_000)) < int(share * 1_000_000)).where(F.col("lang").isin(names))
     words = chosen.select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")).where("word <> ''")
     words = stored(words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")), "language-words")
     padded = F.concat(F.lit(" "), "word", F.lit(" "))
-    tables = [_table(words, "word", s.words, s).collect()]
+
+    def scored(found: list, keys: np.ndarray) -> Table:
+        n = np.array([[r["by"].get(x, 0) for x in names] for r in found], float).reshape(len(found), len(names))
+        v = np.log((n + s.smoothing) / (n.sum(axis=0) + s.smoothing * (len(found) + 1)))
+        order = np.argsort(keys)
+        return Table(keys[order], (v - v.mean(axis=1, keepdims=True))[order])
+    found = _table(words, "word", s.words, s).collect()                                 # at most s.words rows
+    known, grams = scored(found, word_keys([r["word"] for r in found])), {}
     for length in range(s.longest, 0, -1):
         at = F.sequence(F.lit(1), F.length(padded) - length + 1)
         cut = words.where(F.length(padded) >= length).select(
             "lang", "n", F.explode(F.transform(at, lambda i: F.substring(padded, i, F.lit(length)))).alias("gram"))
-        tables.append(_table(cut.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "gram", s.grams, s).collect())
-
-    def logs(found) -> dict[str, np.ndarray]:
-        if not found:
-            return {}
-        n = np.array([[r["by"].get(x, 0) for x in names] for r in found], float)
-        v = np.log((n + s.smoothing) / (n.sum(axis=0) + s.smoothing * (len(found) + 1)))
-        return dict(zip((r[0] for r in found), v - v.mean(axis=1, keepdims=True)))
+        found = _table(cut.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "gram", s.grams, s).collect()
+        codes = np.frombuffer("".join(r["gram"] for r in found).encode("utf-32-le"), np.uint32).astype(np.uint64)
+        grams[length] = scored(found, gram_keys(codes, length)[::length] if found else np.empty(0, np.uint64))
     prior = np.array([counts[x] for x in names], float)
-    return Model(names, prior / prior.sum(), logs(tables[0]), [logs(t) for t in tables[1:]])
+    return Model(names, prior / prior.sum(), known, grams)
 
 
 def predict(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     """One row per row: doc_id, the columns of `keep`, lang_pred, score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)             # at most words + longest * grams entries
+    names = ["doc_id", *keep]
 
     def run(batches):
-        for batch in batches:
-            found = [shared.value.scores(t) for t in batch.pop("_text")]
-            batch["lang_pred"] = [x for x, _ in found]
-            batch["score"] = np.array([y for _, y in found], float)
-            yield batch
-    rows = docs.select("doc_id", *keep, F.col("text").alias("_text"))
+        for whole in batches:
+            for batch in slices(whole, "_text"):
+                pred, score = shared.value.scores(batch.column("_text"))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(pred, pa.string()), pa.array(score)],
+                                                 [*names, "lang_pred", "score"])
+    rows = docs.select(*names, F.col("text").alias("_text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("_text").schema.fields)
-    return rows.mapInPandas(run, f"{fields}, lang_pred string, score double")
+    return rows.mapInArrow(run, f"{fields}, lang_pred string, score double")
 
 
 def held_out(docs: DataFrame) -> DataFrame:
@@ -148,6 +195,9 @@ def accepted(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
 
     @F.pandas_udf("boolean")
     def told(texts: pd.Series) -> pd.Series:
-        found = [shared.value.scores(t) for t in texts]
-        return pd.Series([x != "und" and y >= s.least_score for x, y in found], dtype=bool)
+        out = []
+        for part in slices(pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"]), "text"):
+            pred, score = shared.value.scores(part.column("text"))
+            out += [x != "und" and y >= s.least_score for x, y in zip(pred, score)]
+        return pd.Series(out, dtype=bool)
     return docs.where(told("text"))
