@@ -30,7 +30,7 @@ class Settings:
     near: float = 0.4                # smoothness between neighbours
     shared: float = 1.2              # more of it for a wholly shared place in the tree
     sibling: float = 0.5             # between a block and the next under its parent
-    place: float = 6.0               # log-odds of a telling place
+    place: float = 10.0              # log-odds of a telling place: more than text and all ties of a block together
     most: float = 4.0                # greatest log-odds of the text
 
 
