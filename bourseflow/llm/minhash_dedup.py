@@ -152,7 +152,9 @@ def long_signatures(docs: DataFrame, s: Settings) -> DataFrame:
 
 
 def across(left: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
-    """left: (key, id, c), posting lists with more than one component c. Pairs (a, b) across components that may be similar enough."""
+    """left: (key, id, c), posting lists with more than one component c. Pairs (a, b) across components that may be similar enough.
+
+    A document carries the keys of all its lists (no more than the prefix is long), and a pair is handed on by the first list it shares."""
     ids = stored(left.select(F.col("id").alias("doc_id")).distinct(), "unsettled-ids")
     sketched = stored(long_signatures(docs.join(small_side(ids, BROADCAST_ROWS), "doc_id", "left_semi"), s), "long-signatures")
     sizes = stored(left.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / s.block).cast("int").alias("blocks")), "list-blocks")
@@ -160,12 +162,16 @@ def across(left: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
     # a document goes to all pairs of blocks that hold its own
     spread = held.select("key", "id", "c", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o")).select(
         "key", "id", "c", F.least("own", "o").alias("x"), F.greatest("own", "o").alias("y"), (F.col("own") > F.col("o")).cast("int").alias("side"))
+    carried = left.groupBy("id").agg(F.sort_array(F.collect_set("key")).alias("lists"))
+    sketched = stored(sketched.join(carried, "id"), "sketched")
     least, percent = s.least_long, s.percent
 
     def run(group: pa.Table) -> pa.Table:
+        key = group["key"][0].as_py()
         group = group.combine_chunks()
         ids, c, side, n = (group[k].to_numpy() for k in ("id", "c", "side", "n"))
         sig = np.frombuffer(b"".join(group["sketch"].to_pylist()), np.uint8).reshape(len(ids), -1)
+        lists = [set(x) for x in group["lists"].to_pylist()]
         alone = group["x"][0].as_py() == group["y"][0].as_py()
         left, right = (np.arange(len(ids)),) * 2 if alone else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
         out_a, out_b = [], []
@@ -173,6 +179,7 @@ def across(left: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
             to = right[right > i] if alone else right
             to = to[(c[to] != c[i]) & (np.minimum(n[to], n[i]) * 100 >= np.maximum(n[to], n[i]) * percent)]
             to = to[(sig[to] == sig[i]).sum(axis=1) >= least]
+            to = to[[min(lists[i] & lists[j]) == key for j in to]] if len(to) else to
             out_a.append(np.maximum(ids[to], ids[i]))
             out_b.append(np.minimum(ids[to], ids[i]))
         none = [np.empty(0, np.int64)]
