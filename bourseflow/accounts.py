@@ -53,6 +53,12 @@ STATEMENT_LINES = {
                      ("영업활동현금흐름", "영업활동으로인한현금흐름", "영업활동으로부터의현금흐름", "영업활동순현금흐름")),
 }
 CORE_ACCOUNTS = ("revenue", "operating_income", "net_income", "total_assets", "total_equity", "total_debt")
+FLOW_ACCOUNTS = ("revenue", "operating_income", "net_income", "operating_cf", "comprehensive_income", "equity_method_income", "interest_expense", "nci_net_income")
+BALANCE_ACCOUNTS = ("total_assets", "total_equity", "total_debt", "cash", "goodwill")
+# money columns of a stored statement
+MONEY_ACCOUNTS = (*CORE_ACCOUNTS, "operating_cf", "comprehensive_income", "equity_method_income", "interest_expense", "nci_net_income", "cash", "goodwill",
+                  "intangibles", "borrowings")
+LINE_ACCOUNTS = tuple(STATEMENT_LINES)
 NAME_PREFIX = r"^[\sⅠⅡⅢⅣⅤⅥⅦⅧⅨⅩIVX\d\.\-]+"
 # columns of the bulk statement files (tab separated, cp949)
 BULK_COLUMNS = {"kind": "재무제표종류", "code": "종목코드", "period_end": "결산기준일", "report": "보고서종류",

@@ -4,7 +4,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from bourseflow import constants as K
-from bourseflow.accounts import CONCEPTS, CORE_ACCOUNTS, DIVIDEND_CONCEPTS, NAME_PREFIX, STATEMENT_LINES
+from bourseflow.accounts import (BALANCE_ACCOUNTS, CONCEPTS, CORE_ACCOUNTS, DIVIDEND_CONCEPTS, FLOW_ACCOUNTS, LINE_ACCOUNTS, MONEY_ACCOUNTS, NAME_PREFIX,
+                                 STATEMENT_LINES)
 from bourseflow.functions.exprs import half_up
 from bourseflow.sources.market_tables import literal_rows
 
@@ -65,14 +66,16 @@ def annual_from_facts(facts: DataFrame, years: int) -> DataFrame:
         F.array_join(F.array_sort(F.collect_list(F.when((F.col("priority") > 0) & F.col("account").isin(*CORE_ACCOUNTS), F.col("account")))), ",").alias("substitutes"))
     newest = Window.partitionBy("company").orderBy(F.desc("period_end"))
     wide = wide.where("is_year").withColumn("k", F.row_number().over(newest)).where(F.col("k") <= years)
-    return derive(wide).select("company", "period_end", *CORE_ACCOUNTS, "intangibles", "borrowings", "filed_at", "substitutes", "derived")
+    return derive(wide).select("company", "period_end", *MONEY_ACCOUNTS, "filed_at", "substitutes", "derived")
 
 
-def quarters_from_facts(facts: DataFrame, accounts: tuple[str, ...] = ("revenue", "operating_income", "net_income")) -> DataFrame:
-    """Three-month amounts: filed as such, else the difference of year-to-date amounts; Q4 = year minus nine months.
+def quarters_from_facts(facts: DataFrame, accounts: tuple[str, ...] = FLOW_ACCOUNTS) -> DataFrame:
+    """Three-month amounts: filed as such, else the difference of year-to-date amounts; Q4 = year minus nine months. Balances stand as
+    filed for the quarter's last day.
 
     A fiscal year has four quarters, so they are laid out side by side and the chain is written as plain expressions."""
-    a = by_account(facts, K.QUARTER_FORMS).where("duration").where(F.col("account").isin(*accounts, "revenue", "net_income"))
+    every = by_account(facts, K.QUARTER_FORMS)
+    a = every.where("duration").where(F.col("account").isin(*accounts, "revenue", "net_income"))
     year_ends = (a.where(days().between(350, 380) & F.col("account").isin("revenue", "net_income")).select("company", F.col("end").alias("fy_end")).distinct())
     prev = F.lag("fy_end").over(Window.partitionBy("company").orderBy("fy_end"))
     gap = F.datediff("fy_end", "prev")
@@ -105,7 +108,9 @@ def quarters_from_facts(facts: DataFrame, accounts: tuple[str, ...] = ("revenue"
                    row(3, "h3", F.coalesce(c("q3"), c("y3") - p3)), row(4, "fy_end", F.coalesce(c("y4") - p4, c("q4"))))
     out = q.where(c("account").isin(*accounts)).select("company", "account", F.inline(rows)).where("period_end IS NOT NULL")
     wide = out.groupBy("company", "period_end", "k").agg(*[half_up(F.max(F.when(c("account") == n, c("value"))), 2).alias(n) for n in accounts])
-    return wide.where(" OR ".join(f"{n} IS NOT NULL" for n in accounts))
+    held = every.where(~F.col("duration") & F.col("account").isin(*BALANCE_ACCOUNTS)).groupBy("company", F.col("end").alias("period_end")).agg(
+        *[half_up(F.max(F.when(c("account") == n, c("value"))), 2).alias(n) for n in BALANCE_ACCOUNTS])
+    return wide.where(" OR ".join(f"{n} IS NOT NULL" for n in accounts)).join(held, ["company", "period_end"], "left")
 
 
 def dividends(facts: DataFrame, today: str) -> DataFrame:
@@ -160,18 +165,18 @@ def annual_from_lines(lines: DataFrame) -> DataFrame:
     """Annual statements with blanks filled from the prior-year column of next year's report of the same kind."""
     acc = accounts_from_lines(lines)
     cell = lambda n, v: F.max(F.when(F.col("account") == n, F.col(v)))
-    wide = acc.groupBy("company", "period_end").agg(F.bool_or("consolidated").alias("consolidated"), *[cell(n, "amount").alias(n) for n in CORE_ACCOUNTS],
-                                                    *[cell(n, "prior_amount").alias(f"p_{n}") for n in CORE_ACCOUNTS])
+    wide = acc.groupBy("company", "period_end").agg(F.bool_or("consolidated").alias("consolidated"), *[cell(n, "amount").alias(n) for n in LINE_ACCOUNTS],
+                                                    *[cell(n, "prior_amount").alias(f"p_{n}") for n in LINE_ACCOUNTS])
     w = Window.partitionBy("company").orderBy("period_end")
     same = (F.lead("period_end").over(w) == F.add_months("period_end", 12)) & (F.lead("consolidated").over(w) == F.col("consolidated"))
-    nxt = {n: F.when(same, F.lead(f"p_{n}").over(w)) for n in CORE_ACCOUNTS}
-    filled = F.array_join(F.array_compact(F.array(*[F.when(F.col(n).isNull() & nxt[n].isNotNull(), F.lit(n)) for n in CORE_ACCOUNTS])), ",")
-    own = wide.select("company", "period_end", "consolidated", *[F.coalesce(F.col(n), nxt[n]).alias(n) for n in CORE_ACCOUNTS], filled.alias("filled"))
+    nxt = {n: F.when(same, F.lead(f"p_{n}").over(w)) for n in LINE_ACCOUNTS}
+    filled = F.array_join(F.array_compact(F.array(*[F.when(F.col(n).isNull() & nxt[n].isNotNull(), F.lit(n)) for n in LINE_ACCOUNTS])), ",")
+    own = wide.select("company", "period_end", "consolidated", *[F.coalesce(F.col(n), nxt[n]).alias(n) for n in LINE_ACCOUNTS], filled.alias("filled"))
     # a year without any report of its own is taken from next year's prior column
     years = wide.select("company", F.col("period_end").alias("have"))
-    before = wide.select("company", F.add_months("period_end", -12).alias("period_end"), "consolidated", *[F.col(f"p_{n}").alias(n) for n in CORE_ACCOUNTS],
+    before = wide.select("company", F.add_months("period_end", -12).alias("period_end"), "consolidated", *[F.col(f"p_{n}").alias(n) for n in LINE_ACCOUNTS],
                          F.lit("all").alias("filled"))
     first = wide.groupBy("company").agg(F.min("period_end").alias("first"))
     whole = (before.join(years, (before.company == years.company) & (before.period_end == years.have), "left_anti")
-             .join(first, "company").where("period_end > first").drop("first").where(" OR ".join(f"{n} IS NOT NULL" for n in CORE_ACCOUNTS)))
+             .join(first, "company").where("period_end > first").drop("first").where(" OR ".join(f"{n} IS NOT NULL" for n in LINE_ACCOUNTS)))
     return own.unionByName(whole)

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from bourseflow.accounts import CORE_ACCOUNTS
+from bourseflow.accounts import LINE_ACCOUNTS
 from bourseflow.functions.exprs import half_up
 from bourseflow.operators import prices, statements as st, valuations as va
 from bourseflow.plans.catalog import query
@@ -119,4 +119,4 @@ def shares_latest(t: Tables) -> DataFrame:
 @query("fin_account_map")
 def fin_account_map(t: Tables) -> DataFrame:
     a = st.annual_from_lines(sample_filings.lines(t))
-    return a.select("company", "period_end", "consolidated", *[half_up(c, 2).alias(c) for c in CORE_ACCOUNTS], "filled")
+    return a.select("company", "period_end", "consolidated", *[half_up(c, 2).alias(c) for c in LINE_ACCOUNTS], "filled")

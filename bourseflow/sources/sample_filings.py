@@ -38,11 +38,18 @@ def facts_sql(fy: str, q: str) -> str:
         b("Goodwill", "s.stock_id % 9 = 1", "500.0", none), b("IntangibleAssetsNetExcludingGoodwill", "s.stock_id % 9 < 3", "300.0", none),
         b("LongTermDebtNoncurrent", "s.stock_id % 10 < 4", "90.0", none), b("LongTermDebtCurrent", "s.stock_id % 10 < 2", "20.0", none),
         b("ShortTermBorrowings", "s.stock_id % 10 = 7", "5.0", none),
+        b("NetCashProvidedByUsedInOperatingActivities", "s.stock_id % 4 <> 2", V("net_income") + " + 3"),
+        b("ComprehensiveIncomeNetOfTaxIncludingPortionAttributableToNoncontrollingInterest", "s.stock_id % 3 = 0", V("net_income") + " + 4"),
+        b("IncomeLossFromEquityMethodInvestments", "s.stock_id % 5 = 1", "2.5"), b("NetIncomeLossAttributableToNoncontrollingInterest", "s.stock_id % 6 = 0", "1.5"),
+        b("CashAndCashEquivalentsAtCarryingValue", "s.stock_id % 2 = 0", V("total_assets") + " * 0.1", none),
     ]
-    for name, c in (("NetIncomeLoss", "net_income"), ("RevenueFromContractWithCustomerExcludingAssessedTax", "revenue"), ("OperatingIncomeLoss", "operating_income")):
+    for name, c in (("NetIncomeLoss", "net_income"), ("RevenueFromContractWithCustomerExcludingAssessedTax", "revenue"), ("OperatingIncomeLoss", "operating_income"),
+                    ("NetCashProvidedByUsedInOperatingActivities", "total_debt")):
         rows.append(_fact(name, V(c), q, "s.period_type <> 'Q4' AND (s.stock_id % 5 <> 3 OR s.period_type = 'Q1')", three, "'10-Q'", "s.period_end + 40"))
         rows.append(_fact(name, V(c) + " * 2", q, "s.period_type = 'Q2'", half, "'10-Q'", "s.period_end + 40"))
         rows.append(_fact(name, V(c) + " * 3", q, "s.period_type = 'Q3'", nine, "'10-Q'", "s.period_end + 40"))
+    rows.append(_fact("Assets", V("total_assets"), q, "s.period_type <> 'Q4'", none, "'10-Q'", "s.period_end + 40"))
+    rows.append(_fact("Liabilities", V("total_debt"), q, "s.stock_id % 8 <> 3", none, "'10-Q'", "s.period_end + 40"))
     rows.append(_fact("CommonStockDividendsPerShareDeclared", f"CAST({V('revenue')} / 1000000 AS DECIMAL(12,2))", fy, "s.stock_id % 3 = 1", year))
     rows.append(_fact("CommonStockDividendsPerShareCashPaid", "0.25 + s.stock_id % 4 * 0.5", q, "s.stock_id % 3 = 2", "s.period_end - 88", "'10-Q'", "s.period_end + 40"))
     return "\nUNION ALL ".join(rows)
@@ -73,6 +80,10 @@ def lines_sql(fy: str) -> str:
         line(6, "CIS", "'-'", "'매출액'", "revenue", "s.stock_id % 3 <> 1"),
         line(7, "IS", "'dart_OperatingIncomeLoss'", "'영업이익'", "operating_income", "s.stock_id % 5 <> 2 OR year(s.period_end) % 2 = 0"),
         line(8, "IS", "'ifrs-full_ProfitLoss'", "'당기순이익'", "net_income", "true"),
+        line(9, "BS", "'-'", "'1. 현금및현금성 자산'", "total_equity", "s.stock_id % 2 = 0"),
+        line(10, "BS", "'ifrs-full_Goodwill'", "'영업권'", "total_debt", "s.stock_id % 3 = 2"),
+        line(11, "CIS", "'dart_InterestExpense'", "'이자비용'", "operating_income", "s.stock_id % 4 = 1"),
+        line(12, "CF", "'-'", "'영업활동 현금흐름'", "net_income", "s.stock_id % 5 <> 0"),
     ])
 
 

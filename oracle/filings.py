@@ -2,7 +2,7 @@
 from __future__ import annotations
 
 from bourseflow import constants as K
-from bourseflow.accounts import CONCEPTS, CORE_ACCOUNTS, DIVIDEND_CONCEPTS, STATEMENT_LINES
+from bourseflow.accounts import BALANCE_ACCOUNTS, CONCEPTS, CORE_ACCOUNTS, DIVIDEND_CONCEPTS, FLOW_ACCOUNTS, LINE_ACCOUNTS, MONEY_ACCOUNTS, STATEMENT_LINES
 from bourseflow.sources import sample_filings as sf
 from oracle.ctes import CTES, compose, r
 from oracle import ingest as _ingest  # noqa: F401
@@ -90,18 +90,20 @@ FROM acc1 f WHERE NOT duration OR "end"-f.start BETWEEN 350 AND 380 GROUP BY 1,2
 CTES["acc3"] = """SELECT company, period_end, revenue, coalesce(operating_income, pretax+coalesce(interest_expense,0)) operating_income, net_income, total_assets, total_equity,
  coalesce(total_debt, liabilities_and_equity-coalesce(equity_with_nci,total_equity)) total_debt, coalesce(intangibles_total, CASE WHEN intangibles_other IS NOT NULL OR goodwill IS NOT NULL THEN coalesce(intangibles_other,0)+coalesce(goodwill,0) END) intangibles,
  CASE WHEN lt IS NOT NULL OR short_debt IS NOT NULL THEN coalesce(lt,0)+coalesce(short_debt,0) END borrowings, filed_at, substitutes,
+ operating_cf, comprehensive_income, equity_method_income, interest_expense, nci_net_income, cash, goodwill,
  concat_ws(',', CASE WHEN operating_income IS NULL AND pretax IS NOT NULL THEN 'operating_income' END, CASE WHEN total_debt IS NULL AND liabilities_and_equity IS NOT NULL AND coalesce(equity_with_nci,total_equity) IS NOT NULL THEN 'total_debt' END) derived
 FROM (SELECT *, coalesce(ltd_total, CASE WHEN ltd_noncurrent IS NOT NULL OR ltd_current IS NOT NULL THEN coalesce(ltd_noncurrent,0)+coalesce(ltd_current,0) END) lt,
  row_number() OVER (PARTITION BY company ORDER BY period_end DESC) k FROM acc2 WHERE is_year) WHERE k<=5"""
 SQL["fin_concept_priority"] = compose("SELECT company, CAST(period_end AS VARCHAR) period_end, CAST(filed_at AS VARCHAR) filed_at, substitutes, derived, "
- + ", ".join(f"CAST({c} AS DOUBLE) {c}" for c in (*CORE_ACCOUNTS, "intangibles", "borrowings")) + " FROM acc3")
+ + ", ".join(f"CAST({c} AS DOUBLE) {c}" for c in MONEY_ACCOUNTS) + " FROM acc3")
 SQL["fin_derive_missing"] = compose("SELECT company, CAST(period_end AS VARCHAR) period_end, CAST(operating_income AS DOUBLE) operating_income, CAST(total_debt AS DOUBLE) total_debt, derived FROM acc3 WHERE derived<>''")
 CTES["qacc"] = _accounts(K.QUARTER_FORMS)
 CTES["qspan"] = """SELECT company, fy_end, CASE WHEN fy_end-p BETWEEN 350 AND 380 THEN p+1 ELSE fy_end-364 END fy_start FROM (SELECT company, fy_end, lag(fy_end) OVER (PARTITION BY company ORDER BY fy_end) p FROM (
  SELECT DISTINCT company, "end" fy_end FROM qacc f WHERE duration AND account IN ('revenue','net_income') AND "end"-f.start BETWEEN 350 AND 380))"""
-CTES["qcell"] = """SELECT x.*, CASE WHEN e=fy_end THEN 4 ELSE least(3, greatest(1, CAST(round((e-fy_start)/91.3) AS INT))) END k FROM (
+flows = ", ".join(repr(a) for a in FLOW_ACCOUNTS)
+CTES["qcell"] = f"""SELECT x.*, CASE WHEN e=fy_end THEN 4 ELSE least(3, greatest(1, CAST(round((e-fy_start)/91.3) AS INT))) END k FROM (
  SELECT f.company, f.account, f.start st, f."end" e, f.value, s.fy_start, s.fy_end, CASE WHEN f."end"-f.start BETWEEN 350 AND 380 THEN 'year' WHEN f."end"-f.start BETWEEN 85 AND 100 THEN 'three' WHEN f."end"-f.start>=150 AND f."end"-f.start<350 THEN 'ytd' END kind
- FROM qacc f JOIN qspan s ON s.company=f.company AND f."end">s.fy_start AND f."end"<=s.fy_end WHERE f.duration AND account IN ('revenue','operating_income','net_income')) x
+ FROM qacc f JOIN qspan s ON s.company=f.company AND f."end">s.fy_start AND f."end"<=s.fy_end WHERE f.duration AND account IN ({flows})) x
 WHERE kind IS NOT NULL AND (kind<>'ytd' OR abs(st-fy_start)<=7) AND (e=fy_end OR e<fy_end-20)"""
 cell = lambda kd, k: f"max(value) FILTER (WHERE kind='{kd}' AND k={k})"
 CTES["qwide"] = f"""SELECT company, fy_end, account, {', '.join(f"{cell('three', i)} q{i}" for i in (1, 2, 3, 4))}, {cell('ytd', 2)} y2, {cell('ytd', 3)} y3, {cell('year', 4)} y4 FROM qcell GROUP BY 1,2,3"""
@@ -110,8 +112,10 @@ CTES["qchain"] = """SELECT w.*, h.h1, h.h2, h.h3, CASE WHEN h1 IS NOT NULL THEN
  coalesce(y3, CASE WHEN h2 IS NOT NULL THEN coalesce(y2, CASE WHEN h1 IS NOT NULL THEN q1 END+q2) END+q3) c3 FROM qwide w JOIN qhave h ON h.company=w.company AND h.fy_end=w.fy_end"""
 CTES["qlong"] = """SELECT company, account, 1 k, h1 period_end, q1 v FROM qchain UNION ALL SELECT company, account, 2, h2, coalesce(q2, y2-p2) FROM qchain
 UNION ALL SELECT company, account, 3, h3, coalesce(q3, y3-CASE WHEN h2 IS NOT NULL THEN c2 END) FROM qchain UNION ALL SELECT company, account, 4, fy_end, coalesce(y4-CASE WHEN h3 IS NOT NULL THEN c3 END, q4) FROM qchain"""
-SQL["fin_quarters"] = compose(f"""SELECT * FROM (SELECT company, CAST(period_end AS VARCHAR) period_end, k, {', '.join(f"{r(f'max(v) FILTER (WHERE account={a!r})', 2)} {a}" for a in ('revenue', 'operating_income', 'net_income'))}
- FROM qlong WHERE period_end IS NOT NULL GROUP BY 1,2,3) WHERE revenue IS NOT NULL OR operating_income IS NOT NULL OR net_income IS NOT NULL""")
+CTES["qheld"] = f"""SELECT company, "end" d, {', '.join(f"{r(f'max(value) FILTER (WHERE account={a!r})', 2)} {a}" for a in BALANCE_ACCOUNTS)} FROM qacc f WHERE NOT duration GROUP BY 1,2"""
+SQL["fin_quarters"] = compose(f"""SELECT q.* REPLACE (CAST(q.period_end AS VARCHAR) AS period_end), {', '.join('h.' + a for a in BALANCE_ACCOUNTS)} FROM (
+ SELECT company, period_end, k, {', '.join(f"{r(f'max(v) FILTER (WHERE account={a!r})', 2)} {a}" for a in FLOW_ACCOUNTS)}
+ FROM qlong WHERE period_end IS NOT NULL GROUP BY 1,2,3) q LEFT JOIN qheld h ON h.company=q.company AND h.d=q.period_end WHERE {' OR '.join(f"q.{a} IS NOT NULL" for a in FLOW_ACCOUNTS)}""")
 SQL["shares_latest"] = compose("""SELECT company, CAST(arg_max(v, e) AS BIGINT) shares, CAST(max(e) AS VARCHAR) as_of FROM (SELECT company, e, max(v) v FROM (
  SELECT company, s."end" e, accn, sum(value) v FROM shr s GROUP BY 1,2,3) GROUP BY 1,2) GROUP BY 1""")
 CTES["lmap"] = "SELECT * FROM (VALUES " + values(
@@ -121,14 +125,14 @@ CTES["lacc"] = r"""SELECT * FROM (SELECT l.company, l.period_end, l.consolidated
   ORDER BY m.priority, CASE l.statement WHEN 'BS' THEN 0 WHEN 'IS' THEN 1 WHEN 'CIS' THEN 2 ELSE 3 END, l.line_no) k
  FROM (SELECT *, bool_or(consolidated) OVER (PARTITION BY company, period_end) hc, regexp_replace(regexp_replace(account_nm, '^[\sⅠⅡⅢⅣⅤⅥⅦⅧⅨⅩIVX\d\.\-]+', ''), '\s+', '', 'g') nm FROM lines) l
  JOIN lmap m ON m.statement=l.statement AND ((m.kind='id' AND m.label=l.account_id) OR (m.kind='name' AND m.label=l.nm)) WHERE l.consolidated=l.hc AND l.amount IS NOT NULL) WHERE k=1"""
-CTES["lwide"] = f"""SELECT company, period_end, bool_or(consolidated) consolidated, {', '.join(f"max(amount) FILTER (WHERE account='{c}') {c}, max(prior_amount) FILTER (WHERE account='{c}') p_{c}" for c in CORE_ACCOUNTS)}
+CTES["lwide"] = f"""SELECT company, period_end, bool_or(consolidated) consolidated, {', '.join(f"max(amount) FILTER (WHERE account='{c}') {c}, max(prior_amount) FILTER (WHERE account='{c}') p_{c}" for c in LINE_ACCOUNTS)}
 FROM lacc GROUP BY 1,2"""
 nx = lambda c: f"n.p_{c}"
 SQL["fin_account_map"] = compose(f"""
-SELECT a.company, CAST(a.period_end AS VARCHAR) period_end, a.consolidated, {', '.join(f"{r(f'coalesce(a.{c}, {nx(c)})', 2)} {c}" for c in CORE_ACCOUNTS)},
- concat_ws(',', {', '.join(f"CASE WHEN a.{c} IS NULL AND {nx(c)} IS NOT NULL THEN '{c}' END" for c in CORE_ACCOUNTS)}) filled
+SELECT a.company, CAST(a.period_end AS VARCHAR) period_end, a.consolidated, {', '.join(f"{r(f'coalesce(a.{c}, {nx(c)})', 2)} {c}" for c in LINE_ACCOUNTS)},
+ concat_ws(',', {', '.join(f"CASE WHEN a.{c} IS NULL AND {nx(c)} IS NOT NULL THEN '{c}' END" for c in LINE_ACCOUNTS)}) filled
 FROM lwide a LEFT JOIN lwide n ON n.company=a.company AND n.period_end=CAST(a.period_end+INTERVAL 1 YEAR AS DATE) AND n.consolidated=a.consolidated
-UNION ALL SELECT b.company, CAST(CAST(b.period_end-INTERVAL 1 YEAR AS DATE) AS VARCHAR), b.consolidated, {', '.join(r(f'b.p_{c}', 2) for c in CORE_ACCOUNTS)}, 'all' FROM lwide b
+UNION ALL SELECT b.company, CAST(CAST(b.period_end-INTERVAL 1 YEAR AS DATE) AS VARCHAR), b.consolidated, {', '.join(r(f'b.p_{c}', 2) for c in LINE_ACCOUNTS)}, 'all' FROM lwide b
 WHERE NOT EXISTS (SELECT 1 FROM lwide x WHERE x.company=b.company AND x.period_end=CAST(b.period_end-INTERVAL 1 YEAR AS DATE)) AND b.period_end>(SELECT min(period_end) FROM lwide x WHERE x.company=b.company)""")
 C0, C1 = DIVIDEND_CONCEPTS
 SQL["dps_annual"] = compose(f"""
