@@ -137,6 +137,17 @@ def theme_assign(stocks: DataFrame, overrides: DataFrame, ksic: DataFrame, sic:
     return j.select("stock_id", theme.alias("theme")).where("theme IS NOT NULL")
 
 
+def theme_members(primary: DataFrame, secondary: DataFrame, groups: DataFrame) -> DataFrame:
+    """Members of all themes: the primary theme of each stock and its listed secondary ones but that theme; `sector` is the primary's.
+
+    `primary`: stock_id, theme; `secondary`: stock_id, theme; `groups`: theme, sector. A stock without primary theme has no row."""
+    p = primary.join(groups.select("theme", "sector"), "theme").select("stock_id", "theme", F.lit(True).alias("is_primary"), "sector")
+    own = p.select("stock_id", F.col("theme").alias("own"), "sector")
+    more = (secondary.select("stock_id", "theme").distinct().join(own, "stock_id").where("theme <> own")
+            .select("stock_id", "theme", F.lit(False).alias("is_primary"), "sector"))
+    return p.unionByName(more)
+
+
 def benchmark_select(pool: DataFrame, per_sector: int) -> DataFrame:
     """Fill each (theme, country) up to `per_sector` with the largest stocks, one per company, in theme order.
 

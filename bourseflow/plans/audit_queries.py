@@ -7,7 +7,7 @@ from bourseflow import constants as K
 from bourseflow.operators import audits, peers, prices, scoring
 from bourseflow.plans import marts
 from bourseflow.plans.catalog import query
-from bourseflow.plans.ingest_queries import theme_assign
+from bourseflow.plans.ingest_queries import primary_themes
 from bourseflow.plans.market_queries import _profile
 from bourseflow.plans.price_queries import top_ranked
 from bourseflow.plans.score_queries import factor_long, theme_position_table
@@ -159,7 +159,7 @@ def a_themes(t: Tables) -> DataFrame:
     expected = literal_rows(t.spark, ("stock_id", "expected"), [(4, "NATION_9"), (11, "NATION_2"), (3, "NATION_0")])
     leaders = audits.top(newest(score_run(t).scores), 20)
     reviewed = t.watchlist.where("target_price > 100000").select("stock_id").distinct()
-    return audits.theme_rules(theme_assign(t), expected, leaders, reviewed)
+    return audits.theme_rules(primary_themes(t), expected, leaders, reviewed)
 
 
 @query("a_history")

@@ -272,6 +272,12 @@ def theme_rules(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 @query("theme_assign")
 def theme_assign(t: Tables) -> DataFrame:
+    """Primary and secondary themes of every stock, with the sector it gets."""
+    second = t.members.where("NOT is_primary").join(t.groups.select("group_id", "theme"), "group_id")
+    return upkeep.theme_members(primary_themes(t), second, t.groups)
+
+
+def primary_themes(t: Tables) -> DataFrame:
     direct, ksic, sic = theme_rules(t)
     return upkeep.theme_assign(t.stocks, direct, ksic, sic)
 

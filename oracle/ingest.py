@@ -111,7 +111,10 @@ LEFT JOIN (SELECT stock_id, arg_max(theme, w || theme) theme FROM (SELECT s.stoc
   SELECT lpad(CAST(k*4+i AS VARCHAR),3,'0') prefix, theme FROM rules CROSS JOIN (SELECT unnest(range(4)) i) UNION ALL SELECT lpad(CAST(k*40+5 AS VARCHAR),4,'0'), other FROM rules) r ON starts_with(s.ksic, r.prefix)) GROUP BY 1) k ON k.stock_id=s.stock_id
 LEFT JOIN (SELECT stock_id, arg_max(theme, lpad(CAST(1000-w AS VARCHAR),4,'0') || theme) theme FROM (SELECT s.stock_id, r.hi-r.lo w, r.theme FROM stocks s JOIN (
   SELECT k*100+1000 lo, k*100+1099 hi, theme FROM rules UNION ALL SELECT k*100+1040, k*100+1059, other FROM rules) r ON s.sic BETWEEN r.lo AND r.hi) GROUP BY 1) c ON c.stock_id=s.stock_id) WHERE theme IS NOT NULL"""
-SQL["theme_assign"] = compose(THEME_ASSIGN)
+CTES["main_theme"] = THEME_ASSIGN
+SQL["theme_assign"] = compose("""SELECT p.stock_id, p.theme, true is_primary, g.sector FROM main_theme p JOIN groups g ON g.theme=p.theme
+UNION ALL SELECT p.stock_id, o.theme, false, g.sector FROM main_theme p JOIN groups g ON g.theme=p.theme JOIN members m ON m.stock_id=p.stock_id AND NOT m.is_primary
+JOIN groups o ON o.group_id=m.group_id WHERE o.theme<>p.theme""")
 CTES["shares0"] = """SELECT s.stock_id, l.close, l.volume, CASE WHEN s.stock_id%6<>2 THEN CASE WHEN s.stock_id%8=4 THEN s.shares*1000 ELSE s.shares END END sh,
  CASE WHEN s.stock_id%4<>0 THEN v.market_cap END quoted, a.assets, CASE WHEN s.stock_id%12=2 THEN l.close*l.volume END vt, s.stock_id%5<>3 fr
 FROM stocks s JOIN lp l ON l.stock_id=s.stock_id LEFT JOIN lv v ON v.stock_id=s.stock_id LEFT JOIN (SELECT stock_id, arg_max(total_assets, period_end) assets FROM statements GROUP BY 1) a ON a.stock_id=s.stock_id
