@@ -299,34 +299,55 @@ def sample_rules(inputs: DataFrame, scores: DataFrame, ranked: DataFrame) -> Dat
         result(ranked.where("classes > 1"), "a_multiclass", F.lit("US"), F.col("cap_rank").isNull())])
 
 
-def constraints(t, scores_weights: DataFrame) -> DataFrame:
+def row_rules(df: DataFrame, **rules: str) -> DataFrame:
+    """Rows that break each rule, all rules of a table in one aggregate. Names are written with underscores for blanks."""
+    n = F.count(F.lit(1)).cast("double").alias("detail")
+    counts = df.agg(n, *[F.count_if(F.coalesce(F.expr(bad), F.lit(False))).alias(k) for k, bad in rules.items()])
+    parts = F.array(*[F.struct(F.lit(k.replace("_", " ")).alias("part"), F.col(k).alias("violations")) for k in rules])
+    return counts.select("detail", F.inline(parts)).select(F.lit("a_constraints").alias("rule_id"), "part", "violations", "detail")
+
+
+def constraints(t, scores_weights: DataFrame, scores: DataFrame) -> DataFrame:
     """Declared CHECK, UNIQUE and foreign-key rules of the tables, plus row-level rules that span rows."""
     rows = []
 
-    def check(name: str, df: DataFrame, bad: str) -> None:
-        rows.append(df.agg(F.count_if(F.coalesce(F.expr(bad), F.lit(False))).alias("violations"), F.count(F.lit(1)).cast("double").alias("detail"))
-                    .select(F.lit("a_constraints").alias("rule_id"), F.lit(name).alias("part"), "violations", "detail"))
-
     def unique(name: str, df: DataFrame, *keys: str) -> None:
-        check(name, df.groupBy(*keys).agg(F.count(F.lit(1)).alias("c")), "c > 1")
+        rows.append(row_rules(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("c")), **{name.replace(" ", "_"): "c > 1"}))
 
     def refers(name: str, df: DataFrame, dim: DataFrame, key: str) -> None:
         lost = df.select(key).where(F.col(key).isNotNull()).groupBy(key).agg(F.lit(1).alias("o")).join(dim.select(key).distinct().withColumn("k", F.lit(1)), key, "left")
-        check(name, lost, "k IS NULL")
-
-    check("price range", t.prices, "high < low OR low <= 0 OR close < low OR close > high OR volume < 0")
+        rows.append(row_rules(lost, **{name.replace(" ", "_"): "k IS NULL"}))
+
+    rows.append(row_rules(t.prices, price_range="high < low OR low <= 0 OR close < low OR close > high", volume_sign="volume < 0",
+                          open_range="open < low OR open > high"))
+    rows.append(row_rules(t.logs, log_times="finished_at < started_at", log_status="status NOT IN ('SUCCESS', 'FAILED', 'SKIPPED')",
+                          failed_without_text="status = 'FAILED' AND error IS NULL"))
+    rows.append(row_rules(t.fx, fx_positive="usd_krw <= 0", fx_kind="granularity NOT IN ('DAILY', 'SNAPSHOT')"))
+    rows.append(row_rules(t.items, position="quantity <= 0 OR ref_price <= 0 OR ref_fx_rate <= 0"))
+    rows.append(row_rules(t.valuations, valuation_signs="per <= 0 OR pbr <= 0", valuation_shares="shares_outstanding <= 0", market_value="market_cap < 0"))
+    rows.append(row_rules(t.statements, assets_sign="total_assets < 0", period_kind="period_type <> 'FY'"))
+    rows.append(row_rules(t.index_prices, index_close="close <= 0"))
+    rows.append(row_rules(t.disclosures, filing_fields="title IS NULL OR filed_at IS NULL", filing_source="data_source NOT IN ('DART', 'SEC', 'KIND')"))
+    rows.append(row_rules(t.stocks, coverage_kind="coverage NOT IN ('listed', 'benchmark', 'featured')", share_ratio="share_ratio <= 0"))
+    rows.append(row_rules(scores, score_range="score < 0 OR score > 100", score_without_composite="score IS NOT NULL AND composite IS NULL"))
     unique("price key", t.prices, "stock_id", "trade_date")
     unique("fx key", t.fx, "granularity", "rate_at")
     unique("stock key", t.stocks, "market", "ticker")
     unique("one primary theme", t.members.where("is_primary"), "stock_id")
     unique("receipt number", t.disclosures, "rcept_no")
+    unique("statement key", t.statements, "stock_id", "period_end", "period_type")
+    unique("valuation key", t.valuations, "stock_id", "as_of")
+    unique("index key", t.index_prices, "index_id", "trade_date")
+    unique("watch key", t.watchlist, "user_id", "stock_id")
+    unique("item key", t.items, "portfolio_id", "stock_id")
+    unique("score key", scores, "stock_id", "preset", "snapshot")
     refers("price stock", t.prices, t.stocks, "stock_id")
     refers("filing stock", t.disclosures, t.stocks, "stock_id")
     refers("member theme", t.members, t.groups, "group_id")
-    check("log times", t.logs, "finished_at < started_at OR status NOT IN ('SUCCESS', 'FAILED', 'SKIPPED')")
-    check("fx positive", t.fx, "usd_krw <= 0")
-    check("weights", scores_weights.groupBy("preset").agg(F.sum(F.col("weight").cast("decimal(6,3)")).alias("w")), "w <> 1")
+    refers("item stock", t.items, t.stocks, "stock_id")
+    refers("watch stock", t.watchlist, t.stocks, "stock_id")
+    weights = scores_weights.groupBy("preset").agg(F.sum(F.col("weight").cast("decimal(6,3)")).alias("w"))
+    rows.append(row_rules(weights, weights="w <> 1"))
     used = t.items.groupBy("portfolio_id").agg(F.sum("cost_krw").alias("used")).join(t.portfolios, "portfolio_id")
-    check("seed", used, "used > seed_krw")
-    check("position", t.items, "quantity <= 0 OR ref_price <= 0 OR ref_fx_rate <= 0")
+    rows.append(row_rules(used, seed="used > seed_krw"))
     return union(rows)

@@ -191,4 +191,4 @@ def a_sample(t: Tables) -> DataFrame:
 
 @query("a_constraints")
 def a_constraints(t: Tables) -> DataFrame:
-    return audits.constraints(t, t.presets)
+    return audits.constraints(t, t.presets, score_run(t).scores)

@@ -84,16 +84,26 @@ def check(name: str, src: str, bad: str) -> str:
 
 
 dup = lambda src, keys: f"(SELECT {keys}, count(*) c FROM {src} GROUP BY {keys})"
+PRICE, LOG, SCORE = "prices p", "logs", "ssc x"
 SQL["a_constraints"] = compose(" UNION ALL ".join([
-    check("price range", "prices p", "high<low OR low<=0 OR p.close<low OR p.close>high OR volume<0"), check("price key", dup("prices", "stock_id, trade_date"), "c>1"),
-    check("fx key", dup("fx", "granularity, rate_at"), "c>1"), check("stock key", dup("stocks", "market, ticker"), "c>1"),
+    check("price range", PRICE, "high<low OR low<=0 OR p.close<low OR p.close>high"), check("volume sign", PRICE, "volume<0"), check("open range", PRICE, "p.open<low OR p.open>high"),
+    check("log times", LOG, "finished_at<started_at"), check("log status", LOG, "status NOT IN ('SUCCESS','FAILED','SKIPPED')"), check("failed without text", LOG, "status='FAILED' AND error IS NULL"),
+    check("fx positive", "fx", "usd_krw<=0"), check("fx kind", "fx", "granularity NOT IN ('DAILY','SNAPSHOT')"), check("position", "items", "quantity<=0 OR ref_price<=0 OR ref_fx_rate<=0"),
+    check("valuation signs", "valuations", "per<=0 OR pbr<=0"), check("valuation shares", "valuations", "shares_outstanding<=0"), check("market value", "valuations", "market_cap<0"),
+    check("assets sign", "statements", "total_assets<0"), check("period kind", "statements", "period_type<>'FY'"), check("index close", "index_prices i", "i.close<=0"),
+    check("filing fields", "disclosures", "title IS NULL OR filed_at IS NULL"), check("filing source", "disclosures", "data_source NOT IN ('DART','SEC','KIND')"),
+    check("coverage kind", "stocks", "coverage NOT IN ('listed','benchmark','featured')"), check("share ratio", "stocks", "share_ratio<=0"),
+    check("score range", SCORE, "score<0 OR score>100"), check("score without composite", SCORE, "score IS NOT NULL AND composite IS NULL"),
+    check("price key", dup("prices", "stock_id, trade_date"), "c>1"), check("fx key", dup("fx", "granularity, rate_at"), "c>1"), check("stock key", dup("stocks", "market, ticker"), "c>1"),
     check("one primary theme", dup("members WHERE is_primary", "stock_id"), "c>1"), check("receipt number", dup("disclosures", "rcept_no"), "c>1"),
+    check("statement key", dup("statements", "stock_id, period_end, period_type"), "c>1"), check("valuation key", dup("valuations", "stock_id, as_of"), "c>1"),
+    check("index key", dup("index_prices", "index_id, trade_date"), "c>1"), check("watch key", dup("watchlist", "user_id, stock_id"), "c>1"),
+    check("item key", dup("items", "portfolio_id, stock_id"), "c>1"), check("score key", dup("ssc", "stock_id, preset, snapshot"), "c>1"),
     check("price stock", "(SELECT DISTINCT stock_id k FROM prices)", "k NOT IN (SELECT stock_id FROM stocks)"), check("filing stock", "(SELECT DISTINCT stock_id k FROM disclosures)", "k NOT IN (SELECT stock_id FROM stocks)"),
-    check("member theme", "(SELECT DISTINCT group_id k FROM members)", "k NOT IN (SELECT group_id FROM groups)"),
-    check("log times", "logs", "finished_at<started_at OR status NOT IN ('SUCCESS','FAILED','SKIPPED')"), check("fx positive", "fx", "usd_krw<=0"),
+    check("member theme", "(SELECT DISTINCT group_id k FROM members)", "k NOT IN (SELECT group_id FROM groups)"), check("item stock", "(SELECT DISTINCT stock_id k FROM items)", "k NOT IN (SELECT stock_id FROM stocks)"),
+    check("watch stock", "(SELECT DISTINCT stock_id k FROM watchlist)", "k NOT IN (SELECT stock_id FROM stocks)"),
     check("weights", "(SELECT preset, sum(CAST(weight AS DECIMAL(6,3))) w FROM presets GROUP BY 1)", "w<>1"),
-    check("seed", "(SELECT u.used, p.seed_krw FROM usedk u JOIN portfolios p ON p.portfolio_id=u.portfolio_id)", "used>seed_krw"),
-    check("position", "items", "quantity<=0 OR ref_price<=0 OR ref_fx_rate<=0")]))
+    check("seed", "(SELECT u.used, p.seed_krw FROM usedk u JOIN portfolios p ON p.portfolio_id=u.portfolio_id)", "used>seed_krw")]))
 
 
 def scenarios() -> str:
