@@ -85,10 +85,10 @@ def slices(valued: DataFrame, portfolios: DataFrame, top: int) -> DataFrame:
 
 
 def whole_shares(amount: Column, unit: Column) -> Column:
-    """How often `unit` fits into `amount`, by whole-number division of exact millionths; NULL for a unit of zero.
+    """How often `unit` fits into `amount`, by whole-number division of exact hundred-millionths; NULL for a unit of zero.
 
     A number too large for its decimal becomes NULL for its row and does not end the job."""
-    scaled = lambda c: (c.try_cast("decimal(26,6)") * F.lit(1_000_000)).try_cast("decimal(32,0)")
+    scaled = lambda c: (c.try_cast("decimal(28,8)") * F.lit(100_000_000)).try_cast("decimal(36,0)")
     return F.try_divide(scaled(amount) - F.try_mod(scaled(amount), scaled(unit)), scaled(unit)).try_cast("decimal(24,0)").try_cast("long")
 
 
@@ -124,7 +124,7 @@ def equal_weight(targets: DataFrame, held: DataFrame, price: DataFrame, usd_krw:
     quoted = F.col("held").isNull() & F.col("close").isNotNull()
     j = j.withColumn("unit", F.col("close").cast("decimal(14,4)") * fx).withColumn("quoted", quoted)
     counts = j.where("quoted").groupBy("portfolio_id").agg(F.count(F.lit(1)).alias("k"))
-    j = j.join(counts, "portfolio_id", "left").withColumn("share", F.col("budget_krw").cast("decimal(24,6)") / F.col("k").cast("decimal(10,0)"))
+    j = j.join(counts, "portfolio_id", "left").withColumn("share", F.col("budget_krw").cast("decimal(26,8)") / F.col("k").cast("decimal(10,0)"))
     qty = F.when(F.col("quoted"), whole_shares(F.col("share"), F.col("unit")))
     j = j.withColumn("quantity", qty)
     reason = (F.when(F.col("held").isNotNull(), "ALREADY_IN_PORTFOLIO").when(F.col("close").isNull(), "NO_PRICE")

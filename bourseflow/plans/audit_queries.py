@@ -158,7 +158,7 @@ def a_family(t: Tables) -> DataFrame:
 def a_themes(t: Tables) -> DataFrame:
     expected = literal_rows(t.spark, ("stock_id", "expected"), [(4, "NATION_9"), (11, "NATION_2"), (3, "NATION_0")])
     leaders = audits.top(newest(score_run(t).scores), 20)
-    reviewed = t.watchlist.where("target_price > 100000").select("stock_id").distinct()
+    reviewed = t.reviewed().select("stock_id").distinct()
     return audits.theme_rules(primary_themes(t), expected, leaders, reviewed)
 
 

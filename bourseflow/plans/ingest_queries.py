@@ -127,7 +127,7 @@ def incr_feed_cursor(t: Tables) -> DataFrame:
 
 def prune_set(t: Tables) -> DataFrame:
     synced = t.disclosures.where("report_type = '10-Q'").groupBy("stock_id").agg(F.max("filed_at").cast("date").alias("synced_at"))
-    return incremental.prune_targets(t.stocks, synced, t.watchlist.where("target_price > 104000"), t.items.where("quantity > 170"), TODAY)
+    return incremental.prune_targets(t.stocks, synced, t.reviewed(104_000), t.large_positions, TODAY)
 
 
 @query("prune_retention")
@@ -229,8 +229,8 @@ def calendar(t: Tables) -> DataFrame:
 
 @query("last_closed_day")
 def last_closed_day(t: Tables) -> DataFrame:
-    """For every purchase event: the newest final weekday of each country at that instant."""
-    e = t.raw("events").where("event_type = 'purchase'").select("event_id", F.col("ts").cast("timestamp").alias("now"))
+    """For every event: the newest final weekday of each country at that instant."""
+    e = t.raw("events").select("event_id", F.col("ts").cast("timestamp").alias("now"))
     e = e.withColumn("country", F.explode(F.array(F.lit("KR"), F.lit("US"))))
     return e.select("event_id", "country", incremental.last_closed_day(F.col("country"), F.col("now")).alias("closed"))
 

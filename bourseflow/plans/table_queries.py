@@ -143,12 +143,12 @@ def j_cross_small(t: Tables) -> DataFrame:
 
 @query("j_semi_exists")
 def j_semi_exists(t: Tables) -> DataFrame:
-    return t.stocks.join(t.watchlist.where("target_price > 100000"), "stock_id", "left_semi").select("stock_id", "ticker")
+    return t.stocks.join(t.reviewed(), "stock_id", "left_semi").select("stock_id", "ticker")
 
 
 @query("j_flag_exists")
 def j_flag_exists(t: Tables) -> DataFrame:
-    hit = t.watchlist.where("target_price > 100000").select("stock_id").distinct().withColumn("w", F.lit(True))
+    hit = t.reviewed().select("stock_id").distinct().withColumn("w", F.lit(True))
     return t.stocks.join(hit, "stock_id", "left").select("stock_id", F.col("w").isNotNull().alias("is_watched"))
 
 

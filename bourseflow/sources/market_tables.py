@@ -257,6 +257,15 @@ class Tables:
                 .agg(F.min("d").alias("added_at"), from4(F.max("px")).alias("target_price"))
                 .withColumn("sort_order", (F.col("stock_id") % 7).cast("int")))
 
+    def reviewed(self, least: int = 100_000) -> DataFrame:
+        """The table of reviewed stocks (one row per customer and stock), made of the watched ones with a high target."""
+        return self.watchlist.where(F.col("target_price") > least)
+
+    @cached_property
+    def large_positions(self) -> DataFrame:
+        """The table of positions that retention must respect, made of the large items."""
+        return self.items.where("quantity > 170")
+
     @cached_property
     def logs(self) -> DataFrame:
         u = F.col("user_id")

@@ -92,8 +92,8 @@ SQL["valuation_stale"] = compose("""SELECT s.stock_id, coalesce(v.v<least(CASE W
 LEFT JOIN (SELECT stock_id, max(as_of) v FROM valuations WHERE as_of<=DATE '2001-10-30' GROUP BY 1) v ON v.stock_id=s.stock_id LEFT JOIN (SELECT stock_id, max(trade_date) b FROM prices GROUP BY 1) b ON b.stock_id=s.stock_id""")
 SQL["last_closed_day"] = """
 SELECT event_id, country, CAST(CASE isodow(d) WHEN 6 THEN d-1 WHEN 7 THEN d-2 ELSE d END AS VARCHAR) closed FROM (
- SELECT event_id, 'KR' country, CAST(ts + INTERVAL 9 HOUR AS DATE) - CASE WHEN CAST(ts + INTERVAL 9 HOUR AS TIME)>=TIME '18:00:00' THEN 0 ELSE 1 END d FROM events WHERE event_type='purchase'
- UNION ALL SELECT event_id, 'US', CAST(ts - INTERVAL 5 HOUR AS DATE) - CASE WHEN CAST(ts - INTERVAL 5 HOUR AS TIME)>=TIME '17:00:00' THEN 0 ELSE 1 END FROM events WHERE event_type='purchase')"""
+ SELECT event_id, 'KR' country, CAST(ts + INTERVAL 9 HOUR AS DATE) - CASE WHEN CAST(ts + INTERVAL 9 HOUR AS TIME)>=TIME '18:00:00' THEN 0 ELSE 1 END d FROM events
+ UNION ALL SELECT event_id, 'US', CAST(ts - INTERVAL 5 HOUR AS DATE) - CASE WHEN CAST(ts - INTERVAL 5 HOUR AS TIME)>=TIME '17:00:00' THEN 0 ELSE 1 END FROM events)"""
 CTES["cal"] = "SELECT DISTINCT i.country, p.trade_date session_date FROM index_prices p JOIN indices i ON i.index_id=p.index_id"
 SQL["session_status"] = compose("""
 SELECT country, CAST(as_of AS VARCHAR) as_of, CAST(today AS VARCHAR) today, CASE WHEN as_of>=today THEN 'today' WHEN EXISTS (SELECT 1 FROM cal c WHERE c.country=x.country AND c.session_date=x.today) THEN 'previous_session' ELSE 'holiday' END status

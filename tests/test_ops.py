@@ -36,6 +36,21 @@ def test_equal_weight(spark):
     assert small[1].quantity == 1 and [small[k].reason for k in (2, 3, 4)] == ["PRICE_ABOVE_SHARE"] * 3
 
 
+def test_whole_shares_are_exact(spark):
+    rows = [("2600000.46", "1300000.23000001", 1), ("2600000.46", "1300000.23", 2), ("0.3", "0.1", 3), ("5", "0", None), (None, "1", None), ("1e40", "1", None)]
+    df = spark.createDataFrame(rows, "amount string, unit string, want long")
+    unit = F.col("unit").cast("decimal(20,8)")
+    got = df.select("want", portfolio.whole_shares(F.expr("try_cast(amount as decimal(38,4))"), unit).alias("got")).collect()
+    assert [r.got for r in got] == [r.want for r in got]
+
+
+def test_sessions_outside_the_calendar_are_unknown(spark):
+    cal = spark.createDataFrame([("KR", date(2024, 1, k)) for k in (2, 3, 5)], "country string, session_date date")
+    pairs = spark.createDataFrame([(1, "KR", date(2024, 1, 2), date(2024, 1, 5)), (2, "KR", date(2023, 12, 1), date(2024, 1, 5)), (3, "KR", date(2024, 1, 3), date(2024, 1, 9)),
+                                   (4, "KR", date(2024, 1, 5), date(2024, 1, 4))], "id int, country string, start date, end date")
+    assert {r.id: r.sessions for r in upkeep.sessions_between(pairs, cal).collect()} == {1: 2, 2: None, 3: None, 4: 0}
+
+
 def test_clean_bars_first_reason_and_last_row(spark):
     rows = [(1, date(2024, 1, 2), 1.0, 2.0, 1.0, 1.5, 5, 1), (1, date(2024, 1, 2), 1.0, 2.0, 1.0, 1.7, 5, 2), (1, date(2024, 1, 3), None, 2.0, 1.0, None, 5, 1),
             (1, date(2024, 1, 4), 1.0, 1.0, 2.0, 1.5, -5, 1), (1, date(2024, 1, 5), 1.0, 1.0, 1.0, 1.0, 5, 1)]
