@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from bourseflow.session import checkpoint_dir
 
 #: Texts handled at once inside a task, in characters (a single longer text is handled alone).
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 1_000_000
 
 U = np.uint64
 MIX_1, MIX_2 = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)
@@ -58,6 +58,7 @@ def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
         total += int(k)
     if start < batch.num_rows:
         yield batch.slice(start)
+    pa.default_memory_pool().release_unused()
 
 
 def ascii_words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, pa.Array]:

@@ -104,7 +104,7 @@ class Items:
                 window = words[lo:hi]
                 key = (item, window.tobytes())
                 if key not in cache:
-                    if len(cache) > 20_000:
+                    if len(cache) > 5_000:
                         cache.clear()
                     cache[key] = align(self.words[item], window)
                 matched, first, last = cache[key]

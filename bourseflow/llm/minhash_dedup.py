@@ -35,7 +35,7 @@ class Settings:
     coordinates: int = 48
     slack: float = 4.0               # standard deviations that agreeing coordinates may fall below their mean
     seed: int = 7
-    long: int = 512                  # coordinates, of one byte, of the longer signature
+    long: int = 1024                 # coordinates, of one byte, of the longer signature
     block: int = 1024                # documents compared with as many others at once
 
     @property
