@@ -6,8 +6,11 @@ item's n-grams stay in any case. Rarity is judged from word frequencies, not fro
 millions of documents keeps its seeds. An item of m words of which at least 80 % stay in order keeps a run of three words (m >= 15), so
 seeds of three words miss no such copy but for dropped common seeds.
 
-Around each seed that a document shares with an item, a window of the document is aligned with the item by Smith-Waterman (match 1,
-mismatch and gap -1). The similarity is the share of the item's words matched in the best local alignment.
+Around each seed that a document shares with an item, a window of the document is aligned with the item (match 1, mismatch and gap -1):
+once locally (Smith-Waterman), and once over the item from its first word to its last, with free ends in the window. The similarity is
+the share of the item's words matched by the better of the two. The whole alignment matches at least the words that stay in order in
+any copy with words replaced or left out, so an edit near an end does not cost the words beyond it; words put in count against a copy
+only where they part off fewer than half as many of the item's words.
 
 The items of one pass are bounded by `pass_words` and broadcast; more items are handled in several passes over the documents.
 
@@ -32,7 +35,7 @@ MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»
 @dataclass(frozen=True)
 class Settings:
     seed_words: int = 3
-    similarity: float = 0.8          # least share of the item's words that the alignment matches
+    similarity: float = 0.8          # least share of the item's words that an alignment matches
     chance: float = 1e-8             # greatest chance of a seed at one place
     least_words: int = 5             # of an item
     pass_words: int = 1_000_000      # words of items in one pass
@@ -76,6 +79,39 @@ def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int, int]:
     return matched, int(j), last
 
 
+def align_whole(item: np.ndarray, window: np.ndarray) -> tuple[int, int, int]:
+    """Best alignment of all words of the item with a part of the window: matched words, first and last matched place (0, 0, -1: nothing).
+
+    Of equally good alignments one with the most matched words counts; its share of the item is never below that of a copy in the
+    window that replaces or leaves out words."""
+    m, n = len(item), len(window)
+    unit = m + 1                                                     # one point of score; below it the matched words count
+    score = np.zeros((m + 1, n + 1), np.int64)
+    score[:, 0] = -unit * np.arange(m + 1)
+    step = unit * np.arange(n + 1)
+    equal = np.where(item[:, None] == window[None, :], unit + 1, -unit)
+    for i in range(1, m + 1):
+        row = score[i - 1] - unit
+        row[1:] = np.maximum(row[1:], score[i - 1, :-1] + equal[i - 1])
+        score[i] = np.maximum.accumulate(row + step) - step
+    i, j, found = m, int(score[m].argmax()), []
+    while i and j:
+        if score[i, j] == score[i - 1, j - 1] + equal[i - 1, j - 1]:
+            if equal[i - 1, j - 1] > 0:
+                found.append(j - 1)
+            i, j = i - 1, j - 1
+        elif score[i, j] == score[i - 1, j] - unit:
+            i -= 1
+        else:
+            j -= 1
+    return (len(found), found[-1], found[0]) if found else (0, 0, -1)
+
+
+def copied(item: np.ndarray, window: np.ndarray) -> tuple[int, int, int]:
+    """The better of the local and the whole alignment (the local one of equally good ones)."""
+    return max(align(item, window), align_whole(item, window), key=lambda x: x[0])
+
+
 @dataclass
 class Items:
     ids: list
@@ -84,7 +120,7 @@ class Items:
     of: list[list[tuple[int, int]]]   # by seed: (item, place)
 
     def matches(self, words: np.ndarray, hashes: np.ndarray, similarity: float, cache: dict) -> dict[int, tuple[int, int, int]]:
-        """item -> (matched words, first, last) of its best alignment in a document, for those similar enough."""
+        """item -> (matched words, first, last) of its best copy in a document, for those similar enough."""
         at = np.minimum(np.searchsorted(self.seeds, hashes), len(self.seeds) - 1)
         hits = np.flatnonzero(self.seeds[at] == hashes)
         starts: dict[int, list[int]] = {}
@@ -106,7 +142,9 @@ class Items:
                 if key not in cache:
                     if len(cache) > 5_000:
                         cache.clear()
-                    cache[key] = align(self.words[item], window)
+                    # no alignment matches more words than occur in the window
+                    enough = np.isin(self.words[item], window).sum() >= similarity * m
+                    cache[key] = copied(self.words[item], window) if enough else (0, 0, -1)
                 matched, first, last = cache[key]
                 if matched >= similarity * m and matched > best.get(item, (0, 0, 0))[0]:
                     best[item] = (matched, lo + first, lo + last)

@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from bourseflow.llm.decontaminate import Settings, align, clean, contaminated
+from bourseflow.llm.decontaminate import Settings, align, align_whole, clean, contaminated
 
 from tests.llm.fixtures import awkward, docs_of, words
 
@@ -67,3 +67,36 @@ def test_awkward_rows(spark):
     assert left.columns == docs.columns and not {r.doc_id for r in left.collect()} & {1, 2, 7}
     assert contaminated(docs, items.limit(0)).count() == 0 and clean(docs, items.limit(0)).count() == 13
     assert contaminated(docs.limit(0), items).count() == 0
+
+
+def test_edits_near_the_ends_cost_only_the_edited_words(spark):
+    items = [(k, words(3000 + k, m)) for k, m in enumerate((15, 16, 20, 33, 59))]
+    rows, want = [], {}
+    for k, t in items:
+        w = t.split()
+        m = len(w)
+        for copy, kept in ((["new"] if i in (1, m - 2) else [x] for i, x in enumerate(w)), m - 2), \
+                (([] if i in (1, m - 2) else [x] for i, x in enumerate(w)), m - 2), \
+                (([x, "new"] if i in (0, m - 2) else [x] for i, x in enumerate(w)), m):
+            want[len(rows), k] = kept
+            rows.append((len(rows), " ".join([words(len(rows), 90), *sum(copy, []), words(len(rows) + 700, 90)])))
+        few = int(0.2 * m) + 1                                   # one edited word too many
+        rows.append((len(rows), " ".join([words(len(rows), 90), *("new" if i % 4 == 1 and i < 4 * few else x for i, x in enumerate(w)), words(len(rows) + 700, 90)])))
+    got = contaminated(docs_of(spark, rows), benches(spark, items)).collect()
+    assert {(r.doc_id, r.item_id): r.matched_words for r in got} == want
+    assert all(r.first_word == 90 for r in got) and all(r.similarity == r.matched_words / r.item_words for r in got)
+    assert clean(docs_of(spark, rows), benches(spark, items)).count() == len(items)
+
+
+def test_whole_alignment_matches_no_fewer_words_than_an_edited_copy_keeps():
+    rng = random.Random(5)
+    for _ in range(200):
+        m = rng.randrange(5, 40)
+        item = [rng.randrange(30) for _ in range(m)]
+        edits = set(rng.sample(range(m), rng.randrange(m // 4 + 1)))
+        copy = [x if i not in edits else 99 for i, x in enumerate(item) if i not in edits or rng.random() < 0.5]
+        window = [rng.randrange(30) for _ in range(9)] + copy + [rng.randrange(30) for _ in range(9)]
+        matched, first, last = align_whole(np.array(item, np.uint64), np.array(window, np.uint64))
+        assert m - len(edits) <= matched <= min(m, last - first + 1)
+    assert align_whole(np.array([1], np.uint64), np.array([2], np.uint64)) == (0, 0, -1)
+    assert align_whole(np.array([1, 2], np.uint64), np.array([], np.uint64)) == (0, 0, -1)
