@@ -7,7 +7,9 @@ short paragraph between content stays, a long notice inside a menu goes.
 
 The classifier is naive Bayes over features of the text alone (link share, length, closing mark, tag), counted in Spark on a sample
 of pages bounded by `sample_pages`; its labels come from blocks whose place in the page tells what they are (menus, footers, adverts
-against article bodies). The place itself adds a fixed amount to the log-odds.
+against article bodies). The place itself adds a fixed amount to the log-odds, little more than a sure text takes away, so that text and ties
+together overrule a misleading tag or class word in both directions. If that leaves a page without content, it is cut once more with
+class words at half weight: then a sure text stands alone. Only hidden elements, scripts and the like stay out in any case.
 
 Defined results: null or empty html, or html without content: empty text; broken markup is read to its end (a tag cut off by the
 end of the page is dropped, unclosed elements end with their parent). Repeated rows give repeated rows. Extra columns are ignored. An
@@ -30,10 +32,12 @@ class Settings:
     near: float = 0.4                # smoothness between neighbours
     shared: float = 1.2              # more of it for a wholly shared place in the tree
     sibling: float = 0.5             # between a block and the next under its parent
-    place: float = 10.0              # log-odds of a telling place: more than text and all ties of a block together
+    place: float = 4.2               # log-odds of a telling place: little over `most`, so that text and ties can overrule it
     most: float = 4.0                # greatest log-odds of the text
 
 
+#: Place of what a hidden element holds.
+HIDDEN = -2
 #: Fixed values of the page language.
 RAW = frozenset("script style noscript template textarea title svg math iframe object canvas audio video head select option datalist".split())
 UNTIL_END = frozenset("script style textarea title".split())
@@ -66,7 +70,8 @@ class Block:
     link: int                        # characters inside links
     tag: str
     path: tuple[int, ...]            # open elements, from the root
-    place: int                       # -1 boilerplate, 1 content, 0 unknown
+    place: int                       # -1 boilerplate, 1 content, 0 unknown, HIDDEN
+    loose: bool = False              # told by class words alone
 
 
 @dataclass
@@ -74,39 +79,44 @@ class _Open:
     tag: str
     number: int
     place: int
-    shut: bool                       # nothing below it can be content
+    shut: bool                       # no place below it tells of content
+    loose: bool                      # its place is told by class words alone
     pieces: list = field(default_factory=list)
 
 
-def _place(tag: str, attributes: str, up: _Open) -> tuple[int, bool]:
-    """What an element tells about the blocks inside it; a sure boilerplate element overrules everything below it."""
-    if up.shut:
-        return -1, True
-    if tag in RAW or tag in BAD_TAGS or (tag == "header" and up.place <= 0):
-        return -1, True
+def _place(tag: str, attributes: str, up: _Open) -> tuple[int, bool, bool]:
+    """What an element tells about the blocks inside it; a boilerplate element overrules what elements below it tell, but for hidden ones.
+
+    Returns place, shut and loose."""
+    if up.place == HIDDEN:
+        return HIDDEN, True, False
     words: set[str] = set()
     for name, value in HINT.findall(attributes) if attributes.strip() else ():
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and "display:none" in value.replace(" ", "")):
-            return -1, True
+            return HIDDEN, True, False
         if name in ("class", "id", "role"):
             words.update(PART.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", value)))
+    if tag in RAW or tag in BAD_TAGS or (tag == "header" and up.place <= 0 and not up.shut):
+        return -1, True, False
+    if up.shut:
+        return -1, True, up.loose
     if tag in ("body", "html"):
-        return 0, False
+        return 0, False, False
     if tag in GOOD_TAGS and not words & {"comment", "comments", "reply", "related"}:
-        return 1, False
+        return 1, False, False
     if words & BAD_WORDS and not (tag in GOOD_TAGS or {"article", "content", "main"} & words):
-        return -1, True
+        return -1, True, True
     if words & GOOD_WORDS:
-        return 1, False
-    return up.place, False
+        return 1, False, True
+    return up.place, False, up.loose
 
 
 def blocks_of(page: str | None) -> list[Block]:
     """Blocks of text of a page, in page order."""
     page = page or ""
     out: list[Block] = []
-    stack = [_Open("", 0, 0, False)]
+    stack = [_Open("", 0, 0, False, False)]
     text: list[str] = []
     link_chars, link_open, number = 0, False, 0
 
@@ -115,7 +125,7 @@ def blocks_of(page: str | None) -> list[Block]:
         if text:
             whole = " ".join("".join(text).split())
             if whole and not any(o.tag in RAW for o in stack):
-                out.append(Block(whole, link_chars, stack[-1].tag, tuple(o.number for o in stack), stack[-1].place))
+                out.append(Block(whole, link_chars, stack[-1].tag, tuple(o.number for o in stack), stack[-1].place, stack[-1].loose))
         text, link_chars = [], 0
 
     def pop_to(k: int) -> None:
@@ -168,8 +178,8 @@ def blocks_of(page: str | None) -> list[Block]:
         if tag in VOID or attributes.endswith("/") and tag in RAW:
             continue
         number += 1
-        place, shut = _place(tag, attributes, stack[-1])
-        stack.append(_Open(tag, number, place, shut))
+        place, shut, loose = _place(tag, attributes, stack[-1])
+        stack.append(_Open(tag, number, place, shut, loose))
         if tag in UNTIL_END:
             close = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, at)
             at = close.end() if close else size
@@ -187,19 +197,26 @@ def features(b: Block) -> list[str]:
 
 
 def learn(pages: DataFrame, s: Settings = Settings()) -> dict[str, float]:
-    """Log-odds of each feature from blocks in telling places, over a sample of pages chosen by a hash of their html."""
+    """Log-odds of each feature from blocks in telling places, over a sample of pages chosen by a hash of their html.
+
+    All pages count alike, so one with very many blocks does not outweigh the others."""
     rows = pages.select("html").where("html is not null")
     share = min(1.0, s.sample_pages / max(1, rows.count()))
     chosen = rows.where(F.pmod(F.xxhash64(F.lit("sample"), "html"), F.lit(1_000_000)) < int(share * 1_000_000))
 
     def run(batches):
         for batch in batches:
-            n = Counter((f, b.place) for page in batch["html"] for b in blocks_of(page) if b.place for f in features(b))
+            n = Counter()
+            for page in batch["html"]:
+                told = [(b, max(-1, b.place)) for b in blocks_of(page) if b.place]
+                of = Counter(p for _, p in told)
+                for b, p in told:
+                    n.update({(f, p): 1 / of[p] for f in features(b)})
             yield pd.DataFrame([(f, p, k) for (f, p), k in n.items()], columns=["feature", "place", "n"])
-    counts = chosen.mapInPandas(run, "feature string, place int, n long").groupBy("feature", "place").agg(F.sum("n").alias("n")).collect()
+    counts = chosen.mapInPandas(run, "feature string, place int, n double").groupBy("feature", "place").agg(F.sum("n").alias("n")).collect()
     by = {(r["feature"], r["place"]): r["n"] for r in counts}                       # some tens of features
     total = {p: sum(n for (f, q), n in by.items() if q == p and f.startswith("end")) for p in (-1, 1)}
-    return {f: math.log((by.get((f, 1), 0) + 1) / (total[1] + 2)) - math.log((by.get((f, -1), 0) + 1) / (total[-1] + 2))
+    return {f: math.log((by.get((f, 1), 0) + 0.5) / (total[1] + 1)) - math.log((by.get((f, -1), 0) + 0.5) / (total[-1] + 1))
             for f in {f for f, _ in by}}
 
 
@@ -261,8 +278,12 @@ def ties_of(blocks: list[Block], s: Settings) -> list[tuple[int, int, float]]:
 
 def main_text(page: str | None, weights: dict[str, float], s: Settings = Settings()) -> str:
     blocks = blocks_of(page)
-    odds = [s.place * b.place + max(-s.most, min(s.most, sum(weights.get(f, 0.0) for f in features(b)))) for b in blocks]
-    side = minimum_cut(odds, ties_of(blocks, s))
+    text = [max(-s.most, min(s.most, sum(weights.get(f, 0.0) for f in features(b)))) for b in blocks]
+    for half in (1.0, 0.5):                                          # the weight of class words
+        odds = [-math.inf if b.place == HIDDEN else t + s.place * b.place * (half if b.loose else 1.0) for b, t in zip(blocks, text)]
+        side = minimum_cut(odds, ties_of(blocks, s))
+        if any(side) or not any(b.loose for b in blocks):
+            break
     return "\n\n".join(b.text for b, content in zip(blocks, side) if content)
 
 

@@ -57,3 +57,25 @@ def test_awkward_pages(spark):
     assert by[7] == "\n\n".join(["word"] * 20_000) and by[8] == "a" and len(by[9]) == 300_000
     assert all(r.n_chars == len(r.text) for r in got)
     assert extracted(docs.limit(0)).count() == 0 and blocks_of("<p>&#x41;&eacute;</p>")[0].text == "Aé"
+
+
+LONG = "The council met on Tuesday and spoke for three hours about the new bridge over the river, which nobody had asked for."
+LEARNT = """<html><body><nav><ul><li><a href=a>Home</a><li><a href=b>News</a><li><a href=c>Sport</a></ul></nav><div class="ad">Buy now</div>
+<article><h1>The bridge is here</h1><p>LONG</p><p>LONG LONG</p><p>LONG</p></article><footer>(c) me</footer></body></html>""".replace("LONG", LONG)
+
+
+def test_the_cut_overrules_misleading_places(spark):
+    weights = learn(pages_of(spark, [(i, "u", LEARNT) for i in range(30)]))
+    assert main_text(LEARNT, weights) == "\n\n".join(["The bridge is here", LONG, f"{LONG} {LONG}", LONG])
+    links = "".join(f"<li><a href=/{k}>Part {k}</a>" for k in range(3))
+    inside = f'<html><body><article><p>{LONG}</p><div class="promo"><p>Again. {LONG}</p></div><p>{LONG}</p></article><footer>(c) me</footer></body></html>'
+    assert main_text(inside, weights) == f"{LONG}\n\nAgain. {LONG}\n\n{LONG}"
+    list_between = f'<html><body><nav><ul>{links}</ul></nav><div class="content"><ul>{links}</ul></div><footer><a href=x>Top</a></footer><main><p>{LONG}</p></main></body></html>'
+    assert main_text(list_between, weights) == LONG
+    alone = f'<html><body><nav><ul>{links}</ul></nav><div class="more-story">' + f"<p>{LONG}</p>" * 4 + "</div><footer>(c) me</footer></body></html>"
+    assert main_text(alone, weights) == "\n\n".join([LONG] * 4)
+    comments = LEARNT.replace("<footer>", f'<div class="comments"><p>{LONG}</p><p>{LONG}</p></div><footer>')
+    assert main_text(comments, weights) == main_text(LEARNT, weights)
+    hidden = f'<html><body><article><p>{LONG}</p><p hidden>{LONG}</p><div class="promo"><p style="display: none">{LONG}</p></div><p>{LONG}</p></article></body></html>'
+    assert main_text(hidden, weights) == f"{LONG}\n\n{LONG}"
+    assert main_text("<body><nav><p>Home</p></nav><div class='ad'>Buy now</div></body>", weights) == ""
