@@ -2,8 +2,8 @@
 
 A rule names a host and a path prefix; it fits the host and all its subdomains, and the longest fitting rule decides. Other URLs are
 judged by trees over length, depth, digit share, character entropy, marks, parameter counts and statistics of the host's suffixes,
-trained from labelled URLs: at most about `sample_rows` of them, chosen by a hash of the URL. Suffix statistics keep the
-`suffixes` most frequent ones, so they may be broadcast.
+trained from labelled URLs: at most about `sample_rows` of them, chosen by a hash of the URL. Suffix statistics are counted over
+all labelled URLs and kept for every suffix; a table of more than `suffixes` of them is joined by a shuffle.
 
 Defined results: null or no `://`: host and path are empty, and the trees judge the empty URL; nothing to learn from, or one kind
 of label only: that kind, else allow. Repeated rows give repeated rows. A null page_id is kept. Extra columns are ignored. An empty table
@@ -18,7 +18,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
-from bourseflow.llm.common import stored
+from bourseflow.llm.common import small_side, stored
 
 #: Words in a host that mark it as unwanted when no other label is at hand.
 UNWANTED = ("adult", "ads", "bets", "casino", "pills", "porn", "spam", "track", "warez")
@@ -28,7 +28,7 @@ UNWANTED = ("adult", "ads", "bets", "casino", "pills", "porn", "spam", "track",
 class Settings:
     rules: tuple[tuple[str, str], ...] = ()      # (verdict, "host/path prefix")
     sample_rows: int = 20_000
-    suffixes: int = 5_000
+    suffixes: int = 5_000                        # most suffixes to broadcast
     trees: int = 15
     depth: int = 4
     threshold: float = 0.5
@@ -63,13 +63,17 @@ def _entropy(text: Column) -> Column:
     return F.aggregate(counts, F.lit(0.0), lambda acc, p: acc - p * F.log2(p))
 
 
+def suffixes_of(host: Column) -> dict[str, Column]:
+    """The last one and the last two labels of a host."""
+    return {f"suffix{k}": F.substring_index(host, ".", -k) for k in (1, 2)}
+
+
 def lexical(urls: DataFrame, url: str = "url") -> DataFrame:
     """Adds host, path, the suffixes and the numeric features (columns f_...)."""
     whole = F.coalesce(F.col(url), F.lit(""))
     query = F.regexp_extract(whole, r"\?([^#]*)", 1)
     host, path = host_and_path(F.col(url))
-    rows = urls.withColumn("host", host).withColumn("path", path).withColumn("suffix1", F.substring_index("host", ".", -1)).withColumn(
-        "suffix2", F.substring_index("host", ".", -2)).withColumn("own", F.regexp_replace("host", r"(^|\.)[^.]*\.[^.]*$", ""))
+    rows = urls.withColumn("host", host).withColumn("path", path).withColumns(suffixes_of(F.col("host"))).withColumn("own", F.regexp_replace("host", r"(^|\.)[^.]*\.[^.]*$", ""))
     return rows.withColumns({
         "f_length": F.length(whole), "f_host_length": F.length("host"), "f_path_length": F.length("path"), "f_query_length": F.length(query),
         "f_depth": F.regexp_count("path", F.lit(r"/[^/]+")), "f_labels": F.regexp_count("host", F.lit(r"\.")),
@@ -91,13 +95,14 @@ def weak_labels(urls: DataFrame) -> DataFrame:
 class Trained:
     model: object                    # None: one kind of label only
     only: float
-    suffixes: dict[str, DataFrame]
+    suffixes: dict[str, DataFrame]   # stored: suffix, rate and rows
     prior: float
+    most: int                        # suffixes to broadcast
 
 
 def with_suffixes(rows: DataFrame, t: Trained) -> DataFrame:
     for name, table in t.suffixes.items():
-        rows = rows.join(F.broadcast(table), name, "left").withColumn(
+        rows = rows.join(small_side(table, t.most), name, "left").withColumn(
             f"f_{name}_rate", F.coalesce(f"{name}_rate", F.lit(t.prior))).withColumn(f"f_{name}_rows", F.coalesce(f"{name}_rows", F.lit(0.0))).drop(
             f"{name}_rate", f"{name}_rows")
     names = sorted(c for c in rows.columns if c.startswith("f_"))
@@ -107,19 +112,25 @@ def with_suffixes(rows: DataFrame, t: Trained) -> DataFrame:
 def learn(labelled: DataFrame, s: Settings = Settings()) -> Trained:
     """labelled: url, label (1 block, 0 allow; other labels teach nothing)."""
     rows = labelled.select("url", "label").where("url is not null and label in (0, 1)")
-    share = min(1.0, s.sample_rows / max(1, rows.count()))
-    chosen = rows.where(F.pmod(F.xxhash64(F.lit(s.seed), "url"), F.lit(1_000_000)) < int(share * 1_000_000))
-    chosen = stored(lexical(chosen).repartition(8, "url"), "labelled-urls")
-    total = chosen.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("bad")).first()
+    total = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("label").cast("long")).alias("bad")).first()
     if not total["n"] or total["bad"] in (0, total["n"]):
-        return Trained(None, 1.0 if total["bad"] else 0.0, {}, 0.0)
+        return Trained(None, 1.0 if total["bad"] else 0.0, {}, 0.0, s.suffixes)
     prior = total["bad"] / total["n"]
+    host, _ = host_and_path(F.col("url"))
+    pairs = stored(rows.select(host.alias("host"), "label").select(*[c.alias(k) for k, c in suffixes_of(F.col("host")).items()], "label")
+                   .groupBy("suffix1", "suffix2").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("label").cast("long")).alias("bad")), "suffix-counts")
     tables = {}
     for name in ("suffix1", "suffix2"):
-        counts = chosen.groupBy(name).agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("bad")).orderBy(F.desc("n"), name).limit(s.suffixes)
+        counts = pairs.groupBy(name).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
         tables[name] = stored(counts.select(name, ((F.col("bad") + 10 * prior) / (F.col("n") + 10)).alias(f"{name}_rate"),
                                             F.log1p("n").alias(f"{name}_rows")), name)
-    out = Trained(None, 0.0, tables, prior)
+    share = min(1.0, s.sample_rows / total["n"])
+    chosen = rows.where(F.pmod(F.xxhash64(F.lit(s.seed), "url"), F.lit(1_000_000)) < int(share * 1_000_000))
+    chosen = stored(lexical(chosen).repartition(8, "url"), "labelled-urls")
+    kinds = [x["label"] for x in chosen.select("label").distinct().collect()]
+    if len(kinds) < 2:                                               # the sample shows one kind only
+        return Trained(None, kinds[0] if kinds else float(prior >= 0.5), {}, prior, s.suffixes)
+    out = Trained(None, 0.0, tables, prior, s.suffixes)
     data = stored(with_suffixes(chosen, out).select("features", "label"), "url-features")
     out.model = GBTClassifier(maxIter=s.trees, maxDepth=s.depth, stepSize=0.3, seed=s.seed).fit(data)
     return out

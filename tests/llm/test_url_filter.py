@@ -4,7 +4,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from bourseflow.llm.url_filter import Settings, fitting_rule, host_and_path, judged, lexical, weak_labels
+from bourseflow.llm.url_filter import Settings, fitting_rule, host_and_path, judged, learn, lexical, weak_labels
 
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 
@@ -68,3 +68,24 @@ def test_awkward_rows(spark):
     nothing = spark.createDataFrame([], "url string, label double")
     assert {r.verdict for r in judged(docs, nothing).collect()} == {"allow"}
     assert judged(docs.limit(0), nothing).count() == 0
+
+
+def test_suffix_statistics_count_all_labelled_urls(spark):
+    urls = [(f"http://h{k}.site{k % 97}.{'com' if k % 3 else 'org'}/{k}", float(k % 97 % 2)) for k in range(1200)]
+    labelled = spark.createDataFrame(urls, "url string, label double")
+    prior = sum(y for _, y in urls) / len(urls)
+    for s in (Settings(sample_rows=60, suffixes=3, trees=2), Settings(sample_rows=60, trees=2)):
+        t = learn(labelled, s)
+        for k, name in ((1, "suffix1"), (2, "suffix2")):
+            n, bad = Counter(), Counter()
+            for u, y in urls:
+                suffix = ".".join(split(u)[0].split(".")[-k:])
+                n[suffix] += 1
+                bad[suffix] += y
+            got = {r[0]: (r[1], r[2]) for r in t.suffixes[name].collect()}
+            assert got.keys() == n.keys() and len(n) == (2 if k == 1 else 97 * 2)
+            assert all(abs(got[x][0] - (bad[x] + 10 * prior) / (n[x] + 10)) < 1e-12 and abs(got[x][1] - math.log1p(n[x])) < 1e-12 for x in n)
+    pages = pages_of(spark, [u for u, _ in urls] + ["http://new.place/"])
+    by_shuffle, by_broadcast = ({r.page_id: (r.verdict, r.score) for r in judged(pages, labelled, Settings(suffixes=k, trees=2)).collect()} for k in (3, 5_000))
+    assert by_shuffle.keys() == by_broadcast.keys() and len(by_shuffle) == 1201
+    assert all(x[0] == by_broadcast[i][0] and abs(x[1] - by_broadcast[i][1]) < 1e-9 for i, x in by_shuffle.items())
