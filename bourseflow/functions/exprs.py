@@ -66,12 +66,24 @@ def like_escape(text: str) -> str:
     return text.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_")
 
 
+def _number_text(c: Column | str) -> Column:
+    return F.trim(F.regexp_replace(col(c).cast("string"), ",", ""))
+
+
 def clean_number(c: Column | str, precision: int = 38, scale: int = 6) -> Column:
-    """Text to decimal: thousands separators dropped; blanks, '-', 'N/A' and non-finite words become NULL."""
-    text = F.trim(F.regexp_replace(col(c).cast("string"), ",", ""))
+    """Text to decimal: thousands separators dropped; blanks, '-', 'N/A' and non-finite words become NULL.
+
+    So do numbers beyond the column: ask `number_beyond` where they can occur."""
+    text = _number_text(c)
     text = F.when(~text.isin("", "-", "N/A") & ~F.lower(text).isin("nan", "inf", "-inf", "infinity", "-infinity"), text)
     return text.try_cast(f"decimal({precision},{scale})")
 
 
+def number_beyond(c: Column | str, precision: int = 38, scale: int = 6) -> Column:
+    """True where the text is a number that the decimal column cannot hold."""
+    number = _number_text(c).rlike(r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$")
+    return F.coalesce(number & clean_number(c, precision, scale).isNull(), F.lit(False))
+
+
 def local_date(ts: Column | str, zone: str | Column) -> Column:
     return F.from_utc_timestamp(col(ts), zone).cast("date")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from bourseflow import constants as K
 from bourseflow.accounts import BULK_COLUMNS, BULK_CURRENCY, BULK_REPORT, BULK_STATEMENTS
-from bourseflow.functions.exprs import clean_number
+from bourseflow.functions.exprs import clean_number, number_beyond
 from bourseflow.session import checkpoint_dir
 
 
@@ -24,7 +24,24 @@ def read_csv(spark: SparkSession, path: str, schema: str, dims: DataFrame, natur
 
 
 def read_statement_files(spark: SparkSession, folder: str, encoding: str = "cp949") -> DataFrame:
-    """Bulk statement text files: annual-report rows with the statement kind read from its name."""
+    """Bulk statement text files: annual-report rows with the statement kind read from its name.
+
+    An amount beyond the column is an error here; `split_statement_files` sets such rows aside."""
+    rows = _statement_rows(spark, folder, encoding)
+    checked = F.when(F.col("_beyond"), F.raise_error(F.concat(F.lit(f"{K.BAD_NUMBER}: "), F.col("_text")))).otherwise(F.col("amount"))
+    return rows.withColumn("amount", checked).drop("_beyond", "_text")
+
+
+def split_statement_files(spark: SparkSession, folder: str, encoding: str = "cp949") -> tuple[DataFrame, DataFrame]:
+    """The rows of the statement files, and the rejected ones (reason, row as JSON) whose amount is a number beyond the column."""
+    rows = _statement_rows(spark, folder, encoding)
+    kept = [c for c in rows.columns if c not in ("_beyond", "_text")]
+    whole = F.struct(*[F.col("_text").alias("amount") if c == "amount" else F.col(c) for c in kept])
+    return rows.where(~F.col("_beyond")).select(*kept), rows.where("_beyond").select(F.lit(K.BAD_NUMBER).alias("reason"), F.to_json(whole).alias("row"))
+
+
+def _statement_rows(spark: SparkSession, folder: str, encoding: str) -> DataFrame:
+    """Annual-report rows with the amount also as text and whether it is beyond the column (_text, _beyond)."""
     # Spark 4 reads only Unicode and Latin-1 text unless Java charsets are allowed
     spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     raw = spark.read.option("header", True).option("sep", "\t").option("encoding", encoding).option("quote", "").csv(folder)
@@ -40,7 +57,8 @@ def read_statement_files(spark: SparkSession, folder: str, encoding: str = "cp94
     currency = F.upper(F.trim(F.col(f"`{names[BULK_CURRENCY]}`"))) if BULK_CURRENCY in names else F.lit(None).cast("string")
     rows = raw.select(code.alias("stock_code"), col["period_end"].cast("date").alias("period_end"), col["kind"].endswith(consolidated).alias("consolidated"),
                       kind.alias("statement"), col["account_id"].alias("account_id"), col["account_nm"].alias("account_nm"),
-                      clean_number(col["amount"], 24, 2).alias("amount"), F.nullif(currency, F.lit("")).alias("currency"), col["report"].alias("report"))
+                      clean_number(col["amount"], 24, 2).alias("amount"), F.nullif(currency, F.lit("")).alias("currency"), col["report"].alias("report"),
+                      number_beyond(col["amount"], 24, 2).alias("_beyond"), col["amount"].alias("_text"))
     return rows.where(F.col("statement").isNotNull() & F.col("stock_code").rlike("^[0-9]+$") & (F.col("report") == BULK_REPORT)).drop("report")
 
 

@@ -117,20 +117,15 @@ class Tables:
 
     @cached_property
     def prices(self) -> DataFrame:
-        """Daily bars. First and last trade are found by packing (order, line, price) into one decimal, so the whole
+        """Daily bars. First and last trade are the least and the greatest (order, line, price), whatever their size, so the whole
         aggregation keeps fixed-size buffers and combines on the map side, also for a stock with most of the trades."""
         t = self.trades.withColumn("px", price4())
-        packed = ((F.col("order_id") * 8 + F.col("line")).cast("decimal(22,0)") * F.lit(100_000_000_000).cast("decimal(12,0)")
-                  + F.col("px").cast("decimal(12,0)")).cast("decimal(36,0)")
-
-        def unpack(c: str) -> Column:
-            return from4(F.col(c) % F.lit(100_000_000_000).cast("decimal(12,0)"))
-
-        bars = (t.withColumn("k", packed).groupBy("stock_id", "trade_date")
+        whole = F.col("order_id").isNotNull() & F.col("line").isNotNull() & F.col("px").isNotNull()
+        bars = (t.withColumn("k", F.when(whole, F.struct("order_id", "line", "px"))).groupBy("stock_id", "trade_date")
                 .agg(F.min("k").alias("k0"), F.max("k").alias("k1"), F.max("px").alias("hi"), F.min("px").alias("lo"),
                      F.sum("qty").alias("volume")))
-        return bars.select("stock_id", "trade_date", unpack("k0").alias("open"), from4(F.col("hi")).alias("high"),
-                           from4(F.col("lo")).alias("low"), unpack("k1").alias("close"), "volume")
+        return bars.select("stock_id", "trade_date", from4(F.col("k0.px")).alias("open"), from4(F.col("hi")).alias("high"),
+                           from4(F.col("lo")).alias("low"), from4(F.col("k1.px")).alias("close"), "volume")
 
     @cached_property
     def indices(self) -> DataFrame:

@@ -1,4 +1,5 @@
 """Portfolio, cleaning, selection, files, streams and plan checks on small fixtures."""
+import json
 import os
 import random
 from datetime import date
@@ -6,8 +7,10 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
+from bourseflow import constants as K
 from bourseflow.operators import cleaning, peers, portfolio, upkeep, valuations
 from bourseflow.sources import files
+from bourseflow.sources.market_tables import Tables
 
 
 def test_portfolio_value(spark):
@@ -128,6 +131,29 @@ def test_statement_files(spark, tmp_path):
         files.read_statement_files(spark, str(tmp_path / "sub"))
 
 
+def test_statement_amounts_beyond_the_column_are_kept_aside(spark, tmp_path):
+    head = "재무제표종류\t종목코드\t결산기준일\t보고서종류\t항목코드\t항목명\t당기\t통화"
+    line = "재무상태표-연결\t[{}]\t2023-12-31\t사업보고서\tx\t자산총계\t{}\tKRW"
+    amounts = ["1,000", "9" * 22, "1" + "0" * 22, "-", "x1", "-1e30"]
+    (tmp_path / "a.txt").write_bytes("\r\n".join([head, *(line.format(k, a) for k, a in enumerate(amounts))]).encode("cp949"))
+    good, bad = files.split_statement_files(spark, str(tmp_path))
+    assert {r.stock_code: r.amount and int(r.amount) for r in good.collect()} == {"0": 1000, "1": int("9" * 22), "3": None, "4": None}
+    got = [(r.reason, json.loads(r.row)) for r in bad.collect()]
+    assert {(why, x["stock_code"], x["amount"]) for why, x in got} == {(K.BAD_NUMBER, "2", amounts[2]), (K.BAD_NUMBER, "5", amounts[5])}
+    with pytest.raises(Exception, match=K.BAD_NUMBER):
+        files.read_statement_files(spark, str(tmp_path)).collect()
+
+
+def test_bars_of_high_prices_and_line_numbers(spark, tmp_path):
+    rows = [(1, 10, 9, 12.0), (1, 10, 2, 50_000_000.0), (1, 11, 1, 7.0), (1, 11, 30, 20_000_000.0), (2, 2**40, 1, 3.0), (2, 2**40, 8, 4.0), (2, 2**40 + 1, 0, 5.0)]
+    spark.createDataFrame([(s, o, n, date(2001, 1, 2), p, 1.0, 0.0, 0.0, "N") for s, o, n, p in rows],
+                          "l_suppkey long, l_orderkey long, l_linenumber int, l_shipdate date, l_extendedprice double, l_quantity double, "
+                          "l_discount double, l_tax double, l_returnflag string").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = {r.stock_id: tuple(map(float, (r.open, r.high, r.low, r.close))) for r in Tables(spark, str(tmp_path)).prices.collect()}
+    assert got == {1: (50_000_000.0, 50_000_000.0, 7.0, 20_000_000.0), 2: (3.0, 5.0, 3.0, 5.0)}
+
+
+
 def test_csv_import(spark, tmp_path):
     (tmp_path / "v.csv").write_text("market,ticker,as_of,per\nKOSPI,005930,2024-01-02,\nKOSPI,000660,2024-01-02,8.5\nKOSPI,9,2024-01-02,1\n", encoding="utf-8")
     dims = spark.createDataFrame([("KOSPI", "005930", 1), ("KOSPI", "000660", 2)], "market string, ticker string, stock_id int")
