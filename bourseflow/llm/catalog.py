@@ -5,8 +5,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bourseflow.llm import (decontaminate, embedding_dedup, extraction, kneser_ney, language, minhash_dedup, mixing, revisit, sharding, sql,
-                            url_filter)
+from bourseflow.llm import (decontaminate, embedding_dedup, extraction, kneser_ney, language, minhash_dedup, mixing, quality_rules, repair, revisit,
+                            sharding, sql, url_filter, whitening)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -59,6 +59,18 @@ def op10_virtual_slots(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.place(table(spark, folder, "documents"))
 
 
+def op11_rule_ledger(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_rules.judged(table(spark, folder, "documents"))
+
+
+def op12_checkpointed_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return repair.digests(repair.damaged(table(spark, folder, "conversations")))
+
+
+def op13_multiplicity_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.components_of(table(spark, folder, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 

@@ -65,3 +65,50 @@ SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, c.copy::INT AS copy,
        md5('42-order|' || coalesce(d.doc_id::VARCHAR, 'null') || '|' || c.copy) AS order_key
 FROM numbered d JOIN (SELECT row, unnest(range(1, copies + 1)) AS copy FROM copies) c ON d.rowid = c.row
 """
+
+SQL["op11_rule_ledger"] = """
+WITH docs AS (SELECT row_number() OVER () AS num, doc_id, coalesce(text, '') AS text FROM documents),
+split AS (
+    SELECT *, list_filter(regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words,
+           list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines
+    FROM docs),
+starts AS (
+    SELECT num, place, words[place] || ' ' || words[place + 1] || ' ' || words[place + 2] || ' ' || words[place + 3] || ' ' || words[place + 4] AS five
+    FROM (SELECT num, words, unnest(range(1, len(words) - 3)) AS place FROM split WHERE len(words) >= 5)),
+again AS (SELECT num, unnest(list(place)) AS place FROM starts GROUP BY num, five HAVING count(*) > 1),
+covered AS (SELECT num, count(DISTINCT word) AS n FROM (SELECT num, unnest(range(place, place + 5)) AS word FROM again) GROUP BY num),
+measured AS (
+    SELECT doc_id, len(words)::BIGINT AS n_words, length(regexp_replace(text, '[\\x20\\x09-\\x0D]', '', 'g'))::BIGINT AS word_chars,
+           (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+           (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words,
+           len(lines)::BIGINT AS n_lines, len(list_filter(words, lambda x: regexp_matches(x, '\\p{L}')))::BIGINT AS n_letter_words,
+           len(list_filter(lines, lambda x: regexp_matches(x, '(\\.\\.\\.|\\x{2026})[\\x20\\x09-\\x0D]*$')))::BIGINT AS n_ellipsis_lines,
+           len(list_filter(lines, lambda x: regexp_matches(x, '^[\\x20\\x09-\\x0D]*[-*\\x{2022}]')))::BIGINT AS n_bullet_lines
+    FROM split LEFT JOIN covered USING (num)),
+failed AS (
+    SELECT *, n_words < 10 AS f0, 100 * n_repeat_words > 20 * n_words AS f1, n_symbols > n_words AS f2, 100 * n_dup_lines > 50 * n_lines AS f3,
+           100 * n_letter_words < 30 * n_words AS f4, word_chars < 2 * n_words AS f5, word_chars > 100 * n_words AS f6,
+           100 * n_ellipsis_lines > 30 * n_lines AS f7, n_lines > 2 AND 100 * n_bullet_lines > 90 * n_lines AS f8
+    FROM measured),
+counted AS (
+    SELECT *, f0::INT + f1::INT + f2::INT + f3::INT + f4::INT + f5::INT + f6::INT AS never, f7::INT + f8::INT AS soft FROM failed),
+told AS (
+    SELECT *, never = 0 AND soft <= 1 AS kept,
+           CASE WHEN never = 1 AND soft <= 1 THEN CASE WHEN f0 THEN 'few_words' WHEN f1 THEN 'repeated_words' WHEN f2 THEN 'symbols'
+                     WHEN f3 THEN 'repeated_lines' WHEN f4 THEN 'few_letters' WHEN f5 THEN 'short_words' ELSE 'long_words' END
+                WHEN never = 0 AND soft = 2 THEN 'cut_lines' END AS sole_rule
+    FROM counted),
+gain AS (
+    SELECT 'few_words' AS sole_rule, count(*) FILTER (WHERE never = 1 AND soft <= 1 AND f0) AS readmitted FROM told
+    UNION ALL SELECT 'repeated_words', count(*) FILTER (WHERE never = 1 AND soft <= 1 AND f1) FROM told
+    UNION ALL SELECT 'symbols', count(*) FILTER (WHERE never = 1 AND soft <= 1 AND f2) FROM told
+    UNION ALL SELECT 'repeated_lines', count(*) FILTER (WHERE never = 1 AND soft <= 1 AND f3) FROM told
+    UNION ALL SELECT 'few_letters', count(*) FILTER (WHERE never = 1 AND soft <= 1 AND f4) FROM told
+    UNION ALL SELECT 'short_words', count(*) FILTER (WHERE never = 1 AND soft <= 1 AND f5) FROM told
+    UNION ALL SELECT 'long_words', count(*) FILTER (WHERE never = 1 AND soft <= 1 AND f6) FROM told
+    UNION ALL SELECT 'cut_lines', count(*) FILTER (WHERE never = 0 AND soft = 2) FROM told)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_letter_words, n_ellipsis_lines, n_bullet_lines,
+       (f0::INT + 2 * f1::INT + 4 * f2::INT + 8 * f3::INT + 16 * f4::INT + 32 * f5::INT + 64 * f6::INT + 128 * f7::INT + 256 * f8::INT)::BIGINT
+           AS fail_bits, f0 OR f1 AS base_failed, kept, 2 AS policy, sole_rule, readmitted::BIGINT AS readmitted
+FROM told LEFT JOIN gain USING (sole_rule)
+"""
