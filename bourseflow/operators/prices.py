@@ -93,8 +93,13 @@ def price_metrics(bars: DataFrame, keys: Sequence[str] = ("stock_id",)) -> DataF
         # closes 21, 126 and 252 sessions before the newest one, for momentum
         F.max(F.when(rn == 22, close)).alias("c_21"), F.max(F.when(rn == 127, close)).alias("c_126"),
         F.max(F.when(rn == 253, close)).alias("c_252"))
+    return price_columns(agg, keys)
+
+
+def price_columns(found: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rounded metrics from what was found at the newest bar of each key."""
     full_year = F.col("p1y").isNotNull()
-    return agg.select(
+    return found.select(
         *keys, "as_of", "close", growth("close", "prev_close").alias("change_rate"),
         *[growth("close", f"p{h}").alias(f"return_{h}") for h in ("1w", "1m", "3m", "6m", "1y")],
         half_up("vol", 6).alias("volatility_1y"), half_up("mdd", 6).alias("max_drawdown_1y"),

@@ -5,6 +5,7 @@ preset composites -> percentile score. The scoring date is part of every key, so
 """
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -12,37 +13,38 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from bourseflow import constants as K
 from bourseflow.functions.exprs import clamp, dbl, half_up, normal_quantile, ratio
 from bourseflow.functions.ranking import with_average_rank, with_rank
+from bourseflow.operators.point_in_time import as_of_rows
 
 KEY = ("stock_id", "snapshot")
 
 
 # ------------------------------------------------------------------ inputs
-def trading_calendar_cut(bars: DataFrame, sample: DataFrame, snapshots_of, sessions: int = 21, days: int = 120) -> DataFrame:
+def trading_calendar_cut(bars: DataFrame, sample: DataFrame, dates: Sequence, sessions: int = 21, days: int = 120) -> DataFrame:
     """Per country and date: the 21st most recent session; a stock whose last bar is older has stopped trading."""
-    dates = (bars.select("stock_id", "trade_date").join(sample.select("stock_id", "country"), "stock_id")
-             .groupBy("country", "trade_date").agg(F.lit(1).alias("one")).drop("one"))
-    w = Window.partitionBy("country", "snapshot").orderBy(F.desc("trade_date"))
-    return (snapshots_of(dates, "trade_date", days).withColumn("rk", F.row_number().over(w))
-            .where(F.col("rk") == sessions).select("country", "snapshot", F.col("trade_date").alias("cut_date")))
+    held = (bars.select("stock_id", "trade_date").join(sample.select("stock_id", "country"), "stock_id")
+            .groupBy("country", "trade_date").agg(F.lit(1).alias("one")).drop("one"))
+    return (as_of_rows(held, "trade_date", dates, ("country",), cut_date=lambda w: F.lag("trade_date", sessions - 1).over(w))
+            .where(F.col("cut_date") >= F.date_sub("snapshot", days)).select("country", "snapshot", "cut_date"))
 
 
-def fiscal_chain(annual: DataFrame) -> DataFrame:
-    """t, t-1 and t-2: usable annual statements whose ends are 330 to 400 days apart.
+def fiscal_chain(annual: DataFrame, dates: Sequence) -> DataFrame:
+    """t, t-1 and t-2 on every date: usable annual statements whose ends are 330 to 400 days apart.
 
-    A stock has a handful of fiscal years, so its years are gathered once and the chain is read from that short array."""
+    A stock has a handful of fiscal years, so its years are gathered once and the chain of each year is read from that short array;
+    a date picks the newest year that it sees."""
     usable = annual.where("period_type = 'FY' AND total_assets IS NOT NULL AND (net_income IS NOT NULL OR operating_income IS NOT NULL)")
     year = F.struct(F.col("period_end").alias("end"), dbl("revenue").alias("rev"), dbl("operating_income").alias("oi"),
                     dbl("net_income").alias("ni"), dbl("total_assets").alias("ta"), dbl("total_debt").alias("debt"),
                     dbl("total_equity").alias("eq"))
-    years = usable.groupBy(*KEY).agg(F.sort_array(F.collect_list(year), asc=False).alias("years"))
+    years = usable.groupBy("stock_id").agg(F.sort_array(F.collect_list(year), asc=False).alias("years"))
 
     def before(end: Column) -> Column:
         return F.get(F.filter("years", lambda y: F.datediff(end, y["end"]).between(330, 400)), 0)
 
-    chained = (years.withColumn("t0", F.col("years")[0]).withColumn("t1", before(F.col("t0.end")))
+    chained = (years.withColumn("t0", F.explode("years")).withColumn("t1", before(F.col("t0.end")))
                .withColumn("t2", before(F.col("t1.end"))))
     parts = [F.col(f"t{i}.{f}").alias(f"{f}{i}") for i in range(3) for f in ("end", "rev", "oi", "ni", "ta", "debt", "eq")]
-    return chained.select(*KEY, *parts)
+    return as_of_rows(chained.select("stock_id", *parts), "end0", dates)
 
 
 def score_inputs(price: DataFrame, valuation: DataFrame, chain: DataFrame, members: DataFrame, cut: DataFrame,

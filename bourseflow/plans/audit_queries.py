@@ -4,24 +4,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from bourseflow import constants as K
-from bourseflow.operators import audits, peers, prices, scoring
+from bourseflow.operators import audits, peers, scoring
 from bourseflow.plans import marts
 from bourseflow.plans.catalog import query
 from bourseflow.plans.ingest_queries import primary_themes
 from bourseflow.plans.market_queries import _profile
 from bourseflow.plans.price_queries import top_ranked
 from bourseflow.plans.score_queries import factor_long, theme_position_table
-from bourseflow.plans.score_run import SNAPSHOTS, score_run
+from bourseflow.plans.score_run import score_run, snapshots_of
 from bourseflow.sources.market_tables import Tables, literal_rows
 from bourseflow.sources.stored import stored
 
 
 def newest(df: DataFrame) -> DataFrame:
-    return df.where(F.col("snapshot") == F.lit(SNAPSHOTS[-1]).cast("date"))
+    """The rows of the newest scoring date of the table."""
+    return df.where(F.col("snapshot") == df.agg(F.max("snapshot")).scalar())
 
 
 def chain(t: Tables) -> DataFrame:
-    return scoring.fiscal_chain(prices.at_snapshots(t.statements, "period_end", SNAPSHOTS[-1:]))
+    return scoring.fiscal_chain(t.statements, snapshots_of(t)[-1:])
 
 
 @query("a_facts")
@@ -79,7 +80,7 @@ def a_r8(t: Tables) -> DataFrame:
 @query("a_r9")
 def a_r9(t: Tables) -> DataFrame:
     s = score_run(t).scores.where(F.col("preset") == K.DEFAULT_PRESET)
-    before = s.where(F.col("snapshot") == F.lit(SNAPSHOTS[-2]).cast("date"))
+    before = s.where(F.col("snapshot") == F.lit(snapshots_of(t)[-2]).cast("date"))
     return audits.lost_scores(newest(s), before, t.statements)
 
 
@@ -142,7 +143,7 @@ def a_weak_theme(t: Tables) -> DataFrame:
 @query("a_units")
 def a_units(t: Tables) -> DataFrame:
     from bourseflow.operators.fundamentals import latest_valuation
-    v = latest_valuation(t.valuations.where(F.col("as_of") <= SNAPSHOTS[-1]))
+    v = latest_valuation(t.valuations.where(F.col("as_of") <= F.lit(snapshots_of(t)[-1]).cast("date")))
     return audits.unit_rules(newest(score_run(t).inputs), v, t.statements)
 
 

@@ -156,8 +156,9 @@ def prune_users(t: Tables) -> DataFrame:
 def prune_sector(t: Tables) -> DataFrame:
     from bourseflow.operators import market_state
     from bourseflow.plans.market_queries import sample
-    changes = market_state.sector_change(market_state.sector_series(t.prices, sample(t)), TODAY)
-    return changes.where(F.col("trade_date") >= F.date_sub(F.lit(TODAY).cast("date"), 30))
+    today = str(t.newest_day)
+    changes = market_state.sector_change(market_state.sector_series(t.prices, sample(t)), today)
+    return changes.where(F.col("trade_date") >= F.date_sub(F.lit(today).cast("date"), 30))
 
 
 @query("listing_sync")

@@ -9,11 +9,12 @@ from bourseflow.operators import market_state, peers, portfolio, prices, stats
 from bourseflow.plans import marts
 from bourseflow.plans.catalog import query
 from bourseflow.plans.score_queries import score_ranks
-from bourseflow.plans.score_run import score_run
+from bourseflow.plans.score_run import months_before, score_run
 from bourseflow.sources.market_tables import Tables
 from bourseflow.sources.stored import stored
 
-FLOW_DATES = ("2001-03-30", "2001-06-29", "2001-10-31")
+# months before the newest trade of the dates whose sector flow is shown
+FLOW_MONTHS = (7, 4, 0)
 FAST_JOBS = ("CLICK", "VIEW")
 NOW = "2024-01-31 00:00:00"
 
@@ -22,6 +23,10 @@ def sample(t: Tables) -> DataFrame:
     return t.stocks.where("is_active AND coverage IN ('featured', 'benchmark') AND sector IS NOT NULL")
 
 
+def flow_dates(t: Tables) -> list[str]:
+    return [str(months_before(t.newest_day, m)) for m in FLOW_MONTHS]
+
+
 def usd_krw(t: Tables) -> Column:
     return prices.fx_latest(t.fx).select("usd_krw").scalar()
 
@@ -78,17 +83,17 @@ def commodity_info(t: Tables) -> DataFrame:
 
 @query("sector_flow")
 def sector_flow(t: Tables) -> DataFrame:
-    return market_state.sector_flow(t.prices, sample(t), FLOW_DATES)
+    return market_state.sector_flow(t.prices, sample(t), flow_dates(t))
 
 
 @query("sector_change")
 def sector_change(t: Tables) -> DataFrame:
-    return market_state.sector_change(market_state.sector_series(t.prices, sample(t)), "2001-10-31")
+    return market_state.sector_change(market_state.sector_series(t.prices, sample(t)), str(t.newest_day))
 
 
 @query("sector_board")
 def sector_board(t: Tables) -> DataFrame:
-    changes = market_state.sector_change(market_state.sector_series(t.prices, sample(t)), "2001-10-31")
+    changes = market_state.sector_change(market_state.sector_series(t.prices, sample(t)), str(t.newest_day))
     board = t.groups.select("sector").distinct().withColumn("country", F.explode(F.array(F.lit("KR"), F.lit("US"))))
     return market_state.sector_board(changes, board)
 
@@ -104,18 +109,18 @@ def sentiment_points(t: Tables) -> DataFrame:
 
 
 def country_mood(t: Tables) -> DataFrame:
-    """Newest stored mood of the leading index of each country."""
-    mood = market_state.mood_components(t.index_prices, vix(t), (2, 3, 4)).where("index_id IN (0, 2) AND trade_date <= '2001-10-31'")
-    newest = mood.where("score IS NOT NULL").groupBy("index_id").agg(F.max("trade_date").alias("trade_date"), F.max_by("score", "trade_date").alias("score"))
-    return newest.join(F.broadcast(t.indices.select("index_id", "country")), "index_id").select("country", "trade_date", "score")
+    """Newest stored mood of the leading index of each country (the first in display order)."""
+    leading = t.indices.groupBy("country").agg(F.min_by("index_id", F.struct("display_order", "index_id")).alias("index_id"))     # one row per country
+    mood = market_state.mood_components(t.index_prices, vix(t), (2, 3, 4)).join(F.broadcast(leading), "index_id")
+    return mood.where("score IS NOT NULL").groupBy("country").agg(F.max("trade_date").alias("trade_date"), F.max_by("score", "trade_date").alias("score"))
 
 
 @query("market_condition")
 def market_condition(t: Tables) -> DataFrame:
-    flow = market_state.sector_flow(t.prices, sample(t), FLOW_DATES[-1:])
+    flow = market_state.sector_flow(t.prices, sample(t), flow_dates(t)[-1:])
     sessions = (t.index_prices.join(F.broadcast(t.indices.select("index_id", "country")), "index_id")
                 .select("country", F.col("trade_date").alias("session_date")).distinct())
-    return market_state.market_condition(t.stocks, country_mood(t), flow.select("country", "sector", "sector_r5", "n"), sessions, FLOW_DATES[-1])
+    return market_state.market_condition(t.stocks, country_mood(t), flow.select("country", "sector", "sector_r5", "n"), sessions, flow_dates(t)[-1])
 
 
 @query("market_brief")

@@ -6,18 +6,19 @@ from pyspark.sql import Column, DataFrame, functions as F
 from bourseflow import constants as K
 from bourseflow.functions.exprs import exact_mean, half_up
 from bourseflow.functions.ranking import positions, with_rank
-from bourseflow.operators import prices, scoring
+from bourseflow.operators import scoring
+from bourseflow.operators.point_in_time import as_of_rows
 from bourseflow.plans import marts
 from bourseflow.plans.catalog import query
 from bourseflow.plans.price_queries import top_ranked
-from bourseflow.plans.score_run import SNAPSHOTS, build_inputs, score_run
+from bourseflow.plans.score_run import build_inputs, score_run, snapshots_of
 from bourseflow.sources.market_tables import Tables, literal_rows
 from bourseflow.sources.stored import stored
 
 
 @query("sc_fy_chain")
 def sc_fy_chain(t: Tables) -> DataFrame:
-    chain = scoring.fiscal_chain(prices.at_snapshots(t.statements, "period_end", SNAPSHOTS))
+    chain = scoring.fiscal_chain(t.statements, snapshots_of(t))
     return chain.select("stock_id", "snapshot", "end0", "end1", "end2", "oi0", "oi1", "oi2", "ni0", "ni1", "ni2")
 
 
@@ -88,8 +89,7 @@ def fiscal_mode(t: Tables) -> DataFrame:
 @query("fin_basis")
 def fin_basis(t: Tables) -> DataFrame:
     """Stocks per fiscal year of the newest annual statement, by date and country."""
-    fy = prices.at_snapshots(t.statements.where("period_type = 'FY'"), "period_end", SNAPSHOTS)
-    last = fy.groupBy("stock_id", "snapshot").agg(F.max("period_end").alias("period_end"))
+    last = as_of_rows(t.statements.where("period_type = 'FY'").select("stock_id", "period_end"), "period_end", snapshots_of(t))
     return (score_run(t).inputs.select("stock_id", "snapshot", "country").join(last, ["stock_id", "snapshot"])
             .groupBy("snapshot", "country", F.year("period_end").alias("fiscal_year")).agg(F.count(F.lit(1)).alias("stocks")))
 
@@ -121,7 +121,7 @@ def scored_by_preset(t: Tables) -> DataFrame:
 @query("sc_reference_score")
 def sc_reference_score(t: Tables) -> DataFrame:
     run = score_run(t)
-    tag = f"{t.folder}|{','.join(SNAPSHOTS)}"
+    tag = f"{t.folder}|{','.join(snapshots_of(t))}"
     listed = stored(t.spark, f"listed inputs|{tag}", lambda: build_inputs(t, True))
     return scoring.reference_scores(listed, run.values, run.inputs, run.scores, K.DEFAULT_PRESET,
                                     keep=lambda name, df: stored(t.spark, f"listed {name}|{tag}", lambda: df))

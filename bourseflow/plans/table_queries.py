@@ -9,7 +9,7 @@ from bourseflow.operators import prices
 from bourseflow.plans import marts
 from bourseflow.plans.catalog import query
 from bourseflow.plans.ingest_queries import NOW, raw_bars
-from bourseflow.plans.score_run import score_run
+from bourseflow.plans.score_run import score_run, snapshots_of
 from bourseflow.sources import files
 from bourseflow.sources.market_tables import Tables, literal_rows
 from bourseflow.streaming import jobs
@@ -50,8 +50,9 @@ def sink_regenerate_partition(t: Tables) -> DataFrame:
     """Scores written by date, then one date written again with other rows; the other dates stay."""
     path = jobs.workspace(t.spark)
     s = score_run(t).scores.select("stock_id", "preset", "snapshot", "score")
+    again = F.lit(snapshots_of(t)[-2]).cast("date")
     files.write_partitions(s, path, "snapshot")
-    files.write_partitions(s.where("snapshot = '2000-12-29' AND score >= 50"), path, "snapshot")
+    files.write_partitions(s.where((F.col("snapshot") == again) & (F.col("score") >= 50)), path, "snapshot")
     return t.spark.read.parquet(path).select("stock_id", "preset", "snapshot", "score")
 
 

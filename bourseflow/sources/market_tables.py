@@ -7,6 +7,7 @@ Every frame is lazy, so a query only scans the columns it needs.
 """
 from __future__ import annotations
 
+from datetime import date
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -115,6 +116,11 @@ class Tables:
             F.col("l_discount").cast("decimal(3,2)").alias("disc"), F.col("l_tax").cast("decimal(3,2)").alias("tax"),
             F.col("l_returnflag").alias("flag"))
 
+    @cached_property
+    def newest_day(self) -> date:
+        """Date of the newest trade: the day that reports speak about unless they are given another. One scan of one column."""
+        return self.trades.agg(F.max("trade_date")).first()[0] or date(1970, 1, 1)
+
     @cached_property
     def prices(self) -> DataFrame:
         """Daily bars. First and last trade are the least and the greatest (order, line, price), whatever their size, so the whole

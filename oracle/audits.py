@@ -52,7 +52,7 @@ CTES["ascored"] = CTES.pop("asc")
 SQL["a_r5_r7"] = compose(res("a_r5", "country", "gap>182 AND ng=0", "aba") + f""" UNION ALL SELECT 'a_r7', country, CAST((d>0.30)::INT AS BIGINT), d FROM (SELECT country, {r("CAST(count(*) FILTER (WHERE nb>0) AS DOUBLE)/count(*)", 4)} d FROM aba GROUP BY 1)
  UNION ALL SELECT 'a_badge_wording', country, 0, CAST(sum(nb) AS DOUBLE) FROM aba WHERE nb>0 GROUP BY 2""")
 SQL["a_r9"] = compose(res("a_r9", "country", "score IS NULL AND family='general' AND NOT has_required",
-                          "(SELECT n.* FROM slast n JOIN ssc b ON b.stock_id=n.stock_id AND b.preset='balanced' AND b.snapshot=DATE '2000-12-29' AND b.score IS NOT NULL WHERE n.preset='balanced')"))
+                          "(SELECT n.* FROM slast n JOIN ssc b ON b.stock_id=n.stock_id AND b.preset='balanced' AND b.snapshot=(SELECT snapshot FROM snaps ORDER BY snapshot DESC LIMIT 1 OFFSET 1) AND b.score IS NOT NULL WHERE n.preset='balanced')"))
 SQL["a_trap"] = compose(res("a_trap", "country", "z_adj>0", "(SELECT * FROM sneu WHERE metric='trap_signal')"))
 SQL["a_price_same_date"] = compose("""SELECT 'a_price_same_date' rule_id, country || '/' || CAST(snapshot AS VARCHAR) part, count(DISTINCT price_date)-1 violations, CAST(count(*) AS DOUBLE) detail FROM sinp i
 WHERE EXISTS (SELECT 1 FROM ssc s WHERE s.stock_id=i.stock_id AND s.snapshot=i.snapshot AND s.family='general' AND s.score IS NOT NULL) GROUP BY 2""")

@@ -59,7 +59,7 @@ UNION ALL SELECT 'statements', stock_id, count(*) FROM (SELECT *, dense_rank() O
  WHERE NOT (stock_id IN (SELECT stock_id FROM tgt) AND k>CASE WHEN period_type='FY' THEN 3 ELSE 8 END) GROUP BY 2
 UNION ALL SELECT 'disclosures', stock_id, count(*) FROM disclosures WHERE stock_id NOT IN (SELECT stock_id FROM tgt) GROUP BY 2""")
 SQL["prune_users"] = compose(f"""SELECT user_id, count(*) items FROM watchlist WHERE user_id NOT IN (SELECT user_id FROM users WHERE email IS NULL AND nickname LIKE '{K.GUEST_PREFIX}%' AND last_seen_at<TIMESTAMP '2001-03-01') GROUP BY 1""")
-SQL["prune_sector"] = compose("SELECT country, sector, CAST(trade_date AS VARCHAR) trade_date, change_pct FROM schg WHERE trade_date>=DATE '2001-10-31'-30")
+SQL["prune_sector"] = compose("SELECT country, sector, CAST(trade_date AS VARCHAR) trade_date, change_pct FROM schg WHERE trade_date>=(SELECT d-30 FROM lastday)")
 CTES["newlist"] = """SELECT country, ticker, CASE WHEN stock_id%7=2 THEN CASE WHEN country='KR' THEN 'AMERICA' ELSE 'ASIA' END ELSE market END market,
  CASE WHEN stock_id%10=1 THEN name || ' Holdings' ELSE name END name FROM stocks WHERE s_acctbal>=0
 UNION ALL SELECT 'US', 'N' || c_custkey, 'ASIA', c_name FROM customer WHERE c_nationkey=7"""

@@ -5,7 +5,6 @@ from bourseflow import constants as K
 from oracle.ctes import CTES, compose, r, rd
 from oracle import scoring as _scoring  # noqa: F401 - registers score tables
 
-FLOW = ("2001-03-30", "2001-06-29", "2001-10-31")
 SQL: dict[str, str] = {}
 
 
@@ -39,7 +38,7 @@ SELECT l.stock_id, l.group_id, l.code, m.close, m.position_52w, CASE WHEN m.posi
 FROM (SELECT stock_id, group_id, 'IX-' || CASE WHEN stock_id%10=3 THEN 'ASIA' WHEN group_id<10 THEN 'AFRICA' ELSE 'EUROPE' END code FROM theme WHERE commodity_linked) l
 LEFT JOIN mi m ON m.code=l.code""")
 CTES["sample"] = "SELECT * FROM stocks WHERE is_active AND coverage IN ('featured','benchmark') AND sector IS NOT NULL"
-CTES["fdates"] = "SELECT CAST(d AS DATE) snapshot FROM (VALUES " + ", ".join(f"('{d}')" for d in FLOW) + ") v(d)"
+CTES["fdates"] = "SELECT CAST(d - to_months(m) AS DATE) snapshot FROM lastday, (VALUES (7), (4), (0)) v(m)"
 CTES["frows"] = """SELECT p.stock_id, p.trade_date, p.close, d.snapshot, s.country, s.sector FROM prices p JOIN fdates d ON p.trade_date<=d.snapshot AND p.trade_date>d.snapshot-30
  JOIN sample s ON s.stock_id=p.stock_id"""
 CTES["fref"] = """SELECT snapshot, country, sector, coalesce(max(trade_date) FILTER (WHERE c>=5), max(trade_date)) ref_date FROM (
@@ -53,7 +52,7 @@ SELECT f.snapshot, f.country, f.sector, {r("x.m", 6)} sector_r5, coalesce(x.n,0)
 SQL["sector_flow"] = compose("SELECT CAST(snapshot AS VARCHAR) snapshot, country, sector, sector_r5, n, CAST(ref_date AS VARCHAR) ref_date FROM flow")
 CTES["sser"] = f"""SELECT s.country, s.sector, p.trade_date, {r("(CAST(sum(p.close4) AS BIGINT)/10000.0)/count(*)", 4)} AS close FROM prices p JOIN sample s ON s.stock_id=p.stock_id GROUP BY 1,2,3"""
 CTES["schg"] = f"""SELECT country, sector, trade_date, {r("(close/p-1)*100.0", 4)} change_pct FROM (
- SELECT *, lag(close) OVER (PARTITION BY country, sector ORDER BY trade_date) p FROM sser WHERE trade_date<=DATE '2001-10-31') WHERE p<>0"""
+ SELECT *, lag(close) OVER (PARTITION BY country, sector ORDER BY trade_date) p FROM sser) WHERE p<>0"""
 SQL["sector_change"] = compose("SELECT country, sector, CAST(trade_date AS VARCHAR) trade_date, change_pct FROM schg")
 SQL["sector_board"] = compose("""
 SELECT s.sector, m.country, CAST(m.as_of AS VARCHAR) as_of, c.change_pct FROM (SELECT DISTINCT sector FROM groups) s
@@ -83,15 +82,15 @@ SQL["sentiment_components"] = compose("SELECT * REPLACE (CAST(trade_date AS VARC
 SQL["sentiment_points"] = compose("""SELECT index_id, CASE rn WHEN 1 THEN 'current' WHEN 2 THEN 'previous' ELSE 'week_ago' END AS role, CAST(trade_date AS VARCHAR) trade_date, score, label
  FROM (SELECT *, row_number() OVER (PARTITION BY index_id ORDER BY trade_date DESC) rn FROM mood) WHERE rn IN (1,2,6)""")
 CTES["cmood"] = """SELECT i.country, m.trade_date, m.score FROM (SELECT *, row_number() OVER (PARTITION BY index_id ORDER BY trade_date DESC) rn FROM mood
- WHERE index_id IN (0,2) AND trade_date<=DATE '2001-10-31' AND score IS NOT NULL) m JOIN indices i ON i.index_id=m.index_id WHERE rn=1"""
+ WHERE index_id IN (SELECT arg_min(index_id, display_order) FROM indices GROUP BY country) AND score IS NOT NULL) m JOIN indices i ON i.index_id=m.index_id WHERE rn=1"""
 BANDS = " ".join(f"WHEN score<{20 * (i + 1)} THEN '{b}'" for i, b in enumerate(K.BAND_LABELS[:4])) + f" ELSE '{K.BAND_LABELS[4]}'"
 SQL["market_condition"] = compose(f"""
 SELECT stock_id, country, sector, score, CASE WHEN score IS NULL THEN '{K.INSUFFICIENT}' {BANDS} END label, sector_flow FROM (
  SELECT *, CAST({r("CASE WHEN sector_flow IS NULL THEN mood ELSE 0.7::DOUBLE*mood+0.3::DOUBLE*sector_flow END", 0)} AS INT) score FROM (
   SELECT s.stock_id, s.country, s.sector, m.mood, CASE WHEN f.n>=5 THEN {r("greatest(0.0, least(100.0, 50.0+f.sector_r5*500.0))", 2)} END sector_flow
   FROM stocks s LEFT JOIN (SELECT c.country, CASE WHEN (SELECT count(DISTINCT trade_date) FROM index_prices p JOIN indices j ON j.index_id=p.index_id
-    WHERE j.country=c.country AND p.trade_date>c.trade_date AND p.trade_date<=DATE '2001-10-31')<=5 THEN c.score END mood FROM cmood c) m ON m.country=s.country
-  LEFT JOIN (SELECT * FROM flow WHERE snapshot=DATE '2001-10-31') f ON f.country=s.country AND f.sector=s.sector))""")
+    WHERE j.country=c.country AND p.trade_date>c.trade_date AND p.trade_date<=(SELECT d FROM lastday))<=5 THEN c.score END mood FROM cmood c) m ON m.country=s.country
+  LEFT JOIN (SELECT * FROM flow WHERE snapshot=(SELECT max(snapshot) FROM fdates)) f ON f.country=s.country AND f.sector=s.sector))""")
 SQL["market_brief"] = compose("""
 SELECT country, CASE WHEN count(*) FILTER (WHERE change_rate IS NULL)>0 THEN NULL WHEN min(sign(change_rate))=1 THEN 'up together' WHEN max(sign(change_rate))=-1 THEN 'down together'
  WHEN min(sign(change_rate))=0 AND max(sign(change_rate))=0 THEN 'flat' ELSE 'mixed' END indices,

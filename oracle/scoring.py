@@ -2,7 +2,7 @@
 from __future__ import annotations
 
 from bourseflow import constants as K
-from bourseflow.plans.score_run import ACTIONS, SNAPSHOTS
+from bourseflow.plans.score_run import ACTIONS
 from oracle.ctes import CTES, compose, r
 from oracle import prices as _prices  # noqa: F401 - registers the price tables
 
@@ -25,7 +25,8 @@ QUANTILE = (f"CASE WHEN p<{LOW} THEN {horner('q', K.QUANTILE_C)}/({horner('q', K
             f"WHEN p>1.0-{LOW} THEN -({horner('q', K.QUANTILE_C)}/({horner('q', K.QUANTILE_D)}*q+1.0)) "
             f"ELSE {horner('rr', K.QUANTILE_A)}*cc/({horner('rr', K.QUANTILE_B)}*rr+1.0) END")
 
-CTES["snaps"] = "SELECT CAST(d AS DATE) snapshot FROM (VALUES " + ", ".join(f"('{d}')" for d in SNAPSHOTS) + ") v(d)"
+CTES["lastday"] = "SELECT max(trade_date) d FROM prices"
+CTES["snaps"] = "SELECT CAST(d - to_months(m) AS DATE) snapshot FROM lastday, (VALUES (16), (10), (0)) v(m)"
 CTES["actions"] = ("SELECT ticker, country, CAST(done AS DATE) done FROM (VALUES "
                    + ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in ACTIONS) + ") v(ticker, country, done)")
 CTES["smembers"] = """

@@ -9,7 +9,7 @@ SQL["sink_upsert"] = compose(f"SELECT stock_id, CAST(trade_date AS VARCHAR) trad
 SQL["sink_insert_new"] = compose(f"SELECT stock_id, CAST(trade_date AS VARCHAR) trade_date, CASE WHEN trade_date>DATE '2000-12-31' THEN {r('close+1', 4)} ELSE close END AS close, volume FROM prices")
 SQL["sink_replace_keys"] = compose(f"""SELECT f.stock_id, CAST(period_end AS VARCHAR) period_end, period_type, CASE WHEN s.market='ASIA' THEN {r('revenue+1', 2)} ELSE revenue END revenue FROM statements f JOIN stocks s ON s.stock_id=f.stock_id WHERE s.market<>'ASIA' OR year(period_end)>=1998
 UNION ALL SELECT stock_id, CAST(period_end AS VARCHAR), period_type, revenue FROM quarters""")
-SQL["sink_regenerate_partition"] = compose("SELECT stock_id, preset, CAST(snapshot AS VARCHAR) snapshot, score FROM ssc WHERE snapshot<>DATE '2000-12-29' OR score>=50")
+SQL["sink_regenerate_partition"] = compose("SELECT stock_id, preset, CAST(snapshot AS VARCHAR) snapshot, score FROM ssc WHERE snapshot<>(SELECT snapshot FROM snaps ORDER BY snapshot DESC LIMIT 1 OFFSET 1) OR score>=50")
 SQL["st_log_quality"] = compose("""SELECT CAST(CAST(started_at AS DATE) AS VARCHAR) AS day, job_type, count(*) FILTER (WHERE status='SUCCESS') success, count(*) FILTER (WHERE status='FAILED') failed, count(*) FILTER (WHERE status='SKIPPED') skipped FROM logs GROUP BY 1,2""")
 SQL["st_feed_dedupe"] = compose("SELECT rcept_no, stock_id, title, CAST(filed_at AS VARCHAR) filed_at FROM disclosures WHERE rcept_no>'00000000000005' AND title='사업보고서'")
 SQL["st_fx_latest"] = compose("SELECT granularity, CAST(max(rate_at) AS VARCHAR) rate_at, arg_max(usd_krw, rate_at) usd_krw, max(rate_at)<=TIMESTAMP '2024-01-30 20:00:00' stale FROM fx WHERE granularity='SNAPSHOT' GROUP BY 1")
