@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from bourseflow.accounts import MONEY_ACCOUNTS
 from bourseflow.functions.exprs import dbl, half_up, local_date, positive, ratio
+from bourseflow.operators.band_join import band_pairs
 
 
 def statement_lag(bars: DataFrame, annual: DataFrame, lag_days: int = 90) -> DataFrame:
@@ -94,16 +95,15 @@ def to_won(statements: DataFrame, fx: DataFrame) -> DataFrame:
 def merge_supplement(primary: DataFrame, extra: DataFrame, tolerance: int = 7) -> DataFrame:
     """Fill blanks of the main source from a second one whose period ends within a week, add its other periods, note revenue gaps.
 
-    The first main row in date order is the match; the join stays inside one stock's few periods."""
+    The first main row in date order is the match. Only keys are paired, by a band join; amounts join the pair that was chosen. Both
+    sources have one row per stock and period."""
     amounts = [c for c in MONEY_ACCOUNTS if c in primary.columns and c in extra.columns]
     p = primary.select("stock_id", "period_end", *[dbl(c).alias(c) for c in amounts])
     s = extra.select("stock_id", F.col("period_end").alias("s_end"), *[dbl(c).alias(f"s_{c}") for c in amounts])
-    pairs = p.select("stock_id", "period_end").join(s, "stock_id").where(F.abs(F.datediff("period_end", "s_end")) <= tolerance)
-    w = Window.partitionBy("stock_id", "s_end").orderBy("period_end")
-    first = pairs.withColumn("k", F.row_number().over(w)).where("k = 1").drop("k")
-    back = Window.partitionBy("stock_id", "period_end").orderBy("s_end")
-    first = first.withColumn("k", F.row_number().over(back)).where("k = 1").drop("k")
-    j = p.join(first, ["stock_id", "period_end"], "left")
+    pairs = band_pairs(p.select("stock_id", "period_end"), s.select("stock_id", "s_end"), ["stock_id"], "period_end", "s_end", tolerance)
+    met = pairs.groupBy("stock_id", "s_end").agg(F.min("period_end").alias("period_end"))
+    first = met.groupBy("stock_id", "period_end").agg(F.min("s_end").alias("s_end"))
+    j = p.join(first, ["stock_id", "period_end"], "left").join(s, ["stock_id", "s_end"], "left")
     # a supplement equity of exactly zero is not a value
     sup = {c: F.col(f"s_{c}") if c != "total_equity" else F.nullif(F.col("s_total_equity"), F.lit(0.0)) for c in amounts}
     filled = F.array_join(F.array_compact(F.array(*[F.when(F.col(c).isNull() & sup[c].isNotNull(), F.lit(c)) for c in amounts])), ",")
@@ -111,7 +111,7 @@ def merge_supplement(primary: DataFrame, extra: DataFrame, tolerance: int = 7) -
     merged = j.select("stock_id", "period_end", *[F.coalesce(c, sup[c]).alias(c) for c in amounts],
                       filled.alias("filled"), F.coalesce(gap & (F.col("s_revenue") != 0) & (F.col("revenue") != 0), F.lit(False)).alias("revenue_gap"),
                       F.lit("primary").alias("path"))
-    alone = s.join(pairs.select("stock_id", "s_end").distinct(), ["stock_id", "s_end"], "left_anti").select(
+    alone = s.join(met, ["stock_id", "s_end"], "left_anti").select(
         "stock_id", F.col("s_end").alias("period_end"), *[F.col(f"s_{c}").alias(c) for c in amounts],
         F.lit("").alias("filled"), F.lit(False).alias("revenue_gap"), F.lit("supplement").alias("path"))
     return merged.unionByName(alone)

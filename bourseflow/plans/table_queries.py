@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from bourseflow.functions.exprs import half_up, ratio
 from bourseflow.functions.ranking import medians
-from bourseflow.operators import prices
+from bourseflow.operators.band_join import band_pairs
 from bourseflow.plans import marts
 from bourseflow.plans.catalog import query
 from bourseflow.plans.ingest_queries import NOW, raw_bars
@@ -178,9 +178,7 @@ def j_fuzzy_period(t: Tables) -> DataFrame:
     """First quarter end within a week of each shifted annual period."""
     fy = t.statements.select("stock_id", F.date_sub("period_end", (F.col("stock_id") % 10).cast("int")).alias("p"))
     q = t.quarters.select("stock_id", F.col("period_end").alias("q"))
-    w = Window.partitionBy("stock_id", "p").orderBy("q")
-    return (fy.join(q, "stock_id").where(F.abs(F.datediff("p", "q")) <= 7).withColumn("k", F.row_number().over(w)).where("k = 1")
-            .select("stock_id", "p", "q"))
+    return band_pairs(fy, q, ["stock_id"], "p", "q", 7).groupBy("stock_id", "p").agg(F.min("q").alias("q"))
 
 
 @query("j_unnest_params")
