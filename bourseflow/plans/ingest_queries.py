@@ -1,6 +1,8 @@
 """Cleaning, incremental loading, retention, due dates, themes and selection over the whole tables."""
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, functions as F
 
 from bourseflow.functions.exprs import clean_number, half_up
@@ -9,6 +11,7 @@ from bourseflow.plans import marts
 from bourseflow.plans.catalog import query
 from bourseflow.sources.market_tables import Tables, literal_rows
 from bourseflow.sources.stored import stored
+from bourseflow.streaming import feed, jobs
 
 NOW = "2001-10-31 05:00:00"
 TODAY = "2001-10-31"
@@ -113,11 +116,18 @@ def incr_adjust_detect_us(t: Tables) -> DataFrame:
 
 @query("incr_feed")
 def incr_feed(t: Tables) -> DataFrame:
-    cursor = F.date_format(F.lit("2001-06-30").cast("date"), "yyyyMMdd")
-    feed = t.disclosures.withColumn("rcept_no", F.concat(F.date_format("filed_at", "yyyyMMdd"), F.substring("rcept_no", 9, 6)))
-    new = incremental.feed_filings(feed.where(F.col("filed_at") >= "2001-06-28"), "20010630000000")
-    active = t.stocks.where("is_active").select("stock_id", "company")
-    return new.join(active, "stock_id").select("rcept_no", "stock_id", "company", "title", "filed_at")
+    """Listings landing after a cursor of an earlier load, each loaded in windows; then the last one once more, which adds nothing."""
+    w = jobs.workspace(t.spark)
+    numbered = t.disclosures.withColumn("rcept_no", F.concat(F.date_format("filed_at", "yyyyMMdd"), F.substring("rcept_no", 9, 6)))
+    listed = numbered.withColumnRenamed("stock_id", "filer").select("rcept_no", F.col("filer").cast("string").alias("company"), "title", "filed_at")
+    active = t.stocks.where("is_active").select("stock_id", F.col("stock_id").cast("string").alias("company"), F.col("company").alias("company_code"))
+    feed.start_at(t.spark, f"{w}/feed", "20010630000000", date(2001, 6, 30))
+    since = F.floor(F.datediff("filed_at", F.lit("2001-07-01").cast("date")) / 100)
+    landed = jobs.land(listed, f"{w}/in", F.least(F.lit(2), F.greatest(F.lit(0), since)).cast("int"), 3)
+    jobs.finish(feed.feed_stream(landed, active, f"{w}/feed", f"{w}/ckpt"))
+    jobs.finish(feed.feed_stream(landed, active, f"{w}/feed", f"{w}/ckpt-again"))
+    rows = feed.loaded(t.spark, f"{w}/feed", "rcept_no string, company_code string, title string, filed_at timestamp, stock_id long")
+    return rows.select("rcept_no", "stock_id", F.col("company_code").alias("company"), "title", "filed_at")
 
 
 @query("incr_feed_cursor")

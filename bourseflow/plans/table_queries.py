@@ -117,11 +117,10 @@ def st_bars_upsert(t: Tables) -> DataFrame:
 def st_volume_surge(t: Tables) -> DataFrame:
     """Stored sessions up to a day, then new ones in several landings; the newest session of each stock."""
     w = jobs.workspace(t.spark)
-    old = t.prices.where("trade_date <= '2001-09-30'").select("stock_id", "trade_date", "volume", F.lit(1).alias("arrival"),
-                                                              jobs.month("trade_date").alias("month"))
-    files.write_partitions(old, f"{w}/bars", "month")
+    old = t.prices.where("trade_date <= '2001-09-30'").select("stock_id", "trade_date", "volume", F.lit(1).alias("arrival"))
+    jobs.start_ring(old, f"{w}/ring", 16)
     new = t.prices.where("trade_date > '2001-09-30'").select("stock_id", "trade_date", "volume", F.lit(1).alias("arrival"))
-    jobs.finish(jobs.volume_surge(landed_bars(new, f"{w}/in"), f"{w}/bars", f"{w}/out", f"{w}/ckpt"))
+    jobs.finish(jobs.volume_surge(landed_bars(new, f"{w}/in"), f"{w}/ring", f"{w}/out", f"{w}/ckpt", 16))
     found = t.spark.read.parquet(f"{w}/out")
     newest = found.groupBy("stock_id").agg(F.max("as_of").alias("as_of"))
     return found.join(newest, ["stock_id", "as_of"]).select("stock_id", "as_of", "volume", "value", "avg_volume_20d")

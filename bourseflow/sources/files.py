@@ -2,7 +2,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -86,8 +87,10 @@ def replace_keys(old: DataFrame, new: DataFrame, entity: str, keys: Sequence[str
 
 # ------------------------------------------------------------------ tables
 def write_partitions(df: DataFrame, path: str, partition_by: str) -> None:
-    """Replace exactly the partitions present in the frame (all rows of one date are regenerated together)."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition_by).parquet(path)
+    """Replace exactly the partitions present in the frame (all rows of one date are regenerated together).
+
+    Rows are dealt by partition first, so a partition has few files however many tasks there are; one with many rows is cut again."""
+    df.hint("rebalance", partition_by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition_by).parquet(path)
 
 
 def _hadoop(spark: SparkSession, path: str):
@@ -102,7 +105,9 @@ def table_exists(spark: SparkSession, path: str) -> bool:
 
 def upsert_table(batch: DataFrame, path: str, keys: Sequence[str], partition_by: str, arrival: str | None = None) -> None:
     """Merge a batch into a partitioned table. Only the touched partitions are read and rewritten; the merged rows go to a
-    staging table first, so the table is never read while it is replaced, and the staging table goes when they are in place."""
+    staging table first, so the table is never read while it is replaced, and the staging table goes when they are in place.
+
+    A table that is a plain folder has no readers during a merge: partitions are replaced one after another."""
     spark = batch.sparkSession
     if table_exists(spark, path):
         touched = batch.select(partition_by).distinct()
@@ -110,8 +115,18 @@ def upsert_table(batch: DataFrame, path: str, keys: Sequence[str], partition_by:
         merged = upsert(old, batch, keys, arrival=arrival)
     else:
         merged = upsert(batch.limit(0), batch, keys, arrival=arrival)
+    with staged(merged) as now:
+        write_partitions(now, path, partition_by)
+
+
+@contextmanager
+def staged(df: DataFrame) -> Iterator[DataFrame]:
+    """The frame written to the shared folder and read back, for the time of a block; the copy is deleted at its end."""
+    spark = df.sparkSession
     staging = f"{checkpoint_dir(spark)}/bourseflow/staging/{uuid.uuid4().hex}"
-    merged.write.parquet(staging)
-    write_partitions(spark.read.schema(merged.schema).parquet(staging), path, partition_by)
-    system, p = _hadoop(spark, staging)
-    system.delete(p, True)
+    df.write.parquet(staging)
+    try:
+        yield spark.read.schema(df.schema).parquet(staging)
+    finally:
+        system, p = _hadoop(spark, staging)
+        system.delete(p, True)

@@ -5,20 +5,25 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from bourseflow.operators import cleaning, prices
 from bourseflow.operators.incremental import annual_reports
 from bourseflow.session import checkpoint_dir
-from bourseflow.sources.files import table_exists, upsert_table, write_partitions
+from bourseflow.sources.files import staged, table_exists, upsert, upsert_table, write_partitions
 
 
 def land(df: DataFrame, path: str, part: Column, parts: int) -> DataFrame:
     """Write a table as files that landed one after another, and read them as a stream of at least `parts` batches.
 
-    `part` (0 to parts - 1) says when a row lands; each landing is a folder of its own, written after the one before."""
+    `part` (0 to parts - 1) says when a row lands; each landing is a folder of its own, written after the one before from one stored
+    copy of the rows, in few large files."""
+    spark = df.sparkSession
+    df.withColumn("_part", part).write.partitionBy("_part").parquet(f"{path}/all")
+    whole = spark.read.schema(StructType([*df.schema.fields, StructField("_part", IntegerType())])).parquet(f"{path}/all")
     for k in range(parts):
-        df.where(part == k).write.parquet(f"{path}/landed-{k}")
-    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/landed-*")
+        whole.where(F.col("_part") == k).drop("_part").hint("rebalance").write.parquet(f"{path}/landed-{k}")
+    return spark.readStream.schema(whole.drop("_part").schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/landed-*")
 
 
 def workspace(spark: SparkSession) -> str:
@@ -66,16 +71,42 @@ def log_quality(logs: DataFrame, target: str, checkpoint: str) -> StreamingQuery
             .trigger(availableNow=True).start())
 
 
-def volume_surge(bars: DataFrame, store: str, target: str, checkpoint: str) -> StreamingQuery:
-    """Each batch of bars goes into the stored bars first (monthly partitions, greatest arrival wins); the stocks it touched are then
-    scored from the stored bars, so bars of earlier batches and late ones count. One row per stock and newest session."""
+#: Sessions that a surge looks back on, the newest included.
+RING = 21
+RING_COLUMNS = "stock_id long, trade_date date, volume long, arrival int, bucket int"
+
+
+def ring_bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("stock_id"), F.lit(buckets)).cast("int").alias("bucket")
+
+
+def newest_sessions(bars: DataFrame) -> DataFrame:
+    """The ring: the newest RING sessions of each stock. Rings merge: those of old and new bars together hold the ring of both."""
+    return prices.newest_bars(bars, RING).drop("rn")
+
+
+def start_ring(bars: DataFrame, ring: str, buckets: int) -> None:
+    """Fill the ring from stored bars, once."""
+    rows = bars.select("stock_id", "trade_date", "volume", F.col("arrival").cast("int").alias("arrival"), ring_bucket(buckets))
+    write_partitions(newest_sessions(rows), ring, "bucket")
+
+
+def volume_surge(bars: DataFrame, ring: str, target: str, checkpoint: str, buckets: int = 16) -> StreamingQuery:
+    """Each batch of bars is merged into the ring of the newest sessions per stock (greatest arrival of a session wins); the stocks it
+    touched are then scored from the merged rings. Bars of earlier batches and late ones count; what is read follows the batch: only
+    the buckets of its stocks, at most RING rows a stock, however long the history. One row per stock and newest session."""
     def score(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        fresh = batch.select("stock_id", "trade_date", "volume", "arrival", month("trade_date").alias("month"))
-        upsert_table(fresh, store, ["stock_id", "trade_date"], "month", arrival="arrival")
-        bars_now = spark.read.parquet(store).select("stock_id", "trade_date", "volume", F.lit(None).cast("decimal(18,4)").alias("close"))
-        out = prices.volume_surge(bars_now, fresh.select("stock_id").distinct())
-        upsert_table(out.withColumn("month", month("as_of")), target, ["stock_id", "as_of"], "month")
+        fresh = batch.select("stock_id", "trade_date", "volume", F.col("arrival").cast("int").alias("arrival"), ring_bucket(buckets))
+        touched = [r.bucket for r in fresh.select("bucket").distinct().collect()]        # at most `buckets` numbers
+        if not touched:
+            return
+        held = spark.read.schema(RING_COLUMNS).parquet(ring) if table_exists(spark, ring) else spark.createDataFrame([], RING_COLUMNS)
+        merged = newest_sessions(upsert(held.where(F.col("bucket").isin(touched)), fresh, ["stock_id", "trade_date"], arrival="arrival"))
+        with staged(merged) as now:
+            write_partitions(now, ring, "bucket")
+            scored = prices.volume_surge(now.withColumn("close", F.lit(None).cast("decimal(18,4)")), fresh.select("stock_id").distinct())
+            upsert_table(scored.withColumn("month", month("as_of")), target, ["stock_id", "as_of"], "month")
     return bars.writeStream.foreachBatch(score).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
