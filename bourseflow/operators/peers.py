@@ -4,8 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from bourseflow.functions.exprs import half_up, positive, ratio
-from bourseflow.functions.ranking import medians
-from bourseflow.operators.scoring import insert_positions
+from bourseflow.functions.ranking import insert_positions, medians
 
 # metric -> (higher is better, digits of the average)
 PEER_METRICS = {"return_1m": (True, 6), "return_3m": (True, 6), "return_1y": (True, 6), "per": (False, 4), "pbr": (False, 4),

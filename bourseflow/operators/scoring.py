@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from bourseflow import constants as K
 from bourseflow.functions.exprs import clamp, dbl, half_up, normal_quantile, ratio
-from bourseflow.functions.ranking import with_average_rank, with_rank
+from bourseflow.functions.ranking import insert_positions, with_average_rank, with_rank
 from bourseflow.operators.point_in_time import as_of_rows
 
 KEY = ("stock_id", "snapshot")
@@ -345,21 +345,3 @@ def reference_scores(listed: DataFrame, values: DataFrame, inputs: DataFrame, sc
     rank = rank.select(*KEY, half_up(F.lit(100.0) * (total - above - 1) / total, 2).alias("score"), (above + 1).alias("position"),
                        total.alias("total"), half_up(F.lit(100.0) * F.col("less") / F.col("n"), 1).alias("percentile"))
     return comp.drop("has_required", "value_rules").join(rank, list(KEY), "left")
-
-
-def insert_positions(rows: DataFrame, pool: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """For each row: how many pool values of its group are below (less) and equal, and the pool size n."""
-    from bourseflow.functions.ranking import magnitude_bucket
-    b = magnitude_bucket(F.col(value))
-    counts = (pool.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("c"))
-              .unionByName(rows.groupBy(*keys, value).agg(F.lit(0).cast("long").alias("c")))
-              .groupBy(*keys, value).agg(F.sum("c").alias("c")).withColumn("_b", b))
-    group = Window.partitionBy(*keys)
-    upto = group.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    offs = (counts.groupBy(*keys, "_b").agg(F.sum("c").alias("bn"))
-            .select(*keys, "_b", (F.sum("bn").over(upto) - F.col("bn")).alias("before"), F.sum("bn").over(group).alias("n")))
-    inside = Window.partitionBy(*keys, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = counts.withColumn("inn", F.sum("c").over(inside) - F.col("c"))
-    pos = (local.join(offs, [*keys, "_b"])
-           .select(*keys, value, (F.col("before") + F.col("inn")).alias("less"), F.col("c").alias("equal"), "n"))
-    return rows.join(pos, [*keys, value])

@@ -39,6 +39,31 @@ def test_median(spark):
         assert r["median"] == statistics.median(v for _, g, v in data if g == r.g)
 
 
+def test_crowded_values_spread_over_parts(spark):
+    """A million distinct values within a tenth of a percent, and a crowd inside a crowd: bounded parts, exact positions."""
+    df = spark.range(1_000_000).select(F.when(F.col("id") < 300_000, 1.0 + F.col("id") * 1e-12).otherwise(1.0 + F.col("id") * 1e-9).alias("v"))
+    counts = df.withColumn("ties", F.lit(1).cast("long"))
+    placed, path = ranking.parts(counts, [], "v")
+    sizes = placed.groupBy(*path).count().agg(F.max("count").alias("most"), F.count(F.lit(1)).alias("parts")).first()
+    assert sizes.most <= 3 * ranking.MOST and sizes.parts > 200
+    order = sorted([1.0 + i * 1e-12 for i in range(300_000)] + [1.0 + i * 1e-9 for i in range(300_000, 1_000_000)])
+    less = {}
+    for i, v in enumerate(order):
+        less.setdefault(v, i)
+    got = ranking.positions(df, [], "v").where("pmod(xxhash64(v), 1000) = 0").collect()
+    assert len(got) > 500 and all(r.less == less[r.v] and r.n == 1_000_000 for r in got)
+
+
+def test_parts_keep_the_order_of_decimals_and_longs(spark):
+    rnd = random.Random(8)
+    vals = sorted({10**15 + rnd.randrange(4000) for _ in range(2000)} | {-(10**15) - k for k in range(900)} | {0})
+    df = spark.createDataFrame([("a", v) for v in vals], "g string, v long")
+    for kind in ("long", "decimal(38,6)"):
+        x = df.select("g", F.col("v").cast(kind).alias("v"))
+        got = ranking.weights_below(x.withColumn("w", F.lit(1).cast("long")), ["g"], "v", "w", most=20)
+        assert [int(r.v) for r in got.orderBy("less").collect()] == vals
+
+
 def test_normal_quantile(spark):
     n = 400
     ps = [(i - 0.5) / n for i in range(1, n + 1)] + [1e-6, 1 - 1e-6]
