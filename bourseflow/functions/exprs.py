@@ -61,11 +61,6 @@ def normal_quantile(p: Column) -> Column:
             .otherwise(inner))
 
 
-def like_escape(text: str) -> str:
-    """User text as a literal inside a LIKE pattern (escape character is the backslash)."""
-    return text.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_")
-
-
 def _number_text(c: Column | str) -> Column:
     return F.trim(F.regexp_replace(col(c).cast("string"), ",", ""))
 

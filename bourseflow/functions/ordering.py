@@ -39,3 +39,24 @@ def with_neighbours(df: DataFrame, keys: Sequence[str], pos: str, value: str, re
     w = Window.partitionBy(*keys, "_x.b").orderBy(pos)
     near = F.concat(F.collect_list(value).over(w.rowsBetween(-reach, -1)), F.collect_list(value).over(w.rowsBetween(1, reach)))
     return x.withColumn("near", near).where("_x.own").drop("_x")
+
+
+def page(df: DataFrame, value: str, tie: str, offset: int, limit: int, *, descending: bool = True) -> DataFrame:
+    """Rows offset .. offset+limit-1 in the order of (value, NULLs last, tie ascending), with `place` (from 0), `rank` (RANK of the value)
+    and `total` (rows of the frame). `tie` is a number that is unique inside a value.
+
+    Counts of the distinct values say which ones the page touches; only rows with those are looked at, and among equal values counts of
+    the ties say the same. So the depth of the page does not matter, and no task sorts more than one part of the values."""
+    from bourseflow.functions.ranking import positions, weights_below
+    pos = positions(df, [], value)
+    start = (F.col("n") - F.col("less") - F.col("ties") if descending else F.col("less")).alias("_start")
+    touched = pos.select(value, start, "ties").where((F.col("_start") < offset + limit) & (F.col("_start") + F.col("ties") > offset)).drop("ties")
+    sizes = df.agg(F.count(value).alias("known"), F.count(F.lit(1)).alias("total")).first()
+    rows = df.join(touched, value)
+    if sizes.known < offset + limit:
+        rows = rows.unionByName(df.where(F.col(value).isNull()).withColumn("_start", F.lit(sizes.known)))
+    ties = rows.groupBy("_start", tie).agg(F.count(F.lit(1)).alias("_equal"))
+    placed = rows.join(weights_below(ties, ["_start"], tie, "_equal").select("_start", tie, F.col("less").alias("_before")), ["_start", tie])
+    place = F.col("_start") + F.col("_before")
+    return (placed.where((place >= offset) & (place < offset + limit))
+            .select(*df.columns, place.alias("place"), (F.col("_start") + 1).alias("rank"), F.lit(sizes.total).alias("total")))

@@ -48,12 +48,12 @@ def _cut(counts: DataFrame, keys: list[str], path: list[str], name: str, most: i
             .withColumn(name, F.when(F.col("_splits").isNull(), 0).otherwise(_below(F.col("_splits"), F.col("_v")))).drop("_splits"))
 
 
-def parts(counts: DataFrame, keys: Sequence[str], value: str, most: int = MOST) -> tuple[DataFrame, list[str]]:
+def parts(counts: DataFrame, keys: Sequence[str], value: str, most: int | None = None) -> tuple[DataFrame, list[str]]:
     """Distinct values with the columns that say, in order, which part of its group a value is in.
 
     The distinct values are written down once: what comes before is not computed again, and a look at their counts shows whether
     anything has to be cut at all."""
-    keys, path = list(keys), ["_bucket"]
+    keys, path, most = list(keys), ["_bucket"], most or MOST
     counts = kept(counts.withColumn("_v", F.col(value).cast("double")).withColumn("_bucket", magnitude_bucket(F.col(value))))
     for level in range(LEVELS):
         if counts.groupBy(*keys, *path).agg(F.count_distinct("_v").alias("n")).where(F.col("n") > most).isEmpty():
@@ -63,7 +63,7 @@ def parts(counts: DataFrame, keys: Sequence[str], value: str, most: int = MOST)
     return counts.drop("_v"), path
 
 
-def weights_below(counts: DataFrame, keys: Sequence[str], value: str, weight: str, most: int = MOST) -> DataFrame:
+def weights_below(counts: DataFrame, keys: Sequence[str], value: str, weight: str, most: int | None = None) -> DataFrame:
     """For each distinct value of a group: `less`, the weight of smaller values, its own weight, and `n`, that of the group."""
     keys = list(keys)
     placed, path = parts(counts, keys, value, most)

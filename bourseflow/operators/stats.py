@@ -6,7 +6,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from bourseflow import constants as K
-from bourseflow.functions.exprs import dbl, half_up, like_escape, positive, ratio
+from bourseflow.functions.exprs import dbl, half_up, positive, ratio
+from bourseflow.functions.ordering import page
+from bourseflow.operators.text_search import contains
+from bourseflow.sources.stored import kept
 
 RANKABLE = ("return_1m", "return_3m", "return_1y", "volume", "market_cap_krw")
 
@@ -116,43 +119,22 @@ def metric_ranking(metrics: DataFrame, stocks: DataFrame, chosen: Sequence[str],
     return ranked.join(F.broadcast(totals), "metric")
 
 
-def search(stocks: DataFrame, queries: Sequence[str], limit: int) -> DataFrame:
-    """Autocomplete for a short list of search texts: exact ticker, ticker prefix, name prefix, then contained."""
-    found = []
-    for q in queries:
-        e = like_escape(q)
-        ticker, name, en = F.col("ticker"), F.col("name"), F.col("name_en")
-        hit = ticker.ilike(f"%{e}%") | name.ilike(f"%{e}%") | F.coalesce(en.ilike(f"%{e}%"), F.lit(False))
-        bucket = (F.when(F.upper("ticker") == q.upper(), 0).when(ticker.ilike(f"{e}%"), 1)
-                  .when(name.ilike(f"{e}%") | F.coalesce(en.ilike(f"{e}%"), F.lit(False)), 2).otherwise(3))
-        found.append(F.when(hit, F.struct(F.lit(q).alias("q"), bucket.alias("bucket"))))
-    rows = (stocks.where("is_active").withColumn("h", F.explode(F.array_compact(F.array(*found))))
-            .select("h.q", "stock_id", "market", "country", "ticker", "name", "coverage", "h.bucket"))
-    w = Window.partitionBy("q").orderBy("bucket", F.col("coverage") == "listed", F.length("name"), "name", "stock_id")
-    return rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= limit)
-
-
 def stock_list(stocks: DataFrame, details: DataFrame, *, order: str = "market_cap_krw", descending: bool = True, limit: int = 20, offset: int = 0,
                country: str | None = None, sector: str | None = None, group: DataFrame | None = None, q: str | None = None) -> DataFrame:
-    """Filtered, ranked page of stocks. Only the filters that are set become predicates.
-
-    The total is counted on the filtered stocks alone; the rank of a page needs only the rows down to its end, which a
-    distributed top-k delivers."""
+    """Filtered, ranked page of stocks. Only the filters that are set become predicates. A page at any depth costs the same:
+    value counts say which rows it holds (`ordering.page`)."""
     if order not in ("volume", "market_cap_krw"):
         raise ValueError(f"cannot order by {order}")
     rows = stocks.where("is_active")
     rows = rows.where(F.col("coverage").isin("featured", "benchmark")) if q is None else rows.where(
-        F.col("name").ilike(f"%{q}%") | F.col("ticker").ilike(f"%{q}%") | F.coalesce(F.col("name_en").ilike(f"%{q}%"), F.lit(False)))
+        contains(F.col("name"), F.lit(q)) | contains(F.col("ticker"), F.lit(q)) | contains(F.col("name_en"), F.lit(q)))
     for c, v in (("country", country), ("sector", sector)):
         if v is not None:
             rows = rows.where(F.col(c) == v)
     if group is not None:
         rows = rows.join(group.select("stock_id"), "stock_id", "left_semi")
-    by = F.desc_nulls_last(order) if descending else F.asc_nulls_last(order)
-    head = rows.join(details, "stock_id", "left").orderBy(by, "stock_id").limit(offset + limit)
-    ranked = head.withColumn("rank", F.rank().over(Window.partitionBy(F.lit(0)).orderBy(by)).cast("long"))
-    total = rows.agg(F.count(F.lit(1))).scalar()
-    return ranked.withColumn("total", total).orderBy(by, "stock_id").offset(offset).limit(limit)
+    whole = kept(rows.join(details, "stock_id", "left"))
+    return page(whole, order, "stock_id", offset, limit, descending=descending).orderBy("place").drop("place")
 
 
 def range_report(tables: dict[str, tuple[DataFrame, str | None]]) -> DataFrame:

@@ -5,12 +5,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from bourseflow import constants as K
 from bourseflow.functions.exprs import dbl, growth, half_up, ratio
-from bourseflow.operators import market_state, peers, portfolio, prices, stats
+from bourseflow.operators import market_state, peers, portfolio, prices, stats, text_search
 from bourseflow.plans import marts
 from bourseflow.plans.catalog import query
 from bourseflow.plans.score_queries import score_ranks
 from bourseflow.plans.score_run import months_before, score_run
-from bourseflow.sources.market_tables import Tables
+from bourseflow.sources.market_tables import Tables, literal_rows
 from bourseflow.sources.stored import stored
 
 # months before the newest trade of the dates whose sector flow is shown
@@ -218,7 +218,10 @@ def stock_list_filtered(t: Tables) -> DataFrame:
 
 @query("stock_search")
 def stock_search(t: Tables) -> DataFrame:
-    return stats.search(t.stocks, ["000012", "00007", "supplier", "5", "a_b", "%"], 10)
+    """Fixed texts, and pieces of every stock's ticker and name: more queries than stocks."""
+    fixed = literal_rows(t.spark, ("q",), [(q,) for q in ("000012", "00007", "supplier", "5", "a_b", "%")])
+    own = t.stocks.select(F.explode(F.array(F.substring("ticker", 3, 3), F.upper(F.substring("ticker", 2, 5)), F.lower(F.substring("name", 4, 12)))).alias("q"))
+    return text_search.search(t.stocks, fixed.unionByName(own).distinct(), 10)
 
 
 @query("stock_detail")

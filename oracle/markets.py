@@ -177,7 +177,8 @@ SELECT q, stock_id, market, country, ticker, name, coverage, bucket, CAST(place
  SELECT *, row_number() OVER (PARTITION BY q ORDER BY bucket, coverage='listed', length(name), name, stock_id) place FROM (
   SELECT x.q, s.*, CASE WHEN upper(ticker)=upper(x.q) THEN 0 WHEN ticker ILIKE x.e || '%' ESCAPE '\\' THEN 1
    WHEN name ILIKE x.e || '%' ESCAPE '\\' OR name_en ILIKE x.e || '%' ESCAPE '\\' THEN 2 ELSE 3 END bucket
-  FROM stocks s JOIN (VALUES {', '.join(f"('{a}', '{b}')" for a, b in QS)}) x(q, e)
+  FROM stocks s JOIN (SELECT * FROM (VALUES {', '.join(f"('{a}', '{b}')" for a, b in QS)}) v(q, e)
+   UNION SELECT q, q FROM (SELECT unnest([substr(ticker, 3, 3), upper(substr(ticker, 2, 5)), lower(substr(name, 4, 12))]) q FROM stocks)) x
    ON ticker ILIKE '%' || x.e || '%' ESCAPE '\\' OR name ILIKE '%' || x.e || '%' ESCAPE '\\' OR name_en ILIKE '%' || x.e || '%' ESCAPE '\\' WHERE is_active)) WHERE place<=10""")
 SQL["stock_detail"] = compose("""
 SELECT s.stock_id, ticker, name, market, currency, CAST(as_of AS VARCHAR) as_of, close, close_krw, per, pbr, market_cap_krw, shares_outstanding, score, g.groups,
