@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from bourseflow.session import checkpoint_dir
 
@@ -37,6 +37,22 @@ def small_side(df: DataFrame, most: int) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def by_hash(share: float, *columns) -> Column:
+    """True for about `share` of the values of the columns, chosen by 63 bits of a hash: fine enough for any number of rows."""
+    return F.shiftrightunsigned(F.xxhash64(*columns), 1) <= F.lit(min(int(share * 2**63), 2**63 - 1))
+
+
+def sampled(rows: DataFrame, share: float, *columns: str) -> DataFrame:
+    """About `share` of the rows by a hash of the columns, each distinct row once, so that copies of one text do not fill the sample;
+    all rows where the sample holds the whole table. An error if rows exist and none was chosen: a model that learnt nothing would judge everything alike."""
+    if share >= 1:
+        return rows
+    out = rows.where(by_hash(share, F.lit("sample"), *columns)).dropDuplicates()
+    if out.isEmpty() and not rows.isEmpty():
+        raise ValueError("no labelled row was chosen to learn from: the sample is too small for this table")
+    return out
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambler of 64-bit values."""
     x = x ^ (x >> U(31))

@@ -12,7 +12,8 @@ together overrule a misleading tag or class word in both directions. If that lea
 class words at half weight: then a sure text stands alone. Only hidden elements, scripts and the like stay out in any case.
 
 Defined results: null or empty html, or html without content: empty text; broken markup is read to its end (a tag cut off by the
-end of the page is dropped, unclosed elements end with their parent). Repeated rows give repeated rows. Extra columns are ignored. An
+end of the page is dropped, unclosed elements end with their parent). Scripts, drawings, forms' choices and the like are left out where they
+stand and do not cut the block around them; formulas are read as text. Repeated rows give repeated rows. Extra columns are ignored. An
 empty table gives no rows."""
 from __future__ import annotations
 
@@ -20,11 +21,13 @@ import html as entities
 import math
 import re
 from collections import Counter, deque
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from bourseflow.llm.common import sampled
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -39,18 +42,20 @@ class Settings:
 #: Place of what a hidden element holds.
 HIDDEN = -2
 #: Fixed values of the page language.
-RAW = frozenset("script style noscript template textarea title svg math iframe object canvas audio video head select option datalist".split())
 UNTIL_END = frozenset("script style textarea title".split())
+#: Elements whose content is no text of the page; they stand inside a block like a word that is not there.
+SKIPPED = frozenset("noscript template svg iframe object canvas audio video select datalist button".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer "
                   "form h1 h2 h3 h4 h5 h6 head header hgroup html legend li main menu nav ol p pre search section summary table tbody "
-                  "td tfoot th thead tr ul".split()) | RAW
+                  "td tfoot th thead tr ul".split()) - {"button"}
 ENDS_SAME = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"),
-             "th": ("td", "th"), "option": ("option",), "body": ("head",)}
+             "th": ("td", "th"), "body": ("head",)}
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
                    "header hgroup hr main menu nav ol p pre search section table ul".split())
-BAD_TAGS = frozenset("nav footer aside form button menu dialog fieldset search".split())
+BAD_TAGS = frozenset("nav footer aside form menu dialog fieldset search".split())
 GOOD_TAGS = frozenset(("article", "main"))
+BOUNDS = ("table", "ul", "ol", "dl", "article", "section", "div", "body")
 #: Words of class, id and role that tell a place.
 BAD_WORDS = frozenset("ad ads advert adverts advertisement advertising banner promo promotion sponsor sponsored nav navbar navigation menu sidebar "
                       "side footer foot masthead topbar header cookie cookies consent gdpr notice alert popup modal overlay dialog toast share "
@@ -64,26 +69,27 @@ HINT = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)\b\s*(?:=\s*("[^
 PART = re.compile(r"[a-z]+")
 
 
+@dataclass
+class _Open:
+    tag: str
+    up: _Open | None
+    depth: int                       # elements from the root to this one
+    place: int
+    shut: bool                       # no place below it tells of content
+    loose: bool                      # its place is told by class words alone
+    mute: bool = False               # inside the head
+
+
 @dataclass
 class Block:
     text: str
     link: int                        # characters inside links
     tag: str
-    path: tuple[int, ...]            # open elements, from the root
+    node: _Open                      # innermost open element
     place: int                       # -1 boilerplate, 1 content, 0 unknown, HIDDEN
     loose: bool = False              # told by class words alone
 
 
-@dataclass
-class _Open:
-    tag: str
-    number: int
-    place: int
-    shut: bool                       # no place below it tells of content
-    loose: bool                      # its place is told by class words alone
-    pieces: list = field(default_factory=list)
-
-
 def _place(tag: str, attributes: str, up: _Open) -> tuple[int, bool, bool]:
     """What an element tells about the blocks inside it; a boilerplate element overrules what elements below it tell, but for hidden ones.
 
@@ -97,7 +103,7 @@ def _place(tag: str, attributes: str, up: _Open) -> tuple[int, bool, bool]:
             return HIDDEN, True, False
         if name in ("class", "id", "role"):
             words.update(PART.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", value)))
-    if tag in RAW or tag in BAD_TAGS or (tag == "header" and up.place <= 0 and not up.shut):
+    if tag in BAD_TAGS or (tag == "header" and up.place <= 0 and not up.shut):
         return -1, True, False
     if up.shut:
         return -1, True, up.loose
@@ -112,78 +118,118 @@ def _place(tag: str, attributes: str, up: _Open) -> tuple[int, bool, bool]:
     return up.place, False, up.loose
 
 
+@dataclass
+class _Tag:
+    start: int
+    end: int
+    closes: bool
+    name: str                        # empty: a comment, a declaration or a cut-off tag
+    attributes: str
+    skip_to: int = -1                # number of the tag that ends a skipped element
+
+
+def _tags(page: str) -> list[_Tag]:
+    """The markup of a page in order. What ends only at its own closing tag (scripts and the like) is one piece, and a skipped element
+    knows where it ends; one that is never closed is nothing but its tag."""
+    out: list[_Tag] = []
+    opened: dict[str, list[int]] = {}
+    endless: set[str] = set()
+    at, size = 0, len(page)
+    while at < size and (m := TOKEN.search(page, at)):
+        at = m.end()
+        end, name, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+        if not name or not m[0].endswith(">"):
+            out.append(_Tag(m.start(), at, False, "", ""))
+            continue
+        t = _Tag(m.start(), at, bool(end), name.lower(), attributes)
+        if t.name in UNTIL_END and not t.closes and not attributes.endswith("/"):
+            close = None if t.name in endless else re.compile(rf"</{t.name}\b[^>]*(?:>|\Z)", re.I).search(page, at)
+            if close is None:
+                endless.add(t.name)
+            at = t.end = close.end() if close else size
+        elif t.name in SKIPPED:
+            if not t.closes and not attributes.endswith("/"):
+                opened.setdefault(t.name, []).append(len(out))
+            elif t.closes and opened.get(t.name):
+                out[opened[t.name].pop()].skip_to = len(out)
+        out.append(t)
+    return out
+
+
 def blocks_of(page: str | None) -> list[Block]:
-    """Blocks of text of a page, in page order."""
+    """Blocks of text of a page, in page order. The work grows with the page, however deep its elements are nested."""
     page = page or ""
     out: list[Block] = []
-    stack = [_Open("", 0, 0, False, False)]
+    stack = [_Open("", None, 1, 0, False, False)]
+    places: dict[str, list[int]] = {}                                # of each tag, where it stands in the stack
     text: list[str] = []
-    link_chars, link_open, number = 0, False, 0
+    link_chars, link_open = 0, False
 
     def close_block() -> None:
         nonlocal text, link_chars
         if text:
             whole = " ".join("".join(text).split())
-            if whole and not any(o.tag in RAW for o in stack):
-                out.append(Block(whole, link_chars, stack[-1].tag, tuple(o.number for o in stack), stack[-1].place, stack[-1].loose))
+            top = stack[-1]
+            if whole and not top.mute:
+                out.append(Block(whole, link_chars, top.tag, top, top.place, top.loose))
         text, link_chars = [], 0
 
     def pop_to(k: int) -> None:
         nonlocal link_open
         close_block()
         link_open = False
-        del stack[k:]
+        while len(stack) > k:
+            places[stack.pop().tag].pop()
 
-    at, size = 0, len(page)
-    while at < size:
-        m = TOKEN.search(page, at)
-        raw = page[at:m.start() if m else size]
-        if raw:
-            piece = entities.unescape(raw)
+    def innermost(tags) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
+    def read(piece: str) -> None:
+        nonlocal link_chars
+        if piece:
+            piece = entities.unescape(piece)
             text.append(piece)
             if link_open:
                 link_chars += len(piece.strip())
-        if m is None:
-            break
-        at = m.end()
-        end, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
-        if not tag or not m[0].endswith(">"):
+
+    tags = _tags(page)
+    at, i = 0, 0
+    while i < len(tags):
+        t = tags[i]
+        i += 1
+        read(page[at:t.start])
+        at = t.end
+        if t.skip_to >= 0:                                           # the element is left out, markup inside it included
+            i = t.skip_to + 1
+            at = tags[t.skip_to].end
             continue
-        tag = tag.lower()
+        tag = t.name
         if tag == "br":
             text.append(" ")
         if tag == "a":
-            link_open = not end
+            link_open = not t.closes
         if tag not in BLOCK:
             continue
-        if end:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    pop_to(k)
-                    break
+        if t.closes:
+            if k := innermost((tag,)):
+                pop_to(k)
             else:
                 close_block()
             continue
         same = ENDS_SAME.get(tag, ())
         if tag in ENDS_P:
             same = (*same, "p")
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in same:
-                pop_to(k)
-                break
-            if stack[k].tag in ("table", "ul", "ol", "dl", "article", "section", "div", "body"):
-                break
+        if same and (k := innermost(same)) and k >= innermost(BOUNDS):
+            pop_to(k)
         close_block()
         link_open = False
-        if tag in VOID or attributes.endswith("/") and tag in RAW:
+        if tag in VOID:
             continue
-        number += 1
-        place, shut, loose = _place(tag, attributes, stack[-1])
-        stack.append(_Open(tag, number, place, shut, loose))
-        if tag in UNTIL_END:
-            close = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, at)
-            at = close.end() if close else size
-            stack.pop()
+        up = stack[-1]
+        place, shut, loose = _place(tag, t.attributes, up)
+        places.setdefault(tag, []).append(len(stack))
+        stack.append(_Open(tag, up, up.depth + 1, place, shut, loose, up.mute or tag == "head"))
+    read(page[at:])
     close_block()
     return out
 
@@ -202,7 +248,7 @@ def learn(pages: DataFrame, s: Settings = Settings()) -> dict[str, float]:
     All pages count alike, so one with very many blocks does not outweigh the others."""
     rows = pages.select("html").where("html is not null")
     share = min(1.0, s.sample_pages / max(1, rows.count()))
-    chosen = rows.where(F.pmod(F.xxhash64(F.lit("sample"), "html"), F.lit(1_000_000)) < int(share * 1_000_000))
+    chosen = sampled(rows, share, "html")
 
     def run(batches):
         for batch in batches:
@@ -262,20 +308,31 @@ def minimum_cut(odds: list[float], edges: list[tuple[int, int, float]]) -> list[
 
 
 def ties_of(blocks: list[Block], s: Settings) -> list[tuple[int, int, float]]:
-    """Smoothness edges between neighbours and next siblings."""
+    """Smoothness edges between neighbours and next siblings. From a block to the next the way through the tree is as long as the markup
+    between them, so all ways together are as long as the page."""
     out, last = [], {}
     for i, b in enumerate(blocks):
         if i:
-            a = blocks[i - 1].path
-            common = sum(1 for x, y in zip(a, b.path) if x == y)
-            out.append((i - 1, i, s.near + s.shared * common / max(len(a), len(b.path))))
-        up = b.path[:-1]
+            a = blocks[i - 1].node
+            out.append((i - 1, i, s.near + s.shared * _shared_depth(a, b.node) / max(a.depth, b.node.depth)))
+        up = id(b.node.up)
         if (k := last.get(up)) is not None and k != i - 1:
             out.append((k, i, s.sibling))
         last[up] = i
     return out
 
 
+def _shared_depth(a: _Open, b: _Open) -> int:
+    """Open elements that two places share, the root included."""
+    while a.depth > b.depth:
+        a = a.up
+    while b.depth > a.depth:
+        b = b.up
+    while a is not b:
+        a, b = a.up, b.up
+    return a.depth
+
+
 def main_text(page: str | None, weights: dict[str, float], s: Settings = Settings()) -> str:
     blocks = blocks_of(page)
     text = [max(-s.most, min(s.most, sum(weights.get(f, 0.0) for f in features(b)))) for b in blocks]

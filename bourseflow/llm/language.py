@@ -5,7 +5,7 @@ character n-grams: the longest length of which any n-gram is known gives the sco
 the next shorter one, down to single letters. Evidence is taken relative to the mean of the languages, so a common word and a rare
 word count by how well they tell languages apart.
 
-Learning uses a sample of labelled rows bounded by `sample_rows` (rows are chosen by a hash of their text, over the whole table), and
+Learning uses a sample of labelled rows bounded by `sample_rows` (different texts, chosen by a hash over the whole table), and
 vocabularies bounded by `words` and `grams`: the model has a fixed greatest size, which is why it may be broadcast. Prediction reads
 whole texts and nothing but the text.
 
@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from bourseflow.llm.common import MIX_1, U, mix, slices, stored
+from bourseflow.llm.common import MIX_1, U, mix, sampled, slices, stored
 
 #: What stands between words: anything but letters.
 GAP = r"[^\pL]+"
@@ -138,7 +138,7 @@ def learn(labelled: DataFrame, s: Settings = Settings()) -> Model:
     if not names:
         return Model([], np.empty(0), Table(np.empty(0, np.uint64), np.empty((0, 0))), {})
     share = min(1.0, s.sample_rows / sum(counts.values()))
-    chosen = rows.where(F.pmod(F.xxhash64(F.lit("sample"), "text"), F.lit(1_000_000)) < int(share * 1_000_000)).where(F.col("lang").isin(names))
+    chosen = sampled(rows.where(F.col("lang").isin(names)), share, "text")
     words = chosen.select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")).where("word <> ''")
     words = stored(words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")), "language-words")
     padded = F.concat(F.lit(" "), "word", F.lit(" "))

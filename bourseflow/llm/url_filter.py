@@ -2,8 +2,9 @@
 
 A rule names a host and a path prefix; it fits the host and all its subdomains, and the longest fitting rule decides. Other URLs are
 judged by trees over length, depth, digit share, character entropy, marks, parameter counts and statistics of the host's suffixes,
-trained from labelled URLs: at most about `sample_rows` of them, chosen by a hash of the URL. Suffix statistics are counted over
-all labelled URLs and kept for every suffix; a table of more than `suffixes` of them is joined by a shuffle.
+trained from labelled URLs: at most about `sample_rows` different ones, chosen by a hash of the URL. Suffix statistics are counted over
+all labelled URLs and kept for every suffix; a table of more than `suffixes` of them is joined by a shuffle. Labelled URLs are dealt into
+folds, and a URL sees the statistics of the other folds, so that the trees do not learn to look up a row's own label.
 
 Defined results: null or no `://`: host and path are empty, and the trees judge the empty URL; nothing to learn from, or one kind
 of label only: that kind, else allow. Repeated rows give repeated rows. A null page_id is kept. Extra columns are ignored. An empty table
@@ -18,8 +19,10 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
-from bourseflow.llm.common import small_side, stored
+from bourseflow.llm.common import sampled, small_side, stored
 
+#: Parts that labelled URLs are dealt into.
+FOLDS = 5
 #: Words in a host that mark it as unwanted when no other label is at hand.
 UNWANTED = ("adult", "ads", "bets", "casino", "pills", "porn", "spam", "track", "warez")
 
@@ -63,6 +66,11 @@ def _entropy(text: Column) -> Column:
     return F.aggregate(counts, F.lit(0.0), lambda acc, p: acc - p * F.log2(p))
 
 
+def fold(url: Column) -> Column:
+    """Which of FOLDS parts of the labelled URLs a URL is in."""
+    return F.pmod(F.xxhash64(F.lit("fold"), F.coalesce(url, F.lit(""))), F.lit(FOLDS)).cast("int")
+
+
 def suffixes_of(host: Column) -> dict[str, Column]:
     """The last one and the last two labels of a host."""
     return {f"suffix{k}": F.substring_index(host, ".", -k) for k in (1, 2)}
@@ -86,25 +94,28 @@ def lexical(urls: DataFrame, url: str = "url") -> DataFrame:
 
 
 def weak_labels(urls: DataFrame) -> DataFrame:
-    """Adds `label`: 1 for hosts that hold an unwanted word, 0 for other hosts, null without a host."""
+    """Adds `label`: 1 for hosts that have an unwanted word between marks or digits, 0 for other hosts, null without a host."""
     host, _ = host_and_path(F.col("url"))
-    return urls.withColumn("label", F.when(host != "", host.rlike("|".join(UNWANTED)).cast("double")))
+    return urls.withColumn("label", F.when(host != "", host.rlike(rf"(^|[^a-z])({'|'.join(UNWANTED)})([^a-z]|$)").cast("double")))
 
 
 @dataclass
 class Trained:
     model: object                    # None: one kind of label only
     only: float
-    suffixes: dict[str, DataFrame]   # stored: suffix, rate and rows
+    suffixes: dict[str, DataFrame]   # stored: suffix, rate and rows over all labelled URLs, and the counts in all and by fold
     prior: float
     most: int                        # suffixes to broadcast
 
 
 def with_suffixes(rows: DataFrame, t: Trained) -> DataFrame:
+    """Adds the statistics of a row's suffixes and the vector of all features. A row, fitted or judged, sees the statistics of the other
+    folds only, so never its own label nor that of its copies."""
+    own = fold(F.col("url"))
     for name, table in t.suffixes.items():
-        rows = rows.join(small_side(table, t.most), name, "left").withColumn(
-            f"f_{name}_rate", F.coalesce(f"{name}_rate", F.lit(t.prior))).withColumn(f"f_{name}_rows", F.coalesce(f"{name}_rows", F.lit(0.0))).drop(
-            f"{name}_rate", f"{name}_rows")
+        rows = rows.join(small_side(table.drop("rate", "rows"), t.most), name, "left")
+        n, bad = (F.coalesce(F.col(c) - F.get(f"{c}_of", own), F.lit(0)) for c in ("n", "bad"))
+        rows = rows.withColumns({f"f_{name}_rate": (bad + 10 * t.prior) / (n + 10), f"f_{name}_rows": F.log1p(n)}).drop("n", "bad", "n_of", "bad_of")
     names = sorted(c for c in rows.columns if c.startswith("f_"))
     return VectorAssembler(inputCols=names, outputCol="features").transform(rows.withColumns({c: F.col(c).cast("double") for c in names}))
 
@@ -117,15 +128,17 @@ def learn(labelled: DataFrame, s: Settings = Settings()) -> Trained:
         return Trained(None, 1.0 if total["bad"] else 0.0, {}, 0.0, s.suffixes)
     prior = total["bad"] / total["n"]
     host, _ = host_and_path(F.col("url"))
-    pairs = stored(rows.select(host.alias("host"), "label").select(*[c.alias(k) for k, c in suffixes_of(F.col("host")).items()], "label")
-                   .groupBy("suffix1", "suffix2").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("label").cast("long")).alias("bad")), "suffix-counts")
+    pairs = stored(rows.select(host.alias("host"), fold(F.col("url")).alias("fold"), "label")
+                   .select(*[c.alias(k) for k, c in suffixes_of(F.col("host")).items()], "fold", "label")
+                   .groupBy("suffix1", "suffix2", "fold").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("label").cast("long")).alias("bad")), "suffix-counts")
     tables = {}
     for name in ("suffix1", "suffix2"):
-        counts = pairs.groupBy(name).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-        tables[name] = stored(counts.select(name, ((F.col("bad") + 10 * prior) / (F.col("n") + 10)).alias(f"{name}_rate"),
-                                            F.log1p("n").alias(f"{name}_rows")), name)
+        of = {c: F.array(*[F.sum(F.when(F.col("fold") == k, F.col(c)).otherwise(0)) for k in range(FOLDS)]).alias(f"{c}_of") for c in ("n", "bad")}
+        counts = pairs.groupBy(name).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), *of.values())
+        tables[name] = stored(counts.select(name, ((F.col("bad") + 10 * prior) / (F.col("n") + 10)).alias("rate"), F.log1p("n").alias("rows"),
+                                            "n", "bad", "n_of", "bad_of"), name)
     share = min(1.0, s.sample_rows / total["n"])
-    chosen = rows.where(F.pmod(F.xxhash64(F.lit(s.seed), "url"), F.lit(1_000_000)) < int(share * 1_000_000))
+    chosen = sampled(rows, share, "url")
     chosen = stored(lexical(chosen).repartition(8, "url"), "labelled-urls")
     kinds = [x["label"] for x in chosen.select("label").distinct().collect()]
     if len(kinds) < 2:                                               # the sample shows one kind only

@@ -1,7 +1,13 @@
 import itertools
 import random
+import time
+import tracemalloc
 
-from bourseflow.llm.extraction import Settings, blocks_of, extracted, learn, main_text, minimum_cut
+import pytest
+from pyspark.sql import functions as F
+
+from bourseflow.llm.common import by_hash, sampled
+from bourseflow.llm.extraction import Settings, blocks_of, extracted, learn, main_text, minimum_cut, ties_of
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{x:1}</style><script>var t="</p>";</script></head><body class="page">
 <header class="site"><h2>Brand</h2></header><nav><ul><li><a href="/a">Home</a><li><a href="/b">News</a></ul></nav>
@@ -79,3 +85,74 @@ def test_the_cut_overrules_misleading_places(spark):
     hidden = f'<html><body><article><p>{LONG}</p><p hidden>{LONG}</p><div class="promo"><p style="display: none">{LONG}</p></div><p>{LONG}</p></article></body></html>'
     assert main_text(hidden, weights) == f"{LONG}\n\n{LONG}"
     assert main_text("<body><nav><p>Home</p></nav><div class='ad'>Buy now</div></body>", weights) == ""
+
+
+def texts(page):
+    return [b.text for b in blocks_of(page)]
+
+
+def test_raw_elements_do_not_cut_a_block():
+    assert texts("<p>Alpha <script>x('</p>')</script>beta <svg><text>no</text></svg>gamma.</p>") == ["Alpha beta gamma."]
+    assert texts("<p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be a number.</p>") == ["Let x=1 be a number."]
+    assert texts("<article><p>x<template><p>y</p></template></p><p>z<noscript><p>n</p></noscript>w</p></article>") == ["x", "zw"]
+    assert texts("<p>Press <button>Go</button> now.</p><p>a<select><option>1<option>2</select>b</p>") == ["Press now.", "ab"]
+    assert texts("<p>a<svg>b<svg>c</svg>d</svg>e</p>") == ["ae"] and texts("<p>open <svg> end</p>") == ["open end"]
+    assert texts("<head><meta x><title>t</title></head><body>b</body>") == ["b"] and texts("a</svg>b<p/>c") == ["ab", "c"]
+
+
+def test_random_trees_against_their_own_blocks():
+    """Well-formed trees of block, inline and skipped elements: the blocks are the runs of text between edges of block elements."""
+    rng = random.Random(7)
+    for _ in range(300):
+        parts, want, run = [], [], []
+
+        def edge():
+            whole = " ".join("".join(run).split())
+            if whole:
+                want.append(whole)
+            run.clear()
+
+        def grow(depth, skipped):
+            for _ in range(rng.randrange(1, 4)):
+                kind = rng.randrange(5 if depth < 6 else 2)
+                if kind <= 1:
+                    word = rng.choice(["a ", "b", " c", "\n", "d&amp;e"])
+                    parts.append(word)
+                    if not skipped:
+                        run.append(word.replace("&amp;", "&"))
+                    continue
+                tag = rng.choice([["div", "section", "blockquote"], ["b", "i", "math", "span"], ["svg", "template", "noscript", "select"]][kind - 2])
+                if kind == 2 and not skipped:
+                    edge()
+                parts.append(f"<{tag}>")
+                grow(depth + 1, skipped or kind == 4)
+                parts.append(f"</{tag}>")
+                if kind == 2 and not skipped:
+                    edge()
+        grow(0, False)
+        edge()
+        assert texts("".join(parts)) == want, "".join(parts)
+
+
+def test_100_000_levels():
+    for page in ("<div>" * 100_000 + "<p>deep", "<div>x" * 100_000, "<blockquote>" * 100_000 + "<p>y</p>" * 1000, "<svg>" * 100_000 + "</b>" * 1000 + "z",
+                 "<div>" * 50_000 + "</p>" * 50_000 + "q", "<script" * 50_000 + "<title>" * 50_000):
+        began = time.time()
+        blocks = blocks_of(page)
+        ties_of(blocks, Settings())
+        assert time.time() - began < 10
+    tracemalloc.start()
+    blocks_of("<div>x" * 100_000)
+    assert tracemalloc.get_traced_memory()[1] < 300e6
+    tracemalloc.stop()
+
+
+def test_sample_holds_at_any_size(spark):
+    """The share of 1e11 rows is not rounded to nothing; copies of one page do not fill the sample; nothing chosen is an error."""
+    rows = spark.range(20_000).selectExpr("if(id % 3 = 0, 'same', concat('page ', id)) as html")
+    assert 800 < sampled(rows, 0.1, "html").count() < 1700 and sampled(rows, 0.1, "html").where("html = 'same'").count() <= 1
+    assert rows.where(by_hash(2_000 / 1e11, F.col("html"))).count() == 0 and rows.where(by_hash(1.0, F.col("html"))).count() == 20_000
+    many = spark.range(3_000_000).where(by_hash(1e-6, F.col("id"))).count()
+    assert 0 < many < 15
+    with pytest.raises(ValueError):
+        sampled(rows.limit(5), 1e-15, "html")

@@ -89,3 +89,20 @@ def test_suffix_statistics_count_all_labelled_urls(spark):
     by_shuffle, by_broadcast = ({r.page_id: (r.verdict, r.score) for r in judged(pages, labelled, Settings(suffixes=k, trees=2)).collect()} for k in (3, 5_000))
     assert by_shuffle.keys() == by_broadcast.keys() and len(by_shuffle) == 1201
     assert all(x[0] == by_broadcast[i][0] and abs(x[1] - by_broadcast[i][1]) < 1e-9 for i, x in by_shuffle.items())
+
+
+def test_random_labels_cannot_be_looked_up(spark):
+    """3,000 hosts with one page each and random labels: a row does not see its own label in the suffix statistics."""
+    rng = random.Random(9)
+    rows = [(i, f"http://h{i}x.d{i}z.org/a/{i % 7}", float(rng.random() < 0.5)) for i in range(3000)]
+    labelled = spark.createDataFrame(rows, "page_id long, url string, label double")
+    got = {r.page_id: r.verdict for r in judged(labelled.drop("label"), labelled.drop("page_id")).collect()}
+    right = sum((got[i] == "block") == (label == 1.0) for i, _, label in rows) / len(rows)
+    assert right < 0.65
+
+
+def test_labels_by_whole_parts_of_the_host(spark):
+    hosts = {"uploads.example.org": 0, "roads.gov.uk": 0, "soundtracks.com": 0, "alphabets.org": 0, "ads.example.org": 1, "x-casino.net": 1,
+             "bets24.com": 1, "track.site.de": 1, "adultery.org": 0}
+    df = spark.createDataFrame([(f"https://{h}/p",) for h in hosts], "url string")
+    assert {r.url[8:-2]: r.label for r in weak_labels(df).collect()} == hosts
