@@ -6,7 +6,8 @@ which slot. Rebalancing edits the map, never the hash: a record's slot stays the
 Everything is DataFrame functions. What grows with the input is summed per slot first; the map has as many rows as there are slots.
 
 Defined results: a null text counts as no bytes (size 1, crc32 of nothing); rows that agree in doc_id and text are one record and
-share a virtual slot; a null doc_id hashes as its own value together with the text, so such rows spread by text. An empty table
+share a virtual slot, but for `place` where more than `least_copies` of them outweigh the other cells: those are dealt over all slots,
+so that the law holds and none of them is ordered in one task; a null doc_id hashes as its own value together with the text, so such rows spread by text. An empty table
 gives no rows. Extra columns are ignored by `place` and kept by `sharded`."""
 from __future__ import annotations
 
@@ -14,7 +15,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from bourseflow.llm.common import stored
+from bourseflow.llm.common import small_side, stored
 
 
 @dataclass(frozen=True)
@@ -23,6 +24,8 @@ class Settings:
     slots: int = 4096                # virtual slots, fixed for the life of a corpus
     cells: int = 16                  # parts of a slot that are numbered apart, so that numbering never gathers a slot
     seed: int = 10
+    spread: float = 8.0              # a cell of so many times the mean is looked into
+    least_copies: int = 1000         # copies of a record up to which they stay together
 
 
 def records(docs: DataFrame, s: Settings) -> DataFrame:
@@ -35,6 +38,30 @@ def records(docs: DataFrame, s: Settings) -> DataFrame:
         F.pmod(F.shiftright("h", 32), F.lit(s.cells)).cast("int").alias("cell"))
 
 
+def spread_repeats(placed: DataFrame, s: Settings) -> DataFrame:
+    """The stored records with copies of one record that would outweigh a cell dealt over all slots, by the number of the row.
+
+    Counts of the cells show where such records can be; only rows of those cells are counted one by one."""
+    cells = placed.groupBy("virtual_slot", "cell").agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("bytes"))
+    total = cells.agg(F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes")).first()
+    if not total["rows"]:
+        return placed.drop("row")
+    usual = {c: s.spread * max(1.0, total[c] / (s.slots * s.cells)) for c in ("rows", "bytes")}
+    full = cells.where((F.col("rows") > max(usual["rows"], s.least_copies)) & (F.col("bytes") > usual["bytes"])).select("virtual_slot", "cell")
+    if full.isEmpty():
+        return placed.drop("row")
+    same = ["doc_id", "text_crc32", "size"]
+    inside = placed.join(F.broadcast(full), ["virtual_slot", "cell"])                 # s.slots * s.cells rows at most
+    often = stored(inside.groupBy(*same).agg(F.count(F.lit(1)).alias("copies")).where(F.col("copies") > max(usual["rows"], s.least_copies)), "repeats")
+    # rows of a cell are more than least_copies for each of these, so there are few
+    often = small_side(often.select(*[F.col(c).alias(f"_{c}") for c in same], F.lit(True).alias("often")), s.slots * s.cells)
+    met = placed.join(often, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("text_crc32") == F.col("_text_crc32")) & (F.col("size") == F.col("_size")), "left")
+    h = F.xxhash64(F.lit(s.seed), F.lit("copy"), "row", "text_crc32")
+    moved = F.col("often").isNotNull()
+    return met.select(*same, F.when(moved, F.pmod(h, F.lit(s.slots)).cast("int")).otherwise(F.col("virtual_slot")).alias("virtual_slot"),
+                      F.when(moved, F.pmod(F.shiftright(h, 32), F.lit(s.cells)).cast("int")).otherwise(F.col("cell")).alias("cell"))
+
+
 def slot_bytes(placed: DataFrame, s: Settings) -> DataFrame:
     """Bytes of every virtual slot, also of those that hold nothing."""
     summed = placed.groupBy("virtual_slot").agg(F.sum("size").alias("bytes"))
@@ -89,7 +116,8 @@ def place(docs: DataFrame, s: Settings = Settings(), slot_map: DataFrame | None
     """One row per document row: doc_id, size, text_crc32, law, shard, slot, grown_shard, virtual_slot, map_version.
 
     `slot` is the row's number inside its shard, gapless from 0. Without a given map a first one is laid out over these bytes."""
-    placed = stored(records(docs, s), "slot-records")
+    placed = stored(records(docs, s).withColumn("row", F.monotonically_increasing_id()), "slot-records")
+    placed = spread_repeats(placed, s)
     slot_map = first_map(slot_bytes(placed, s), s) if slot_map is None else newest(slot_map)
     slot_map = F.broadcast(stored(slot_map, "slot-map"))                       # s.slots rows
     cells = placed.groupBy("virtual_slot", "cell").count().join(slot_map, "virtual_slot")

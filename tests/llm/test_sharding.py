@@ -54,3 +54,17 @@ def test_awkward_rows(spark):
     out = sharded(docs)
     assert out.columns == [c for c in docs.columns if c != "shard"] + ["virtual_slot", "shard"] and out.count() == 13
     assert sharded(docs.limit(0)).count() == 0
+
+
+def test_a_record_that_fills_a_third_of_the_table(spark):
+    rows = [(i, words(i, 30)) for i in range(8000)] + [(77, "the same record again and again " * 4)] * 2500 + [(None, "nameless " * 9)] * 1500
+    s = Settings(slots=512, cells=4)
+    got = place(docs_of(spark, rows).repartition(5), s).collect()
+    loads, slots, cells = [0] * 16, {}, {}
+    for r in got:
+        loads[r.shard] += r.size
+        slots.setdefault(r.shard, []).append(r.slot)
+        cells[r.virtual_slot] = cells.get(r.virtual_slot, 0) + 1
+    assert len(got) == 12_000 and all(sorted(x) == list(range(len(x))) for x in slots.values())
+    assert max(loads) - min(loads) <= 0.02 * sum(loads) / 16 and max(cells.values()) < 200
+    assert len({r.virtual_slot for r in got if r.doc_id == 77}) > 300
