@@ -80,4 +80,3 @@ FEED_SKIP_PREFIXES = ("[첨부추가]", "[첨부정정]")
 ANNUAL_REPORT_WORD = "사업보고서"
 QUARANTINE_NOTE = "격리 ([0-9]+)행"
 GUEST_PREFIX = "게스트-"
-RANGE_MONTHS = {"1m": 1, "3m": 3, "6m": 6, "1y": 12}
