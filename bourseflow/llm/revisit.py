@@ -5,14 +5,16 @@ canonical URL. The revisit is resolved if its validators agree with that respons
 else the modification dates), and its headers are then merged into the stored ones: the headers that a not-modified answer may
 update replace them, all others stay as stored.
 
-The as-of join has two levels. Captures of one URL fall into time buckets; the last response of each bucket is a map-side combined
-maximum and is carried forward over the buckets of the URL, and only captures inside one bucket are ordered in one task. A URL
-with any number of captures is so spread over its buckets.
-
-Defined results: a null URL is a canonical URL of its own (empty text); records without time or with a null record_id never serve
-as response, and a revisit without time is an orphan; an earlier response is one with a smaller time (equal times do not count), and of
-several at that time the one with the largest record_id; header names compare in lower case, of repeated names the last in text order
-stays; no validators on either side: unverified. Extra columns are ignored. Empty tables give no rows."""
+The as-of join has three steps, each on less than the one before. Responses are first reduced to one per URL and second (a map-side
+combined maximum); seconds fall into time buckets, and the last response of each bucket is carried forward over the buckets of the URL;
+only the seconds inside one bucket are ordered in one task, so that no window holds more rows than a bucket has seconds, however many
+captures a URL has. Revisits then meet their second by an equality join, which may be split where one second holds many of them.
+
+Defined results: a capture without URL (null, or nothing left of it) has no canonical address: it serves no one and a revisit without
+URL is an orphan (canonical is empty text); records without time or with a null record_id never serve as response, and a revisit without
+time is an orphan; an earlier response is one with a smaller time (equal times do not count), and of several at that time the one with
+the largest record_id; header names compare in lower case, of repeated names the last in text order stays; no validators on either side:
+unverified. Extra columns are ignored. Empty tables give no rows."""
 from __future__ import annotations
 
 from dataclasses import dataclass
@@ -66,16 +68,18 @@ def resolve(captures: DataFrame, s: Settings = Settings()) -> DataFrame:
     response_id, response_time; for resolved and unverified ones also digest and headers (merged, array of name and value)."""
     rows = captures.select("record_id", canonical(F.col("url"), s).alias("canonical"), "time", "kind", tidy(F.col("headers")).alias("headers"),
                            "digest").withColumn("bucket", F.floor(F.col("time") / s.bucket))
-    served = F.when((F.col("kind") == "response") & F.col("record_id").isNotNull() & F.col("time").isNotNull(),
-                    F.struct("time", "record_id", "digest", "headers"))
-    rows = rows.withColumn("served", served)
-    lasts = rows.groupBy("canonical", "bucket").agg(F.max("served").alias("last"))
+    placed = (F.col("canonical") != "") & F.col("time").isNotNull()
+    served = F.when((F.col("kind") == "response") & F.col("record_id").isNotNull(), F.struct("time", "record_id", "digest", "headers"))
+    seconds = rows.where(placed).groupBy("canonical", "bucket", "time").agg(F.max(served).alias("served"))
+    lasts = seconds.groupBy("canonical", "bucket").agg(F.max("served").alias("last"))
     earlier = W.partitionBy("canonical").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     carried = lasts.select("canonical", "bucket", F.last("last", ignorenulls=True).over(earlier).alias("carried"))
-    inside = W.partitionBy("canonical", "bucket").orderBy("time").rangeBetween(W.unboundedPreceding, -1)
-    asked = (rows.withColumn("near", F.max("served").over(inside)).where("kind = 'revisit'")
-             .join(carried.where("bucket is not null"), ["canonical", "bucket"], "left")
-             .withColumn("of", F.when(F.col("time").isNotNull(), F.coalesce("near", "carried"))))
+    inside = W.partitionBy("canonical", "bucket").orderBy("time").rowsBetween(W.unboundedPreceding, -1)
+    before = (seconds.withColumn("near", F.max("served").over(inside)).join(carried, ["canonical", "bucket"])
+              .select("canonical", "time", F.coalesce("near", "carried").alias("of")))
+    revisits = rows.where("kind = 'revisit'")
+    asked = revisits.where(placed).join(before, ["canonical", "time"], "left").unionByName(
+        revisits.where(~F.coalesce(placed, F.lit(False))), allowMissingColumns=True)
     tag, old_tag = (F.regexp_replace(header(F.col(c), "etag"), r"^W/", "") for c in ("headers", "of.headers"))
     date, old_date = (header(F.col(c), "last-modified") for c in ("headers", "of.headers"))
     agrees = F.when(tag.isNotNull() & old_tag.isNotNull(), tag == old_tag).when(date.isNotNull() & old_date.isNotNull(), date == old_date)

@@ -24,7 +24,7 @@ captures AS (
 responses AS (
     SELECT canonical, time, max(record_id) AS record_id, max_by(digest, record_id) AS digest, max_by(tag, record_id) AS tag,
            max_by(day, record_id) AS day, max_by(octet_length(encode(html)), record_id) AS bytes
-    FROM captures WHERE whole GROUP BY canonical, time),
+    FROM captures WHERE whole AND canonical <> '' GROUP BY canonical, time),
 revisits AS (
     SELECT record_id, canonical, time, digit, day, CASE WHEN digit < 9 THEN tag WHEN digit < 11 THEN 'W/' || tag WHEN digit < 12 THEN '"other"' END AS sent,
            CASE WHEN digit < 11 THEN tag WHEN digit < 12 THEN '"other"' END AS plain

@@ -34,13 +34,32 @@ def test_latest_earlier_response_and_merging(spark, bucket):
 
 
 def test_dates_ties_and_nulls(spark):
-    got = run(spark, [("a", None, 5, "response", {"Last-Modified": "m"}, "d1"), ("b", None, 5, "response", {"Last-Modified": "n"}, "d2"),
-                      (None, None, 6, "response", {}, "d3"), ("c", None, None, "response", {}, "d4"), ("r", None, 7, "revisit", {"last-modified": "n"}, None),
-                      ("q", None, 7, "revisit", {"last-modified": "x", "etag": '"e"'}, None), ("q2", None, 7, "revisit", {"last-modified": "n"}, None)])
+    u = "x.org"
+    got = run(spark, [("a", u, 5, "response", {"Last-Modified": "m"}, "d1"), ("b", u, 5, "response", {"Last-Modified": "n"}, "d2"),
+                      (None, u, 6, "response", {}, "d3"), ("c", u, None, "response", {}, "d4"), ("r", u, 7, "revisit", {"last-modified": "n"}, None),
+                      ("q", u, 7, "revisit", {"last-modified": "x", "etag": '"e"'}, None), ("q2", u, 7, "revisit", {"last-modified": "n"}, None)])
     assert got["r"].status == got["q2"].status == "resolved" and got["r"].response_id == "b" and got["q"].status == "mismatch"
     assert resolve(spark.createDataFrame([], FIELDS)).count() == 0
 
 
+def test_captures_without_url_serve_no_one(spark):
+    got = run(spark, [("a", None, 1, "response", {"etag": '"1"'}, "page A"), ("b", "https://", 1, "response", {"etag": '"1"'}, "page B"),
+                      ("r", None, 5, "revisit", {"etag": '"1"'}, None), ("q", "", 5, "revisit", {}, None), ("n", None, None, "revisit", None, None)])
+    assert {(i, r.status, r.canonical, r.digest, r.response_id) for i, r in got.items()} == {(i, "orphan", "", None, None) for i in "rqn"}
+
+
+def test_one_url_with_most_captures(spark):
+    """Against a scan over all captures: one address holds nearly all rows, many of them in the same second; repeated rows stay."""
+    rows = [(f"c{i}", "hot.org/p" if i % 9 else f"x.org/{i % 5}", (i * i) % 700 // 7, "response" if i % 4 == 0 else "revisit", {"etag": f'"{i % 3}"'}, f"d{i}")
+            for i in range(900)]
+    full = [(*r, "extra") for r in rows] + [(*rows[1], "extra")]
+    got = resolve(spark.createDataFrame(full, FIELDS), Settings(bucket=20)).collect()
+    assert len(got) == sum(r[3] == "revisit" for r in full)
+    for r in got:
+        before = [(x[2], x[0]) for x in rows if x[3] == "response" and x[1] == r.canonical and x[2] < r.time]
+        assert (r.response_time, r.response_id) == (max(before) if before else (None, None))
+
+
 def test_captures_of_awkward_pages(spark):
     pages = spark.createDataFrame([(1, "http://a.org/", "<p>x"), (None, None, None), (1, "http://a.org/", "<p>x")], "page_id long, url string, html string")
     captures = captures_of(pages.selectExpr("*", "1 as time", "2 as n", "3 as kind"))
