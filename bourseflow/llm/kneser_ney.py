@@ -12,7 +12,8 @@ discounts free. A text is its words, then one end; the first word's context is t
 seen gives p(w). Probabilities are computed from stored counts when scoring, so the files hold keys and counts only.
 
 Scoring. A task looks its batch's distinct keys up in sorted order, shard by shard; pages of the mapped files are read as needed
-and belong to no heap. Where the shared folder is no local path, a worker copies a shard to its temporary folder when it first needs it.
+and belong to no heap. Where the shared folder is no local path, a worker copies a shard to its executor's block folder when it first
+needs it. Every shard of the model has a file, empty or not, and one that cannot be found is an error.
 
 Defined results: a null text is an empty one (one token, the end); a null doc_id is trained on and not held out; no training
 rows: every probability 1 and score 0. Repeated rows are counted as often as they occur. Extra columns are ignored. An empty
@@ -22,6 +23,7 @@ from __future__ import annotations
 import io
 import os
 import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -67,19 +69,23 @@ _MAPPED: dict[str, np.ndarray] = {}
 
 
 def mapped(folder: str, name: str) -> np.ndarray:
-    """A stored array, memory-mapped; empty where no such file was written."""
+    """A stored array, memory-mapped. A file that is missing, or not visible yet, is an error: the task is tried again, nothing is scored without it.
+
+    Files of a remote folder are copied, piece by piece, to the executor's own block folder, which Spark deletes with the executor."""
     key = f"{folder}/{name}"
     if key not in _MAPPED:
         parts = urlparse(folder)
         path = f"{parts.path}/{name}.npy"
         if parts.scheme not in ("", "file"):
             system, there = fs.FileSystem.from_uri(folder)
-            path = f"{tempfile.gettempdir()}/{re.sub(r'[^A-Za-z0-9.-]', '_', key)}.npy"
-            if not os.path.exists(path) and system.get_file_info(f"{there}/{name}.npy").type == fs.FileType.File:
-                with system.open_input_file(f"{there}/{name}.npy") as source, open(f"{path}-{os.getpid()}", "wb") as copy:
-                    copy.write(source.read())
-                os.replace(f"{path}-{os.getpid()}", path)
-        _MAPPED[key] = np.load(path, mmap_mode="r") if os.path.exists(path) else np.empty(0, np.uint64)
+            local = os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0] or tempfile.gettempdir()
+            path = f"{local}/{re.sub(r'[^A-Za-z0-9.-]', '_', key)}.npy"
+            if not os.path.exists(path):
+                part = f"{path}-{uuid.uuid4().hex}"
+                with system.open_input_stream(f"{there}/{name}.npy") as source, open(part, "wb") as copy:
+                    shutil.copyfileobj(source, copy, 1 << 22)
+                os.replace(part, path)
+        _MAPPED[key] = np.load(path, mmap_mode="r")
     return _MAPPED[key]
 
 
@@ -175,8 +181,8 @@ class Model:
         cut = np.searchsorted(distinct >> U(64 - int(np.log2(shards))) if shards > 1 else np.zeros(len(distinct), np.uint64),
                               np.arange(shards + 1, dtype=np.uint64))
         for p in np.flatnonzero(np.diff(cut)):
-            keys = mapped(self.folder, f"words-{p}")
-            if len(keys):
+            if self.offsets[p + 1] > self.offsets[p]:              # shards without words have no file
+                keys = mapped(self.folder, f"words-{p}")
                 mine = distinct[cut[p]:cut[p + 1]]
                 at = np.minimum(np.searchsorted(keys, mine), len(keys) - 1)
                 hit = keys[at] == mine
@@ -304,14 +310,15 @@ def train(docs: DataFrame, s: Settings = Settings()) -> Model:
 
     def write_pairs(key: tuple, group: pa.Table) -> pa.Table:
         p = key[0].as_py()
-        k, n = summed(group["key"].to_numpy().view(np.uint64), group["n"].to_numpy().astype(np.int64))
+        n = group["n"].to_numpy().astype(np.int64)
+        k, n = summed(group["key"].to_numpy().view(np.uint64)[n > 0], n[n > 0])
         put(folder, f"pairs-{p}", k)
         put(folder, f"pair-counts-{p}", np.minimum(n, 255).astype(np.uint8))
         if (large := n >= 255).any():
             put(folder, f"large-pairs-{p}", k[large])
             put(folder, f"large-counts-{p}", n[large])
         context = (k >> U(32)).astype(np.int64)
-        first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
+        first = np.flatnonzero(np.diff(context, prepend=-1))
         after, times = np.unique((k & LOW).astype(np.int64), return_counts=True)
         by = [np.concatenate([np.add.reduceat((n == i) if i < 3 else (n >= 3), first, dtype=np.int64), np.zeros(len(after), np.int64)])
               for i in (1, 2, 3)]
@@ -320,7 +327,9 @@ def train(docs: DataFrame, s: Settings = Settings()) -> Model:
                          "n1": pa.array(np.concatenate([by[0], np.zeros(4, np.int64)])), "n2": pa.array(np.concatenate([by[1], np.zeros(4, np.int64)])),
                          "n3": pa.array(np.concatenate([by[2], np.zeros(4, np.int64)])),
                          "a": pa.array(np.concatenate([np.zeros(len(first), np.int64), times, kinds]))})
-    partial = stored(found.mapInArrow(shard_column, "p int, key long, n int").groupBy("p").applyInArrow(
+    # one empty row for each shard: every shard has a file, so a missing one can be told from an empty one
+    every = spark.range(shards).select(F.col("id").cast("int").alias("p"), F.lit(0).cast("long").alias("key"), F.lit(0).alias("n"))
+    partial = stored(found.mapInArrow(shard_column, "p int, key long, n int").union(every).groupBy("p").applyInArrow(
         write_pairs, "id long, n1 long, n2 long, n3 long, a long"), "pair-statistics")
     each = stored(partial.groupBy("id").agg(*(F.sum(c).alias(c) for c in ("n1", "n2", "n3", "a"))), "word-statistics")
     kinds = {r["id"]: r["a"] for r in each.where("id < 0").collect()}                         # 4 rows

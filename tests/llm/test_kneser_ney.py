@@ -1,10 +1,14 @@
 import math
+import shutil
 import zlib
 from collections import Counter, defaultdict
+from dataclasses import replace
+from pathlib import Path
 
+import numpy as np
 import pytest
 
-from bourseflow.llm.kneser_ney import Settings, discounts_of, language_model_scores
+from bourseflow.llm.kneser_ney import Settings, discounts_of, language_model_scores, train
 
 from tests.llm.fixtures import awkward, docs_of, words
 
@@ -64,3 +68,17 @@ def test_awkward_rows(spark):
     nothing = [i for i in range(1, 200) if zlib.crc32(str(i).encode()) % 10 == 0][0]
     alone = language_model_scores(docs_of(spark, [(nothing, "a b")])).first()
     assert alone.held_out and alone.train_tokens == 0 and alone.score == 0
+
+
+def test_missing_shard_is_an_error(spark, tmp_path):
+    """Scores are never made without a part of the model; shards without rows have files of their own."""
+    docs = docs_of(spark, [(i, words(i, 20)) for i in range(1, 30)])
+    model = train(docs, Settings(shard_rows=50, least_shards=4))
+    folder = Path(model.folder.removeprefix("file:"))
+    assert len(list(folder.glob("pairs-*.npy"))) == model.shards
+    elsewhere = str(tmp_path / "model")
+    shutil.copytree(folder, elsewhere, ignore=shutil.ignore_patterns("pairs-1.npy"))
+    with pytest.raises(FileNotFoundError):
+        replace(model, folder=elsewhere).pair_counts(np.arange(10_000, dtype=np.uint64) << np.uint64(32))
+    with pytest.raises(FileNotFoundError):
+        replace(model, folder=str(tmp_path / "nothing")).find_ids(np.arange(4, dtype=np.uint64) << np.uint64(62))
