@@ -7,14 +7,14 @@ blocks. A pair counts in the first bucket it shares and nowhere else, so links a
 task is a number of links per vector and a spanning forest of its blocks.
 
 Equal vectors are one class with a weight. The number of hashes in a table follows the number of vectors, so that buckets keep
-their size as the table grows.
+their size as the table grows; the number of tables follows the hashes, so that the recall of a pair at the threshold stays (`plan`).
 
 Defined results: a vector that is null, empty, zero or holds null or non-finite components links with nothing; vectors of different
 lengths do not link; a null vec_id links with nothing, has a null component and is kept; rows that repeat vec_id and vector are
 copies of one row and count once; an empty table gives no rows. Extra columns are ignored."""
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -27,16 +27,20 @@ from bourseflow.llm.common import U, components, mix, stored
 @dataclass(frozen=True)
 class Settings:
     cosine: float = 0.95
-    tables: int = 10
+    tables: int = 10                 # at least
+    recall: float = 0.99             # of a pair exactly at the threshold
     probes: int = 4                  # buckets of a table that a vector is posted under
     block: int = 512                 # vectors compared with as many others at once
     seed: int = 8
 
 
-def hashes_for(vectors: int, width: int, s: Settings) -> int:
-    """Axes in a bucket: enough that an unrelated vector is met less than once over all tables and probes.
+def width_of(d: int) -> int:
+    """Components after padding: a power of two, and enough of them that sign flips give many different rotations."""
+    return max(16, 1 << int(np.ceil(np.log2(d))))
+
 
-    Recall at a cosine of 0.95 and 64 components, measured on random pairs with 10 tables and 4 probes: 1.0 with 4 axes, 0.992 with 5."""
+def hashes_for(vectors: int, width: int, s: Settings) -> int:
+    """Axes in a bucket: enough that an unrelated vector is met less than once over all tables and probes."""
     meetings = max(vectors, 2) * s.probes ** 2 * s.tables
     return max(2, int(np.ceil(np.log(meetings) / np.log(2 * width))))
 
@@ -55,7 +59,7 @@ def hadamard(x: np.ndarray) -> np.ndarray:
 def buckets(vectors: np.ndarray, s: Settings, hashes: int) -> np.ndarray:
     """Keys of shape (vectors, tables, probes), best first."""
     n, d = vectors.shape
-    width = 1 << max(1, int(np.ceil(np.log2(d))))
+    width = width_of(d)
     padded = np.zeros((n, width))
     padded[:, :d] = vectors
     rng = np.random.default_rng([s.seed, d])
@@ -90,6 +94,38 @@ def _normal(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def meets(d: int, s: Settings, hashes: int) -> tuple[float, int]:
+    """How often a pair of random vectors at the threshold cosine shares a bucket of one table, and how many times that was tried."""
+    n = min(max(256, 2**15 // d), 2048)
+    rng = np.random.default_rng([s.seed, d])
+    a, b = (_normal(rng.normal(size=(n, d))) for _ in range(2))
+    if d > 1:
+        b = s.cosine * a + np.sqrt(1 - s.cosine ** 2) * _normal(b - (a * b).sum(axis=1, keepdims=True) * a)
+    else:
+        b = a
+    x, y = buckets(a, s, hashes), buckets(b, s, hashes)
+    return float((x[:, :, :, None] == y[:, :, None, :]).any(axis=(2, 3)).mean()), n * x.shape[1]
+
+
+def plan(vectors: int, d: int, s: Settings) -> tuple[Settings, int]:
+    """Tables and hashes for a number of vectors of d components.
+
+    The share p of meetings in one table is measured on random pairs at the threshold and lowered by two standard errors; tables have rotations of
+    their own, so 1 - (1 - p)^tables is set to the recall asked for. Vectors of less than eight components have few different
+    rotations and fall short of it somewhat. More tables mean more meetings of unrelated vectors, for which the hashes are
+    computed again until both agree."""
+    width = width_of(d)
+    hashes = hashes_for(vectors, width, s)
+    while True:
+        p, tried = meets(d, s, hashes)
+        low = min(max(p - 2 * np.sqrt(max(p * (1 - p), 1 / tried) / tried), 1e-3), 1 - 1e-9)
+        tables = max(s.tables, int(np.ceil(np.log(1 - s.recall) / np.log(1 - low))))
+        more = hashes_for(vectors, width, replace(s, tables=tables))
+        if more <= hashes:
+            return replace(s, tables=tables), hashes
+        hashes = more
+
+
 def hashed(classes: DataFrame, s: Settings, hashes: int) -> DataFrame:
     """The classes with `keys`: all their buckets, table by table."""
     def run(batches):
@@ -184,7 +220,7 @@ def near_duplicates(vectors: DataFrame, s: Settings = Settings()) -> DataFrame:
         F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("weight"), F.first("embedding").alias("embedding")), "vector-classes")
     n = classes.count()
     width = classes.agg(F.max(F.size("embedding"))).first()[0] or 1
-    hashes = hashes_for(n, 1 << max(1, int(np.ceil(np.log2(width)))), s)
+    s, hashes = plan(n, int(width), s)
     classes = stored(hashed(classes, s, hashes), "hashed-vectors")
     keys = classes.select("id", F.explode(F.array_distinct("keys")).alias("key"))
     sizes = stored(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "bucket-sizes")

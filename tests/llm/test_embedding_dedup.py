@@ -1,6 +1,7 @@
 import numpy as np
+import pytest
 
-from bourseflow.llm.embedding_dedup import Settings, hadamard, near_duplicates
+from bourseflow.llm.embedding_dedup import Settings, buckets, hadamard, near_duplicates, plan
 
 
 def table(spark, rows):
@@ -40,6 +41,22 @@ def test_links_against_brute_force(spark):
     assert all(r.kept == (r.component_id == i) for i, r in got.items())
 
 
+@pytest.mark.parametrize("d, vectors", [(8, 10**9), (8, 10**10), (16, 10**9), (64, 10**9), (128, 10**10), (768, 10**9)])
+def test_recall_with_the_axes_of_large_tables(d, vectors):
+    """Pairs a little above the threshold, hashed as in a table of that many vectors."""
+    s, hashes = plan(vectors, d, Settings())
+    rng = np.random.default_rng(d)
+    n = 200 if d > 200 else 600
+    a, b = rng.normal(size=(2, n, d))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b = 0.951 * a + np.sqrt(1 - 0.951 ** 2) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    x, y = buckets(a, s, hashes), buckets(b, s, hashes)
+    recall = (x[:, :, :, None] == y[:, :, None, :]).any(axis=(1, 2, 3)).mean()
+    print(d, vectors, s.tables, hashes, recall)
+    assert recall >= 0.95
+
+
 def test_awkward_rows(spark):
     one, nan, inf = [1.0, 2.0, 3.0], float("nan"), float("inf")
     rows = [(1, one, 0), (2, one, 1), (2, one, 1), (3, None, 0), (4, [], 0), (5, [0.0, 0.0, 0.0], 0), (6, [1.0, None, 3.0], 0), (7, [1.0, nan, 3.0], 0),
