@@ -10,7 +10,7 @@ AFTER_TAX = 0.78
 ONEOFF_RATIO = 1.2
 FISCAL_GAP_DAYS = 182
 DEFAULT_PRESET = "balanced"
-MODEL_VERSION = "v2.7-2026-10-28"
+MODEL_VERSION = "bourseflow-1"
 
 # metric -> (factor, direction, weight inside the factor, penalty only, neutralised by theme)
 METRICS = {
