@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from bourseflow.llm.decontaminate import Settings, align, align_whole, clean, contaminated
+from bourseflow.llm.decontaminate import Settings, align, align_whole, bit_filter, clean, contaminated, passing
 
 from tests.llm.fixtures import awkward, docs_of, words
 
@@ -49,7 +49,7 @@ def test_copies_and_edits_are_found_and_clean_ones_left(spark):
             rows.append((i * 10 + k, words(i * 10 + k, 150) + "\n" + copy + ". " + words(i * 10 + k + 5000, 80)))
             want.add((i * 10 + k, i))
     rows += [(5000 + i, words(9000 + i, 200)) for i in range(30)] + [(6000 + i, edited(t, 0.6, i)) for i, t in items]
-    for s in (Settings(), Settings(pass_words=150)):
+    for s in (Settings(), Settings(filter_bits=64)):        # filters that let most n-grams pass
         got = contaminated(docs_of(spark, rows), benches(spark, items), s)
         assert {(r.doc_id, r.item_id) for r in got.collect()} == want
         assert all(r.similarity >= 0.8 for r in got.collect())
@@ -100,3 +100,31 @@ def test_whole_alignment_matches_no_fewer_words_than_an_edited_copy_keeps():
         assert m - len(edits) <= matched <= min(m, last - first + 1)
     assert align_whole(np.array([1], np.uint64), np.array([2], np.uint64)) == (0, 0, -1)
     assert align_whole(np.array([1, 2], np.uint64), np.array([], np.uint64)) == (0, 0, -1)
+
+
+def test_short_items_are_found_whole_and_unbroken(spark):
+    items = [(1, "the capital of"), (2, "red fox runs home"), (3, "two words"), (4, "one")]
+    rows = [(1, words(1, 40) + " The capital, of. " + words(2, 40)), (2, "a red fox runs home"), (3, "a red fox runs far home"), (4, "red fox fox runs home"),
+            (5, "two words one"), (6, "the capital")]
+    got = contaminated(docs_of(spark, rows), benches(spark, items)).collect()
+    assert {(r.doc_id, r.item_id, r.matched_words, r.similarity) for r in got} == {(1, 1, 3, 1.0), (2, 2, 4, 1.0)}
+    assert {r.doc_id for r in clean(docs_of(spark, rows), benches(spark, items)).collect()} == {3, 4, 5, 6}
+
+
+def test_bit_filter_lets_all_keys_pass_at_any_size(spark):
+    keys = np.random.default_rng(3).integers(-2**63, 2**63 - 1, 5000)
+    frame = spark.createDataFrame([(int(k),) for k in keys], "key long")
+    others = np.random.default_rng(4).integers(0, 2**63 - 1, 20_000).astype(np.uint64)
+    for most in (64, 1 << 15, 1 << 20):
+        bits = bit_filter(frame, most)
+        assert len(bits) * 8 <= most and passing(bits, keys.view(np.uint64)).all()
+    assert passing(bits, others).mean() < 0.08
+    assert not passing(bit_filter(frame.limit(0), 1 << 20), others).any()
+
+
+def test_many_copies_of_an_item_and_repeated_words(spark):
+    items = [(k, words(5, 30)) for k in range(40)] + [(99, "na " * 30)]
+    rows = [(d, words(d + 50, 60) + " " + words(5, 30)) for d in range(30)] + [(100, "na " * 3000), (101, None)]
+    got = contaminated(docs_of(spark, rows), benches(spark, items)).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(d, k) for d in range(30) for k in range(40)} | {(100, 99)} and len(got) == 1201
+    assert all(r.first_word == 60 and r.last_word == 89 for r in got if r.doc_id < 100)
