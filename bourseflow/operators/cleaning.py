@@ -41,7 +41,11 @@ def judge_bars(raw: DataFrame, stocks: DataFrame, now: str, require_volume: bool
 
 def clean_bars(raw: DataFrame, stocks: DataFrame, now: str, require_volume: bool = True) -> tuple[DataFrame, DataFrame]:
     """Good bars, with their arrival, and rejected ones with reason and JSON row."""
-    judged = judge_bars(raw, stocks, now, require_volume)
+    return split_bars(judge_bars(raw, stocks, now, require_volume))
+
+
+def split_bars(judged: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Judged bars as good ones and rejected ones."""
     good = judged.where("reason IS NULL").drop("reason", "timezone")
     bad = judged.where("reason IS NOT NULL")
     return good, bad.select("reason", F.to_json(F.struct("stock_id", "trade_date", "open", "high", "low", "close", "volume")).alias("row"),

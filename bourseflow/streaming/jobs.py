@@ -13,17 +13,24 @@ from bourseflow.session import checkpoint_dir
 from bourseflow.sources.files import staged, table_exists, upsert, upsert_table, write_partitions
 
 
+#: Rows of one landed file, about.
+LANDED_ROWS = 250_000
+
+
 def land(df: DataFrame, path: str, part: Column, parts: int) -> DataFrame:
-    """Write a table as files that landed one after another, and read them as a stream of at least `parts` batches.
+    """Write a table as files that landed one after another, and read them as a stream, one batch for each landing.
 
     `part` (0 to parts - 1) says when a row lands; each landing is a folder of its own, written after the one before from one stored
-    copy of the rows, in few large files."""
+    copy of the rows. All landings have the same number of files, by the rows of the largest one, and a batch takes that many: so the number of
+    batches does not grow with the rows. Only a landing with hardly any rows beside large ones may have fewer files and share a batch."""
     spark = df.sparkSession
     df.withColumn("_part", part).write.partitionBy("_part").parquet(f"{path}/all")
     whole = spark.read.schema(StructType([*df.schema.fields, StructField("_part", IntegerType())])).parquet(f"{path}/all")
+    largest = whole.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    files = max(1, -(-largest // LANDED_ROWS))
     for k in range(parts):
-        whole.where(F.col("_part") == k).drop("_part").hint("rebalance").write.parquet(f"{path}/landed-{k}")
-    return spark.readStream.schema(whole.drop("_part").schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/landed-*")
+        whole.where(F.col("_part") == k).drop("_part").repartition(files).write.parquet(f"{path}/landed-{k}")
+    return spark.readStream.schema(whole.drop("_part").schema).option("maxFilesPerTrigger", files).parquet(f"{path}/landed-*")
 
 
 def workspace(spark: SparkSession) -> str:
@@ -43,9 +50,11 @@ def bars_upsert(bars: DataFrame, stocks: DataFrame, target: str, quarantine: str
     """Landed bars -> cleaning -> merge into the monthly partitions. The greatest arrival of a key wins, whichever batch brings it;
     the table keeps it. A replayed batch leaves the table as it was."""
     def load(batch: DataFrame, batch_id: int) -> None:
-        good, bad = cleaning.clean_bars(batch, stocks, now)
-        upsert_table(good.withColumn("month", month("trade_date")), target, ["stock_id", "trade_date"], "month", arrival="arrival")
-        write_partitions(bad.withColumn("batch", F.lit(batch_id)), quarantine, "batch")
+        # the batch is judged once; its months, the merge and the quarantine read the judged rows
+        with staged(cleaning.judge_bars(batch, stocks, now)) as judged:
+            good, bad = cleaning.split_bars(judged)
+            upsert_table(good.withColumn("month", month("trade_date")), target, ["stock_id", "trade_date"], "month", arrival="arrival")
+            write_partitions(bad.withColumn("batch", F.lit(batch_id)), quarantine, "batch")
     return bars.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 

@@ -151,3 +151,12 @@ def test_first_load_without_a_cursor(spark, tmp_path):
     assert feed.cursor(spark, target) is None
     assert feed.load(spark, lambda a, b: empty, stocks, target, 0, date(2024, 5, 10)) == "loaded"
     assert feed.cursor(spark, target) == ("20240503000000", date(2024, 5, 3))
+
+
+def test_a_large_landing_is_one_batch(spark, tmp_path):
+    rows = spark.range(900_000).select(F.xxhash64("id").alias("a"), F.xxhash64("id", F.lit(1)).alias("b"), F.xxhash64("id", F.lit(2)).alias("c"), F.expr("cast(id % 3 div 2 AS int)").alias("part"))
+    stream = jobs.land(rows, str(tmp_path / "in"), F.col("part"), 2).drop("part")
+    sizes = []
+    jobs.finish(stream.writeStream.foreachBatch(lambda batch, _: sizes.append(batch.count())).option("checkpointLocation", f"{tmp_path}/ckpt")
+                .trigger(availableNow=True).start())
+    assert sizes == [600_000, 300_000]
