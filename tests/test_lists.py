@@ -68,3 +68,26 @@ def test_pages_at_any_depth(spark, monkeypatch):
 
 def test_page_of_an_empty_table(spark):
     assert ordering.page(spark.createDataFrame([], "id long, v double"), "v", "id", 0, 5).count() == 0
+
+
+def test_medians_order_only_the_middle(spark):
+    """Groups of 1000 distinct values: at most the values of the middle buckets reach the ordering; results are exact."""
+    import statistics
+    from unittest import mock
+    from bourseflow.functions import ranking
+    rows = [(g, float(v * v + 1) if v % 2 else -float(v * 7 + 1)) for g in ("a", "b") for v in range(1000 if g == "a" else 999)] + [(None, 1.0), ("a", None), ("c", 5.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    seen = []
+    placed = ranking.positions
+
+    def watched(d, keys, value):
+        seen.append(d.count())
+        return placed(d, keys, value)
+    with mock.patch.object(ranking, "positions", watched):
+        got = {r.g: (r.median, r.n) for r in ranking.medians(df, ["g"], "v").collect()}
+        whole = ranking.medians(df, [], "v").first()
+    want = {g: [v for k, v in rows if k == g and v is not None] for g in ("a", "b", "c")}
+    assert got == {g: (statistics.median(v), len(v)) for g, v in want.items()}
+    known = [v for _, v in rows if v is not None]
+    assert (whole.median, whole.n) == (statistics.median(known), len(known))
+    assert max(seen) < 200
