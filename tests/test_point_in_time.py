@@ -57,3 +57,11 @@ def test_newest_row_of_each_date(spark):
 def test_empty(spark, bars):
     assert pit.price_metrics_at(bars.limit(0), ["2020-01-01"]).count() == 0
     assert pit.price_metrics_at(bars, ["2001-01-01"]).count() == 0
+
+
+def test_parts_bound_what_one_task_orders(spark, bars):
+    dates = ["2020-03-01", "2021-06-30"]
+    cut = pit.price_metrics_at(bars, dates, parts=7)
+    same(cut, pit.price_metrics_at(bars, dates))
+    plan = cut._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == plan.count("REPARTITION_BY_NUM") == 1      # one shuffle, of that many parts
