@@ -67,21 +67,39 @@ def weights(valued: DataFrame, stocks: DataFrame, members: DataFrame, groups: Da
 
 
 def slices(valued: DataFrame, portfolios: DataFrame, top: int) -> DataFrame:
-    """The largest positions, the rest as one slice, and unused cash, with their shares."""
-    w = Window.partitionBy("portfolio_id").orderBy(F.desc("amount"), "stock_id")
-    amounts = valued.select("portfolio_id", "stock_id", "cost_krw", F.coalesce(F.col("value_krw").cast("decimal(24,2)"), F.col("cost_krw")).alias("amount"))
-    # the largest rows are cut inside each task before the shuffle; the rest is total minus kept
-    kept = amounts.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= top)
-    tot = amounts.groupBy("portfolio_id").agg(F.sum("amount").alias("all_amount"), F.count(F.lit(1)).alias("n"), F.sum("cost_krw").alias("used"))
-    kept_sum = kept.groupBy("portfolio_id").agg(F.sum("amount").alias("kept_amount"))
-    rest = (tot.where(F.col("n") > top).join(kept_sum, "portfolio_id")
-            .select("portfolio_id", F.concat(F.lit("other "), (F.col("n") - top).cast("string")).alias("slice"), money(F.col("all_amount") - F.col("kept_amount")).alias("amount")))
-    free = F.col("seed_krw") - F.coalesce("used", F.lit(0))
-    cash = portfolios.join(tot, "portfolio_id").where(free > 0).select("portfolio_id", F.lit("cash").alias("slice"), money(free).alias("amount"))
-    out = (kept.select("portfolio_id", F.concat(F.lit("stock "), F.col("stock_id").cast("string")).alias("slice"), money("amount").alias("amount"))
-           .unionByName(rest).unionByName(cash))
-    total = out.groupBy("portfolio_id").agg(F.sum("amount").alias("t"))
-    return out.join(total, "portfolio_id").select("portfolio_id", "slice", "amount", half_up(ratio("amount", "t"), 6).alias("share"))
+    """The largest positions, the rest as one slice, and unused cash, with their shares.
+
+    Positions are shuffled once, by portfolio (it holds a stock once, so its rows are at most as many as the stocks), and a portfolio
+    becomes one row (its largest positions, its totals, its seed), which is then cut into slices."""
+    by_size = Window.partitionBy("portfolio_id").orderBy(F.desc("amount"), "stock_id")
+    whole = Window.partitionBy("portfolio_id")
+    amounts = valued.where(F.col("portfolio_id").isNotNull()).select(
+        "portfolio_id", "stock_id", "cost_krw", F.coalesce(F.col("value_krw").cast("decimal(24,2)"), F.col("cost_krw")).alias("amount"))
+    rows = (amounts.withColumns({"all_amount": F.sum("amount").over(whole), "n": F.count(F.lit(1)).over(whole), "used": F.sum("cost_krw").over(whole)})
+            .withColumn("rn", F.row_number().over(by_size)).where(F.col("rn") <= max(top, 1)))
+    shown = F.col("rn") <= top
+    per = rows.groupBy("portfolio_id").agg(
+        F.max("all_amount").alias("all_amount"), F.max("n").alias("n"), F.max("used").alias("used"), F.sum(F.when(shown, F.col("amount"))).alias("kept_amount"),
+        F.collect_list(F.when(shown, F.struct("stock_id", "amount"))).alias("head"))
+    seeds = portfolios.groupBy("portfolio_id").agg(F.collect_list("seed_krw").alias("seeds"))
+    per = per.join(seeds, "portfolio_id", "left")
+
+    def cut(name: Column, amount: Column) -> Column:
+        return F.struct(name.alias("slice"), money(amount).alias("amount"))
+
+    def listed(c: Column) -> Column:
+        return F.coalesce(c, F.array().cast("array<struct<slice:string,amount:decimal(24,2)>>"))
+
+    stocks = F.transform("head", lambda h: cut(F.concat(F.lit("stock "), h["stock_id"].cast("string")), h["amount"]))
+    rest = F.when((F.col("n") > top) & (F.size("head") > 0),
+                  F.array(cut(F.concat(F.lit("other "), (F.col("n") - top).cast("string")), F.col("all_amount") - F.col("kept_amount"))))
+    free = F.transform("seeds", lambda seed: seed - F.coalesce("used", F.lit(0)))
+    cash = F.transform(F.filter(free, lambda x: x > 0), lambda x: cut(F.lit("cash"), x))
+    per = per.select("portfolio_id", F.concat(stocks, listed(rest), listed(cash)).alias("slices"))
+    known = F.filter("slices", lambda x: x["amount"].isNotNull())
+    total = F.when(F.size(known) > 0, F.aggregate(known, F.lit(0).cast("decimal(38,2)"), lambda t, x: (t + x["amount"]).cast("decimal(38,2)")))
+    return (per.withColumn("t", total).select("portfolio_id", "t", F.inline("slices"))
+            .select("portfolio_id", "slice", "amount", half_up(ratio("amount", "t"), 6).alias("share")))
 
 
 def whole_shares(amount: Column, unit: Column) -> Column:
