@@ -3,7 +3,7 @@ from datetime import date
 from decimal import Decimal as D
 from types import SimpleNamespace
 
-from bourseflow.operators import audits, portfolio
+from bourseflow.operators import audits, point_in_time, portfolio
 from bourseflow.sources.stored import kept
 
 
@@ -56,3 +56,12 @@ def test_constraints_make_derived_tables_once(spark):
         "watch key": (0, 0.0), "watch stock": (0, 0.0), "index close": (1, 3.0), "index key": (1, 2.0)}
     assert {k: got[k] for k in ("valuation signs", "valuation shares", "market value", "valuation key")} == {
         "valuation signs": (1, 2.0), "valuation shares": (1, 2.0), "market value": (0, 2.0), "valuation key": (1, 1.0)}
+
+
+def test_windows_over_bars_carry_no_wide_sums(spark):
+    bars = spark.createDataFrame([(1, date(2024, 1, d), D(d), D(d), D(d), d) for d in range(1, 29)],
+                                 "stock_id long, trade_date date, close decimal(18,4), high decimal(18,4), low decimal(18,4), volume long")
+    seen = point_in_time._running(point_in_time._places(bars, "trade_date", ["2024-01-28"]))
+    assert not [f.name for f in seen.schema.fields if getattr(f.dataType, "precision", 0) > 18]
+    got = point_in_time.price_metrics_at(bars, ["2024-01-28"]).first()
+    assert (got.ma20, got.ma60, got.avg_volume_20d) == (18.5, None, 18.0)
